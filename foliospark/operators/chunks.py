@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from .arrays import unnest
 
 LINES_PER_PAGE = 40
 
@@ -105,16 +106,6 @@ def parse_documents(docs: DataFrame, key: str, body: str, filename: Column, vers
     )
 
 
-def unnest(df: DataFrame, keep, array, position: str, element: str) -> DataFrame:
-    """Array elements as rows with their position; null and empty arrays give none.
-
-    The outer form plus a filter is used because the optimizer copies a computed array into a size check below an
-    inner explode, which would evaluate it twice.
-    """
-    rows = df.select(*keep, F.posexplode_outer(array).alias(position, element))
-    return rows.where(F.col(position).isNotNull())
-
-
 def flatten_chunks(parsed: DataFrame, *keep: str) -> DataFrame:
     """One row per chunk with its 0-based index; documents without chunks give no row."""
     return unnest(parsed, keep, "chunks", "chunk_index", "chunk")

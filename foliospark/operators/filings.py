@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
+from .arrays import unnest
 from .joins import spread_join
 from .ordered import first_rows
 
@@ -20,7 +21,7 @@ def filing_rows(index: DataFrame, recent: str, *keep: str) -> DataFrame:
     )
     names = ("form_type", "filing_date", "accession_number", "primary_document", "file_number", "description")
     shape = "array<struct<" + ", ".join(f"{n} string" for n in names) + ">>"
-    rows = index.select(*keep, a("description").isNull().alias("plain"), F.explode(zipped.cast(shape)).alias("f"))
+    rows = unnest(index, [*keep, a("description").isNull().alias("plain")], zipped.cast(shape), "position", "f")
     columns = [F.col(f"f.{n}").alias(n) for n in names[:-1]]
     return with_period(
         rows.select(*keep, *columns, F.when(F.col("plain"), "").otherwise(F.col("f.description")).alias("description"))

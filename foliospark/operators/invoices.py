@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import paths, values
+from .arrays import unnest
 
 KEYS = ("RUN_ID", "INVOICE_UUID", "DOCUMENT_NAME", "AGENTIC_DOC_VERSION")
 ITEM_FIELDS = ("line_number", "sku", "description", "quantity", "unit_price", "price", "amount", "total")
@@ -32,7 +33,7 @@ def main_rows(keyed: DataFrame, extraction: str = "extraction") -> DataFrame:
 
 def item_rows(keyed: DataFrame, extraction: str = "extraction") -> DataFrame:
     """One row per line item with its 0-based index; records without items give none."""
-    rows = keyed.select(*KEYS, F.posexplode(f"{extraction}.line_items").alias("LINE_INDEX", "item"))
+    rows = unnest(keyed, KEYS, f"{extraction}.line_items", "LINE_INDEX", "item")
     return rows.select(*KEYS, "LINE_INDEX", *[F.col(f"item.{f}").alias(f.upper()) for f in ITEM_FIELDS])
 
 
@@ -41,7 +42,7 @@ def markdown_rows(keyed: DataFrame) -> DataFrame:
 
 
 def parsed_chunk_rows(keyed: DataFrame) -> DataFrame:
-    rows = keyed.select(*KEYS[:3], F.explode("chunks").alias("c"))
+    rows = unnest(keyed, KEYS[:3], "chunks", "position", "c")
     box = "c.grounding.box"
     return rows.select(
         *KEYS[:3], F.col("c.id").alias("chunk_id"), F.col("c.type").alias("chunk_type"), F.col("c.markdown").alias("text"),

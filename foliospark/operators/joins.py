@@ -52,6 +52,15 @@ def spread_join(
     ).drop("__salt")
 
 
+def sized_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most_rows: int = 200_000, **spread
+) -> DataFrame:
+    """Broadcast ``right`` when a count shows at most ``most_rows`` rows, else ``spread_join``."""
+    if right.limit(most_rows + 1).count() <= most_rows:
+        return left.join(F.broadcast(right), keys, how)
+    return spread_join(left, right, keys, how, **spread)
+
+
 def not_yet_done(work: DataFrame, done: DataFrame, keys: list[str], **spread) -> DataFrame:
     """Rows of ``work`` whose key is not in ``done``."""
     return spread_join(work, done.select(*keys).distinct(), keys, "left_anti", **spread)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .joins import spread_join
 
 # Drawing colour (red, green, blue) per grounding type.
 CHUNK_COLOURS = {
@@ -57,24 +56,39 @@ def with_colours(grounds: DataFrame, colours: DataFrame) -> DataFrame:
     )
 
 
-def field_references(df: DataFrame, key: str, metadata: str, fields: list[str]) -> DataFrame:
-    """One row per field with its reference array, from a record whose leaves are ``{value, references}``."""
-    entries = F.array(
+def _field_entries(metadata: str, fields: list[str]) -> Column:
+    return F.array(
         *[F.struct(F.lit(f).alias("field"), F.col(f"{metadata}.{f}.references").alias("references")) for f in fields]
     )
-    return df.select(key, F.explode(entries).alias("e")).select(key, "e.field", "e.references")
 
 
-def first_reference_boxes(references: DataFrame, grounds: DataFrame, key: str, first_page: int = 0) -> DataFrame:
-    """Box of each field's first reference, if it is grounded on the document's first page."""
-    first = references.select(key, "field", F.get("references", F.lit(0)).alias("ground_id"))
-    return spread_join(grounds.where(F.col("page") == first_page), first, [key, "ground_id"])
+def field_references(df: DataFrame, key: str, metadata: str, fields: list[str], *keep: str) -> DataFrame:
+    """One row per field with its reference array, from a record whose leaves are ``{value, references}``."""
+    rows = df.select(key, *keep, F.explode(_field_entries(metadata, fields)).alias("e"))
+    return rows.select(key, *keep, "e.field", "e.references")
+
 
+def first_reference_boxes(
+    paired: DataFrame, key: str, metadata: str, fields: list[str], first_page: int = 0, grounding: str = "grounding"
+) -> DataFrame:
+    """Box of each field's first reference, if it is grounded on the document's first page.
 
-def all_references(references: DataFrame, grounds: DataFrame, key: str) -> DataFrame:
+    A document's references and its grounding map are in one row, so the lookup needs no join and no shuffle.
+    """
+    rows = field_references(paired, key, metadata, fields, grounding).withColumn("ground_id", F.get("references", F.lit(0)))
+    found = rows.withColumn("g", F.try_element_at(grounding, "ground_id")).where(F.col("g.page") == first_page)
+    return found.select(
+        key, "field", "ground_id", "g.page", "g.type",
+        *[F.col(f"g.box.{s}").alias(f"box_{s}") for s in ("left", "top", "right", "bottom")],
+    )
+
+
+def all_references(paired: DataFrame, key: str, metadata: str, fields: list[str], grounding: str = "grounding") -> DataFrame:
     """Every reference of every field; a reference without grounding keeps its row."""
-    rows = references.select(key, "field", F.posexplode("references").alias("position", "ground_id"))
-    return spread_join(rows, grounds, [key, "ground_id"], "left", spread_by=["field", "position"])
+    rows = field_references(paired, key, metadata, fields, grounding)
+    placed = rows.select(key, "field", grounding, F.posexplode("references").alias("position", "ground_id"))
+    g = F.try_element_at(grounding, "ground_id")
+    return placed.select(key, "field", "position", "ground_id", g["page"].alias("page"), g["type"].alias("type"), g["box"].alias("box"))
 
 
 def reference_lists(references: DataFrame, key: str) -> DataFrame:
@@ -87,9 +101,12 @@ def extract_fields(parsed: DataFrame, key: str, rules: dict[str, tuple[str, str]
     A field takes the first match in chunk order; its references are the ids of all chunks that match. Work stays
     inside the row: no shuffle, whatever the number of rules.
     """
+    def matching(pattern: str) -> Column:
+        return F.filter("chunks", lambda c: c["markdown"].rlike(pattern))
+
     values, sources = [], []
     for field, (pattern, kind) in rules.items():
-        hits = F.filter("chunks", lambda c, p=pattern: c["markdown"].rlike(p))
+        hits = matching(pattern)
         first = F.regexp_extract(F.get(hits, F.lit(0))["markdown"], pattern, 1)
         value = F.when(F.size(hits) > 0, text.strip(first).try_cast(kind))
         values.append(value.alias(field))

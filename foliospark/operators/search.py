@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import spread_join
+from .arrays import unnest_fields
+from .joins import sized_join
 from .ordered import first_rows
 
 K1, B = 1.2, 0.75
@@ -14,59 +15,70 @@ FUSION = 60
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, of the whole text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def term_counts(words: Column) -> Column:
-    """Array of ``{term, tf}`` of one row's words, by run lengths of the sorted array: no shuffle is needed."""
-    sorted_words = F.array_sort(words)
-    starts = F.array_compact(
-        F.transform(sorted_words, lambda w, i: F.when((i == 0) | (w != F.get(sorted_words, i - 1)), i))
-    )
-    return F.transform(
-        starts,
-        lambda s, j: F.struct(
-            F.get(sorted_words, s).alias("term"),
-            (F.coalesce(F.get(starts, j + 1), F.size(sorted_words)) - s).alias("tf"),
-        ),
+    """Array of ``{term, tf}`` from sorted words, by run lengths: no shuffle is needed."""
+    starts = F.array_compact(F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)))
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(words)))
+    return F.when(F.size(words) == 0, F.array().cast("array<struct<term string, tf int>>")).otherwise(
+        F.zip_with(starts, ends, lambda s, e: F.struct(F.get(words, s).alias("term"), (e - s).alias("tf")))
     )
 
 
-def postings(chunks: DataFrame, chunk_id: str, text: str, *attributes: str) -> DataFrame:
-    """``(term, chunk, tf, length)`` and the attribute columns that queries project."""
-    words = chunks.select(chunk_id, *attributes, tokens(F.col(text)).alias("w"))
-    sized = words.select(chunk_id, *attributes, F.size("w").alias("length"), F.array_sort("w").alias("w"))
-    return sized.select(chunk_id, *attributes, "length", F.explode(term_counts(F.col("w"))).alias("p")).select(
-        "p.term", "p.tf", chunk_id, "length", *attributes
-    )
+def index_rows(chunks: DataFrame, chunk_id: str, text: str, *attributes: str) -> DataFrame:
+    """Index kept by chunk: ``(chunk, attributes, length, terms)``. A frequent term never gathers in one place."""
+    words = chunks.select(chunk_id, *attributes, F.array_sort(tokens(F.col(text))).alias("w"))
+    return words.select(chunk_id, *attributes, F.size("w").alias("length"), term_counts(F.col("w")).alias("terms"))
+
 
+def postings(index: DataFrame, chunk_id: str, *attributes: str) -> DataFrame:
+    return unnest_fields(index, [chunk_id, *attributes, "length"], F.col("terms"), "term")
 
-def corpus_size(chunks: DataFrame, text: str) -> tuple[int, float]:
-    """Number of chunks and mean chunk length: two numbers, from one pass."""
-    row = chunks.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count(F.lit(1)), F.avg("n")).first()
+
+def corpus_size(index: DataFrame) -> tuple[int, float]:
+    """Number of chunks and mean chunk length: two numbers, from one pass over one column."""
+    row = index.agg(F.count(F.lit(1)), F.avg("length")).first()
     return row[0], row[1] or 0.0
 
 
+def term_frequencies(index: DataFrame) -> DataFrame:
+    """Chunks per term, counted per task before the shuffle."""
+    return unnest_fields(index, [], F.col("terms"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
-def bm25(index: DataFrame, queries: DataFrame, query_id: str, chunk_id: str, size: int, mean_length: float) -> DataFrame:
+def one_query(spark, text: str, query_id: int = 0) -> DataFrame:
+    """A single search text as a query table."""
+    return spark.range(1).select(F.lit(query_id).cast("bigint").alias("query_id"), F.lit(text).alias("text"))
+
+
+def bm25(
+    index: DataFrame, terms: DataFrame, frequencies: DataFrame, size: int, mean_length: float, query_id: str, chunk_id: str
+) -> DataFrame:
     """Score of every chunk that shares a term with a query.
 
-    Document frequencies are counted with a partial aggregate; weights join the short query-term table first, and
-    only then the postings, whose frequent terms are spread over tasks.
+    The index is spread by chunk, so a chunk's terms meet its queries and are summed in the same task; only scores
+    move. Weights of the query terms are broadcast after a size check, else their join is spread over salts.
     """
-    wanted = index.join(queries.select("term").distinct(), "term", "left_semi")
-    frequency = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log(1 + (F.lit(float(size)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = queries.join(frequency, "term").select("term", query_id, weight.alias("idf"))
-    hits = spread_join(index, weighted, ["term"], spread_by=[chunk_id])
+    weighted = terms.join(frequencies, "term").select("term", query_id, weight.alias("idf"))
+    by_chunk = index.repartition(chunk_id)
+    hits = sized_join(postings(by_chunk, chunk_id), weighted, ["term"], spread_by=[chunk_id])
     length_norm = F.lit(1.0 - B) + F.lit(B) * F.col("length") / F.lit(float(mean_length))
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + F.lit(K1) * length_norm)
-    return hits.groupBy(query_id, chunk_id).agg(F.sum(part).alias("raw")).select(
-        query_id, chunk_id, F.round("raw", 6).alias("score")
-    )
+    summed = hits.groupBy(query_id, chunk_id).agg(F.sum(part).alias("raw"))
+    return summed.select(query_id, chunk_id, F.round("raw", 6).alias("score"))
+
+
+def search(index: DataFrame, queries: DataFrame, query_id: str, text: str, chunk_id: str) -> DataFrame:
+    size, mean_length = corpus_size(index)
+    terms = query_terms(queries, query_id, text)
+    return bm25(index, terms, term_frequencies(index), size, mean_length, query_id, chunk_id)
 
 
 def top_chunks(scores: DataFrame, query_id: str, chunk_id: str, limit: int) -> DataFrame:

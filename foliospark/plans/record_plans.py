@@ -1 +1,461 @@
-"""To follow."""
+"""Typed records: invoices, flattening, provenance, conformance, dispatch by type."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..operators import flatten, invoices, provenance
+from ..session import table
+from ..sources import responses
+from . import derive
+from .registry import query
+
+
+def typed_invoices(spark, folder):
+    return flatten.read_as(derive.invoice_documents(spark, folder), "extraction_json", schemas.INVOICE)
+
+
+def keyed_invoices(spark, folder):
+    return invoices.stamp_keys(typed_invoices(spark, folder), "run-1", F.col("filename"), F.lit(derive.VERSION))
+
+
+KEY_SQL = f"'run-1' AS \"RUN_ID\", sha256(filename) AS \"INVOICE_UUID\", filename AS \"DOCUMENT_NAME\", '{derive.VERSION}' AS \"AGENTIC_DOC_VERSION\""
+MAIN_SQL = f"""SELECT {KEY_SQL},
+      strftime(o_orderdate, '%d/%m/%Y') AS "INVOICE_DATE_RAW", day AS "INVOICE_DATE", 'INV-' || o_orderkey AS "INVOICE_NUMBER",
+      day AS "ORDER_DATE", NULL AS "PO_NUMBER", o_orderstatus AS "STATUS", c_name AS "SOLD_TO_NAME", c_mktsegment AS "SOLD_TO_ADDRESS",
+      NULL AS "CUSTOMER_EMAIL", source AS "SUPPLIER_NAME", NULL AS "SUPPLIER_ADDRESS", lang AS "REPRESENTATIVE", NULL AS "EMAIL",
+      NULL AS "PHONE", NULL AS "GSTIN", NULL AS "PAN", o_orderpriority AS "PAYMENT_TERMS", NULL AS "SHIP_VIA", NULL AS "SHIP_DATE",
+      NULL AS "TRACKING_NUMBER", CASE WHEN o_orderstatus = 'F' THEN 'EUR' END AS "CURRENCY",
+      '$' || format('{{:,.2f}}', o_totalprice) AS "TOTAL_DUE_RAW", o_totalprice AS "TOTAL_DUE", c_acctbal AS "SUBTOTAL",
+      CAST(NULL AS DOUBLE) AS "TAX", CAST(NULL AS DOUBLE) AS "SHIPPING", CAST(NULL AS DOUBLE) AS "HANDLING_FEE" FROM invoices"""
+
+
+@query("p4_invoice_main", f"WITH {derive.INVOICES} {MAIN_SQL}")
+def invoice_main(spark, folder):
+    return invoices.main_rows(keyed_invoices(spark, folder)).withColumn("INVOICE_DATE", F.col("INVOICE_DATE").cast("string"))
+
+
+@query(
+    "w6_invoice_line_items",
+    f"""WITH {derive.INVOICES}, {derive.LINES}
+    SELECT {KEY_SQL.replace('filename', 'l.filename')}, pos AS "LINE_INDEX", CAST(pos + 1 AS VARCHAR) AS "LINE_NUMBER", 'SKU-' || pos AS "SKU",
+      line AS "DESCRIPTION", CAST(words AS DOUBLE) AS "QUANTITY", CAST(1.25 AS DOUBLE) AS "UNIT_PRICE", CAST(NULL AS DOUBLE) AS "PRICE",
+      words * 1.25::DOUBLE AS "AMOUNT", words * 1.5::DOUBLE AS "TOTAL"
+    FROM lines l JOIN invoices i ON l.doc_id = i.doc_id""",
+)
+def invoice_line_items(spark, folder):
+    return invoices.item_rows(keyed_invoices(spark, folder)).withColumn("LINE_INDEX", F.col("LINE_INDEX").cast("bigint"))
+
+
+@query(
+    "u8_four_tables",
+    f"""WITH {derive.INVOICES}, {derive.LINES}, own AS (SELECT l.* FROM lines l JOIN invoices i ON l.doc_id = i.doc_id)
+    SELECT 'markdown' AS part, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS size FROM invoices
+    UNION ALL SELECT 'parsed_chunks', count(*), sum(length(line) + length(chunk_id) + 15) FROM own
+    UNION ALL SELECT 'invoices_main', count(*), sum(length('INV-' || o_orderkey)) FROM invoices
+    UNION ALL SELECT 'invoice_line_items', count(*), sum(length(line)) FROM own""",
+)
+def four_tables(spark, folder):
+    extracted = typed_invoices(spark, folder).select("doc_id", "extraction")
+    tables = invoices.invoice_tables(invoices.pair_results(derive.parsed(spark, folder), extracted, "doc_id"), "run-1")
+    text = {"markdown": "MARKDOWN", "parsed_chunks": "text", "invoices_main": "INVOICE_NUMBER", "invoice_line_items": "DESCRIPTION"}
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text[name])).alias("size")).select(F.lit(name).alias("part"), "n", "size")
+        for name, df in tables.items()
+    ]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@query(
+    "j6_j7_paired_tables",
+    f"""WITH {derive.INVOICES}, {derive.LINES}
+    SELECT i.filename AS document, i.o_totalprice AS total_due, CAST(count(*) AS BIGINT) AS items, CAST(sum(words) AS DOUBLE) AS quantity
+    FROM invoices i JOIN lines l ON i.doc_id = l.doc_id GROUP BY 1, 2""",
+)
+def paired_tables(spark, folder):
+    extracted = typed_invoices(spark, folder).select("doc_id", "extraction")
+    tables = invoices.invoice_tables(invoices.pair_results(derive.parsed(spark, folder), extracted, "doc_id"), "run-1")
+    # Items shrink to one row per invoice before the join with the header table.
+    items = tables["invoice_line_items"].groupBy("RUN_ID", "INVOICE_UUID").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("QUANTITY").alias("quantity")
+    )
+    rows = tables["invoices_main"].join(items, ["RUN_ID", "INVOICE_UUID"])
+    return rows.select(F.col("DOCUMENT_NAME").alias("document"), F.col("TOTAL_DUE").alias("total_due"), "items", "quantity")
+
+
+@query(
+    "a4_p21_invoice_summary",
+    f"""WITH {derive.INVOICES}
+    SELECT 'doc_' || doc_id || '.pdf' AS "File", 'INV-' || o_orderkey AS "Invoice #", day AS "Date", c_name AS "Customer", source AS "Supplier",
+      CASE WHEN c_acctbal = 0 THEN '-' ELSE '$' || format('{{:,.2f}}', c_acctbal) END AS "Subtotal", '-' AS "Tax",
+      '$' || format('{{:,.2f}}', o_totalprice) AS "Total", CASE WHEN o_orderstatus = 'F' THEN 'EUR' ELSE 'USD' END AS "Currency",
+      CAST(len(string_split(text, chr(10))) AS BIGINT) AS "Line Items", o_orderstatus AS "Status" FROM invoices""",
+)
+def invoice_summary(spark, folder):
+    docs = derive.invoice_documents(spark, folder).withColumn("doc", F.parse_json("extraction_json"))
+    rows = invoices.invoice_summary(docs, "doc", F.col("filename"))
+    return rows.withColumn("Line Items", F.col("Line Items").cast("bigint"))
+
+
+TOTALS_SQL = """CAST(count(*) AS BIGINT) AS total_invoices, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_value,
+      CAST(count(DISTINCT o_custkey) AS BIGINT) AS unique_customers,
+      CAST(count(DISTINCT CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END) AS BIGINT) AS unique_suppliers"""
+
+
+def _order_names(spark, folder):
+    supplier = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority"))
+    return table(spark, folder, "orders").select(
+        "o_totalprice", "o_orderstatus", F.col("o_custkey").cast("string").alias("customer"), supplier.alias("supplier")
+    )
+
+
+@query("a5_invoice_totals", f"SELECT {TOTALS_SQL} FROM orders")
+def invoice_totals(spark, folder):
+    rows = invoices.totals(_order_names(spark, folder), "o_totalprice", "customer", "supplier")
+    return rows.withColumn("total_value", F.col("total_value").cast("double"))
+
+
+@query("a5_totals_per_currency", f"SELECT o_orderstatus AS currency, {TOTALS_SQL} FROM orders GROUP BY o_orderstatus")
+def totals_per_currency(spark, folder):
+    rows = _order_names(spark, folder).withColumnRenamed("o_orderstatus", "currency")
+    return invoices.totals(rows, "o_totalprice", "customer", "supplier", ["currency"]).withColumn(
+        "total_value", F.col("total_value").cast("double")
+    )
+
+
+@query(
+    "s8_envelope_shapes",
+    f"""WITH {derive.HEADERS}, d AS (SELECT o_orderkey, 'INV-' || o_orderkey AS number, o_totalprice, o_orderstatus FROM headers)
+    SELECT o_orderkey, CAST(0 AS BIGINT) AS position, number AS invoice_number, o_totalprice AS total FROM d
+    UNION ALL SELECT o_orderkey, 2, number, o_totalprice FROM d WHERE o_orderstatus = 'P'""",
+)
+def envelope_shapes(spark, folder):
+    # F: bare record; O: {"documents": [...]} with the older key; P: bare list with a null and a second record.
+    record = F.struct(
+        F.struct(F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string")).alias("invoice_number")).alias("invoice_info"),
+        F.struct(F.col("o_totalprice").alias("total_due")).alias("totals_summary"),
+    )
+    bare = F.to_json(record)
+    listed = F.to_json(F.struct(F.array(F.struct(record.alias("extraction"))).alias("documents")))
+    newer = F.to_json(F.struct(record.alias("extraction_output")))
+    array = F.concat(F.lit("["), newer, F.lit(",null,"), bare, F.lit("]"))
+    status = F.col("o_orderstatus")
+    src = derive.order_headers(spark, folder).select(
+        "o_orderkey", F.when(status == "F", bare).when(status == "O", listed).otherwise(array).alias("body")
+    )
+    docs = responses.envelope_documents(src, "body").withColumn("e", responses.extraction_of(F.col("document")))
+    return docs.select(
+        "o_orderkey", F.col("position").cast("bigint").alias("position"),
+        F.try_variant_get("e", "$.invoice_info.invoice_number", "string").alias("invoice_number"),
+        F.try_variant_get("e", "$.totals_summary.total_due", "double").alias("total"),
+    )
+
+
+def nested_orders(spark, folder):
+    return derive.order_headers(spark, folder).select(
+        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("name"),
+        F.struct(
+            F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")).alias("order_info"),
+            F.struct(
+                F.col("c_name").alias("name"),
+                F.struct(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).alias("place"),
+            ).alias("customer"),
+            F.array("c_mktsegment", "o_orderpriority").alias("tags"),
+        ).alias("extraction"),
+        F.struct(
+            F.struct(
+                F.struct(F.col("o_orderstatus").alias("value"), F.array(F.col("o_orderkey").cast("string")).alias("references")).alias("status"),
+                F.struct(F.col("o_totalprice").alias("value"), F.array("n_name", "r_name").alias("references")).alias("total"),
+            ).alias("order_info"),
+            F.struct(F.col("c_name").alias("value"), F.array(F.col("c_custkey").cast("string")).alias("references")).alias("customer"),
+            F.array("c_mktsegment").alias("tags"), F.col("c_nationkey").alias("score"),
+        ).alias("meta"),
+    )
+
+
+FLAT_SQL = """'order_' || o_orderkey AS document_name, o_orderstatus AS order_info_status, o_totalprice AS order_info_total,
+      c_name AS customer_name, n_name AS customer_place_nation, r_name AS customer_place_region,
+      '["' || c_mktsegment || '","' || o_orderpriority || '"]' AS tags"""
+
+
+@query("p5_generic_flatten", f"WITH {derive.HEADERS} SELECT {FLAT_SQL} FROM headers")
+def generic_flatten(spark, folder):
+    return flatten.summary_rows(nested_orders(spark, folder), "name", "extraction")
+
+
+@query(
+    "p6_p8_provenance_flatten",
+    f"""WITH {derive.HEADERS} SELECT {FLAT_SQL}, '["' || o_orderkey || '"]' AS order_info_status_chunks,
+      '["' || n_name || '","' || r_name || '"]' AS order_info_total_chunks, '["' || c_custkey || '"]' AS customer_chunks,
+      '["' || c_mktsegment || '"]' AS tags_chunks, CAST(c_nationkey AS VARCHAR) AS score_chunks FROM headers""",
+)
+def provenance_flatten(spark, folder):
+    return flatten.summary_rows(nested_orders(spark, folder), "name", "extraction", "meta")
+
+
+@query(
+    "p7_top_level_provenance",
+    f"""WITH {derive.HEADERS} SELECT 'order_' || o_orderkey AS document_name, '["' || c_custkey || '"]' AS customer_chunks FROM headers""",
+)
+def top_level_provenance(spark, folder):
+    rows = nested_orders(spark, folder)
+    columns = flatten.provenance_columns("meta", flatten.struct_of(rows, "meta"), deep=False)
+    return rows.select(F.col("name").alias("document_name"), *columns)
+
+
+@query(
+    "p8_x2_merged_summaries",
+    """SELECT 'c' || c_custkey AS document_name, c_name AS name, c_acctbal AS balance, NULL AS brand, NULL AS size_text FROM customer
+    UNION ALL SELECT 's' || s_suppkey, s_name, s_acctbal, NULL, NULL FROM supplier
+    UNION ALL SELECT 'p' || p_partkey, p_name, NULL, p_brand, CAST(p_size AS VARCHAR) FROM part""",
+)
+def merged_summaries(spark, folder):
+    c, s, p = (table(spark, folder, n) for n in ("customer", "supplier", "part"))
+    key = lambda prefix, col: F.concat(F.lit(prefix), F.col(col).cast("string")).alias("k")
+    frames = [
+        c.select(key("c", "c_custkey"), F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")).alias("e")),
+        s.select(key("s", "s_suppkey"), F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")).alias("e")),
+        p.select(
+            key("p", "p_partkey"),
+            F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.struct(F.col("p_size").cast("string").alias("text")).alias("size")).alias("e"),
+        ),
+    ]
+    return flatten.merge_summaries([flatten.summary_rows(f, "k", "e") for f in frames])
+
+
+def product_records(spark, folder):
+    p = table(spark, folder, "part")
+    flags = [(F.col("p_size") > i * 2).alias(n) for i, n in enumerate(schemas.PRODUCT_FLAGS)]
+    doc = F.struct(
+        F.col("p_name").alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("product_type"),
+        F.lit("plain").alias("flavor"), F.concat(F.col("p_size").cast("string"), F.lit(" g")).alias("serving_size"),
+        F.col("p_retailprice").alias("net_weight_oz"), (F.col("p_retailprice") * 2).alias("net_weight_g"),
+        F.col("p_size").cast("bigint").alias("servings_per_container"), *flags,
+    )
+    refs = lambda n: F.struct(F.array(F.concat(F.lit(f"{n}-"), F.col("p_partkey").cast("string"))).alias("references")).alias(n)
+    empty = F.struct(F.lit(1).alias("value")).alias("usda_inspected")
+    meta = F.struct(refs("product_name"), refs("brand"), refs("net_weight_oz"), empty)
+    return p.select(
+        F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("name"),
+        F.parse_json(F.to_json(doc)).alias("doc"), F.parse_json(F.to_json(meta)).alias("meta"),
+    )
+
+
+@query(
+    "p9_product_summary",
+    """SELECT 'part_' || p_partkey AS document_name, p_name AS product_name, '["product_name-' || p_partkey || '"]' AS product_name_chunks,
+      p_brand AS brand, '["brand-' || p_partkey || '"]' AS brand_chunks, p_retailprice AS net_weight_oz,
+      '["net_weight_oz-' || p_partkey || '"]' AS net_weight_oz_chunks, p_retailprice * 2 AS net_weight_g,
+      CAST(p_size AS BIGINT) AS servings_per_container, p_size || ' g' AS serving_size, p_type AS product_type, 'plain' AS flavor, """
+    + ", ".join(f"p_size > {i * 2} AS {n}" for i, n in enumerate(schemas.PRODUCT_FLAGS))
+    + ", '[]' AS usda_inspected_chunks FROM part",
+)
+def product_summary(spark, folder):
+    return invoices.product_summary(product_records(spark, folder), "name", "doc", "meta")
+
+
+DEVICE_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "applicant": {"type": "string"},
+        "kind": {"type": "string", "enum": ["click", "view", "purchase"]},
+        "amount": {"type": "number"},
+        "detail": {"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"], "additionalProperties": False},
+    },
+    "required": ["applicant", "kind", "amount"],
+    "additionalProperties": False,
+}
+
+
+@query(
+    "u4_schema_conformance",
+    """SELECT event_id, concat_ws('; ', CASE WHEN event_type IN ('error', 'signup') THEN 'applicant: required' END,
+      CASE WHEN event_type IN ('error', 'signup') THEN 'kind: enum' END, CASE WHEN event_type = 'view' THEN 'amount: type' END,
+      CASE WHEN event_type = 'purchase' THEN 'detail.k: required' END, CASE WHEN event_type = 'purchase' THEN 'detail.x: not allowed' END,
+      CASE WHEN event_type = 'signup' THEN 'note,source: not allowed' END) AS violations FROM events""",
+)
+def schema_conformance(spark, folder):
+    kind = F.col("event_type")
+    amount = F.col("value").cast("string")
+    detail = F.when(kind == "purchase", '{"x":1}').otherwise(F.col("props"))
+    doc = F.concat(
+        F.lit("{"),
+        F.when(kind == "error", '"applicant":null,').when(kind == "signup", "").otherwise('"applicant":"a",'),
+        F.lit('"kind":"'), kind, F.lit('","amount":'), F.when(kind == "view", F.concat(F.lit('"'), amount, F.lit('"'))).otherwise(amount),
+        F.lit(',"detail":'), detail, F.when(kind == "signup", ',"source":1,"note":null').otherwise(""), F.lit("}"),
+    )
+    rows = table(spark, folder, "events").select("event_id", F.parse_json(doc).alias("v"))
+    return rows.select("event_id", F.array_join(flatten.violations(F.col("v"), DEVICE_SCHEMA), "; ").alias("violations"))
+
+
+# Three document types with a declared schema each, read with the converter for JSON Schema.
+TYPE_SCHEMAS = {
+    "Purchase": {"type": "object", "properties": {"amount": {"type": "number"}, "buyer": {"type": "integer"}}},
+    "Click": {"type": "object", "properties": {"target": {"type": "object", "properties": {"k": {"type": "integer"}}}}},
+    "view": {"type": "object", "properties": {"day": {"type": ["string", "null"], "format": "date"}, "ok": {"type": "boolean"}}},
+}
+
+
+@query(
+    "u5_schema_dispatch",
+    """SELECT event_id, event_type, event_type IN ('purchase', 'click', 'view') AS known_type,
+      CASE WHEN event_type = 'purchase' THEN value END AS amount, CASE WHEN event_type = 'purchase' THEN user_id END AS buyer,
+      CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS target_k,
+      CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_type = 'view' THEN value > 50 END AS ok FROM events""",
+)
+def schema_dispatch(spark, folder):
+    kind = F.col("event_type")
+    body = (
+        F.when(kind == "purchase", F.to_json(F.struct(F.col("value").alias("amount"), F.col("user_id").alias("buyer"))))
+        .when(kind == "click", F.concat(F.lit('{"target":'), F.col("props"), F.lit("}")))
+        .otherwise(F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("value") > 50).alias("ok"))))
+    )
+    rows = table(spark, folder, "events").select("event_id", "event_type", body.alias("body"))
+    registry = {name: flatten.schema_from(s) for name, s in TYPE_SCHEMAS.items()}
+    return flatten.read_by_type(rows, "body", "event_type", registry).withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    "u3_typed_read",
+    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type <> 'error' THEN value END AS amount,
+      CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m-%d') END AS day, event_type = 'click' AS clicked FROM events""",
+)
+def typed_read(spark, folder):
+    schema = flatten.schema_from({
+        "type": "object",
+        "properties": {
+            "detail": {"$ref": "#/$defs/detail"}, "amount": {"anyOf": [{"type": "number"}, {"type": "null"}]},
+            "day": {"type": "string", "format": "date"}, "clicked": {"type": "boolean"},
+            "history": {"type": "array", "items": {"type": "string"}},
+        },
+        "$defs": {"detail": {"type": "object", "properties": {"k": {"type": "integer"}}}},
+    })
+    kind = F.col("event_type")
+    body = F.concat(
+        F.lit('{"detail":'), F.col("props"), F.lit(',"amount":'), F.when(kind == "error", "null").otherwise(F.col("value").cast("string")),
+        F.lit(',"day":"'), F.when(kind == "view", F.date_format("ts", "yyyy-MM-dd")).otherwise("soon"),
+        F.lit('","clicked":'), (kind == "click").cast("string"), F.lit("}"),
+    )
+    rows = flatten.read_as(table(spark, folder, "events").select("event_id", body.alias("b")), "b", schema, "e")
+    return rows.select("event_id", "e.detail.k", "e.amount", F.col("e.day").cast("string").alias("day"), "e.clicked")
+
+
+FIELD_RULES = {
+    "license": (r"(Licen[sc]ed under [A-Za-z0-9 .-]+)", "string"),
+    "number": (r"([0-9]{4,9})(?:[^0-9]|$)", "bigint"),
+    "cell": (r"\| ([a-z]+)", "string"),
+}
+
+
+@query(
+    "u2_field_extraction",
+    f"""WITH {derive.LINES}, hits AS (
+      SELECT doc_id, pos, chunk_id, 'license' AS field, regexp_extract(line, '(Licen[sc]ed under [A-Za-z0-9 .-]+)', 1) AS v FROM lines
+        WHERE regexp_matches(line, 'Licen[sc]ed under [A-Za-z0-9 .-]+')
+      UNION ALL SELECT doc_id, pos, chunk_id, 'number', regexp_extract(line, '([0-9]{{4,9}})(?:[^0-9]|$)', 1) FROM lines
+        WHERE regexp_matches(line, '([0-9]{{4,9}})(?:[^0-9]|$)')
+      UNION ALL SELECT doc_id, pos, chunk_id, 'cell', regexp_extract(line, '[|] ([a-z]+)', 1) FROM lines WHERE regexp_matches(line, '[|] ([a-z]+)')),
+    found AS (SELECT doc_id, field, regexp_replace(arg_min(v, pos), '^\\s+|\\s+$', '', 'g') AS v, string_agg(chunk_id, ', ' ORDER BY pos) AS chunks FROM hits GROUP BY 1, 2)
+    SELECT d.doc_id, l.v AS license, CAST(n.v AS BIGINT) AS number, c.v AS cell, coalesce(l.chunks, '') AS license_chunks,
+      coalesce(n.chunks, '') AS number_chunks, coalesce(c.chunks, '') AS cell_chunks
+    FROM documents d LEFT JOIN found l ON l.doc_id = d.doc_id AND l.field = 'license' LEFT JOIN found n ON n.doc_id = d.doc_id AND n.field = 'number'
+      LEFT JOIN found c ON c.doc_id = d.doc_id AND c.field = 'cell'""",
+)
+def field_extraction(spark, folder):
+    rows = provenance.extract_fields(unanchored(spark, folder), "doc_id", FIELD_RULES)
+    refs = [F.array_join(f"extraction_metadata.{f}.references", ", ").alias(f"{f}_chunks") for f in FIELD_RULES]
+    return rows.select("doc_id", "extraction.*", *refs)
+
+
+def unanchored(spark, folder):
+    """Parsed documents whose chunk text has no anchor, so that rules see the text alone."""
+    strip = lambda c: c.withField("markdown", F.regexp_replace(c["markdown"], r"^<a id='[^']*'></a>\n\n", ""))
+    return derive.parsed(spark, folder).withColumn("chunks", F.transform("chunks", strip))
+
+
+@query(
+    "u6_parse_once_extract_many",
+    f"""WITH {derive.LINES} SELECT 'receipt' AS pass, doc_id FROM lines WHERE regexp_matches(line, '[0-9]{{4,}}') GROUP BY doc_id
+    UNION ALL SELECT 'notice', doc_id FROM lines WHERE regexp_matches(line, 'Licen[sc]ed') GROUP BY doc_id""",
+)
+def parse_once_extract_many(spark, folder):
+    # Both rule sets run in one pass over the parsed chunks instead of two passes over a cached table.
+    passes = {"receipt": {"total": (r"([0-9]{4,})", "string")}, "notice": {"terms": (r"(Licen[sc]ed)", "string")}}
+    both = {f: rule for rules in passes.values() for f, rule in rules.items()}
+    rows = provenance.extract_fields(unanchored(spark, folder), "doc_id", both)
+    entries = F.array(*[F.when(F.col(f"extraction.{f}").isNotNull(), F.lit(p)) for p, rules in passes.items() for f in rules])
+    return rows.select(F.explode(F.array_compact(entries)).alias("pass"), "doc_id")
+
+
+def located_fields(spark, folder):
+    return provenance.extract_fields(unanchored(spark, folder), "doc_id", FIELD_RULES, ["grounding"])
+
+
+LOCATED = """located AS (
+  SELECT doc_id, pos, chunk_id, page, top, 'license' AS field FROM lines WHERE regexp_matches(line, 'Licen[sc]ed under [A-Za-z0-9 .-]+')
+  UNION ALL SELECT doc_id, pos, chunk_id, page, top, 'number' FROM lines WHERE regexp_matches(line, '([0-9]{4,9})(?:[^0-9]|$)')
+  UNION ALL SELECT doc_id, pos, chunk_id, page, top, 'cell' FROM lines WHERE regexp_matches(line, '[|] ([a-z]+)'))"""
+
+
+@query(
+    "j4_first_reference_boxes",
+    f"""WITH {derive.LINES}, {LOCATED}, f AS (SELECT doc_id, field, min(pos) AS pos FROM located GROUP BY 1, 2)
+    SELECT l.doc_id, l.field, l.chunk_id, CAST(trunc(l.top * 1000) AS BIGINT) AS y1 FROM located l
+      JOIN f ON f.doc_id = l.doc_id AND f.field = l.field AND f.pos = l.pos WHERE l.page = 0""",
+)
+def first_reference_boxes(spark, folder):
+    rows = provenance.first_reference_boxes(located_fields(spark, folder), "doc_id", "extraction_metadata", list(FIELD_RULES))
+    return rows.select("doc_id", "field", F.col("ground_id").alias("chunk_id"), (F.col("box_top") * 1000).cast("bigint").alias("y1"))
+
+
+@query(
+    "j5_all_references",
+    f"WITH {derive.LINES}, {LOCATED} SELECT doc_id, field, chunk_id, page FROM located",
+)
+def all_references(spark, folder):
+    rows = provenance.all_references(located_fields(spark, folder), "doc_id", "extraction_metadata", list(FIELD_RULES))
+    return rows.select("doc_id", "field", F.col("ground_id").alias("chunk_id"), F.col("page").cast("bigint").alias("page"))
+
+
+@query(
+    "f5_groundings_on_page",
+    f"WITH {derive.LINES} SELECT doc_id, chunk_id AS ground_id FROM lines WHERE page = 1",
+)
+def groundings_on_page(spark, folder):
+    grounds = provenance.grounding_rows(derive.parsed(spark, folder), "doc_id")
+    return provenance.on_pages(grounds, 1).select("doc_id", "ground_id")
+
+
+@query(
+    "f3_drop_failed",
+    "SELECT event_id, value AS amount FROM events WHERE event_type IN ('click', 'purchase')",
+)
+def drop_failed(spark, folder):
+    # Failed results: no text at all, text that is no JSON, a list instead of a record, or a null extraction.
+    kind = F.col("event_type")
+    good = F.to_json(F.struct(F.struct(F.col("value").alias("amount")).alias("extraction")))
+    body = F.when(kind.isin("click", "purchase"), good).when(kind == "view", "[1]").when(kind == "error", '{"extraction":null}')
+    doc = F.try_parse_json("body")
+    rows = table(spark, folder, "events").select("event_id", body.alias("body")).withColumn("e", F.try_variant_get(doc, "$.extraction", "variant"))
+    kept = rows.where(F.coalesce(F.schema_of_variant("e").startswith("OBJECT"), F.lit(False)))
+    return kept.select("event_id", F.variant_get("e", "$.amount", "double").alias("amount"))
+
+
+@query(
+    "k6_fixed_columns",
+    """SELECT 'order_' || o_orderkey AS source_file, CAST(o_orderkey AS VARCHAR) AS invoice_number, '' AS invoice_date,
+      CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS customer, '' AS supplier, '' AS subtotal, '' AS tax,
+      o_orderpriority AS total, '' AS currency, '' AS line_items_count, o_orderstatus AS status FROM orders""",
+)
+def fixed_columns(spark, folder):
+    from ..sources.sinks import fixed_columns as fixed
+
+    rows = table(spark, folder, "orders").select(
+        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("source_file"), F.col("o_orderkey").alias("invoice_number"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("customer"), F.col("o_orderpriority").alias("total"),
+        F.col("o_orderstatus").alias("status"),
+    )
+    return fixed(rows, schemas.FLAT_INVOICE_COLUMNS)

@@ -1 +1,162 @@
-"""To follow."""
+"""Chunk search: index, ranked text search, hybrid and structured-first retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import chunks, search
+from ..session import fresh_path, table
+from . import derive
+from .registry import query
+
+# Words of a search text as used in these queries.
+ONE_TEXT = "the intended use of nation and thesh licensed"
+
+
+def chunk_table(spark, folder):
+    rows = chunks.flatten_chunks(derive.parsed(spark, folder), "doc_id")
+    return rows.select(
+        "doc_id", F.col("chunk.id").alias("chunk_id"), F.col("chunk.type").alias("chunk_type"),
+        text.clean_chunk(F.col("chunk.markdown")).alias("content"),
+    )
+
+
+def stored_index(spark, folder):
+    """The search index as a written table: built once, read by every later step of the query."""
+    path = fresh_path(spark, "search-index")
+    search.index_rows(chunk_table(spark, folder), "chunk_id", "content", "doc_id", "chunk_type").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+TOKENS = f"""{derive.LINES},
+tokens AS (SELECT doc_id, type, chunk_id, unnest(regexp_extract_all(lower(clean), '[\\p{{L}}\\p{{N}}]+')) AS term FROM lines),
+lengths AS (SELECT l.chunk_id, l.doc_id, l.type, len(regexp_extract_all(lower(clean), '[\\p{{L}}\\p{{N}}]+')) AS length FROM lines l),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths)"""
+
+SCORES = """
+scores AS (
+  SELECT q.query_id, t.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2)
+      / (tf + 1.2 * ((1.0 - 0.75)::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
+  FROM query_terms q JOIN tf t ON q.term = t.term JOIN df d ON d.term = t.term JOIN lengths l ON l.chunk_id = t.chunk_id CROSS JOIN corpus
+  GROUP BY 1, 2)"""
+
+ONE_TERMS = f"query_terms AS (SELECT DISTINCT 0 AS query_id, unnest(string_split('{ONE_TEXT}', ' ')) AS term)"
+BATCH_TERMS = """query_terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark)"""
+
+
+@query(
+    "r1_index_terms",
+    f"WITH {TOKENS} SELECT term, CAST(df AS BIGINT) AS chunks, CAST(occurrences AS BIGINT) AS occurrences FROM df JOIN (SELECT term, sum(tf) AS occurrences FROM tf GROUP BY 1) USING (term)",
+)
+def index_terms(spark, folder):
+    index = search.index_rows(chunk_table(spark, folder), "chunk_id", "content")
+    rows = search.postings(index, "chunk_id")
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences"))
+
+
+@query(
+    "r2_text_search",
+    f"""WITH {TOKENS}, {ONE_TERMS}, {SCORES}
+    SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM scores ORDER BY rank LIMIT 10""",
+)
+def text_search(spark, folder):
+    scores = search.search(stored_index(spark, folder), search.one_query(spark, ONE_TEXT), "query_id", "text", "chunk_id")
+    top = search.best_rows(scores, "chunk_id", 10)
+    return top.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(
+    "r5_batch_search",
+    f"""WITH {TOKENS}, {BATCH_TERMS}, {SCORES}, ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores)
+    SELECT query_id, chunk_id, score, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 5""",
+)
+def batch_search(spark, folder):
+    queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    scores = search.search(stored_index(spark, folder), queries, "query_id", "text", "chunk_id")
+    return search.top_chunks(scores, "query_id", "chunk_id", 5).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(
+    "r3_hybrid_search",
+    f"""WITH {TOKENS}, {ONE_TERMS}, {SCORES},
+    by_doc AS (SELECT doc_id, max(score) AS score FROM scores JOIN lengths USING (chunk_id) GROUP BY 1),
+    words AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM by_doc ORDER BY rank LIMIT 50),
+    seed AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1),
+    near AS (SELECT vec_id AS doc_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings CROSS JOIN seed),
+    vectors AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM near ORDER BY rank LIMIT 50),
+    fused AS (SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM words UNION ALL SELECT * FROM vectors) GROUP BY 1)
+    SELECT 'doc_' || doc_id || '.pdf' AS source, round(score, 2) AS relevance, left(text, 500) || '...' AS content,
+      CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM fused JOIN documents USING (doc_id) ORDER BY rank LIMIT 5""",
+)
+def hybrid_search(spark, folder):
+    index = stored_index(spark, folder)
+    scores = search.search(index, search.one_query(spark, ONE_TEXT), "query_id", "text", "chunk_id")
+    owner = F.substring_index("chunk_id", "-", 1).cast("bigint")
+    by_doc = scores.groupBy(owner.alias("doc_id")).agg(F.max("score").alias("score"))
+    vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    seed = vectors.orderBy("doc_id").select("embedding").first()[0]
+    near = search.cosine_scores(vectors, "doc_id", "embedding", seed)
+    top = search.fuse(search.best_rows(by_doc, "doc_id", 50), search.best_rows(near, "doc_id", 50), "doc_id", 5)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    # ``top`` has five rows.
+    return docs.join(F.broadcast(top), "doc_id").select(
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source"),
+        F.round("score", 2).alias("relevance"), text.preview(F.col("text"), 500, "always").alias("content"),
+        F.col("rank").cast("bigint").alias("rank"),
+    )
+
+
+@query(
+    "r4_structured_first",
+    f"""WITH {TOKENS}, {ONE_TERMS}, {SCORES}, hits AS (
+      SELECT chunk_id, type, score, CASE WHEN type IN ('table', 'figure') THEN 1 ELSE 0 END AS boost FROM scores JOIN lengths USING (chunk_id)
+      WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))
+    SELECT chunk_id, type AS chunk_type, score, CAST(row_number() OVER (ORDER BY boost DESC, score DESC, chunk_id) AS BIGINT) AS rank
+    FROM hits ORDER BY rank LIMIT 10""",
+)
+def structured_first(spark, folder):
+    # The entity rows come first; only their chunks are ranked, tables and figures ahead of text.
+    index = stored_index(spark, folder)
+    chosen = table(spark, folder, "labels").where("quality = 0").select("doc_id").distinct()
+    scores = search.search(index, search.one_query(spark, ONE_TEXT), "query_id", "text", "chunk_id")
+    kinds = index.join(chosen, "doc_id", "left_semi").select("chunk_id", "chunk_type")
+    hits = search.boosted(scores.join(kinds, "chunk_id").select("chunk_id", "chunk_type", "score"), "chunk_type")
+    order = [F.desc("boost"), F.desc("score"), F.col("chunk_id")]
+    top = hits.orderBy(*order).limit(10)
+    ranked = top.withColumn("k", F.struct((-F.col("boost")).alias("b"), (-F.col("score")).alias("s"), "chunk_id", "chunk_type"))
+    rows = ranked.agg(F.array_sort(F.collect_list("k")).alias("a")).select(F.posexplode("a").alias("i", "e"))
+    return rows.select(
+        F.col("e.chunk_id").alias("chunk_id"), F.col("e.chunk_type").alias("chunk_type"), (-F.col("e.s")).alias("score"),
+        (F.col("i") + 1).cast("bigint").alias("rank"),
+    )
+
+
+@query(
+    "w5_best_per_chunk",
+    f"""WITH {derive.LINES} SELECT chunk_id, max(score) AS score FROM (
+      SELECT chunk_id, CAST(words AS DOUBLE) AS score FROM lines UNION ALL SELECT chunk_id, CAST(length(line) AS DOUBLE) / 10 FROM lines) GROUP BY 1""",
+)
+def best_per_chunk(spark, folder):
+    # Two rankings of the same chunks; each chunk keeps its better row.
+    rows = chunk_table(spark, folder)
+    by_words = rows.select("chunk_id", text.word_count(F.col("content")).cast("double").alias("score"))
+    by_size = chunks.flatten_chunks(derive.parsed(spark, folder), "doc_id").select(
+        F.col("chunk.id").alias("chunk_id"),
+        ((F.length("chunk.markdown") - F.length(F.regexp_extract("chunk.markdown", r"^<a id='[^']*'></a>\n\n", 0))).cast("double") / 10).alias("score"),
+    )
+    return search.best_per_chunk(by_words.union(by_size), "chunk_id")
+
+
+@query(
+    "r3_vector_neighbours",
+    """WITH seed AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)
+    SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) AS score FROM embeddings CROSS JOIN seed""",
+)
+def vector_neighbours(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    seed = vectors.orderBy("vec_id").select("embedding").first()[0]
+    return search.cosine_scores(vectors, "vec_id", "embedding", seed)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import paths
+from ..operators.arrays import unnest
 
 
 def read_responses(spark: SparkSession, folder: str, schema: str = schemas.PARSE_RESPONSE, pattern: str = "*.json") -> DataFrame:
@@ -38,7 +39,7 @@ def envelope_documents(df: DataFrame, column: str) -> DataFrame:
         .otherwise(F.try_variant_get(doc, "$.documents", "array<variant>"))
     )
     rest = [c for c in df.columns if c != column]
-    rows = df.select(*rest, F.posexplode(entries).alias("position", "document"))
+    rows = unnest(df, rest, entries, "position", "document")
     return rows.where(F.schema_of_variant("document").startswith("OBJECT"))
 
 
@@ -58,7 +59,7 @@ def event_rows(events: DataFrame, column: str) -> DataFrame:
     """One row per record of a trigger event, its key URL-decoded; a bad escape gives null."""
     typed = F.from_json(column, schemas.OBJECT_EVENT)
     rest = [c for c in events.columns if c != column]
-    rows = events.select(*rest, F.posexplode(typed["Records"]).alias("record", "r"))
+    rows = unnest(events, rest, typed["Records"], "record", "r")
     return rows.select(
         *rest, "record", F.col("r.s3.bucket.name").alias("bucket"), F.col("r.s3.object.key").alias("raw_key"),
         F.try_url_decode("r.s3.object.key").alias("key"),
