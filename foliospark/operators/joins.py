@@ -61,15 +61,22 @@ def sized_join(
     return spread_join(left, right, keys, how, **spread)
 
 
-def not_yet_done(work: DataFrame, done: DataFrame, keys: list[str], **spread) -> DataFrame:
-    """Rows of ``work`` whose key is not in ``done``."""
-    return spread_join(work, done.select(*keys).distinct(), keys, "left_anti", **spread)
+def _marking_join(work: DataFrame, done: DataFrame, keys: list[str], how: str, unique: bool, spread: dict) -> DataFrame:
+    """Join on keys that are unique on the right; unique left keys cannot be heavy and need no salt."""
+    return work.join(done, keys, how) if unique else spread_join(work, done, keys, how, **spread)
 
 
-def with_status(work: DataFrame, done: DataFrame, keys: list[str], force: bool = False, **spread) -> DataFrame:
+def not_yet_done(work: DataFrame, done: DataFrame, keys: list[str], unique: bool = False, **spread) -> DataFrame:
+    """Rows of ``work`` whose key is not in ``done``; ``unique`` says that ``work`` has each key once."""
+    return _marking_join(work, done.select(*keys).distinct(), keys, "left_anti", unique, spread)
+
+
+def with_status(
+    work: DataFrame, done: DataFrame, keys: list[str], force: bool = False, unique: bool = False, **spread
+) -> DataFrame:
     """Mark each row ``skipped`` when its key is already done (never under ``force``), else ``pending``."""
     if force:
         return work.withColumn("status", F.lit("pending"))
     seen = done.select(*keys).distinct().withColumn("__seen", F.lit(True))
-    marked = spread_join(work, seen, keys, "left", **spread)
+    marked = _marking_join(work, seen, keys, "left", unique, spread)
     return marked.withColumn("status", F.when(F.col("__seen"), "skipped").otherwise("pending")).drop("__seen")

@@ -1 +1,166 @@
-"""To follow."""
+"""Results written to the shared folder and read back whole."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..operators import chunks, filings, flatten, invoices
+from ..session import fresh_path, table
+from ..sources import listings, responses, sinks
+from . import derive
+from .record_plans import nested_orders, typed_invoices
+from .registry import query
+
+
+@query(
+    "k1_json_results",
+    f"""WITH {derive.LINES} SELECT source, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents, CAST(count(*) AS BIGINT) AS chunks FROM lines GROUP BY 1""",
+)
+def json_results(spark, folder):
+    rows = derive.parsed(spark, folder).withColumn("source", F.substring_index("metadata.filename", "/", 1))
+    path = sinks.write_json(rows.drop("doc_id"), fresh_path(spark, "json-results"), by="source")
+    back = spark.read.schema(f"{schemas.PARSE_RESPONSE}, source string").json(path)
+    return back.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("chunks")).alias("chunks"))
+
+
+@query(
+    "k2_markdown_files",
+    f"WITH {derive.LINES} SELECT source, line, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY 1, 2",
+)
+def markdown_files(spark, folder):
+    rows = table(spark, folder, "documents").select("source", "text")
+    path = sinks.write_text(rows, fresh_path(spark, "markdown"), "text", by="source")
+    back = spark.read.text(path)
+    return back.groupBy("source", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "s6_markdown_scan",
+    "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS characters FROM documents GROUP BY source",
+)
+def markdown_scan(spark, folder):
+    rows = table(spark, folder, "documents").select("source", "text")
+    path = sinks.write_text(rows, fresh_path(spark, "markdown"), "text", by="source", most_rows=10_000)
+    files = listings.read_markdown(spark, path, "*.txt")
+    return files.groupBy("source").agg(F.sum(F.length("content")).alias("characters"))
+
+
+def _csv(spark, path, schema):
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+CHUNK_CSV = f"""WITH {derive.LINES} SELECT filename AS document, chunk_id, clean AS content, CAST(length(clean) AS BIGINT) AS length FROM lines"""
+
+
+def _chunk_csv_rows(spark, folder):
+    named = derive.parsed(spark, folder).withColumn("document", F.col("metadata.filename"))
+    rows = chunks.chunk_rows(named, "document", "t", derive.VERSION, "lines")
+    return rows.select(
+        F.col("DOCUMENT_NAME").alias("document"), "chunk_id", F.col("chunk_content").alias("content"), F.col("chunk_text_length").alias("length")
+    )
+
+
+@query("k3_chunk_csv_combined", CHUNK_CSV)
+def chunk_csv_combined(spark, folder):
+    path = sinks.write_csv(_chunk_csv_rows(spark, folder), fresh_path(spark, "chunk-csv"))
+    return _csv(spark, path, "document string, chunk_id string, content string, length bigint")
+
+
+@query("k3_chunk_csv_separate", CHUNK_CSV)
+def chunk_csv_separate(spark, folder):
+    # One folder per source here; ``by`` takes the document name for one folder per document.
+    rows = _chunk_csv_rows(spark, folder).withColumn("source", F.substring_index("document", "/", 1))
+    path = sinks.write_csv(rows, fresh_path(spark, "chunk-csv"), by="source")
+    return _csv(spark, path, "document string, chunk_id string, content string, length bigint").drop("source")
+
+
+@query(
+    "k4_four_table_export",
+    f"""WITH {derive.INVOICES}, {derive.LINES}, own AS (SELECT count(*) AS n FROM lines l JOIN invoices i ON l.doc_id = i.doc_id)
+    SELECT 'markdown' AS name, CAST(count(*) AS BIGINT) AS n FROM invoices UNION ALL SELECT 'parsed_chunks', n FROM own
+    UNION ALL SELECT 'invoices_main', count(*) FROM invoices UNION ALL SELECT 'invoice_line_items', n FROM own""",
+)
+def four_table_export(spark, folder):
+    extracted = typed_invoices(spark, folder).select("doc_id", "extraction")
+    parent_path = fresh_path(spark, "paired")
+    invoices.pair_results(derive.parsed(spark, folder), extracted, "doc_id").write.parquet(parent_path)
+    # The four writes read one written parent instead of parsing four times.
+    written = sinks.write_tables(invoices.invoice_tables(spark.read.parquet(parent_path), "run-1"), fresh_path(spark, "tables"))
+    counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, p in written.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
+@query(
+    "k5_s7_a18_envelopes",
+    """WITH placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
+    SELECT 'batch_extracted_' || source AS processed_at, CAST(n AS BIGINT) AS parsed_count, CAST(floor(i / 1000) AS BIGINT) AS part,
+      CAST(i % 1000 AS BIGINT) AS position, doc_id, text FROM placed""",
+)
+def envelopes(spark, folder):
+    key = sinks.result_key(F.lit(None).cast("string"), F.lit(True), F.col("source"))
+    docs = table(spark, folder, "documents").select(key.alias("processed_at"), "doc_id", "text")
+    path = fresh_path(spark, "envelopes")
+    sinks.write_json(sinks.envelopes(docs, ["processed_at"], "doc_id", F.col("doc_id")), path)
+    rows = responses.read_envelopes(spark, path, "struct<doc_id bigint, text string>")
+    return rows.select(
+        "processed_at", "parsed_count", "part", F.col("position").cast("bigint").alias("position"), "document.doc_id", "document.text"
+    )
+
+
+@query(
+    "k5_result_keys",
+    f"""WITH {derive.LISTING} SELECT path, regexp_replace(regexp_extract(path, '[^/]+$'), '[.][^.]*$', '') || '_' ||
+      CASE WHEN length > 2000 THEN 'extracted' ELSE 'parsed' END || '_20240131_000000' AS result FROM listing""",
+)
+def result_keys(spark, folder):
+    key = sinks.result_key(F.col("path"), F.col("length") > 2000, F.lit("20240131_000000"))
+    return derive.listing(spark, folder).select("path", key.alias("result"))
+
+
+@query(
+    "k6_fixed_csv_file",
+    "SELECT 'order_' || o_orderkey AS source_file, o_orderstatus AS status, o_totalprice AS total FROM orders",
+)
+def fixed_csv_file(spark, folder):
+    rows = table(spark, folder, "orders").select(
+        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("source_file"), F.col("o_totalprice").alias("total"),
+        F.col("o_orderstatus").alias("status"),
+    )
+    path = sinks.write_fixed_csv(rows, fresh_path(spark, "fixed-csv"), schemas.FLAT_INVOICE_COLUMNS)
+    schema = ", ".join(f"{c} string" for c in schemas.FLAT_INVOICE_COLUMNS)
+    back = _csv(spark, path, schema)
+    return back.select("source_file", "status", F.col("total").cast("double").alias("total"))
+
+
+@query("k7_replaced_table", "SELECT DISTINCT c_mktsegment AS segment, c_nationkey AS nation FROM customer")
+def replaced_table(spark, folder):
+    rows = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).distinct()
+    sinks.replace_table(rows, "folio_segments", fresh_path(spark, "table"))
+    return spark.table("folio_segments")
+
+
+@query(
+    "k8_summary_csv",
+    f"""WITH {derive.HEADERS} SELECT 'order_' || o_orderkey AS document_name, o_totalprice AS order_info_total,
+      '["' || c_mktsegment || '","' || o_orderpriority || '"]' AS tags FROM headers""",
+)
+def summary_csv(spark, folder):
+    rows = flatten.summary_rows(nested_orders(spark, folder), "name", "extraction")
+    path = sinks.write_csv(rows, fresh_path(spark, "summary-csv"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return _csv(spark, path, schema).select("document_name", "order_info_total", "tags")
+
+
+@query(
+    "k9_filing_results",
+    f"""WITH {derive.FILINGS} SELECT cik || ': filings ' || count(*) || ', downloaded ' || count(*) FILTER (downloaded) || ' (' ||
+      format('{{:.1f}}', round(count(*) FILTER (downloaded)::DOUBLE / count(*)::DOUBLE * 100, 6)) || '%)' AS line FROM filings GROUP BY cik""",
+)
+def filing_results(spark, folder):
+    report = filings.entity_report(derive.filings(spark, folder), ["cik"], "downloaded")
+    data = fresh_path(spark, "filing-results")
+    sinks.write_json(report, f"{data}/json")
+    stored = spark.read.schema(report.schema).json(f"{data}/json")
+    sinks.report_lines(stored, "cik").write.text(f"{data}/report")
+    return spark.read.text(f"{data}/report").select(F.col("value").alias("line"))

@@ -1 +1,142 @@
-"""To follow."""
+"""Streams over the given tables, run to the end of the data and compared with the batch answer."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import chunks, search
+from ..session import fresh_path, table
+from ..sources import responses
+from ..streaming import index, ingest, jobs, logs
+from . import derive
+from .registry import query
+
+NOW = datetime(2024, 1, 31)
+
+
+def stream_of(spark, folder, name):
+    """Stream over one table's files in the folder, whether the table is a file or a directory of files."""
+    rows = table(spark, folder, name)
+    one = rows.select("_metadata.file_name").limit(1).first()
+    if one and one[0] == f"{name}.parquet":
+        return ingest.new_rows(spark, folder, rows.schema, pattern=one[0])
+    return ingest.new_rows(spark, f"{folder}/{name}.parquet", rows.schema)
+
+
+@query(
+    "st1_new_object_stream",
+    """WITH keys AS (SELECT page_id, 'input/' || regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS key FROM pages)
+    SELECT page_id, 'output/' || regexp_extract(substr(key, 7), '^(.*/)[^/]*$', 1)
+      || regexp_replace(regexp_extract(key, '[^/]+$'), '(.)[.][^.]*$', '\\1') || '.md' AS output FROM keys WHERE key NOT LIKE '%/'""",
+)
+def new_object_stream(spark, folder):
+    key = F.concat(F.lit("input/"), F.regexp_extract("url", r"^https?://[^/]+/(.*)$", 1))
+    objects = stream_of(spark, folder, "pages").select("page_id", key.alias("key"))
+    out = fresh_path(spark, "objects")
+    ingest.run(responses.work_items(objects).select("page_id", "output"), lambda b, i: ingest.save_batch(b, out, i))
+    return spark.read.parquet(out).drop(ingest.BATCH)
+
+
+@query(
+    "st2_idempotent_ingest",
+    """SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' WHEN lang = 'de' THEN 'failed' ELSE 'success' END AS status,
+      CASE WHEN l.doc_id IS NOT NULL THEN 'already_processed' WHEN lang = 'de' THEN 'no reader for de' END AS error
+    FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""",
+)
+def idempotent_ingest(spark, folder):
+    # Labelled documents were processed by an earlier run; German ones have no reader and fail.
+    out = fresh_path(spark, "ingest")
+    done = table(spark, folder, "labels").select("doc_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
+    ingest.save_batch(done, out, -2)
+
+    def process(rows):
+        failed = F.col("lang") == "de"
+        return rows.withColumn("ok", ~failed).withColumn("error", F.when(failed, F.concat(F.lit("no reader for "), "lang")))
+
+    ingest.ingest(stream_of(spark, folder, "documents").select("doc_id", "lang"), out, ["doc_id"], process)
+    return spark.read.parquet(out).where(F.col(ingest.BATCH) >= 0).drop(ingest.BATCH)
+
+
+@query(
+    "st3_log_monitor",
+    f"WITH {derive.LOG} SELECT status, file, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM log WHERE status IS NOT NULL GROUP BY 1, 2",
+)
+def log_monitor(spark, folder):
+    rows = logs.monitor(derive.as_log(stream_of(spark, folder, "events")), fresh_path(spark, "log-monitor"))
+    return rows.select("status", "file", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+
+
+JOB_SQL = """
+updates AS (SELECT 'job_' || user_id || '_' || json_extract_string(props, '$.k') AS job_id, ts,
+    CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status FROM events),
+states AS (SELECT job_id, min(ts) AS started, arg_max(status, (ts, status)) AS last_status,
+    min(ts) FILTER (status <> 'processing') AS ended, arg_min(status, (ts, status)) FILTER (status <> 'processing') AS terminal FROM updates GROUP BY 1)
+SELECT job_id, last_status, CASE WHEN ended < started + INTERVAL 12 HOUR THEN terminal
+    WHEN TIMESTAMP '2024-01-31' >= started + INTERVAL 12 HOUR THEN 'timeout' ELSE last_status END AS outcome FROM states"""
+
+
+def job_updates(events):
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("processing")
+    job = F.concat_ws("_", F.lit("job"), F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
+    return events.select(job.alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+
+
+@query("st4_job_state_stream", f"WITH {JOB_SQL}")
+def job_state_stream(spark, folder):
+    states = jobs.track(job_updates(stream_of(spark, folder, "events")), fresh_path(spark, "jobs"))
+    return jobs.outcomes(states, NOW, 12 * 3600).select("job_id", "last_status", "outcome")
+
+
+@query("st4_job_states", f"WITH {JOB_SQL}")
+def job_states(spark, folder):
+    states = jobs.job_state(job_updates(table(spark, folder, "events")))
+    return jobs.outcomes(states, NOW, 12 * 3600).select("job_id", "last_status", "outcome")
+
+
+@query(
+    "st5_resolved_results",
+    """SELECT doc_id, CASE WHEN lang = 'fr' THEN 'not_completed' WHEN lang = 'de' AND n_chars > 2000 THEN 'no_output' WHEN lang = 'es' AND n_chars > 2000 THEN 'failed'
+      ELSE 'success' END AS result, CASE WHEN lang = 'fr' OR (lang IN ('de', 'es') AND n_chars > 2000) THEN NULL ELSE text END AS markdown FROM documents""",
+)
+def resolved_results(spark, folder):
+    # Short texts come inline, long ones by url; long German jobs have no url, long Spanish ones link to nothing.
+    docs = table(spark, folder, "documents")
+    short = F.col("n_chars") <= 2000
+    url = F.concat(F.lit("s3://results/"), F.col("doc_id").cast("string"))
+    job_rows = docs.select(
+        "doc_id", F.when(F.col("lang") == "fr", "processing").otherwise("completed").alias("status"),
+        F.when(short, F.struct(F.col("text").alias("markdown"))).alias("data"),
+        F.when(~short & (F.col("lang") != "de"), url).alias("output_url"),
+    )
+    linked = docs.where(~short & (F.col("lang") != "es")).select(url.alias("output_url"), F.col("text").alias("linked_markdown"))
+    return responses.resolved_results(job_rows, linked).select("doc_id", "result", "markdown")
+
+
+@query(
+    "st6_index_refresh",
+    r"""WITH lines AS (SELECT doc_id || '-' || (generate_subscripts(string_split(text, chr(10)), 1) - 1) AS chunk_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    terms AS (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(line), '[\p{L}\p{N}]+')) AS term FROM lines)
+    SELECT term, CAST(count(*) AS BIGINT) AS df FROM terms GROUP BY 1""",
+)
+def index_refresh(spark, folder):
+    docs = stream_of(spark, folder, "documents")
+    parsed = chunks.parse_documents(docs, "doc_id", "text", derive.filename(), derive.VERSION)
+    rows = chunks.flatten_chunks(parsed, "doc_id").select(
+        F.col("chunk.id").alias("chunk_id"), text.clean_chunk(F.col("chunk.markdown")).alias("content")
+    )
+    return search.term_frequencies(index.follow(rows, fresh_path(spark, "search-index"), "chunk_id", "content"))
+
+
+@query(
+    "st7_look_back",
+    """SELECT event_id, event_type FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 36 HOUR AND TIMESTAMP '2024-01-30 12:00:00'""",
+)
+def look_back(spark, folder):
+    from ..operators.summaries import recent
+
+    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return recent(events, "ts", datetime(2024, 1, 30, 12), hours=36).select("event_id", "event_type")

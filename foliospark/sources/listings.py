@@ -66,10 +66,11 @@ def read_latest_csv(spark: SparkSession, listing: DataFrame, prefix: str, schema
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole ``*.md`` files as ``filename, content``."""
-    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True, pathGlobFilter="*.md")
-    return files.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
+def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """Whole files as ``filename, content`` and the columns of partition folders."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=pattern)
+    rest = [c for c in files.columns if c != "value"]
+    return files.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"), *rest)
 
 
 def upload_candidates(listing: DataFrame, endings) -> DataFrame:

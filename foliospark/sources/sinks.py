@@ -16,9 +16,13 @@ def write_json(df: DataFrame, path: str, by: str | None = None) -> str:
     return path
 
 
-def write_text(df: DataFrame, path: str, text: str, by: str) -> str:
-    """Markdown texts, one folder per value of ``by``; each record ends with its own line break."""
-    df.select(by, text).write.mode("overwrite").partitionBy(by).text(path)
+def write_text(df: DataFrame, path: str, text: str, by: str, most_rows: int = 0) -> str:
+    """Markdown texts, one folder per value of ``by`` (files of at most ``most_rows`` records, 0 for no bound).
+
+    Each record ends with a line break.
+    """
+    writer = df.select(by, text).write.mode("overwrite").option("maxRecordsPerFile", most_rows)
+    writer.partitionBy(by).text(path)
     return path
 
 
@@ -54,9 +58,10 @@ def write_tables(tables: dict[str, DataFrame], root: str, form: str = "parquet")
     return out
 
 
-def replace_table(df: DataFrame, name: str) -> None:
-    """Create or replace a table with the rows of ``df``."""
-    df.write.mode("overwrite").saveAsTable(name)
+def replace_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Create or replace a table with the rows of ``df``, at ``path`` or in the warehouse."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def result_key(specific_file: Column, extracting: Column, stamp: Column) -> Column:
