@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .arrays import unnest
 
 # Drawing colour (red, green, blue) per grounding type.
 CHUNK_COLOURS = {
@@ -64,7 +65,7 @@ def _field_entries(metadata: str, fields: list[str]) -> Column:
 
 def field_references(df: DataFrame, key: str, metadata: str, fields: list[str], *keep: str) -> DataFrame:
     """One row per field with its reference array, from a record whose leaves are ``{value, references}``."""
-    rows = df.select(key, *keep, F.explode(_field_entries(metadata, fields)).alias("e"))
+    rows = unnest(df, [key, *keep], _field_entries(metadata, fields), "place", "e")
     return rows.select(key, *keep, "e.field", "e.references")
 
 
@@ -86,7 +87,7 @@ def first_reference_boxes(
 def all_references(paired: DataFrame, key: str, metadata: str, fields: list[str], grounding: str = "grounding") -> DataFrame:
     """Every reference of every field; a reference without grounding keeps its row."""
     rows = field_references(paired, key, metadata, fields, grounding)
-    placed = rows.select(key, "field", grounding, F.posexplode("references").alias("position", "ground_id"))
+    placed = unnest(rows, [key, "field", grounding], "references", "position", "ground_id")
     g = F.try_element_at(grounding, "ground_id")
     return placed.select(key, "field", "position", "ground_id", g["page"].alias("page"), g["type"].alias("type"), g["box"].alias("box"))
 
@@ -104,15 +105,17 @@ def extract_fields(parsed: DataFrame, key: str, rules: dict[str, tuple[str, str]
     def matching(pattern: str) -> Column:
         return F.filter("chunks", lambda c: c["markdown"].rlike(pattern))
 
+    # Matches are a projection of their own, so that each pattern runs once per chunk.
+    matched = parsed.select(key, *(keep or []), *[matching(p).alias(f"__{f}") for f, (p, _) in rules.items()])
     values, sources = [], []
     for field, (pattern, kind) in rules.items():
-        hits = matching(pattern)
+        hits = F.col(f"__{field}")
         first = F.regexp_extract(F.get(hits, F.lit(0))["markdown"], pattern, 1)
         value = F.when(F.size(hits) > 0, text.strip(first).try_cast(kind))
         values.append(value.alias(field))
         sources.append(
             F.struct(value.alias("value"), F.transform(hits, lambda c: c["id"]).alias("references")).alias(field)
         )
-    return parsed.select(
+    return matched.select(
         key, *(keep or []), F.struct(*values).alias("extraction"), F.struct(*sources).alias("extraction_metadata")
     )

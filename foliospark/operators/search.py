@@ -27,25 +27,23 @@ def term_counts(words: Column) -> Column:
     )
 
 
-def index_rows(chunks: DataFrame, chunk_id: str, text: str, *attributes: str) -> DataFrame:
-    """Index kept by chunk: ``(chunk, attributes, length, terms)``. A frequent term never gathers in one place."""
+def postings(chunks: DataFrame, chunk_id: str, text: str, *attributes: str) -> DataFrame:
+    """Index rows ``(chunk, attributes, length, term, tf)``, kept in chunk order: a frequent term gathers nowhere."""
     words = chunks.select(chunk_id, *attributes, F.array_sort(tokens(F.col(text))).alias("w"))
-    return words.select(chunk_id, *attributes, F.size("w").alias("length"), term_counts(F.col("w")).alias("terms"))
+    counted = words.select(chunk_id, *attributes, F.size("w").alias("length"), term_counts(F.col("w")).alias("terms"))
+    return unnest_fields(counted, [chunk_id, *attributes, "length"], F.col("terms"), "term")
 
 
-def postings(index: DataFrame, chunk_id: str, *attributes: str) -> DataFrame:
-    return unnest_fields(index, [chunk_id, *attributes, "length"], F.col("terms"), "term")
-
-
-def corpus_size(index: DataFrame) -> tuple[int, float]:
-    """Number of chunks and mean chunk length: two numbers, from one pass over one column."""
-    row = index.agg(F.count(F.lit(1)), F.avg("length")).first()
-    return row[0], row[1] or 0.0
+def corpus_size(index: DataFrame, chunk_id: str) -> tuple[int, float]:
+    """Number of chunks with words and mean chunk length: two numbers."""
+    total = F.sum("tf").alias("t")
+    row = index.groupBy(chunk_id).agg(total).agg(F.count(F.lit(1)), F.sum("t")).first()
+    return row[0], (row[1] or 0) / max(row[0], 1)
 
 
 def term_frequencies(index: DataFrame) -> DataFrame:
     """Chunks per term, counted per task before the shuffle."""
-    return unnest_fields(index, [], F.col("terms"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -58,27 +56,30 @@ def one_query(spark, text: str, query_id: int = 0) -> DataFrame:
 
 
 def bm25(
-    index: DataFrame, terms: DataFrame, frequencies: DataFrame, size: int, mean_length: float, query_id: str, chunk_id: str
+    index: DataFrame, terms: DataFrame, size: int, mean_length: float, query_id: str, chunk_id: str, most_terms: int = 200_000
 ) -> DataFrame:
     """Score of every chunk that shares a term with a query.
 
-    The index is spread by chunk, so a chunk's terms meet its queries and are summed in the same task; only scores
-    move. Weights of the query terms are broadcast after a size check, else their join is spread over salts.
+    Only postings of the queries' words are kept (the word list is broadcast after a count). They are then spread by
+    chunk, never by term: a chunk meets its queries and is summed in one task, and a frequent word is no hot spot.
     """
+    words = terms.select("term").distinct()
+    small = words.limit(most_terms + 1).count() <= most_terms
+    wanted = index.join(F.broadcast(words) if small else words, "term", "left_semi")
     weight = F.log(1 + (F.lit(float(size)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(frequencies, "term").select("term", query_id, weight.alias("idf"))
-    by_chunk = index.repartition(chunk_id)
-    hits = sized_join(postings(by_chunk, chunk_id), weighted, ["term"], spread_by=[chunk_id])
+    weighted = terms.join(term_frequencies(wanted), "term").select("term", query_id, weight.alias("idf"))
+    spread = wanted.select("term", "tf", "length", chunk_id).repartition(chunk_id)
+    hits = sized_join(spread, weighted, ["term"], most_rows=most_terms, spread_by=[chunk_id])
     length_norm = F.lit(1.0 - B) + F.lit(B) * F.col("length") / F.lit(float(mean_length))
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + F.lit(K1) * length_norm)
     summed = hits.groupBy(query_id, chunk_id).agg(F.sum(part).alias("raw"))
     return summed.select(query_id, chunk_id, F.round("raw", 6).alias("score"))
 
 
-def search(index: DataFrame, queries: DataFrame, query_id: str, text: str, chunk_id: str) -> DataFrame:
-    size, mean_length = corpus_size(index)
-    terms = query_terms(queries, query_id, text)
-    return bm25(index, terms, term_frequencies(index), size, mean_length, query_id, chunk_id)
+def search(
+    index: DataFrame, size: int, mean_length: float, queries: DataFrame, query_id: str, text: str, chunk_id: str
+) -> DataFrame:
+    return bm25(index, query_terms(queries, query_id, text), size, mean_length, query_id, chunk_id)
 
 
 def top_chunks(scores: DataFrame, query_id: str, chunk_id: str, limit: int) -> DataFrame:

@@ -287,7 +287,8 @@ def schema_conformance(spark, folder):
         F.lit('"kind":"'), kind, F.lit('","amount":'), F.when(kind == "view", F.concat(F.lit('"'), amount, F.lit('"'))).otherwise(amount),
         F.lit(',"detail":'), detail, F.when(kind == "signup", ',"source":1,"note":null').otherwise(""), F.lit("}"),
     )
-    rows = table(spark, folder, "events").select("event_id", F.parse_json(doc).alias("v"))
+    events = derive.spread_scan(table(spark, folder, "events"), "event_id")
+    rows = events.select("event_id", F.parse_json(doc).alias("v"))
     return rows.select("event_id", F.array_join(flatten.violations(F.col("v"), DEVICE_SCHEMA), "; ").alias("violations"))
 
 

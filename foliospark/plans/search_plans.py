@@ -25,16 +25,20 @@ def chunk_table(spark, folder):
 def stored_index(spark, folder):
     """The search index as a written table: built once, read by every later step of the query."""
     path = fresh_path(spark, "search-index")
-    search.index_rows(chunk_table(spark, folder), "chunk_id", "content", "doc_id", "chunk_type").write.parquet(path)
+    search.postings(chunk_table(spark, folder), "chunk_id", "content", "doc_id", "chunk_type").write.parquet(path)
     return spark.read.parquet(path)
 
 
+def scored(index, queries):
+    return search.search(index, *search.corpus_size(index, "chunk_id"), queries, "query_id", "text", "chunk_id")
+
+
 TOKENS = f"""{derive.LINES},
 tokens AS (SELECT doc_id, type, chunk_id, unnest(regexp_extract_all(lower(clean), '[\\p{{L}}\\p{{N}}]+')) AS term FROM lines),
 lengths AS (SELECT l.chunk_id, l.doc_id, l.type, len(regexp_extract_all(lower(clean), '[\\p{{L}}\\p{{N}}]+')) AS length FROM lines l),
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths)"""
+corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM lengths WHERE length > 0)"""
 
 SCORES = """
 scores AS (
@@ -52,8 +56,7 @@ BATCH_TERMS = """query_terms AS (SELECT DISTINCT item_id AS query_id, unnest(reg
     f"WITH {TOKENS} SELECT term, CAST(df AS BIGINT) AS chunks, CAST(occurrences AS BIGINT) AS occurrences FROM df JOIN (SELECT term, sum(tf) AS occurrences FROM tf GROUP BY 1) USING (term)",
 )
 def index_terms(spark, folder):
-    index = search.index_rows(chunk_table(spark, folder), "chunk_id", "content")
-    rows = search.postings(index, "chunk_id")
+    rows = search.postings(chunk_table(spark, folder), "chunk_id", "content")
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("occurrences"))
 
 
@@ -63,7 +66,7 @@ def index_terms(spark, folder):
     SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM scores ORDER BY rank LIMIT 10""",
 )
 def text_search(spark, folder):
-    scores = search.search(stored_index(spark, folder), search.one_query(spark, ONE_TEXT), "query_id", "text", "chunk_id")
+    scores = scored(stored_index(spark, folder), search.one_query(spark, ONE_TEXT))
     top = search.best_rows(scores, "chunk_id", 10)
     return top.withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -76,7 +79,7 @@ def text_search(spark, folder):
 )
 def batch_search(spark, folder):
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scores = search.search(stored_index(spark, folder), queries, "query_id", "text", "chunk_id")
+    scores = scored(stored_index(spark, folder), queries)
     return search.top_chunks(scores, "query_id", "chunk_id", 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -94,7 +97,7 @@ def batch_search(spark, folder):
 )
 def hybrid_search(spark, folder):
     index = stored_index(spark, folder)
-    scores = search.search(index, search.one_query(spark, ONE_TEXT), "query_id", "text", "chunk_id")
+    scores = scored(index, search.one_query(spark, ONE_TEXT))
     owner = F.substring_index("chunk_id", "-", 1).cast("bigint")
     by_doc = scores.groupBy(owner.alias("doc_id")).agg(F.max("score").alias("score"))
     vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
@@ -122,8 +125,8 @@ def structured_first(spark, folder):
     # The entity rows come first; only their chunks are ranked, tables and figures ahead of text.
     index = stored_index(spark, folder)
     chosen = table(spark, folder, "labels").where("quality = 0").select("doc_id").distinct()
-    scores = search.search(index, search.one_query(spark, ONE_TEXT), "query_id", "text", "chunk_id")
-    kinds = index.join(chosen, "doc_id", "left_semi").select("chunk_id", "chunk_type")
+    scores = scored(index, search.one_query(spark, ONE_TEXT))
+    kinds = index.join(chosen, "doc_id", "left_semi").select("chunk_id", "chunk_type").distinct()
     hits = search.boosted(scores.join(kinds, "chunk_id").select("chunk_id", "chunk_type", "score"), "chunk_type")
     order = [F.desc("boost"), F.desc("score"), F.col("chunk_id")]
     top = hits.orderBy(*order).limit(10)

@@ -12,12 +12,12 @@ from . import ingest
 def follow(chunks: DataFrame, out: str, chunk_id: str, text: str, *attributes: str, checkpoint: str | None = None) -> DataFrame:
     """Index each new chunk once. The index is kept by chunk, so earlier rows are never rewritten."""
     spark = chunks.sparkSession
-    ingest.open_table(spark, out, search.index_rows(chunks, chunk_id, text, *attributes).schema)
+    ingest.open_table(spark, out, search.postings(chunks, chunk_id, text, *attributes).schema)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        seen = ingest.earlier(spark, out, batch_id)
+        seen = ingest.earlier(spark, out, batch_id)  # a chunk's rows are written by one batch
         fresh = not_yet_done(batch.dropDuplicates([chunk_id]), seen, [chunk_id], unique=True)
-        ingest.save_batch(search.index_rows(fresh, chunk_id, text, *attributes), out, batch_id)
+        ingest.save_batch(search.postings(fresh, chunk_id, text, *attributes), out, batch_id)
 
     ingest.run(chunks, each_batch, checkpoint)
     return spark.read.parquet(out).drop(ingest.BATCH)
