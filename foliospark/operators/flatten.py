@@ -11,21 +11,25 @@ from pyspark.sql import types as T
 from .. import schemas
 
 
-def flat_columns(record: str, schema: T.StructType, sep: str = "_") -> list[Column]:
-    """One column per leaf, nested names joined; arrays and maps are rendered as one JSON string."""
+def flat_leaves(record: str, schema: T.StructType, sep: str = "_") -> list[tuple[str, Column]]:
+    """Name and value per leaf, nested names joined; arrays and maps are rendered as one JSON string."""
 
     def walk(path: str, name: str, kind: T.DataType):
         if isinstance(kind, T.StructType):
             for field in kind.fields:
                 yield from walk(f"{path}.`{field.name}`", f"{name}{sep}{field.name}" if name else field.name, field.dataType)
         elif isinstance(kind, (T.ArrayType, T.MapType)):
-            yield F.to_json(F.col(path)).alias(name)
+            yield name, F.to_json(F.col(path))
         else:
-            yield F.col(path).alias(name)
+            yield name, F.col(path)
 
     return list(walk(record, "", schema))
 
 
+def flat_columns(record: str, schema: T.StructType, sep: str = "_") -> list[Column]:
+    return [value.alias(name) for name, value in flat_leaves(record, schema, sep)]
+
+
 def provenance_columns(record: str, schema: T.StructType, sep: str = "_", deep: bool = True) -> list[Column]:
     """``<path>_chunks`` per leaf: its references as text; ``deep=False`` looks at the first level only."""
 
@@ -69,18 +73,24 @@ def read_as(df: DataFrame, column: str, schema: T.DataType | str, name: str = "e
 
 
 def read_by_type(df: DataFrame, column: str, type_column: str, registry: dict[str, T.StructType | str]) -> DataFrame:
-    """Typed flat rows per document type (case ignored); unknown types keep their row with ``known_type`` false."""
+    """Typed flat rows per document type (case ignored); unknown types keep their row with ``known_type`` false.
+
+    All types are read in one pass: each row is parsed under the schema of its own type only, and a field that
+    several types share becomes one column.
+    """
     kind = F.lower(F.col(type_column))
     rest = [c for c in df.columns if c != column]
-    frames = []
-    for name, schema in registry.items():
-        typed = read_as(df.where(kind == name.lower()), column, schema)
-        frames.append(
-            typed.select(*rest, F.lit(True).alias("known_type"), *flat_columns("extraction", struct_of(typed, "extraction")))
-        )
-    known = [n.lower() for n in registry]
-    frames.append(df.where(kind.isNull() | ~kind.isin(*known)).select(*rest, F.lit(False).alias("known_type")))
-    return merge_summaries(frames)
+    parsed = {f"__{name}": F.when(kind == name.lower(), F.from_json(column, schema)) for name, schema in registry.items()}
+    typed = df.select(*rest, column, *[c.alias(n) for n, c in parsed.items()])
+    by_name: dict[str, list[str]] = {}
+    flat = []
+    for place, source in enumerate(parsed):
+        for i, (name, leaf) in enumerate(flat_leaves(source, struct_of(typed, source))):
+            flat.append(leaf.alias(f"__{place}_{i}"))
+            by_name.setdefault(name, []).append(f"__{place}_{i}")
+    known = F.coalesce(kind.isin(*[n.lower() for n in registry]), F.lit(False))
+    rows = typed.select(*rest, known.alias("known_type"), *flat)
+    return rows.select(*rest, "known_type", *[F.coalesce(*parts).alias(n) for n, parts in by_name.items()])
 
 
 _JSON_TYPES = {
@@ -96,7 +106,7 @@ _JSON_TYPES = {
 def violations(doc: Column, schema: dict, path: str = "$") -> Column:
     """Array of texts, one per broken rule of a JSON Schema, for a VARIANT document; the row itself is kept."""
 
-    def rules(node: dict, at: str) -> list[Column]:
+    def rules(node: dict, at: str, whole: Column) -> list[Column]:
         out: list[Column] = []
         fields = node.get("properties", {})
         required = set(node.get("required", []))
@@ -116,9 +126,9 @@ def violations(doc: Column, schema: dict, path: str = "$") -> Column:
                 plain = F.try_variant_get(doc, where, "string")
                 out.append(F.when(plain.isNotNull() & ~plain.isin(*sub["enum"]), f"{label}: enum"))
             if wanted == "object":
-                out.extend(rules(sub, where))
+                out.extend(rules(sub, where, value))
         if node.get("additionalProperties") is False:
-            keys = F.json_object_keys(F.get_json_object(F.to_json(doc), at) if at != "$" else F.to_json(doc))
+            keys = F.json_object_keys(F.to_json(whole))
             extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(n) for n in fields])))
             label = at.removeprefix("$").removeprefix(".")
             prefix = f"{label}." if label else ""
@@ -126,7 +136,7 @@ def violations(doc: Column, schema: dict, path: str = "$") -> Column:
         return out
 
     # Unlike array_compact this stays in generated code, where the repeated variant reads are shared.
-    return F.array_except(F.array(*rules(schema, path)), F.array(F.lit(None).cast("string")))
+    return F.array_except(F.array(*rules(schema, path, doc)), F.array(F.lit(None).cast("string")))
 
 
 def schema_from(document: dict) -> T.StructType:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunks
+from ..operators.joins import sized_join
 from ..session import spread_scan, table
 
 VERSION = "rules-1"
@@ -112,11 +113,11 @@ def order_headers(spark: SparkSession, folder: str) -> DataFrame:
     customer = table(spark, folder, "customer")
     nation = table(spark, folder, "nation")
     region = table(spark, folder, "region")
-    return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    )
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    placed = customer.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    return sized_join(
+        orders.withColumn("key", F.col("o_custkey")), placed.withColumn("key", F.col("c_custkey")), ["key"], spread_by=["o_orderkey"]
+    ).drop("key")
 
 
 HEADERS = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filings, ordered
+from ..operators import filings, joins, ordered
 from ..session import table
 from . import derive
 from .registry import query
@@ -117,7 +117,7 @@ def company_lookup(spark, folder):
         F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik"), F.col("c_name").alias("company_name")
     )
     found = filings.find_companies(asked.select("ticker").distinct(), filings.ticker_rows(_ticker_json(spark, folder), "j"), companies)
-    return asked.join(found, "ticker").select("o_orderkey", "ticker", "cik", "company_name", "error")
+    return joins.sized_join(asked, found, ["ticker"], spread_by=["o_orderkey"]).select("o_orderkey", "ticker", "cik", "company_name", "error")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import flatten, invoices, provenance
-from ..session import table
+from ..session import fresh_path, table
 from ..sources import responses
 from . import derive
 from .registry import query
@@ -18,6 +18,14 @@ def typed_invoices(spark, folder):
     return flatten.read_as(derive.invoice_documents(spark, folder), "extraction_json", schemas.INVOICE)
 
 
+def stored_pairs(spark, folder):
+    """Parse and extract results of each document as a written table: the parent that several tables share."""
+    path = fresh_path(spark, "paired")
+    extracted = typed_invoices(spark, folder).select("doc_id", "extraction")
+    invoices.pair_results(derive.parsed(spark, folder), extracted, "doc_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def keyed_invoices(spark, folder):
     return invoices.stamp_keys(typed_invoices(spark, folder), "run-1", F.col("filename"), F.lit(derive.VERSION))
 
@@ -59,8 +67,7 @@ def invoice_line_items(spark, folder):
     UNION ALL SELECT 'invoice_line_items', count(*), sum(length(line)) FROM own""",
 )
 def four_tables(spark, folder):
-    extracted = typed_invoices(spark, folder).select("doc_id", "extraction")
-    tables = invoices.invoice_tables(invoices.pair_results(derive.parsed(spark, folder), extracted, "doc_id"), "run-1")
+    tables = invoices.invoice_tables(stored_pairs(spark, folder), "run-1")
     text = {"markdown": "MARKDOWN", "parsed_chunks": "text", "invoices_main": "INVOICE_NUMBER", "invoice_line_items": "DESCRIPTION"}
     parts = [
         df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text[name])).alias("size")).select(F.lit(name).alias("part"), "n", "size")
@@ -76,8 +83,7 @@ def four_tables(spark, folder):
     FROM invoices i JOIN lines l ON i.doc_id = l.doc_id GROUP BY 1, 2""",
 )
 def paired_tables(spark, folder):
-    extracted = typed_invoices(spark, folder).select("doc_id", "extraction")
-    tables = invoices.invoice_tables(invoices.pair_results(derive.parsed(spark, folder), extracted, "doc_id"), "run-1")
+    tables = invoices.invoice_tables(stored_pairs(spark, folder), "run-1")
     # Items shrink to one row per invoice before the join with the header table.
     items = tables["invoice_line_items"].groupBy("RUN_ID", "INVOICE_UUID").agg(
         F.count(F.lit(1)).alias("items"), F.sum("QUANTITY").alias("quantity")

@@ -145,13 +145,11 @@ def structured_first(spark, folder):
 )
 def best_per_chunk(spark, folder):
     # Two rankings of the same chunks; each chunk keeps its better row.
-    rows = chunk_table(spark, folder)
-    by_words = rows.select("chunk_id", text.word_count(F.col("content")).cast("double").alias("score"))
-    by_size = chunks.flatten_chunks(derive.parsed(spark, folder), "doc_id").select(
-        F.col("chunk.id").alias("chunk_id"),
-        ((F.length("chunk.markdown") - F.length(F.regexp_extract("chunk.markdown", r"^<a id='[^']*'></a>\n\n", 0))).cast("double") / 10).alias("score"),
+    rows = chunks.flatten_chunks(derive.parsed(spark, folder), "doc_id").select(
+        F.col("chunk.id").alias("chunk_id"), F.regexp_replace("chunk.markdown", r"^<a id='[^']*'></a>\n\n", "").alias("line")
     )
-    return search.best_per_chunk(by_words.union(by_size), "chunk_id")
+    both = F.array(text.word_count(F.col("line")).cast("double"), F.length("line").cast("double") / 10)
+    return search.best_per_chunk(rows.select("chunk_id", F.explode(both).alias("score")), "chunk_id")
 
 
 @query(

@@ -9,7 +9,7 @@ from ..operators import chunks, filings, flatten, invoices
 from ..session import fresh_path, table
 from ..sources import listings, responses, sinks
 from . import derive
-from .record_plans import nested_orders, typed_invoices
+from .record_plans import nested_orders, stored_pairs
 from .registry import query
 
 
@@ -82,11 +82,8 @@ def chunk_csv_separate(spark, folder):
     UNION ALL SELECT 'invoices_main', count(*) FROM invoices UNION ALL SELECT 'invoice_line_items', n FROM own""",
 )
 def four_table_export(spark, folder):
-    extracted = typed_invoices(spark, folder).select("doc_id", "extraction")
-    parent_path = fresh_path(spark, "paired")
-    invoices.pair_results(derive.parsed(spark, folder), extracted, "doc_id").write.parquet(parent_path)
     # The four writes read one written parent instead of parsing four times.
-    written = sinks.write_tables(invoices.invoice_tables(spark.read.parquet(parent_path), "run-1"), fresh_path(spark, "tables"))
+    written = sinks.write_tables(invoices.invoice_tables(stored_pairs(spark, folder), "run-1"), fresh_path(spark, "tables"))
     counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, p in written.items()]
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 

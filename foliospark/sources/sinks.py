@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..operators.joins import sized_join
 from ..operators.ordered import row_index
 
 
@@ -83,7 +84,7 @@ def envelopes(docs: DataFrame, batch: list[str], order: str, order_value: Column
         F.array_sort(F.collect_list(F.struct(F.col("__i"), F.struct(*content).alias("d")))).alias("__d")
     )
     counts = docs.groupBy(*batch).agg(F.count(F.lit(1)).alias("parsed_count"))
-    return parts.join(counts, batch).select(
+    return sized_join(parts, counts, batch, spread_by=["part"]).select(
         *batch, "part", "parsed_count", F.transform("__d", lambda e: e["d"]).alias("documents")
     )
 
