@@ -36,8 +36,9 @@ def with_ranges(df: DataFrame, order_value: Column, rows_per_task: int, ranges:
         return df.withColumn(_RANGE, F.lit(0))
     cuts = df.agg(F.percentile_approx(order_value, [i / wanted for i in range(1, wanted)], 10_000)).first()[0]
     bounds = sorted(set(cuts or []))
-    value = F.coalesce(order_value, F.lit(bounds[0])) if bounds else F.lit(0)
-    return df.withColumn(_RANGE, _search(value, bounds, 0, len(bounds)) if bounds else F.lit(0))
+    place = _search(order_value, bounds, 0, len(bounds))
+    # Rows without an order value sort first.
+    return df.withColumn(_RANGE, F.when(order_value.isNull(), F.lit(0)).otherwise(place))
 
 
 def row_index(
