@@ -144,7 +144,7 @@ def chunk_rows(
         F.col(f"{box}.right").alias("box_r"), F.col(f"{box}.bottom").alias("box_b"),
         F.col("w.prev").alias("prev_chunk_id"), F.col("w.next").alias("next_chunk_id"),
         image.alias("chunk_image_path"), F.lit(processed_at).alias("processed_at"),
-        F.lit(library_version).alias("ade_version"), F.lit(model_version).alias("model_version"),
+        F.lit(library_version).alias("library_version"), F.lit(model_version).alias("model_version"),
     )
 
 

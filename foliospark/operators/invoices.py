@@ -9,7 +9,7 @@ from .. import schemas
 from ..functions import paths, values
 from .arrays import unnest
 
-KEYS = ("RUN_ID", "INVOICE_UUID", "DOCUMENT_NAME", "AGENTIC_DOC_VERSION")
+KEYS = ("RUN_ID", "INVOICE_UUID", "DOCUMENT_NAME", "PARSER_VERSION")
 ITEM_FIELDS = ("line_number", "sku", "description", "quantity", "unit_price", "price", "amount", "total")
 
 
@@ -17,7 +17,7 @@ def stamp_keys(df: DataFrame, run_id: str, document: Column, version: Column) ->
     """Four leading key columns; the document key is a digest, so a rerun gives the same keys."""
     return df.select(
         F.lit(run_id).alias("RUN_ID"), F.sha2(document, 256).alias("INVOICE_UUID"), document.alias("DOCUMENT_NAME"),
-        version.alias("AGENTIC_DOC_VERSION"), "*",
+        version.alias("PARSER_VERSION"), "*",
     )
 
 

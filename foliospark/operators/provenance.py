@@ -57,16 +57,28 @@ def with_colours(grounds: DataFrame, colours: DataFrame) -> DataFrame:
     )
 
 
-def _field_entries(metadata: str, fields: list[str]) -> Column:
-    return F.array(
+def field_references(df: DataFrame, key: str, metadata: str, fields: list[str]) -> DataFrame:
+    """One row per field with its reference array, from a record whose leaves are ``{value, references}``."""
+    entries = F.array(
         *[F.struct(F.lit(f).alias("field"), F.col(f"{metadata}.{f}.references").alias("references")) for f in fields]
     )
+    return unnest(df, [key], entries, "place", "e").select(key, "e.field", "e.references")
 
 
-def field_references(df: DataFrame, key: str, metadata: str, fields: list[str], *keep: str) -> DataFrame:
-    """One row per field with its reference array, from a record whose leaves are ``{value, references}``."""
-    rows = unnest(df, [key, *keep], _field_entries(metadata, fields), "place", "e")
-    return rows.select(key, *keep, "e.field", "e.references")
+def _placed_references(df: DataFrame, key: str, metadata: str, fields: list[str], grounding: str, first: bool) -> DataFrame:
+    """References with their grounding, looked up inside the row before it is unfolded; the map is not copied along."""
+
+    def place(ref: Column) -> Column:
+        return F.struct(ref.alias("ground_id"), F.try_element_at(grounding, ref).alias("g"))
+
+    def entry(field: str) -> Column:
+        refs = F.col(f"{metadata}.{field}.references")
+        chosen = F.slice(refs, 1, 1) if first else refs
+        return F.struct(F.lit(field).alias("field"), F.transform(chosen, place).alias("refs"))
+
+    rows = unnest(df, [key], F.array(*[entry(f) for f in fields]), "place", "e")
+    placed = unnest(rows, [key, "e.field"], "e.refs", "position", "r")
+    return placed.select(key, "field", "position", "r.ground_id", "r.g")
 
 
 def first_reference_boxes(
@@ -76,8 +88,7 @@ def first_reference_boxes(
 
     A document's references and its grounding map are in one row, so the lookup needs no join and no shuffle.
     """
-    rows = field_references(paired, key, metadata, fields, grounding).withColumn("ground_id", F.get("references", F.lit(0)))
-    found = rows.withColumn("g", F.try_element_at(grounding, "ground_id")).where(F.col("g.page") == first_page)
+    found = _placed_references(paired, key, metadata, fields, grounding, first=True).where(F.col("g.page") == first_page)
     return found.select(
         key, "field", "ground_id", "g.page", "g.type",
         *[F.col(f"g.box.{s}").alias(f"box_{s}") for s in ("left", "top", "right", "bottom")],
@@ -86,10 +97,8 @@ def first_reference_boxes(
 
 def all_references(paired: DataFrame, key: str, metadata: str, fields: list[str], grounding: str = "grounding") -> DataFrame:
     """Every reference of every field; a reference without grounding keeps its row."""
-    rows = field_references(paired, key, metadata, fields, grounding)
-    placed = unnest(rows, [key, "field", grounding], "references", "position", "ground_id")
-    g = F.try_element_at(grounding, "ground_id")
-    return placed.select(key, "field", "position", "ground_id", g["page"].alias("page"), g["type"].alias("type"), g["box"].alias("box"))
+    rows = _placed_references(paired, key, metadata, fields, grounding, first=False)
+    return rows.select(key, "field", "position", "ground_id", "g.page", "g.type", "g.box")
 
 
 def reference_lists(references: DataFrame, key: str) -> DataFrame:

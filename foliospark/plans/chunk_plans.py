@@ -24,7 +24,7 @@ PROCESSED_AT = "2024-01-31T00:00:00"
       lag(chunk_id) OVER w AS prev_chunk_id, lead(chunk_id) OVER w AS next_chunk_id,
       'results/chunk_images/' || regexp_replace(filename, '[.]pdf$', '') || '/page_' || page || '/' || type || '.'
         || chunk_id || '.png' AS chunk_image_path,
-      '{PROCESSED_AT}' AS processed_at, '{derive.VERSION}' AS ade_version, 'lines' AS model_version
+      '{PROCESSED_AT}' AS processed_at, '{derive.VERSION}' AS library_version, 'lines' AS model_version
     FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)""",
 )
 def rag_chunks(spark, folder):
@@ -261,7 +261,7 @@ def stamped_keys(spark, folder):
     rows = stamp_keys(table(spark, folder, "documents").select("source", "doc_id"), "run-1", derive.filename(), F.lit(derive.VERSION))
     return rows.select(
         F.col("RUN_ID").alias("run_id"), F.col("INVOICE_UUID").alias("document_key"), F.col("DOCUMENT_NAME").alias("document_name"),
-        F.col("AGENTIC_DOC_VERSION").alias("version"),
+        F.col("PARSER_VERSION").alias("version"),
     )
 
 

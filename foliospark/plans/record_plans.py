@@ -30,7 +30,7 @@ def keyed_invoices(spark, folder):
     return invoices.stamp_keys(typed_invoices(spark, folder), "run-1", F.col("filename"), F.lit(derive.VERSION))
 
 
-KEY_SQL = f"'run-1' AS \"RUN_ID\", sha256(filename) AS \"INVOICE_UUID\", filename AS \"DOCUMENT_NAME\", '{derive.VERSION}' AS \"AGENTIC_DOC_VERSION\""
+KEY_SQL = f"'run-1' AS \"RUN_ID\", sha256(filename) AS \"INVOICE_UUID\", filename AS \"DOCUMENT_NAME\", '{derive.VERSION}' AS \"PARSER_VERSION\""
 MAIN_SQL = f"""SELECT {KEY_SQL},
       strftime(o_orderdate, '%d/%m/%Y') AS "INVOICE_DATE_RAW", day AS "INVOICE_DATE", 'INV-' || o_orderkey AS "INVOICE_NUMBER",
       day AS "ORDER_DATE", NULL AS "PO_NUMBER", o_orderstatus AS "STATUS", c_name AS "SOLD_TO_NAME", c_mktsegment AS "SOLD_TO_ADDRESS",

@@ -35,7 +35,8 @@ def object_table(listing: DataFrame, prefix: str = "", max_files: int = 100) ->
     rows = listing.where(F.col("path").startswith(prefix)).orderBy("path").limit(max_files)
     return rows.select(
         F.col("path").alias("File"),
-        F.format_string("%.1f KB", F.col("length") / 1024.0).alias("Size"),
+        # format_number rounds halves to even, as the printed sizes do; its thousands marks are dropped.
+        F.concat(F.replace(F.format_number(F.col("length") / 1024, 1), F.lit(","), F.lit("")), F.lit(" KB")).alias("Size"),
         F.date_format("modificationTime", "yyyy-MM-dd HH:mm").alias("Modified"),
     )
 
