@@ -61,6 +61,11 @@ def sized_join(
     return spread_join(left, right, keys, how, **spread)
 
 
+def seen_before(done: DataFrame, work: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of ``work`` that are in ``done``. A short work list is broadcast, so the long table is scanned in place."""
+    return sized_join(done.select(*keys), work.select(*keys).distinct(), keys, "left_semi").distinct()
+
+
 def _marking_join(work: DataFrame, done: DataFrame, keys: list[str], how: str, unique: bool, spread: dict) -> DataFrame:
     """Join on keys that are unique on the right; unique left keys cannot be heavy and need no salt."""
     return work.join(done, keys, how) if unique else spread_join(work, done, keys, how, **spread)

@@ -123,3 +123,19 @@ def fuse(left: DataFrame, right: DataFrame, key: str, limit: int) -> DataFrame:
     both = left.select(key, "rank").unionByName(right.select(key, "rank"))
     fused = both.groupBy(key).agg(F.round(F.sum(1.0 / (F.lit(FUSION) + F.col("rank"))), 6).alias("score"))
     return best_rows(fused, key, limit)
+
+
+def with_attributes(top: DataFrame, chunks: DataFrame, chunk_id: str, *columns: str) -> DataFrame:
+    """Add projected columns to ranked chunks; the chunk table is scanned in place when the ranking is short."""
+    return sized_join(chunks.select(chunk_id, *columns), top, [chunk_id], spread_by=list(columns))
+
+
+def rendered(hits: DataFrame, query: str, source: str = "source", score: str = "score", content: str = "content") -> DataFrame:
+    """One text with all hits of a short ranking (``rank`` gives their order), or the no-result message."""
+    line = F.concat(
+        F.lit("**Source:** "), F.coalesce(source, F.lit("Unknown source")), F.lit(" (Relevance: "),
+        F.format_number(score, 2), F.lit(")\n"), F.left(F.col(content), F.lit(500)), F.lit("..."),
+    )
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda e: e["line"])
+    none = F.lit(f"No documents found for query: '{query}'. The knowledge base may be empty or still processing.")
+    return hits.agg(F.when(F.count(F.lit(1)) > 0, F.array_join(lines, "\n\n---\n\n")).otherwise(none).alias("answer"))

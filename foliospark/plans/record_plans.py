@@ -33,10 +33,10 @@ def keyed_invoices(spark, folder):
 KEY_SQL = f"'run-1' AS \"RUN_ID\", sha256(filename) AS \"INVOICE_UUID\", filename AS \"DOCUMENT_NAME\", '{derive.VERSION}' AS \"PARSER_VERSION\""
 MAIN_SQL = f"""SELECT {KEY_SQL},
       strftime(o_orderdate, '%d/%m/%Y') AS "INVOICE_DATE_RAW", day AS "INVOICE_DATE", 'INV-' || o_orderkey AS "INVOICE_NUMBER",
-      day AS "ORDER_DATE", NULL AS "PO_NUMBER", o_orderstatus AS "STATUS", c_name AS "SOLD_TO_NAME", c_mktsegment AS "SOLD_TO_ADDRESS",
-      NULL AS "CUSTOMER_EMAIL", source AS "SUPPLIER_NAME", NULL AS "SUPPLIER_ADDRESS", lang AS "REPRESENTATIVE", NULL AS "EMAIL",
-      NULL AS "PHONE", NULL AS "GSTIN", NULL AS "PAN", o_orderpriority AS "PAYMENT_TERMS", NULL AS "SHIP_VIA", NULL AS "SHIP_DATE",
-      NULL AS "TRACKING_NUMBER", CASE WHEN o_orderstatus = 'F' THEN 'EUR' END AS "CURRENCY",
+      day AS "ORDER_DATE", CAST(NULL AS VARCHAR) AS "PO_NUMBER", o_orderstatus AS "STATUS", c_name AS "SOLD_TO_NAME", c_mktsegment AS "SOLD_TO_ADDRESS",
+      CAST(NULL AS VARCHAR) AS "CUSTOMER_EMAIL", source AS "SUPPLIER_NAME", CAST(NULL AS VARCHAR) AS "SUPPLIER_ADDRESS", lang AS "REPRESENTATIVE", CAST(NULL AS VARCHAR) AS "EMAIL",
+      CAST(NULL AS VARCHAR) AS "PHONE", CAST(NULL AS VARCHAR) AS "GSTIN", CAST(NULL AS VARCHAR) AS "PAN", o_orderpriority AS "PAYMENT_TERMS", CAST(NULL AS VARCHAR) AS "SHIP_VIA", CAST(NULL AS VARCHAR) AS "SHIP_DATE",
+      CAST(NULL AS VARCHAR) AS "TRACKING_NUMBER", CASE WHEN o_orderstatus = 'F' THEN 'EUR' END AS "CURRENCY",
       '$' || format('{{:,.2f}}', o_totalprice) AS "TOTAL_DUE_RAW", o_totalprice AS "TOTAL_DUE", c_acctbal AS "SUBTOTAL",
       CAST(NULL AS DOUBLE) AS "TAX", CAST(NULL AS DOUBLE) AS "SHIPPING", CAST(NULL AS DOUBLE) AS "HANDLING_FEE" FROM invoices"""
 
@@ -62,9 +62,9 @@ def invoice_line_items(spark, folder):
     "u8_four_tables",
     f"""WITH {derive.INVOICES}, {derive.LINES}, own AS (SELECT l.* FROM lines l JOIN invoices i ON l.doc_id = i.doc_id)
     SELECT 'markdown' AS part, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS size FROM invoices
-    UNION ALL SELECT 'parsed_chunks', count(*), sum(length(line) + length(chunk_id) + 15) FROM own
-    UNION ALL SELECT 'invoices_main', count(*), sum(length('INV-' || o_orderkey)) FROM invoices
-    UNION ALL SELECT 'invoice_line_items', count(*), sum(length(line)) FROM own""",
+    UNION ALL SELECT 'parsed_chunks', count(*), CAST(sum(length(line) + length(chunk_id) + 15) AS BIGINT) FROM own
+    UNION ALL SELECT 'invoices_main', count(*), CAST(sum(length('INV-' || o_orderkey)) AS BIGINT) FROM invoices
+    UNION ALL SELECT 'invoice_line_items', count(*), CAST(sum(length(line)) AS BIGINT) FROM own""",
 )
 def four_tables(spark, folder):
     tables = invoices.invoice_tables(stored_pairs(spark, folder), "run-1")
@@ -309,9 +309,9 @@ TYPE_SCHEMAS = {
 @query(
     "u5_schema_dispatch",
     """SELECT event_id, event_type, event_type IN ('purchase', 'click', 'view') AS known_type,
-      CASE WHEN event_type = 'purchase' THEN value END AS amount, CASE WHEN event_type = 'purchase' THEN user_id END AS buyer,
-      CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS target_k,
-      CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_type = 'view' THEN value > 50 END AS ok FROM events""",
+      CASE WHEN event_type = 'purchase' THEN value END AS amount, CASE WHEN event_type = 'purchase' THEN CAST(user_id AS VARCHAR) END AS buyer,
+      CASE WHEN event_type = 'click' THEN json_extract_string(props, '$.k') END AS target_k,
+      CASE WHEN event_type = 'view' THEN strftime(ts, '%Y-%m-%d') END AS day, CASE WHEN event_type = 'view' THEN CAST(value > 50 AS VARCHAR) END AS ok FROM events""",
 )
 def schema_dispatch(spark, folder):
     kind = F.col("event_type")
@@ -322,7 +322,9 @@ def schema_dispatch(spark, folder):
     )
     rows = table(spark, folder, "events").select("event_id", "event_type", body.alias("body"))
     registry = {name: flatten.schema_from(s) for name, s in TYPE_SCHEMAS.items()}
-    return flatten.read_by_type(rows, "body", "event_type", registry).withColumn("day", F.col("day").cast("string"))
+    typed = flatten.read_by_type(rows, "body", "event_type", registry)
+    shown = [F.col(c).cast("string").alias(c) for c in ("buyer", "target_k", "day", "ok")]
+    return typed.select("event_id", "event_type", "known_type", "amount", *shown)
 
 
 @query(
@@ -366,7 +368,7 @@ FIELD_RULES = {
         WHERE regexp_matches(line, '([0-9]{{4,9}})(?:[^0-9]|$)')
       UNION ALL SELECT doc_id, pos, chunk_id, 'cell', regexp_extract(line, '[|] ([a-z]+)', 1) FROM lines WHERE regexp_matches(line, '[|] ([a-z]+)')),
     found AS (SELECT doc_id, field, regexp_replace(arg_min(v, pos), '^\\s+|\\s+$', '', 'g') AS v, string_agg(chunk_id, ', ' ORDER BY pos) AS chunks FROM hits GROUP BY 1, 2)
-    SELECT d.doc_id, l.v AS license, CAST(n.v AS BIGINT) AS number, c.v AS cell, coalesce(l.chunks, '') AS license_chunks,
+    SELECT d.doc_id, l.v AS license, CAST(CAST(n.v AS BIGINT) AS VARCHAR) AS number, c.v AS cell, coalesce(l.chunks, '') AS license_chunks,
       coalesce(n.chunks, '') AS number_chunks, coalesce(c.chunks, '') AS cell_chunks
     FROM documents d LEFT JOIN found l ON l.doc_id = d.doc_id AND l.field = 'license' LEFT JOIN found n ON n.doc_id = d.doc_id AND n.field = 'number'
       LEFT JOIN found c ON c.doc_id = d.doc_id AND c.field = 'cell'""",
@@ -374,7 +376,7 @@ FIELD_RULES = {
 def field_extraction(spark, folder):
     rows = provenance.extract_fields(unanchored(spark, folder), "doc_id", FIELD_RULES)
     refs = [F.array_join(f"extraction_metadata.{f}.references", ", ").alias(f"{f}_chunks") for f in FIELD_RULES]
-    return rows.select("doc_id", "extraction.*", *refs)
+    return rows.select("doc_id", "extraction.*", *refs).withColumn("number", F.col("number").cast("string"))
 
 
 def unanchored(spark, folder):

@@ -63,12 +63,13 @@ def index_terms(spark, folder):
 @query(
     "r2_text_search",
     f"""WITH {TOKENS}, {ONE_TERMS}, {SCORES}
-    SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM scores ORDER BY rank LIMIT 10""",
+    SELECT chunk_id, score, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS BIGINT) AS rank, doc_id, type AS chunk_type, clean AS content
+    FROM scores JOIN lines USING (chunk_id) ORDER BY rank LIMIT 10""",
 )
 def text_search(spark, folder):
     scores = scored(stored_index(spark, folder), search.one_query(spark, ONE_TEXT))
-    top = search.best_rows(scores, "chunk_id", 10)
-    return top.withColumn("rank", F.col("rank").cast("bigint"))
+    top = search.best_rows(scores, "chunk_id", 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return search.with_attributes(top, chunk_table(spark, folder), "chunk_id", "doc_id", "chunk_type", "content")
 
 
 @query(
@@ -152,6 +153,21 @@ def best_per_chunk(spark, folder):
     return search.best_per_chunk(rows.select("chunk_id", F.explode(both).alias("score")), "chunk_id")
 
 
+@query(
+    "r3_rendered_answer",
+    f"""WITH {TOKENS}, {ONE_TERMS}, {SCORES}, top AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM scores ORDER BY rank LIMIT 5)
+    SELECT string_agg('**Source:** ' || filename || ' (Relevance: ' || format('{{:.2f}}', score) || ')' || chr(10) || left(clean, 500) || '...',
+      chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS answer FROM top JOIN lines USING (chunk_id)""",
+)
+def rendered_answer(spark, folder):
+    scores = scored(stored_index(spark, folder), search.one_query(spark, ONE_TEXT))
+    named = derive.parsed(spark, folder).select(
+        F.col("metadata.filename").alias("source"), F.explode_outer("chunks").alias("c")
+    ).select("source", F.col("c.id").alias("chunk_id"), text.clean_chunk(F.col("c.markdown")).alias("content"))
+    hits = search.with_attributes(search.best_rows(scores, "chunk_id", 5), named, "chunk_id", "source", "content")
+    return search.rendered(hits, ONE_TEXT)
+
+
 @query(
     "r3_vector_neighbours",
     """WITH seed AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import search
-from ..operators.joins import not_yet_done
+from ..operators.joins import not_yet_done, seen_before
 from . import ingest
 
 
@@ -15,9 +15,11 @@ def follow(chunks: DataFrame, out: str, chunk_id: str, text: str, *attributes: s
     ingest.open_table(spark, out, search.postings(chunks, chunk_id, text, *attributes).schema)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        seen = ingest.earlier(spark, out, batch_id)  # a chunk's rows are written by one batch
-        fresh = not_yet_done(batch.dropDuplicates([chunk_id]), seen, [chunk_id], unique=True)
+        items = batch.dropDuplicates([chunk_id]).persist()
+        seen = seen_before(ingest.earlier(spark, out, batch_id), items, [chunk_id])
+        fresh = not_yet_done(items, seen, [chunk_id], unique=True)
         ingest.save_batch(search.postings(fresh, chunk_id, text, *attributes), out, batch_id)
+        items.unpersist()
 
     ingest.run(chunks, each_batch, checkpoint)
     return spark.read.parquet(out).drop(ingest.BATCH)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import not_yet_done, with_status
+from ..operators.joins import not_yet_done, seen_before, with_status
 from ..session import fresh_path
 
 BATCH = "batch_id"
@@ -72,15 +72,15 @@ def ingest(
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        items = batch.dropDuplicates(keys)
-        done = earlier(spark, out, batch_id).where(F.col("status") == "success")
-        # Used by both branches of the union; a lost block is recomputed from the batch.
-        marked = with_status(items, done, keys, force, unique=True).persist()
+        # Used several times; a lost block is recomputed from the batch.
+        items = batch.dropDuplicates(keys).persist()
+        done = seen_before(earlier(spark, out, batch_id).where(F.col("status") == "success"), items, keys)
+        marked = with_status(items, done, keys, force, unique=True)
         worked = process(marked.where(F.col("status") == "pending"))
         tried = worked.select(*keys, F.when(F.col("ok"), "success").otherwise("failed").alias("status"), "error")
         skipped = marked.where(F.col("status") == "skipped").select(*keys, "status", F.lit("already_processed").alias("error"))
         save_batch(tried.unionByName(skipped), out, batch_id)
-        marked.unpersist()
+        items.unpersist()
 
     run(stream, each_batch, checkpoint)
 
@@ -91,7 +91,9 @@ def keep_first(
     """Append each key once, in its first batch. ``reduce`` gives one row per key and merges repeats per task."""
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        fresh = not_yet_done(reduce(batch), earlier(batch.sparkSession, out, batch_id), keys, unique=True)
-        save_batch(fresh, out, batch_id)
+        items = reduce(batch).persist()
+        done = seen_before(earlier(batch.sparkSession, out, batch_id), items, keys)
+        save_batch(not_yet_done(items, done, keys, unique=True), out, batch_id)
+        items.unpersist()
 
     run(stream, each_batch, checkpoint)

@@ -148,3 +148,11 @@ def test_term_counts(spark):
     rows = spark.createDataFrame([(["a", "a", "b", "c", "c", "c"],), ([],), (["z"],)], "w array<string>")
     got = [[(e["term"], e["tf"]) for e in r[0]] for r in rows.select(search.term_counts(F.col("w"))).collect()]
     assert got == [[("a", 2), ("b", 1), ("c", 3)], [], [("z", 1)]]
+
+
+def test_rendered_answer(spark):
+    hits = spark.createDataFrame([(2, "b.pdf", 1.005, "x" * 600), (1, None, 2.0, "y")], "rank int, source string, score double, content string")
+    answer = search.rendered(hits, "q").first()[0].split("\n\n---\n\n")
+    assert answer[0] == "**Source:** Unknown source (Relevance: 2.00)\ny..."
+    assert answer[1].startswith("**Source:** b.pdf (Relevance: 1.0") and answer[1].endswith("x" * 500 + "...")
+    assert search.rendered(hits.where("rank > 5"), "q").first()[0].startswith("No documents found for query: 'q'.")
