@@ -28,28 +28,20 @@ def spread_join(
 ) -> DataFrame:
     """Join a large ``left`` to ``right``; rows of heavy left keys go to several tasks, their right rows to each.
 
-    The salt is a hash of ``spread_by`` (the left row's own identity), so a recomputed task gives the same rows.
-    The heavy-key table is broadcast: it has at most HEAVY_KEYS rows.
+    Heavy keys are counted first; without any the join is a plain one, planned by Spark. The salt is a hash of
+    ``spread_by`` (the left row's own identity), so a recomputed task gives the same rows.
     """
-    heavy = heavy_keys(left, keys, rows_per_task)
+    found = heavy_keys(left, keys, rows_per_task)
+    rows = found.collect()  # at most HEAVY_KEYS
+    if not rows:
+        return left.join(right, keys, how)
+    heavy = F.broadcast(left.sparkSession.createDataFrame(rows, found.schema))
     spread_by = spread_by or [c for c in left.columns if c not in keys]
-    salted_left = (
-        left.join(F.broadcast(heavy), keys, "left")
-        .withColumn(
-            "__salt",
-            F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.col("__salts"))).otherwise(F.lit(0)),
-        )
-        .drop("__salts")
-    )
-    salted_right = (
-        right.join(F.broadcast(heavy), keys, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
-        .withColumn("__salt", F.col("__salt").cast("bigint"))
-        .drop("__salts")
-    )
-    return salted_left.withColumn("__salt", F.col("__salt").cast("bigint")).join(
-        salted_right, [*keys, "__salt"], how
-    ).drop("__salt")
+    salt = F.pmod(F.xxhash64(*spread_by), F.col("__salts").cast("bigint"))
+    salted_left = left.join(heavy, keys, "left").withColumn("__salt", F.coalesce(salt, F.lit(0)).cast("bigint"))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("__salts"), F.lit(1)).cast("bigint") - 1)
+    salted_right = right.join(heavy, keys, "left").withColumn("__salt", F.explode(copies))
+    return salted_left.drop("__salts").join(salted_right.drop("__salts"), [*keys, "__salt"], how).drop("__salt")
 
 
 def sized_join(

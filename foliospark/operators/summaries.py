@@ -18,10 +18,15 @@ LOG_MARKERS = {
 }
 
 
+def moment(now: datetime, df: DataFrame, time: str) -> Column:
+    """``now`` as a constant of the type of a time column, so that no zone shift comes between the two."""
+    return F.lit(now.isoformat(" ")).cast(df.schema[time].dataType)
+
+
 def recent(events: DataFrame, time: str, now: datetime, pattern: str | None = None, **span: int) -> DataFrame:
     """Rows of the look-back window that ends at ``now``; ``span`` is e.g. ``hours=24`` or ``minutes=10``."""
     (unit, amount), = span.items()
-    end = F.lit(now)
+    end = moment(now, events, time)
     rows = events.where(F.col(time).between(end - F.expr(f"INTERVAL {int(amount)} {unit}"), end))
     return rows.where(F.col("message").contains(pattern)) if pattern else rows
 

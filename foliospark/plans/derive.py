@@ -134,7 +134,7 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(
         F.concat("source", F.lit("/P"), F.col("doc_id").cast("string"), ending).alias("path"),
         F.octet_length("text").cast("bigint").alias("length"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("modificationTime"),
+        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int), 0)").alias("modificationTime"),
     )
 
 

@@ -138,5 +138,4 @@ def index_refresh(spark, folder):
 def look_back(spark, folder):
     from ..operators.summaries import recent
 
-    events = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return recent(events, "ts", datetime(2024, 1, 30, 12), hours=36).select("event_id", "event_type")
+    return recent(table(spark, folder, "events"), "ts", datetime(2024, 1, 30, 12), hours=36).select("event_id", "event_type")

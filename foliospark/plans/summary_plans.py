@@ -27,7 +27,7 @@ def count_by_group(spark, folder):
     WHERE event_type IN ('click', 'error') AND {WINDOW_SQL}""",
 )
 def log_scan(spark, folder):
-    lines = derive.log_lines(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    lines = derive.log_lines(spark, folder)
     both = [
         summaries.recent(lines, "ts", NOW, p, hours=240).select("event_id", F.lit(p).alias("pattern")) for p in ("REPORT", "ERROR")
     ]
@@ -64,7 +64,7 @@ def batch_totals(spark, folder):
 
 @query("a17_invocation_statistics", f"SELECT {TOTALS} FROM events WHERE event_type IN ('click', 'error') AND {WINDOW_SQL}")
 def invocation_statistics(spark, folder):
-    lines = derive.log_lines(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    lines = derive.log_lines(spark, folder)
     runs = lines.where(F.col("message").startswith("REPORT") | F.col("message").startswith("ERROR"))
     return summaries.success_totals(summaries.recent(runs, "ts", NOW, hours=240), ~F.col("message").startswith("ERROR"))
 

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.summaries import moment
 from . import ingest
 
 # Statuses that end a job, and the seconds a job may take.
@@ -34,7 +35,7 @@ def outcomes(states: DataFrame, now: datetime, timeout_seconds: int = TIMEOUT_SE
     """Final status of each job as a waiting client would see it at ``now``."""
     deadline = F.col("started") + F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
     in_time = F.col("terminal").isNotNull() & (F.col("terminal.at") < deadline)
-    outcome = F.when(in_time, F.col("terminal.status")).when(F.lit(now) >= deadline, "timeout").otherwise(F.col("last_status"))
+    outcome = F.when(in_time, F.col("terminal.status")).when(moment(now, states, "started") >= deadline, "timeout").otherwise(F.col("last_status"))
     return states.withColumn("outcome", outcome)
 
 
