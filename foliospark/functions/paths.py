@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # The file endings each listing accepts.
 DOCUMENT_ENDINGS = ("pdf", "png", "jpg", "jpeg")
 BATCH_ENDINGS = ("pdf", "png", "jpg", "jpeg", "tiff", "docx")
-BILL_ENDINGS = ("pdf", "png", "jpg", "jpeg", "tiff", "tif", "bmp", "webp", "gif", "docx")
+OFFICE_ENDINGS = ("pdf", "png", "jpg", "jpeg", "doc", "docx", "odt", "ppt", "pptx", "odp")
 
 
 def basename(path: Column) -> Column:

@@ -28,6 +28,22 @@ def lenient_date(text: Column, *patterns: str) -> Column:
     return F.coalesce(*[F.try_to_date(text, p) for p in (patterns or ("yyyy-MM-dd",))])
 
 
+def list_text(items: Column) -> Column:
+    """Array of texts as one text, ``['a', 'b']``, quoted the way Python prints a list."""
+
+    def quoted(item: Column) -> Column:
+        plain = item
+        for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            plain = F.replace(plain, F.lit(raw), F.lit(shown))
+        single, double = item.contains("'"), item.contains('"')
+        text = F.when(single & ~double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        )
+        return F.coalesce(text, F.lit("None"))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
+
+
 def variant_text(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "string")
 

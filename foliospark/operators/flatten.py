@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.values import list_text
+
+
+def rendered(value: Column, kind: T.DataType) -> Column:
+    if kind == T.ArrayType(T.StringType(), True) or kind == T.ArrayType(T.StringType(), False):
+        return list_text(value)
+    nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+    return F.to_json(value) if nested else value.cast("string")
 
 
 def flat_leaves(record: str, schema: T.StructType, sep: str = "_") -> list[tuple[str, Column]]:
-    """Name and value per leaf, nested names joined; arrays and maps are rendered as one JSON string."""
+    """Name and value per leaf, nested names joined; text lists print as lists, other arrays and maps as JSON."""
 
     def walk(path: str, name: str, kind: T.DataType):
         if isinstance(kind, T.StructType):
             for field in kind.fields:
                 yield from walk(f"{path}.`{field.name}`", f"{name}{sep}{field.name}" if name else field.name, field.dataType)
         elif isinstance(kind, (T.ArrayType, T.MapType)):
-            yield name, F.to_json(F.col(path))
+            yield name, rendered(F.col(path), kind)
         else:
             yield name, F.col(path)
 
@@ -33,20 +41,16 @@ def flat_columns(record: str, schema: T.StructType, sep: str = "_") -> list[Colu
 def provenance_columns(record: str, schema: T.StructType, sep: str = "_", deep: bool = True) -> list[Column]:
     """``<path>_chunks`` per leaf: its references as text; ``deep=False`` looks at the first level only."""
 
-    def rendered(path: str, kind: T.DataType) -> Column:
-        nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
-        return F.to_json(F.col(path)) if nested else F.col(path).cast("string")
-
     def walk(path: str, name: str, kind: T.DataType):
         if isinstance(kind, T.StructType):
             if "references" in kind.fieldNames():
-                yield rendered(f"{path}.references", kind["references"].dataType).alias(f"{name}_chunks")
+                yield rendered(F.col(f"{path}.references"), kind["references"].dataType).alias(f"{name}_chunks")
             elif deep or not name:
                 for field in kind.fields:
                     inner = f"{name}{sep}{field.name}" if name else field.name
                     yield from walk(f"{path}.`{field.name}`", inner, field.dataType)
         elif deep:
-            yield rendered(path, kind).alias(f"{name}_chunks")
+            yield rendered(F.col(path), kind).alias(f"{name}_chunks")
 
     return list(walk(record, "", schema))
 

@@ -115,6 +115,6 @@ def product_summary(docs: DataFrame, name: str, doc: str, meta: str) -> DataFram
         missing = F.raise_error(F.lit(f"record has no field {field}")).cast(kinds[field])
         columns.append(F.when(present, F.try_variant_get(F.col(doc), f"$.{field}", kinds[field])).otherwise(missing).alias(field))
         if field in schemas.PRODUCT_PROVENANCE:
-            refs = F.to_json(F.try_variant_get(F.col(meta), f"$.{field}.references", "variant"))
+            refs = values.list_text(F.try_variant_get(F.col(meta), f"$.{field}.references", "array<string>"))
             columns.append(F.coalesce(refs, F.lit("[]")).alias(f"{field}_chunks"))
     return docs.select(*columns)

@@ -116,7 +116,7 @@ def run_numbers(
 
 
 def first_rows(df: DataFrame, group: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows per group. Spark keeps ``n`` rows per group and task before the shuffle."""
+    """First ``n`` rows per group. For ``n`` below 1,000 Spark keeps ``n`` rows per group and task before the shuffle."""
     position = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn(rank, position).where(F.col(rank) <= n)
 

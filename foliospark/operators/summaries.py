@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, values
 
-# Marker text in a log line and the file name it carries, per status.
+# Marker text in a log line and the file name it carries, per status.
 LOG_MARKERS = {
     "processed": r"Completed pipeline for (.*?) →",
     "processing": r"Starting .*?parsing for (.*?) \(",

@@ -184,7 +184,7 @@ def nested_orders(spark, folder):
 
 FLAT_SQL = """'order_' || o_orderkey AS document_name, o_orderstatus AS order_info_status, o_totalprice AS order_info_total,
       c_name AS customer_name, n_name AS customer_place_nation, r_name AS customer_place_region,
-      '["' || c_mktsegment || '","' || o_orderpriority || '"]' AS tags"""
+      '[''' || c_mktsegment || ''', ''' || o_orderpriority || ''']' AS tags"""
 
 
 @query("p5_generic_flatten", f"WITH {derive.HEADERS} SELECT {FLAT_SQL} FROM headers")
@@ -194,9 +194,9 @@ def generic_flatten(spark, folder):
 
 @query(
     "p6_p8_provenance_flatten",
-    f"""WITH {derive.HEADERS} SELECT {FLAT_SQL}, '["' || o_orderkey || '"]' AS order_info_status_chunks,
-      '["' || n_name || '","' || r_name || '"]' AS order_info_total_chunks, '["' || c_custkey || '"]' AS customer_chunks,
-      '["' || c_mktsegment || '"]' AS tags_chunks, CAST(c_nationkey AS VARCHAR) AS score_chunks FROM headers""",
+    f"""WITH {derive.HEADERS} SELECT {FLAT_SQL}, '[''' || o_orderkey || ''']' AS order_info_status_chunks,
+      '[''' || n_name || ''', ''' || r_name || ''']' AS order_info_total_chunks, '[''' || c_custkey || ''']' AS customer_chunks,
+      '[''' || c_mktsegment || ''']' AS tags_chunks, CAST(c_nationkey AS VARCHAR) AS score_chunks FROM headers""",
 )
 def provenance_flatten(spark, folder):
     return flatten.summary_rows(nested_orders(spark, folder), "name", "extraction", "meta")
@@ -204,7 +204,7 @@ def provenance_flatten(spark, folder):
 
 @query(
     "p7_top_level_provenance",
-    f"""WITH {derive.HEADERS} SELECT 'order_' || o_orderkey AS document_name, '["' || c_custkey || '"]' AS customer_chunks FROM headers""",
+    f"""WITH {derive.HEADERS} SELECT 'order_' || o_orderkey AS document_name, '[''' || c_custkey || ''']' AS customer_chunks FROM headers""",
 )
 def top_level_provenance(spark, folder):
     rows = nested_orders(spark, folder)
@@ -252,9 +252,9 @@ def product_records(spark, folder):
 
 @query(
     "p9_product_summary",
-    """SELECT 'part_' || p_partkey AS document_name, p_name AS product_name, '["product_name-' || p_partkey || '"]' AS product_name_chunks,
-      p_brand AS brand, '["brand-' || p_partkey || '"]' AS brand_chunks, p_retailprice AS net_weight_oz,
-      '["net_weight_oz-' || p_partkey || '"]' AS net_weight_oz_chunks, p_retailprice * 2 AS net_weight_g,
+    """SELECT 'part_' || p_partkey AS document_name, p_name AS product_name, '[''product_name-' || p_partkey || ''']' AS product_name_chunks,
+      p_brand AS brand, '[''brand-' || p_partkey || ''']' AS brand_chunks, p_retailprice AS net_weight_oz,
+      '[''net_weight_oz-' || p_partkey || ''']' AS net_weight_oz_chunks, p_retailprice * 2 AS net_weight_g,
       CAST(p_size AS BIGINT) AS servings_per_container, p_size || ' g' AS serving_size, p_type AS product_type, 'plain' AS flavor, """
     + ", ".join(f"p_size > {i * 2} AS {n}" for i, n in enumerate(schemas.PRODUCT_FLAGS))
     + ", '[]' AS usda_inspected_chunks FROM part",

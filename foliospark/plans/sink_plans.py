@@ -140,7 +140,7 @@ def replaced_table(spark, folder):
 @query(
     "k8_summary_csv",
     f"""WITH {derive.HEADERS} SELECT 'order_' || o_orderkey AS document_name, o_totalprice AS order_info_total,
-      '["' || c_mktsegment || '","' || o_orderpriority || '"]' AS tags FROM headers""",
+      '[''' || c_mktsegment || ''', ''' || o_orderpriority || ''']' AS tags FROM headers""",
 )
 def summary_csv(spark, folder):
     rows = flatten.summary_rows(nested_orders(spark, folder), "name", "extraction")

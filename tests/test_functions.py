@@ -110,6 +110,12 @@ def test_document_links(spark):
     assert one(spark, values.filing_pdf_name(F.lit("1-2"), F.lit("a.html"))) == "1-2_a.pdfl"
 
 
+def test_list_text_prints_as_python_does(spark):
+    for items in (["a", "b c"], [], ["it's"], ['"'], ["it's \"x\""], ["a\\b\nc"], ["x", None]):
+        column = F.array(*[F.lit(i).cast("string") for i in items]).cast("array<string>")
+        assert one(spark, values.list_text(column)) == str(items)
+
+
 def test_dates(spark):
     d = lambda v: one(spark, values.lenient_date(F.lit(v), "yyyy-MM-dd", "MM-dd-yyyy").cast("string"))
     assert [d(v) for v in ("2024-02-03", "02-03-2024", "soon", "2024-02-31")] == ["2024-02-03", "2024-02-03", None, None]
