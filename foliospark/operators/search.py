@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import unnest_fields
-from .joins import sized_join
+from .joins import sized_join, spread_join
 from .ordered import first_rows
 
 K1, B = 1.2, 0.75
@@ -60,16 +60,17 @@ def bm25(
 ) -> DataFrame:
     """Score of every chunk that shares a term with a query.
 
-    Only postings of the queries' words are kept (the word list is broadcast after a count). They are then spread by
+    Only postings of the queries' words are kept (a counted word list is broadcast). They are then spread by
     chunk, never by term: a chunk meets its queries and is summed in one task, and a frequent word is no hot spot.
     """
+    # One count over the queries bounds both the word list and the weights, which have a row per query and word.
+    small = terms.limit(most_terms + 1).count() <= most_terms
     words = terms.select("term").distinct()
-    small = words.limit(most_terms + 1).count() <= most_terms
     wanted = index.join(F.broadcast(words) if small else words, "term", "left_semi")
     weight = F.log(1 + (F.lit(float(size)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(term_frequencies(wanted), "term").select("term", query_id, weight.alias("idf"))
     spread = wanted.select("term", "tf", "length", chunk_id).repartition(chunk_id)
-    hits = sized_join(spread, weighted, ["term"], most_rows=most_terms, spread_by=[chunk_id])
+    hits = spread.join(F.broadcast(weighted), "term") if small else spread_join(spread, weighted, ["term"], spread_by=[chunk_id])
     length_norm = F.lit(1.0 - B) + F.lit(B) * F.col("length") / F.lit(float(mean_length))
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + F.lit(K1) * length_norm)
     summed = hits.groupBy(query_id, chunk_id).agg(F.sum(part).alias("raw"))

@@ -22,10 +22,18 @@ def chunk_table(spark, folder):
     )
 
 
-def stored_index(spark, folder):
+def stored_chunks(spark, folder):
+    """The chunk table as a written table, where both the index and the projected columns come from it."""
+    path = fresh_path(spark, "chunks")
+    chunk_table(spark, folder).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def stored_index(spark, folder, chunk_rows=None):
     """The search index as a written table: built once, read by every later step of the query."""
     path = fresh_path(spark, "search-index")
-    search.postings(chunk_table(spark, folder), "chunk_id", "content", "doc_id", "chunk_type").write.parquet(path)
+    rows = chunk_table(spark, folder) if chunk_rows is None else chunk_rows
+    search.postings(rows, "chunk_id", "content", "doc_id", "chunk_type").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -67,9 +75,10 @@ def index_terms(spark, folder):
     FROM scores JOIN lines USING (chunk_id) ORDER BY rank LIMIT 10""",
 )
 def text_search(spark, folder):
-    scores = scored(stored_index(spark, folder), search.one_query(spark, ONE_TEXT))
+    rows = stored_chunks(spark, folder)
+    scores = scored(stored_index(spark, folder, rows), search.one_query(spark, ONE_TEXT))
     top = search.best_rows(scores, "chunk_id", 10).withColumn("rank", F.col("rank").cast("bigint"))
-    return search.with_attributes(top, chunk_table(spark, folder), "chunk_id", "doc_id", "chunk_type", "content")
+    return search.with_attributes(top, rows, "chunk_id", "doc_id", "chunk_type", "content")
 
 
 @query(
@@ -160,12 +169,11 @@ def best_per_chunk(spark, folder):
       chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS answer FROM top JOIN lines USING (chunk_id)""",
 )
 def rendered_answer(spark, folder):
-    scores = scored(stored_index(spark, folder), search.one_query(spark, ONE_TEXT))
-    named = derive.parsed(spark, folder).select(
-        F.col("metadata.filename").alias("source"), F.explode_outer("chunks").alias("c")
-    ).select("source", F.col("c.id").alias("chunk_id"), text.clean_chunk(F.col("c.markdown")).alias("content"))
-    hits = search.with_attributes(search.best_rows(scores, "chunk_id", 5), named, "chunk_id", "source", "content")
-    return search.rendered(hits, ONE_TEXT)
+    rows = stored_chunks(spark, folder)
+    scores = scored(stored_index(spark, folder, rows), search.one_query(spark, ONE_TEXT))
+    hits = search.with_attributes(search.best_rows(scores, "chunk_id", 5), rows, "chunk_id", "doc_id", "content")
+    files = table(spark, folder, "documents").select("doc_id", derive.filename().alias("source"))
+    return search.rendered(search.with_attributes(hits, files, "doc_id", "source"), ONE_TEXT)
 
 
 @query(
