@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
 
 def with_text_columns(
@@ -55,3 +56,8 @@ def fold_of(key: Column, folds: int) -> Column:
 
 def fold_of_value(key, folds: int) -> int:
     return zlib.crc32(str(key).encode()) % folds
+
+
+def process_cache() -> dict:
+    """What a Python worker keeps from task to task: loaded vocabularies and bounded memos."""
+    return vars(sys).setdefault("_foliospark_cache", {})

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from foliospark.session import table
 
-from . import simhash
+from . import bpe, language, packing, simhash, toxicity
+from .common import fold_of
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -25,7 +26,47 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", "text", "lang")
+
+
+@_query("op3_toxicity_pu")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), folds=5, held=0)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    held = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@_query("op4_best_fit_packing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return packing.packed_documents(docs, vocabulary("word_bpe_49k.json"), window=4096, end_id=2)
+
+
+@_query("op7_language_profiles")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    profiles = language.fit(docs, folds=4, held=2)
+    held = F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    return language.predict(docs.select("doc_id", "text"), profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @_query("op8_simhash_components")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query("op10_byte_bpe")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return bpe.encode_documents(spark, docs, vocabulary("byte_bpe_50k.json")).drop("text")
