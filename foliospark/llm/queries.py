@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import table
 
-from . import bpe, language, packing, simhash, toxicity
+from . import bpe, language, packing, quality, simhash, toxicity
 from .common import fold_of
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,36 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     return bpe.encode_documents(spark, docs, vocabulary("byte_bpe_50k.json")).drop("text")
+
+
+@_query("op9_decision_list")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    rules = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.judge(docs, rules).select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
+
+
+@_query(
+    "op9_statistics",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    win AS (
+        SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
+            unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS g
+        FROM d WHERE len(w) >= 3
+    ),
+    rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+    cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+    base AS (
+        SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+            len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+                - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+            coalesce(cov.n, 0) AS n_repeat_words
+        FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id
+    )
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+    """,
+)
+def op9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.statistics(documents(spark, folder))
+    return rows.select("doc_id", *quality.BASE, quality.base_failed().alias("base_failed"))

@@ -119,6 +119,7 @@ def train(
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held: int = 0,
     most_positive: int = 4000, most_unlabelled: int = 12000, vocabulary: int = 20000, least: int = 3, significance: float = 4.0,
+    **training,
 ) -> Model:
     """Model from the rows outside fold ``held``.
 
@@ -126,7 +127,7 @@ def fit(
     the key from all rows. The class prior is the share of toxic rows among all labelled rows of the training folds. The
     vocabulary has at most ``vocabulary`` features that occur in ``least`` toxic examples or more and whose share there is
     ``significance`` standard deviations or more from their share among unlabelled ones, the most significant first. Rows with a null key, label or text teach nothing.
-    Without a toxic example the model scores every text 0.
+    ``training`` goes to ``train``. Without a toxic example the model scores every text 0.
     """
     train_fold = fold_of(F.col(key), folds) != held
     known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col(key).isNotNull() & F.col("y").isNotNull() & train_fold)
@@ -162,7 +163,7 @@ def fit(
     none = np.zeros(0, np.int32)
     positive += [none] * (sizes["p"] - len(positive))
     unlabelled += [none] * (sizes["u"] - len(unlabelled))
-    w, bias = train(positive, unlabelled, len(names), prior)
+    w, bias = train(positive, unlabelled, len(names), prior, **training)
     return Model(dict(zip(names, w.tolist(), strict=True)), bias, prior)
 
 
