@@ -29,8 +29,11 @@ from .common import process_cache, with_text_columns
 #: The word pattern of this vocabulary, and white space as Unicode defines it.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO = 300_000
+MEMO = 800_000
 COUNTED = 50_000
+EMPTY, SPREAD = 0xFFFFFFFF, 0x9E3779B1
+MARKS = ".,;:"
+NONE = 1 << 60
 
 
 def _pattern(text: str):
@@ -55,26 +58,30 @@ class Vocabulary:
         model = told["model"]
         spell = lambda token: bytes(names[c] for c in token)
         self.ids = {spell(t): i for t, i in model["vocab"].items() if t not in self.special}
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = {}
         for rank, (a, b) in enumerate(merges):
             left, right = spell(a), spell(b)
             self.ranks[self.ids[left], self.ids[right]] = (rank, self.ids[left + right])
+        self.pairs = {pair: rank << 20 | made for pair, (rank, made) in self.ranks.items()}
         self.bytes_of = {i: t for t, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the adjacent pair of lowest rank is joined, leftmost first, until none is left."""
-        parts = [self.ids[word[i : i + 1]] for i in range(len(word))]
+        parts = [self.byte_ids[b] for b in word]
         if len(parts) > 64:
             return self._merge_long(parts)
-        find, none = self.ranks.get, (1 << 60, 0)
-        while len(parts) > 1:
-            found = [find(p, none) for p in zip(parts, parts[1:], strict=False)]
-            best = min(found)
-            if best is none:
-                break
-            at = found.index(best)
-            parts[at : at + 2] = [best[1]]
+        find = self.pairs.get
+        costs = [find(p, NONE) for p in zip(parts, parts[1:], strict=False)]
+        while costs and (least := min(costs)) != NONE:
+            at = costs.index(least)
+            parts[at : at + 2] = [least & 0xFFFFF]
+            del costs[at]
+            if at:
+                costs[at - 1] = find((parts[at - 1], parts[at]), NONE)
+            if at < len(costs):
+                costs[at] = find((parts[at], parts[at + 1]), NONE)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
@@ -106,8 +113,8 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
 
     Words are added in order; the states behind the common beginning with the next word are final for good and are
     replaced by an equal registered state, if there is one. Arcs carry the number of words before them, so that the sum
-    over a path is the word's rank. Block: seven lengths, then the arrays ``first arc``, ``accepts``, ``arc byte``,
-    ``arc target``, ``arc sum``, ``id start``, ``ids``.
+    over a path is the word's rank. Block: three lengths; the arcs as an open hash table (``state * 256 + byte``, target,
+    sum); whether a state accepts; for each rank the start of its ids; the ids.
     """
     words = sorted(entries)
     arcs: list[dict[int, int]] = [{}]
@@ -139,16 +146,9 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
         previous = word
     settle(0)
 
-    number: dict[int, int] = {0: 0}
-    order = [0]
-    for state in order:
-        for _, target in sorted(arcs[state].items()):
-            if target not in number:
-                number[target] = len(order)
-                order.append(target)
     below: dict[int, int] = {}  # words from a state on
 
-    def words_from(state: int) -> int:
+    def count(state: int) -> None:
         stack = [state]
         while stack:
             top = stack[-1]
@@ -158,25 +158,30 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
             else:
                 below[top] = accepts[top] + sum(below[t] for t in arcs[top].values())
                 stack.pop()
-        return below[state]
 
-    words_from(0)
-    first, final, arc_byte, arc_target, arc_sum = [0], [], [], [], []
+    count(0)
+    number: dict[int, int] = {0: 0}
+    order = [0]
+    found: list[tuple[int, int, int]] = []
     for state in order:
         before = int(accepts[state])
         for byte, target in sorted(arcs[state].items()):
-            arc_byte.append(byte)
-            arc_target.append(number[target])
-            arc_sum.append(before)
+            if target not in number:
+                number[target] = len(order)
+                order.append(target)
+            found.append((number[state] << 8 | byte, number[target], before))
             before += below[target]
-        first.append(len(arc_byte))
-        final.append(accepts[state])
+    size = 1 << max(4, (2 * len(found)).bit_length())
+    keys, targets, sums = np.full(size, EMPTY, "<u4"), np.zeros(size, "<u4"), np.zeros(size, "<u4")
+    for key, target, before in found:
+        slot = key * SPREAD & size - 1
+        while keys[slot] != EMPTY:
+            slot = slot + 1 & size - 1
+        keys[slot], targets[slot], sums[slot] = key, target, before
     starts = np.r_[0, np.cumsum([len(entries[w]) for w in words])].astype("<u4") if words else np.zeros(1, "<u4")
-    arrays = [
-        np.array(first, "<u4"), np.array(final, "<u4"), np.array(arc_byte, "<u4"), np.array(arc_target, "<u4"), np.array(arc_sum, "<u4"),
-        starts, np.array([i for w in words for i in entries[w]], "<u4"),
-    ]
-    return struct.pack("<7Q", *map(len, arrays)) + b"".join(a.tobytes() for a in arrays)
+    ids = np.array([i for w in words for i in entries[w]], "<u4")
+    final = np.array([accepts[state] for state in order], "<u4")
+    return struct.pack("<3Q", size, len(final), len(starts)) + b"".join(x.tobytes() for x in (keys, targets, sums, final, starts, ids))
 
 
 class Lexicon:
@@ -187,31 +192,26 @@ class Lexicon:
             f.write(block)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        lengths = struct.unpack_from("<7Q", self.map)
-        views, at = [], 56
-        for n in lengths:
-            views.append(memoryview(self.map)[at : at + 4 * n].cast("I") if n else [])
-            at += 4 * n
-        self.first, self.final, self.byte, self.target, self.sum, self.start, self.ids = views
+        size, finals, starts = struct.unpack_from("<3Q", self.map)
+        words = memoryview(self.map)[24:].cast("I")
+        cuts = [0, size, 2 * size, 3 * size, 3 * size + finals, 3 * size + finals + starts, len(words)]
+        self.keys, self.targets, self.sums, self.final, self.start, self.ids = (words[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+        self.last = size - 1
 
     def get(self, word: bytes) -> list[int] | None:
-        """Ids of a word, None if it is not in the lexicon. Arcs of a state are sorted and searched by halves."""
-        first, arc_byte = self.first, self.byte
+        """Ids of a word, None if it is not in the lexicon."""
+        keys, last = self.keys, self.last
         state = rank = 0
         for b in word:
-            low, high = first[state], first[state + 1]
-            end = high
-            while low < high:
-                middle = (low + high) >> 1
-                if arc_byte[middle] < b:
-                    low = middle + 1
-                else:
-                    high = middle
-            if low == end or arc_byte[low] != b:
-                return None
-            rank += self.sum[low]
-            state = self.target[low]
-        return list(self.ids[self.start[rank] : self.start[rank + 1]]) if self.final[state] else None
+            key = state << 8 | b
+            slot = key * SPREAD & last
+            while (seen := keys[slot]) != key:
+                if seen == EMPTY:
+                    return None
+                slot = slot + 1 & last
+            rank += self.sums[slot]
+            state = self.targets[slot]
+        return self.ids[self.start[rank] : self.start[rank + 1]].tolist() if self.final[state] else None
 
 
 class _Odd(Exception):
@@ -229,6 +229,7 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.words = _pattern(WORD).findall
+        self.marks = {m: self._ids(m) for m in MARKS}
         self.space = regex.compile(f"[{SPACE}]").search
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
@@ -241,10 +242,16 @@ class Encoder(dict):
         return np.array([i for w in self.words(text) for i in self.word_ids(w)], "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        body = piece[1:] if piece[:1] == "\n" else piece
-        if not body or self.space(body):
-            raise _Odd
-        made = self._ids(piece if body is not piece else " " + piece)
+        if piece.isalpha():
+            word = self.word_ids(" " + piece)
+            made = struct.pack(f"<{len(word)}I", *word)
+        elif piece[-1:] in self.marks and piece[:-1].isalpha():  # the pattern parts letters from a mark
+            return self[piece[:-1]] + self.marks[piece[-1]]
+        else:
+            body = piece[1:] if piece[:1] == "\n" else piece
+            if not body or self.space(body):
+                raise _Odd
+            made = self._ids(piece if body is not piece else " " + piece)
         if len(self) < MEMO:
             self[piece] = made
         return made

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import table
 
-from . import bpe, language, packing, quality, simhash, toxicity
+from . import bpe, chat, language, neighbours, packing, pii, quality, simhash, toxicity, url_filter
 from .common import fold_of
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,35 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "text", "lang")
 
 
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@_query(
+    "op1_url_filter",
+    r"""
+    WITH r(rule_host, rule_path, said) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (
+        SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM p
+    )
+    SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(said, 'allow') AS verdict
+    FROM h LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) = 1
+    """,
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), rules, ["page_id"])
+
+
+@_query("op2_collision_neighbours")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 @_query("op3_toxicity_pu")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
@@ -52,6 +81,39 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(docs, vocabulary("word_bpe_49k.json"), window=4096, end_id=2)
 
 
+@_query(
+    "op5_chat_events",
+    r"""
+    WITH c AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ),
+    e AS (
+        SELECT *, list_sum(list_transform(['<s>', '</s>', '[SYS]', '[/SYS]', '[INST]', '[/INST]', '[ROLE]', '[/ROLE]', chr(92)],
+            lambda x: (length(text) - length(replace(text, x, ''))) // length(x))) AS breaks
+        FROM c
+    )
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(length(text) + breaks + CASE role WHEN 'assistant' THEN 7 WHEN 'system' THEN 20 WHEN 'user' THEN 22 ELSE 20 + length(role) END) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    fixed = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    events = rows.withColumn("kind", F.lit("message")).withColumn("seq", F.col("turn"))
+    return chat.digests(chat.render(chat.fold_events(events)))
+
+
+@_query("op6_personal_data")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return pii.personal_data(docs, pii.fit(docs)).drop("text")
+
+
 @_query("op7_language_profiles")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
