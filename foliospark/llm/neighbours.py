@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 class CollisionIndex:
     """Sorted projections of one block of vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = 64, share: float = 0.55, sure: float = 1.25, growth: float = 1.25, seed: int = 2):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = 64, share: float = 0.65, sure: float = 1.15, growth: float = 1.25, seed: int = 2):
         """A vector is verified at ``share`` of the ``projections``; ``sure`` is the window's half width over the distance
         up to which vectors are taken to have been verified; windows grow by ``growth``."""
         self.ids, self.vectors = ids, vectors
@@ -31,6 +31,7 @@ class CollisionIndex:
         self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)  # one row for each projection
         self.sorted = np.take_along_axis(values.T, self.order.astype(np.int64), axis=1)
         spread = self.sorted[:, -1] - self.sorted[:, 0]
+        self.seen = 0  # vectors verified so far, over all queries
         self.start = max(float(np.median(spread)) / 50, 1e-9)
 
     def search(self, query: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,30 +39,34 @@ class CollisionIndex:
         n, centre = len(self.ids), query @ self.directions
         counts, verified = np.zeros(n, np.int32), np.zeros(n, bool)
         verified[self.ids == without] = True
-        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
-        high = low.copy()
-        half = self.start
+        reach = max(float(np.abs(self.sorted[:, [0, -1]] - centre[:, None]).max()), self.start)
+        halves = self.start * self.growth ** np.arange(int(np.ceil(np.log(reach / self.start) / np.log(self.growth))) + 2)
+        low = np.stack([np.searchsorted(s, c - halves, "left") for s, c in zip(self.sorted, centre, strict=True)])
+        high = np.stack([np.searchsorted(s, c + halves, "right") for s, c in zip(self.sorted, centre, strict=True)])
         ids, distances = np.zeros(0, np.int64), np.zeros(0)
-        while True:
-            flanks = []
-            for j, (s, o, c) in enumerate(zip(self.sorted, self.order, centre, strict=True)):
-                a, b = np.searchsorted(s, c - half, "left"), np.searchsorted(s, c + half, "right")
-                flanks += [o[a : low[j]], o[high[j] : b]]
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
+        for level, half in enumerate(halves):
+            a, b = low[:, level], high[:, level]
+            if level:
+                left, right = low[:, level - 1], high[:, level - 1]
+                flanks = [o[i:j] for o, i, j in zip(self.order, a.tolist(), left.tolist(), strict=True)]
+                flanks += [o[i:j] for o, i, j in zip(self.order, right.tolist(), b.tolist(), strict=True)]
+            else:
+                flanks = [o[i:j] for o, i, j in zip(self.order, a.tolist(), b.tolist(), strict=True)]
             counts += np.bincount(np.concatenate(flanks), minlength=n).astype(np.int32)
             new = np.flatnonzero((counts >= self.need) & ~verified)
             if len(new):
                 verified[new] = True
+                self.seen += len(new)
                 gap = self.vectors[new] - query
                 ids = np.concatenate([ids, self.ids[new]])
                 distances = np.concatenate([distances, np.sqrt((gap * gap).sum(axis=1))])
                 if len(ids) > 4 * k:
                     best = np.lexsort((ids, distances))[:k]
                     ids, distances = ids[best], distances[best]
-            if verified.all() or len(ids) >= k and np.partition(distances, k - 1)[k - 1] * self.sure <= half:
+            if level == len(halves) - 1 or verified.all() or len(ids) >= k and np.partition(distances, k - 1)[k - 1] * self.sure <= half:
                 best = np.lexsort((ids, distances))[:k]
-                return ids[best], distances[best]
-            half *= self.growth
+                break
+        return ids[best], distances[best]
 
 
 def usable(vector: Column) -> Column:

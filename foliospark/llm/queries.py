@@ -165,3 +165,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.statistics(documents(spark, folder))
     return rows.select("doc_id", *quality.BASE, quality.base_failed().alias("base_failed"))
+
+
+@_query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
