@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from .arrays import unnest
-from .joins import spread_join
+from .joins import null_safe_join, spread_join
 from .ordered import first_rows
 
 
@@ -89,19 +89,24 @@ def period_grid(spark, years: list[int], quarters: list[int]) -> DataFrame:
     return row.select("year", F.explode("qs").alias("quarter"))
 
 
-def missing_periods(filings: DataFrame, entity: list[str], form: str, years: list[int], quarters: list[int] | None = None) -> DataFrame:
+def missing_periods(
+    filings: DataFrame, entity: list[str], form: str, years: list[int], quarters: list[int] | None = None, requested: DataFrame | None = None
+) -> DataFrame:
     """Requested periods an entity has no filing for.
 
-    Found periods become a bit mask per entity (a partial aggregate), so nothing is joined or crossed.
+    Found periods become a bit mask per entity (a partial aggregate), so nothing is crossed. With ``requested``, a table
+    of entities, exactly these are told about: one without any filing lacks every period.
     """
     want = [(y, q) for y in years for q in quarters] if quarters else [(y, None) for y in years]
     own = F.col("form_type") == form
     hit = lambda y, q: own & (F.col("year") == y) & (F.lit(True) if q is None else F.col("quarter") == q)
     grouped = filings.groupBy(*entity).agg(*[F.max(hit(y, q).cast("int")).alias(f"w{i}") for i, (y, q) in enumerate(want)])
+    if requested is not None:
+        grouped = null_safe_join(requested.select(*entity).distinct(), grouped, entity, "left")
     entries = F.array(
         *[
             F.when(
-                F.col(f"w{i}") == 0,
+                F.coalesce(F.col(f"w{i}"), F.lit(0)) == 0,
                 F.struct(F.lit(y).alias("year"), F.lit(q).cast("int").alias("quarter")),
             )
             for i, (y, q) in enumerate(want)

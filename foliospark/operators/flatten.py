@@ -94,7 +94,16 @@ def read_by_type(df: DataFrame, column: str, type_column: str, registry: dict[st
             by_name.setdefault(name, []).append(f"__{place}_{i}")
     known = F.coalesce(kind.isin(*[n.lower() for n in registry]), F.lit(False))
     rows = typed.select(*rest, known.alias("known_type"), *flat)
-    return rows.select(*rest, "known_type", *[F.coalesce(*parts).alias(n) for n, parts in by_name.items()])
+    types = dict(rows.dtypes)
+
+    def merged(parts: list[str]) -> Column:
+        """One column for a field of several types: a common type stays, different ones become text."""
+        if len({types[p] for p in parts}) == 1:
+            return F.coalesce(*parts)
+        simple = lambda p: F.to_json(p) if types[p].startswith(("struct", "array", "map")) else F.col(p).cast("string")
+        return F.coalesce(*[simple(p) for p in parts])
+
+    return rows.select(*rest, "known_type", *[merged(parts).alias(n) for n, parts in by_name.items()])
 
 
 _JSON_TYPES = {
@@ -108,7 +117,33 @@ _JSON_TYPES = {
 
 
 def violations(doc: Column, schema: dict, path: str = "$") -> Column:
-    """Array of texts, one per broken rule of a JSON Schema, for a VARIANT document; the row itself is kept."""
+    """Array of texts, one per broken rule of a JSON Schema, for a VARIANT document; the row itself is kept.
+
+    The rules inside an object hold where it is one: an absent optional object breaks none. Items of arrays are checked
+    one by one, and each broken rule of an array (``name[]``) is told once.
+    """
+
+    def compact(found: list[Column]) -> Column:
+        # Unlike array_compact this stays in generated code, where the repeated variant reads are shared.
+        return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
+
+    def of_type(wanted, kind: Column) -> Column:
+        names = [n for w in (wanted if isinstance(wanted, list) else [wanted]) for n in _JSON_TYPES.get(w, ())]
+        return reduce(lambda a, b: a | b, [kind.startswith(n) for n in names], kind == "VOID")
+
+    def of_item(item: Column, node: dict, label: str) -> Column:
+        found: list[Column] = []
+        kind = F.schema_of_variant(item)
+        if node.get("type"):
+            found.append(F.when(item.isNotNull() & ~of_type(node["type"], kind), f"{label}: type"))
+        if node.get("properties") or node.get("additionalProperties") is False:
+            inner = F.transform(violations(item, node), lambda text: F.concat(F.lit(f"{label}."), text))
+            return F.concat(compact(found), F.when(kind.startswith("OBJECT") | kind.startswith("STRUCT"), inner).otherwise(F.array().cast("array<string>")))
+        return compact(found)
+
+    def of_items(items: Column, node: dict, label: str) -> Column:
+        broken = F.flatten(F.transform(items, lambda item: of_item(item, node, label)))
+        return F.coalesce(F.array_distinct(broken), F.array().cast("array<string>"))
 
     def rules(node: dict, at: str, whole: Column) -> list[Column]:
         out: list[Column] = []
@@ -123,14 +158,16 @@ def violations(doc: Column, schema: dict, path: str = "$") -> Column:
                 out.append(F.when(value.isNull() | F.is_variant_null(value), f"{label}: required"))
             wanted = sub.get("type")
             if wanted:
-                names = [n for w in (wanted if isinstance(wanted, list) else [wanted]) for n in _JSON_TYPES.get(w, ())]
-                fits = reduce(lambda a, b: a | b, [kind.startswith(n) for n in names], kind == "VOID")
-                out.append(F.when(value.isNotNull() & ~fits, f"{label}: type"))
+                out.append(F.when(value.isNotNull() & ~of_type(wanted, kind), f"{label}: type"))
             if "enum" in sub:
                 plain = F.try_variant_get(doc, where, "string")
                 out.append(F.when(plain.isNotNull() & ~plain.isin(*sub["enum"]), f"{label}: enum"))
             if wanted == "object":
-                out.extend(rules(sub, where, value))
+                there = kind.startswith("OBJECT") | kind.startswith("STRUCT")
+                out.extend(F.when(there, rule) for rule in rules(sub, where, value))
+            if wanted == "array" and sub.get("items"):
+                items = F.try_variant_get(doc, where, "array<variant>")
+                lists.append(of_items(items, sub["items"], f"{label}[]"))
         if node.get("additionalProperties") is False:
             keys = F.json_object_keys(F.to_json(whole))
             extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(n) for n in fields])))
@@ -139,8 +176,9 @@ def violations(doc: Column, schema: dict, path: str = "$") -> Column:
             out.append(F.when(F.size(extra) > 0, F.concat(F.lit(prefix), F.array_join(extra, ","), F.lit(": not allowed"))))
         return out
 
-    # Unlike array_compact this stays in generated code, where the repeated variant reads are shared.
-    return F.array_except(F.array(*rules(schema, path, doc)), F.array(F.lit(None).cast("string")))
+    lists: list[Column] = []
+    own = compact(rules(schema, path, doc))
+    return F.concat(own, *lists) if lists else own
 
 
 def schema_from(document: dict) -> T.StructType:

@@ -53,6 +53,13 @@ def sized_join(
     return spread_join(left, right, keys, how, **spread)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the result has the columns of ``left`` and the other ones of ``right``."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    meet = [left[k].eqNullSafe(renamed[f"__right_{k}"]) for k in keys]
+    return left.join(renamed, meet, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def seen_before(done: DataFrame, work: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of ``work`` that are in ``done``. A short work list is broadcast, so the long table is scanned in place."""
     return sized_join(done.select(*keys), work.select(*keys).distinct(), keys, "left_semi").distinct()

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import null_safe_join
+
 ROWS_PER_TASK = 2_000_000
 _RANGE = "__range"
 
@@ -62,7 +64,7 @@ def row_index(
         .drop("count")
     )
     return (
-        local.join(shifts, [*group, _RANGE])
+        null_safe_join(local, shifts, [*group, _RANGE])
         .withColumn(name, F.col(name) + F.col("__shift"))
         .drop(_RANGE, "__shift")
     )
@@ -98,7 +100,7 @@ def run_numbers(
         joins_up = F.coalesce((F.col("__first") == F.lag("__last").over(by_range)).cast("bigint"), F.lit(0))
         before = by_range.rowsBetween(Window.unboundedPreceding, -1)
         shifts = (
-            pieces.join(counts, [*group, _RANGE])
+            null_safe_join(pieces, counts, [*group, _RANGE])
             .withColumn("__joins", joins_up)
             .withColumn(
                 "__shift",
@@ -108,7 +110,7 @@ def run_numbers(
             .select(*group, _RANGE, "__shift")
         )
         numbered = (
-            numbered.join(shifts, [*group, _RANGE])
+            null_safe_join(numbered, shifts, [*group, _RANGE])
             .withColumn(name, F.col(name) + F.col("__shift"))
             .drop(_RANGE, "__shift")
         )
@@ -134,10 +136,13 @@ def joined_text(
 ) -> DataFrame:
     """Join ordered texts with a blank line between them.
 
-    ``order`` is a 0-based position. A result is cut into parts of at most ``rows_per_part`` positions, so no cell
-    and no task collects an unbounded group; joining the parts in order gives the whole text.
+    ``order`` is a position. A result is cut into parts of at most ``rows_per_part`` positions, counted from its own
+    first one, so no cell and no task collects an unbounded group and a short result is one part, wherever it starts;
+    joining the parts in order gives the whole text.
     """
-    part = F.floor(F.col(order) / rows_per_part).cast("bigint")
+    first = df.groupBy(*keys).agg(F.min(order).alias("__first"))
+    df = null_safe_join(df, first, keys)
+    part = F.floor((F.col(order) - F.col("__first")) / rows_per_part).cast("bigint")
     pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return (
         df.groupBy(*keys, part.alias("part"))

@@ -102,18 +102,18 @@ def boosted(hits: DataFrame, kind: str, preferred=("table", "figure")) -> DataFr
 
 
 def cosine_scores(vectors: DataFrame, vec_id: str, vector: str, query: list[float]) -> DataFrame:
-    """Cosine of every vector with one query vector; the query is a constant in the plan."""
+    """Cosine of every vector with one query vector; the query is a constant in the plan. A zero vector has no cosine (null)."""
     other = F.array(*[F.lit(float(x)) for x in query])
     own = F.transform(vector, lambda x: x.cast("double"))
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     length = sum(float(x) * float(x) for x in query) ** 0.5
-    similarity = product(own, other) / (F.sqrt(product(own, own)) * F.lit(length))
+    similarity = F.try_divide(product(own, other), F.sqrt(product(own, own)) * F.lit(length))
     return vectors.select(vec_id, F.round(similarity, 6).alias("score"))
 
 
 def best_rows(scores: DataFrame, key: str, limit: int) -> DataFrame:
-    """Top ``limit`` of one ranking with its rank; the window runs over at most ``limit`` rows."""
-    top = scores.orderBy(F.desc("score"), F.col(key)).limit(limit)
+    """Top ``limit`` of one ranking with its rank; rows without a score are not ranked."""
+    top = scores.where(F.col("score").isNotNull()).orderBy(F.desc("score"), F.col(key)).limit(limit)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k")))).alias("a"))
     rows = ranked.select(F.posexplode("a").alias("i", "e"))
     return rows.select(F.col("e.k").alias(key), (-F.col("e.s")).alias("score"), (F.col("i") + 1).alias("rank"))
@@ -126,6 +126,11 @@ def fuse(left: DataFrame, right: DataFrame, key: str, limit: int) -> DataFrame:
     return best_rows(fused, key, limit)
 
 
+def hybrid(words: DataFrame, vectors: DataFrame, key: str, limit: int, depth: int = 50) -> DataFrame:
+    """Fusion of two scored rankings, each of which counts down to rank ``depth``."""
+    return fuse(best_rows(words, key, depth), best_rows(vectors, key, depth), key, limit)
+
+
 def with_attributes(top: DataFrame, chunks: DataFrame, chunk_id: str, *columns: str) -> DataFrame:
     """Add projected columns to ranked chunks; the chunk table is scanned in place when the ranking is short."""
     return sized_join(chunks.select(chunk_id, *columns), top, [chunk_id], spread_by=list(columns))

@@ -76,6 +76,20 @@ def missing_periods(spark, folder):
     )
 
 
+@query(
+    "x1_requested_companies",
+    f"""WITH {derive.FILINGS}, c AS (SELECT DISTINCT cik FROM filings UNION SELECT 'asked-' || n_nationkey FROM nation), y AS (SELECT unnest({YEARS}) AS year)
+    SELECT '10-K for year ' || y.year || ' not available for ' || c.cik AS message FROM c CROSS JOIN y
+    WHERE NOT EXISTS (SELECT 1 FROM filings f WHERE f.cik = c.cik AND f.form_type = '10-K' AND f.year = y.year)""",
+)
+def requested_companies(spark, folder):
+    # The asked companies have no filing at all.
+    rows = derive.filings(spark, folder)
+    asked = table(spark, folder, "nation").select(F.concat(F.lit("asked-"), F.col("n_nationkey").cast("string")).alias("cik"))
+    missing = filings.missing_periods(rows, ["cik"], "10-K", YEARS, requested=rows.select("cik").union(asked))
+    return missing.select(filings.missing_message("10-K", F.col("cik")).alias("message"))
+
+
 @query(
     "x1_absent_companies",
     "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 450000)",

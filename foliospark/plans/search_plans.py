@@ -113,7 +113,7 @@ def hybrid_search(spark, folder):
     vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
     seed = vectors.orderBy("doc_id").select("embedding").first()[0]
     near = search.cosine_scores(vectors, "doc_id", "embedding", seed)
-    top = search.fuse(search.best_rows(by_doc, "doc_id", 50), search.best_rows(near, "doc_id", 50), "doc_id", 5)
+    top = search.hybrid(by_doc, near, "doc_id", 5, depth=50)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     # ``top`` has five rows.
     return docs.join(F.broadcast(top), "doc_id").select(

@@ -37,7 +37,7 @@ def new_object_stream(spark, folder):
     objects = stream_of(spark, folder, "pages").select("page_id", key.alias("key"))
     out = fresh_path(spark, "objects")
     ingest.run(responses.work_items(objects).select("page_id", "output"), lambda b, i: ingest.save_batch(b, out, i))
-    return spark.read.parquet(out).drop(ingest.BATCH)
+    return ingest.result_rows(spark, out)
 
 
 @query(
@@ -50,14 +50,14 @@ def idempotent_ingest(spark, folder):
     # Labelled documents were processed by an earlier run; German ones have no reader and fail.
     out = fresh_path(spark, "ingest")
     done = table(spark, folder, "labels").select("doc_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
-    ingest.save_batch(done, out, -2)
+    ingest.save_batch(done, out, ("before", -2))
 
     def process(rows):
         failed = F.col("lang") == "de"
         return rows.withColumn("ok", ~failed).withColumn("error", F.when(failed, F.concat(F.lit("no reader for "), "lang")))
 
     ingest.ingest(stream_of(spark, folder, "documents").select("doc_id", "lang"), out, ["doc_id"], process)
-    return spark.read.parquet(out).where(F.col(ingest.BATCH) >= 0).drop(ingest.BATCH)
+    return spark.read.parquet(out).where(F.col(ingest.BATCH) >= 0).drop(ingest.RUN, ingest.BATCH)
 
 
 @query(

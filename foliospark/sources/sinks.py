@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators.joins import sized_join
+from ..operators.joins import null_safe_join
 from ..operators.ordered import row_index
 
 
@@ -76,7 +76,7 @@ def envelopes(docs: DataFrame, batch: list[str], order: str, order_value: Column
     """Batch envelopes with the document count of the batch.
 
     A batch longer than ``rows_per_part`` gives several envelopes with a ``part`` number, so that no task collects a
-    whole batch; the parts together hold every document once, in order.
+    whole batch; the parts together hold every document once, in order. A null batch column is a value like any other.
     """
     content = [c for c in docs.columns if c not in batch]
     placed = row_index(docs, batch, [order], order_value, "__i")
@@ -84,7 +84,7 @@ def envelopes(docs: DataFrame, batch: list[str], order: str, order_value: Column
         F.array_sort(F.collect_list(F.struct(F.col("__i"), F.struct(*content).alias("d")))).alias("__d")
     )
     counts = docs.groupBy(*batch).agg(F.count(F.lit(1)).alias("parsed_count"))
-    return sized_join(parts, counts, batch, spread_by=["part"]).select(
+    return null_safe_join(parts, counts, batch).select(
         *batch, "part", "parsed_count", F.transform("__d", lambda e: e["d"]).alias("documents")
     )
 

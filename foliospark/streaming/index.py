@@ -14,12 +14,12 @@ def follow(chunks: DataFrame, out: str, chunk_id: str, text: str, *attributes: s
     spark = chunks.sparkSession
     ingest.open_table(spark, out, search.postings(chunks, chunk_id, text, *attributes).schema)
 
-    def each_batch(batch: DataFrame, batch_id: int) -> None:
+    def each_batch(batch: DataFrame, at: ingest.Batch) -> None:
         items = batch.dropDuplicates([chunk_id]).persist()
-        seen = seen_before(ingest.earlier(spark, out, batch_id), items, [chunk_id])
+        seen = seen_before(ingest.earlier(spark, out, at), items, [chunk_id])
         fresh = not_yet_done(items, seen, [chunk_id], unique=True)
-        ingest.save_batch(search.postings(fresh, chunk_id, text, *attributes), out, batch_id)
+        ingest.save_batch(search.postings(fresh, chunk_id, text, *attributes), out, at)
         items.unpersist()
 
     ingest.run(chunks, each_batch, checkpoint)
-    return spark.read.parquet(out).drop(ingest.BATCH)
+    return ingest.result_rows(spark, out)

@@ -1,11 +1,13 @@
 """Streams of new objects and idempotent, skip-existing processing.
 
-State lives in result tables, one folder per micro-batch. A repeated batch overwrites its own folder and ignores it
-when it looks for earlier work, so a lost driver or executor never leaves duplicates.
+State lives in result tables, one folder per run and micro-batch. A run is what one checkpoint location follows; a
+repeated batch of a run overwrites its own folder and ignores it when it looks for earlier work, so a lost driver or
+executor never leaves duplicates, and a run with another checkpoint adds to what earlier runs have left.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from ..operators.joins import not_yet_done, seen_before, with_status
 from ..session import fresh_path
 
-BATCH = "batch_id"
+RUN, BATCH = "run_id", "batch_id"
+Batch = tuple[str, int]
 
 
 def new_files(spark: SparkSession, folder: str, pattern: str = "*", text: bool = False) -> DataFrame:
@@ -34,11 +37,15 @@ def new_rows(
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
 
 
-def run(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append") -> None:
-    """Process everything that is there now, batch by batch, and return."""
+def run(stream: DataFrame, each_batch: Callable[[DataFrame, Batch], None], checkpoint: str | None = None, mode: str = "append") -> None:
+    """Process everything that is there now, batch by batch, and return.
+
+    ``each_batch`` gets the rows and the batch: the run's name, which the checkpoint location gives, and its number.
+    """
     checkpoint = checkpoint or fresh_path(stream.sparkSession, "stream-checkpoint")
+    name = "r" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     query = (
-        stream.writeStream.foreachBatch(each_batch).outputMode(mode).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(lambda rows, number: each_batch(rows, (name, number))).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -46,15 +53,21 @@ def run(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpo
 
 def open_table(spark: SparkSession, path: str, schema) -> None:
     """Make sure that a result table can be read before its first batch."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{BATCH}=-1")
+    save_batch(spark.createDataFrame([], schema), path, ("none", -1))
+
+
+def earlier(spark: SparkSession, path: str, batch: Batch) -> DataFrame:
+    """Rows that other batches and other runs have written."""
+    return spark.read.parquet(path).where((F.col(RUN) != batch[0]) | (F.col(BATCH) != batch[1]))
 
 
-def earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    return spark.read.parquet(path).where(F.col(BATCH) != batch_id)
+def save_batch(rows: DataFrame, path: str, batch: Batch) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/{RUN}={batch[0]}/{BATCH}={batch[1]}")
 
 
-def save_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+def result_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a result table, without the columns that name run and batch."""
+    return spark.read.parquet(path).drop(RUN, BATCH)
 
 
 def ingest(
@@ -70,16 +83,16 @@ def ingest(
     ``process`` gets the pending rows and returns them with ``ok`` (boolean) and ``error`` (text or null).
     """
 
-    def each_batch(batch: DataFrame, batch_id: int) -> None:
+    def each_batch(batch: DataFrame, at: Batch) -> None:
         spark = batch.sparkSession
         # Used several times; a lost block is recomputed from the batch.
         items = batch.dropDuplicates(keys).persist()
-        done = seen_before(earlier(spark, out, batch_id).where(F.col("status") == "success"), items, keys)
+        done = seen_before(earlier(spark, out, at).where(F.col("status") == "success"), items, keys)
         marked = with_status(items, done, keys, force, unique=True)
         worked = process(marked.where(F.col("status") == "pending"))
         tried = worked.select(*keys, F.when(F.col("ok"), "success").otherwise("failed").alias("status"), "error")
         skipped = marked.where(F.col("status") == "skipped").select(*keys, "status", F.lit("already_processed").alias("error"))
-        save_batch(tried.unionByName(skipped), out, batch_id)
+        save_batch(tried.unionByName(skipped), out, at)
         items.unpersist()
 
     run(stream, each_batch, checkpoint)
@@ -90,10 +103,10 @@ def keep_first(
 ) -> None:
     """Append each key once, in its first batch. ``reduce`` gives one row per key and merges repeats per task."""
 
-    def each_batch(batch: DataFrame, batch_id: int) -> None:
+    def each_batch(batch: DataFrame, at: Batch) -> None:
         items = reduce(batch).persist()
-        done = seen_before(earlier(batch.sparkSession, out, batch_id), items, keys)
-        save_batch(not_yet_done(items, done, keys, unique=True), out, batch_id)
+        done = seen_before(earlier(batch.sparkSession, out, at), items, keys)
+        save_batch(not_yet_done(items, done, keys, unique=True), out, at)
         items.unpersist()
 
     run(stream, each_batch, checkpoint)

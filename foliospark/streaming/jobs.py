@@ -22,13 +22,14 @@ def job_state(rows: DataFrame, job: str = "job_id", status: str = "status", time
         F.min(time).alias("started"),
         F.max_by(F.struct(F.col(status).alias("status")), F.struct(time, status))["status"].alias("last_status"),
         F.min(F.when(ends, F.struct(F.col(time).alias("at"), F.col(status).alias("status")))).alias("terminal"),
+        F.max(F.struct(F.col(time).alias("at"), F.col(status).alias("status"))).alias("last"),
     )
 
 
 def merged_states(states: DataFrame, job: str = "job_id") -> DataFrame:
-    """Newest state per job of a table that holds one row per job and changed batch."""
-    newest = F.max_by(F.struct("started", "last_status", "terminal"), ingest.BATCH).alias("s")
-    return states.groupBy(job).agg(newest).select(job, "s.*")
+    """State per job of a table that holds one row per job and changed batch, of any number of runs."""
+    last = F.max("last")["status"].alias("last_status")
+    return states.groupBy(job).agg(F.min("started").alias("started"), last, F.min("terminal").alias("terminal"))
 
 
 def outcomes(states: DataFrame, now: datetime, timeout_seconds: int = TIMEOUT_SECONDS) -> DataFrame:
@@ -43,5 +44,5 @@ def track(rows: DataFrame, out: str, checkpoint: str | None = None, **names: str
     """Stream job statuses into a state table; only changed jobs are written per batch."""
     state = job_state(rows, **names)
     ingest.open_table(rows.sparkSession, out, state.schema)
-    ingest.run(state, lambda batch, batch_id: ingest.save_batch(batch, out, batch_id), checkpoint, mode="update")
+    ingest.run(state, lambda batch, at: ingest.save_batch(batch, out, at), checkpoint, mode="update")
     return merged_states(rows.sparkSession.read.parquet(out), names.get("job", "job_id"))

@@ -22,7 +22,7 @@ def monitor(lines: DataFrame, out: str, time: str = "ts", checkpoint: str | None
         return rows.withColumn("first_seen", F.col("first_seen").cast("timestamp"))
 
     ingest.keep_first(lines, out, ["status", "file"], reduce, checkpoint)
-    return spark.read.parquet(out).drop(ingest.BATCH)
+    return ingest.result_rows(spark, out)
 
 
 def within_watermark(lines: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:

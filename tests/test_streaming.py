@@ -48,16 +48,28 @@ def test_force_never_skips(spark, tmp_path, inbox):
     put(inbox, "1.json", [{"key": "a"}])
     for n in ("c1", "c2"):
         ingest.ingest(stream(spark, inbox, "key string"), out, ["key"], no_failure, str(tmp_path / n), force=True)
-    assert [r["status"] for r in spark.read.parquet(out).collect()] == ["success"]
+    assert [r["status"] for r in spark.read.parquet(out).collect()] == ["success", "success"]
 
 
-def test_repeated_batch_leaves_no_duplicates(spark, tmp_path, inbox):
+def test_repeated_batch_leaves_no_duplicates(spark, tmp_path):
+    out, at = str(tmp_path / "out"), ("r1", 0)
+    ingest.open_table(spark, out, "key string")
+    rows = spark.createDataFrame([("a",), ("b",)], "key string")
+    for _ in range(2):  # a batch that is run again after a failure
+        assert ingest.earlier(spark, out, at).count() == 0
+        ingest.save_batch(rows, out, at)
+    assert sorted(r["key"] for r in ingest.result_rows(spark, out).collect()) == ["a", "b"]
+
+
+def test_another_checkpoint_keeps_earlier_results(spark, tmp_path, inbox):
     out = str(tmp_path / "out")
     ingest.open_table(spark, out, "key string, status string, error string")
     put(inbox, "1.json", [{"key": "a"}, {"key": "b"}])
-    for n in ("c1", "c2"):  # a new checkpoint replays batch 0
-        ingest.ingest(stream(spark, inbox, "key string"), out, ["key"], no_failure, str(tmp_path / n))
-    assert sorted(r["key"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    ingest.ingest(stream(spark, inbox, "key string"), out, ["key"], no_failure)
+    put(inbox, "2.json", [{"key": "b"}, {"key": "c"}])
+    ingest.ingest(stream(spark, inbox, "key string"), out, ["key"], no_failure)
+    got = sorted((r["key"], r["status"]) for r in ingest.result_rows(spark, out).collect())
+    assert got == [("a", "skipped"), ("a", "success"), ("b", "skipped"), ("b", "skipped"), ("b", "success"), ("c", "success")]
 
 
 def test_log_monitor_over_batches(spark, tmp_path, inbox):
