@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.session import durable
+
 from .common import process_cache, with_text_columns
 
 #: The word pattern of this vocabulary, and white space as Unicode defines it.
@@ -305,7 +307,16 @@ def frequent_words(df: DataFrame, text: str = "text", most: int = 50_000) -> lis
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["word", "n"])
 
     parts = df.select(F.col(f"`{text}`")).mapInArrow(count, "word string, n bigint")
-    top = parts.where(F.length("word") > 0).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    counted = durable(parts.where(F.length("word") > 0).groupBy("word").agg(F.sum("n").alias("n")))
+    # The least power of two that fewer words reach bounds what the tasks send for the final order.
+    sizes = {r["b"]: r["c"] for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    seen, bound = 0, 0
+    for b in sorted(sizes, reverse=True):
+        seen += sizes[b]
+        if seen >= most:
+            bound = b
+            break
+    top = counted.where(F.col("n") >= 2**bound).orderBy(F.desc("n"), "word").limit(most)
     return [r["word"] for r in top.collect()]
 
 

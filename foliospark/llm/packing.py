@@ -39,7 +39,7 @@ class WordIds(dict):
         self.tokenizer.no_padding()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece[-1] in ".,;:" and piece[:-1].isalpha():  # letters and a mark are words of their own
+        if piece[-1] in ".,;:" and piece[:-1].lower().isalpha():  # letters, lower-cased as well, and a mark are two words
             return self[piece[:-1]] + self[piece[-1]]
         made = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) < MEMO:

@@ -1,0 +1,19 @@
+import re
+
+import pytest
+
+#: Fixed small texts: near copies, odd ones, long ones.
+BASE = "the quick brown fox jumps over the lazy dog while seven other animals look on from the edge of the wood and wonder"
+
+
+@pytest.fixture
+def words():
+    return BASE.split()
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def split_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
