@@ -17,8 +17,23 @@ LINE_RULES = (
     ("attestation", "(?i)licen|copyright|permission"),
     ("figure", r"[(][^()]*[)]"),
 )
-# Chunk type per HTML element; other elements are left out.
-TAG_TYPES = {"h1": "title", "p": "text", "li": "marginalia", "title": "logo"}
+# Chunk type per HTML element; the text of other elements is of type text.
+TAG_TYPES = {
+    **{f"h{n}": "title" for n in range(1, 7)}, "title": "logo", "li": "marginalia", "footer": "marginalia", "nav": "marginalia",
+    "aside": "marginalia", "th": "table", "td": "table", "figcaption": "figure",
+}
+# Elements that begin and end a block; all others stand inside a line of text.
+BLOCKS = (
+    "address|article|aside|blockquote|body|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav"
+    "|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul"
+)
+# Elements whose content is no text of the page.
+UNSEEN = ("script", "style", "template", "noscript")
+# Named character references and their characters; any other name stays as it is.
+ENTITIES = {
+    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "\u00a9", "reg": "\u00ae", "middot": "\u00b7",
+    "hellip": "\u2026", "ndash": "\u2013", "mdash": "\u2014", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac", "amp": "&",
+}
 
 
 def line_type(line: Column) -> Column:
@@ -52,22 +67,46 @@ def text_chunks(body: Column, key: Column) -> Column:
     return F.transform(F.split(body, "\n"), chunk)
 
 
+def decoded_entities(body: Column) -> Column:
+    """Text with character references replaced, numeric ones first and the ampersand last."""
+
+    def number(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#([0-9]{1,7});", 1)
+        code = F.when(digits != "", digits.cast("int"))
+        letter = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.concat(letter, F.regexp_replace(piece, "^&#[0-9]+;", ""))).otherwise(piece)
+
+    numeric = F.array_join(F.transform(F.split(body, "(?=&#[0-9]{1,7};)"), number), "")
+    out = F.when(F.contains(body, F.lit("&#")), numeric).otherwise(body)
+    for name, character in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(character))
+    return out
+
+
 def page_chunks(html: Column, key: Column) -> Column:
-    """Array of chunk structs from the text-bearing elements of a page, in page order."""
-    names = "|".join(TAG_TYPES)
-    # Elements of these kinds do not nest, so a lazy match up to the next closing tag is one element.
-    found = F.regexp_extract_all(html, F.lit(rf"(?s)<(?:{names})(?:\s[^>]*)?>.*?</(?:{names})>"), F.lit(0))
+    """Array of chunk structs with every visible text of a page, in page order.
+
+    Comments, scripts and styles go first. The page is cut before every opening and closing block tag, so that an
+    element without its closing tag ends where the next block begins; a piece's type follows from the tag it begins
+    with. Line breaks become line ends, other tags vanish, character references are replaced, and blank pieces are left out.
+    """
+    seen = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
+    for name in UNSEEN:
+        seen = F.regexp_replace(seen, rf"(?is)<{name}\b[^>]*>.*?(?:</{name}\s*>|$)", "")
+    pieces = F.split(seen, rf"(?i)(?=</?(?:{BLOCKS})(?:[\s/][^>]*)?>)")
     kinds = F.create_map(*[F.lit(v) for pair in TAG_TYPES.items() for v in pair])
 
-    def chunk(element: Column, i: Column) -> Column:
-        tag = F.regexp_extract(element, r"^<([a-z0-9]+)", 1)
+    def read(piece: Column) -> Column:
+        tag = F.lower(F.regexp_extract(piece, r"^<([a-zA-Z0-9]+)", 1))
+        broken = F.regexp_replace(piece, r"(?i)<br\s*/?>", "\n")
         return F.struct(
-            F.concat_ws("-", key, i).alias("id"),
-            kinds[tag].alias("type"),
-            text.strip(F.regexp_replace(element, r"(?s)<[^>]*>", "")).alias("markdown"),
+            F.coalesce(kinds[tag], F.lit("text")).alias("type"),
+            text.strip(decoded_entities(F.regexp_replace(broken, r"(?s)<[a-zA-Z/!?][^>]*>", ""))).alias("markdown"),
         )
 
-    return F.transform(found, chunk)
+    filled = F.filter(F.transform(pieces, read), lambda c: c["markdown"] != "")
+    return F.transform(filled, lambda c, i: F.struct(F.concat_ws("-", key, i).alias("id"), c["type"].alias("type"), c["markdown"].alias("markdown")))
 
 
 def parse_documents(docs: DataFrame, key: str, body: str, filename: Column, version: str) -> DataFrame:

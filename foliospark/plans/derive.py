@@ -44,18 +44,29 @@ lines AS (
   FROM counted_lines)
 """
 
-# Elements of each page with tag, clean text and chunk type.
+# Visible pieces of each page with chunk type. The tags of blocks become line marks that the page is cut at.
 ELEMENTS = r"""
-raw_elements AS (
-  SELECT page_id, unnest(m) AS element, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS pos
-  FROM (SELECT page_id,
-          regexp_extract_all(html, '(?s)<(?:h1|p|li|title)(?:\s[^>]*)?>.*?</(?:h1|p|li|title)>', 0) AS m FROM pages)),
+visible AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+    '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g') AS body FROM pages),
+cut AS (
+  SELECT page_id, string_split(regexp_replace(body,
+    '(?i)<(/?)(address|article|aside|blockquote|body|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\s/][^>]*)?>',
+    chr(1) || '\1\2' || chr(2), 'g'), chr(1)) AS parts FROM visible),
+pieces AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut),
+read AS (
+  SELECT page_id, i, lower(CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 1) ELSE '' END) AS tag,
+    regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 2) ELSE part END,
+      '(?i)<br\s*/?>', chr(10), 'g'), '(?s)<[a-zA-Z/!?][^>]*>', '', 'g'), '^\s+|\s+$', '', 'g') AS raw
+  FROM pieces),
 elements AS (
-  SELECT page_id, pos, page_id || '-' || pos AS chunk_id,
-    CASE regexp_extract(element, '^<([a-z0-9]+)', 1) WHEN 'h1' THEN 'title' WHEN 'p' THEN 'text'
-         WHEN 'li' THEN 'marginalia' ELSE 'logo' END AS type,
-    regexp_replace(regexp_replace(element, '(?s)<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g') AS content
-  FROM raw_elements)
+  SELECT page_id, pos, page_id || '-' || pos AS chunk_id, type, content FROM (
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS BIGINT) AS pos,
+      CASE WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN 'title' WHEN tag = 'title' THEN 'logo'
+           WHEN tag IN ('li', 'footer', 'nav', 'aside') THEN 'marginalia' WHEN tag IN ('td', 'th') THEN 'table'
+           WHEN tag = 'figcaption' THEN 'figure' ELSE 'text' END AS type,
+      replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS content
+    FROM read WHERE raw <> ''))
 """
 
 
