@@ -109,12 +109,15 @@ def page_chunks(html: Column, key: Column) -> Column:
     return F.transform(filled, lambda c, i: F.struct(F.concat_ws("-", key, i).alias("id"), c["type"].alias("type"), c["markdown"].alias("markdown")))
 
 
-def parse_documents(docs: DataFrame, key: str, body: str, filename: Column, version: str) -> DataFrame:
-    """Parse response per document: chunks, whole markdown, metadata and grounding, without any shuffle."""
+def parse_documents(docs: DataFrame, key: str, body: str, filename: Column, version: str, *keep: str) -> DataFrame:
+    """Parse response per document: chunks, whole markdown, metadata and grounding, without any shuffle.
+
+    The columns ``keep`` of the documents stay.
+    """
     key_text = F.col(key).cast("string")
     lines = F.size(F.split(F.col(body), "\n"))
     pages = F.ceil(lines / LINES_PER_PAGE).cast("int")
-    chunks = docs.select(key, F.col(body).alias("markdown"), filename.alias("filename"), pages.alias("page_count"),
+    chunks = docs.select(key, *keep, F.col(body).alias("markdown"), filename.alias("filename"), pages.alias("page_count"),
                          text_chunks(F.col(body), key_text).alias("chunks"))
     kind = F.create_map(
         *[F.lit(v) for pair in {
@@ -135,7 +138,7 @@ def parse_documents(docs: DataFrame, key: str, body: str, filename: Column, vers
         )
     )
     return chunks.select(
-        key, "chunks", "markdown",
+        key, *keep, "chunks", "markdown",
         F.struct(
             "filename", "page_count", F.lit(version).alias("version"),
             (F.length("markdown") * 10).cast("bigint").alias("duration_ms"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from .arrays import unnest
-from .joins import null_safe_join, spread_join
+from .joins import left_join_spreading_nulls, null_safe_join, spread_join
 from .ordered import first_rows
 
 
@@ -70,7 +70,7 @@ def find_companies(requested: DataFrame, tickers: DataFrame, companies: DataFram
     known = companies.select("cik", "company_name")
     direct = known.select(F.col("cik").alias("__direct"), F.col("company_name").alias("__direct_name"))
     by_map = known.select(F.col("cik").alias("__cik"), F.col("company_name").alias("__name"))
-    both = mapped.join(by_map, "__cik", "left").withColumn("__direct", values.zero_pad(F.col("ticker")))
+    both = left_join_spreading_nulls(mapped, by_map, "__cik").withColumn("__direct", values.zero_pad(F.col("ticker")))
     both = both.join(direct, "__direct", "left")
     missing = F.col("__name").isNull() & F.col("__direct_name").isNull()
     return both.select(

@@ -13,10 +13,11 @@ KEYS = ("RUN_ID", "INVOICE_UUID", "DOCUMENT_NAME", "PARSER_VERSION")
 ITEM_FIELDS = ("line_number", "sku", "description", "quantity", "unit_price", "price", "amount", "total")
 
 
-def stamp_keys(df: DataFrame, run_id: str, document: Column, version: Column) -> DataFrame:
-    """Four leading key columns; the document key is a digest, so a rerun gives the same keys."""
+def stamp_keys(df: DataFrame, run_id: str, document: Column, version: Column, identity: Column | None = None) -> DataFrame:
+    """Four leading key columns; the document key is a digest of ``identity`` (else of the name), so a rerun gives the same keys."""
+    identity = document if identity is None else identity
     return df.select(
-        F.lit(run_id).alias("RUN_ID"), F.sha2(document, 256).alias("INVOICE_UUID"), document.alias("DOCUMENT_NAME"),
+        F.lit(run_id).alias("RUN_ID"), F.sha2(identity, 256).alias("INVOICE_UUID"), document.alias("DOCUMENT_NAME"),
         version.alias("PARSER_VERSION"), "*",
     )
 
@@ -56,10 +57,15 @@ def pair_results(parsed: DataFrame, extracted: DataFrame, key: str) -> DataFrame
     return parsed.join(extracted, key)
 
 
-def invoice_tables(paired: DataFrame, run_id: str) -> dict[str, DataFrame]:
-    """Four tables over one parent with ``chunks, markdown, metadata, extraction``."""
+def invoice_tables(paired: DataFrame, run_id: str, key: str) -> dict[str, DataFrame]:
+    """Four tables over one parent with ``chunks, markdown, metadata, extraction``.
+
+    A document without a name is identified by ``key``, so that no two of them share their rows.
+    """
+    name = F.col("metadata.filename")
     keyed = stamp_keys(
-        paired, run_id, F.coalesce("metadata.filename", F.lit("unknown")), F.coalesce("metadata.version", F.lit("unknown"))
+        paired, run_id, F.coalesce(name, F.lit("unknown")), F.coalesce("metadata.version", F.lit("unknown")),
+        F.coalesce(name, F.concat_ws("/", F.lit(run_id), F.col(key).cast("string"))),
     )
     return {
         "markdown": markdown_rows(keyed),

@@ -60,6 +60,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, meet, how).drop(*[f"__right_{k}" for k in keys])
 
 
+def left_join_spreading_nulls(left: DataFrame, right: DataFrame, key: str, tasks: int = 4096) -> DataFrame:
+    """Left join in which the rows without a key, which match nothing, do not all meet in one task."""
+    plain = [f"`{c}`" for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*plain), F.lit(tasks).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+    other = right.withColumn("__spread", F.lit(0).cast("bigint"))
+    return left.withColumn("__spread", spread).join(other, [key, "__spread"], "left").drop("__spread")
+
+
 def seen_before(done: DataFrame, work: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of ``work`` that are in ``done``. A short work list is broadcast, so the long table is scanned in place."""
     return sized_join(done.select(*keys), work.select(*keys).distinct(), keys, "left_semi").distinct()

@@ -51,6 +51,11 @@ def files_per_status(lines: DataFrame) -> DataFrame:
     return lines.groupBy("status").agg(F.countDistinct("file").alias("files"))
 
 
+def file_lists(lines: DataFrame) -> DataFrame:
+    """The files of each status, one row for each, so that no list is a value of unbounded size."""
+    return lines.where(F.col("status").isNotNull()).select("status", "file").distinct()
+
+
 def success_totals(rows: DataFrame, ok: Column, *by: str) -> DataFrame:
     counts = [F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed")]
     return (rows.groupBy(*by).agg(*counts) if by else rows.agg(*counts)).withColumn(

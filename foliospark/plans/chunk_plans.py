@@ -113,9 +113,8 @@ def chunk_statistics(spark, folder):
     FROM lines GROUP BY doc_id""",
 )
 def parse_summary(spark, folder):
-    kinds = table(spark, folder, "documents").select("doc_id", F.nullif("lang", F.lit("es")).alias("doc_type"))
-    stats = chunks.document_statistics(derive.parsed(spark, folder), "doc_id", "metadata").join(kinds, "doc_id")
-    rows = chunks.parse_summary(stats.withColumn("name", F.col("metadata.filename")), "name", F.col("doc_type"))
+    stats = chunks.document_statistics(derive.parsed(spark, folder, "lang"), "doc_id", "metadata", "lang")
+    rows = chunks.parse_summary(stats.withColumn("name", F.col("metadata.filename")), "name", F.nullif("lang", F.lit("es")))
     return rows.select("File", "Type", *[F.col(c).cast("bigint").alias(c) for c in ("Pages", "Chunks", "Tables", "Figures")])
 
 
@@ -158,7 +157,7 @@ def typed_page_chunks(spark, folder):
 )
 def canonical_chunks(spark, folder):
     # English documents arrive in the older shape, the others in the newer; both end on one struct.
-    p = derive.parsed(spark, folder).join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
+    p = derive.parsed(spark, folder, "lang")
     plain = F.transform(
         "chunks",
         lambda c: F.struct(

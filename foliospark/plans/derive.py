@@ -20,9 +20,9 @@ def filename():
     return F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
 
 
-def parsed(spark: SparkSession, folder: str) -> DataFrame:
+def parsed(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     docs = spread_scan(table(spark, folder, "documents"), "doc_id")
-    return chunks.parse_documents(docs, "doc_id", "text", filename(), VERSION)
+    return chunks.parse_documents(docs, "doc_id", "text", filename(), VERSION, *keep)
 
 
 # Lines of each document with clean text, word count and chunk type.

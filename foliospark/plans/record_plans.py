@@ -67,7 +67,7 @@ def invoice_line_items(spark, folder):
     UNION ALL SELECT 'invoice_line_items', count(*), CAST(sum(length(line)) AS BIGINT) FROM own""",
 )
 def four_tables(spark, folder):
-    tables = invoices.invoice_tables(stored_pairs(spark, folder), "run-1")
+    tables = invoices.invoice_tables(stored_pairs(spark, folder), "run-1", "doc_id")
     text = {"markdown": "MARKDOWN", "parsed_chunks": "text", "invoices_main": "INVOICE_NUMBER", "invoice_line_items": "DESCRIPTION"}
     parts = [
         df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text[name])).alias("size")).select(F.lit(name).alias("part"), "n", "size")
@@ -83,7 +83,7 @@ def four_tables(spark, folder):
     FROM invoices i JOIN lines l ON i.doc_id = l.doc_id GROUP BY 1, 2""",
 )
 def paired_tables(spark, folder):
-    tables = invoices.invoice_tables(stored_pairs(spark, folder), "run-1")
+    tables = invoices.invoice_tables(stored_pairs(spark, folder), "run-1", "doc_id")
     # Items shrink to one row per invoice before the join with the header table.
     items = tables["invoice_line_items"].groupBy("RUN_ID", "INVOICE_UUID").agg(
         F.count(F.lit(1)).alias("items"), F.sum("QUANTITY").alias("quantity")

@@ -83,7 +83,7 @@ def chunk_csv_separate(spark, folder):
 )
 def four_table_export(spark, folder):
     # The four writes read one written parent instead of parsing four times.
-    written = sinks.write_tables(invoices.invoice_tables(stored_pairs(spark, folder), "run-1"), fresh_path(spark, "tables"))
+    written = sinks.write_tables(invoices.invoice_tables(stored_pairs(spark, folder), "run-1", "doc_id"), fresh_path(spark, "tables"))
     counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, p in written.items()]
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 

@@ -42,6 +42,11 @@ def files_per_status(spark, folder):
     return summaries.files_per_status(summaries.classified(derive.log_lines(spark, folder)))
 
 
+@query("a6_file_lists", f"WITH {derive.LOG} SELECT DISTINCT status, file FROM log WHERE status IS NOT NULL")
+def file_lists(spark, folder):
+    return summaries.file_lists(summaries.classified(derive.log_lines(spark, folder)))
+
+
 @query(
     "x3_first_seen",
     f"WITH {derive.LOG} SELECT status, file, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM log WHERE status IS NOT NULL GROUP BY 1, 2",

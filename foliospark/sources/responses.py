@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import paths
 from ..operators.arrays import unnest
+from ..operators.joins import left_join_spreading_nulls
 
 
 def read_responses(spark: SparkSession, folder: str, schema: str = schemas.PARSE_RESPONSE, pattern: str = "*.json") -> DataFrame:
@@ -92,7 +93,7 @@ def resolved_results(jobs: DataFrame, linked: DataFrame) -> DataFrame:
 
     ``linked`` has ``output_url, linked_markdown`` and one row per url.
     """
-    rows = jobs.join(linked, "output_url", "left")
+    rows = left_join_spreading_nulls(jobs, linked, "output_url")
     inline = F.col("data").isNotNull()
     markdown = F.when(inline, F.col("data.markdown")).otherwise(F.col("linked_markdown"))
     result = (

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import filings, flatten, ordered, search
+from foliospark.operators import filings, flatten, invoices, ordered, search
+from foliospark.operators.joins import left_join_spreading_nulls
 from foliospark.sources import sinks
 
 
@@ -86,3 +87,17 @@ def test_fields_of_two_types_become_text(spark):
     rows = spark.createDataFrame([(1, "A", '{"x":"one"}'), (2, "B", '{"x":2,"y":3}'), (3, "C", "{}")], "id int, kind string, j string")
     got = flatten.read_by_type(rows, "j", "kind", {"A": "x string", "B": "x bigint, y bigint"}).orderBy("id").collect()
     assert [(r["x"], r["y"], r["known_type"]) for r in got] == [("one", None, True), ("2", 3, True), (None, None, False)]
+
+
+def test_left_join_keeps_rows_without_a_key(spark):
+    left = spark.createDataFrame([(None if i % 2 else f"k{i % 4}", i) for i in range(100)], "k string, i int")
+    right = spark.createDataFrame([("k0", "zero"), (None, "never")], "k string, r string")
+    got = left_join_spreading_nulls(left, right, "k").collect()
+    assert sorted((r["i"], r["r"]) for r in got) == [(i, "zero" if i % 4 == 0 else None) for i in range(100)]
+
+
+def test_unnamed_documents_do_not_share_keys(spark):
+    parsed = "struct<filename: string, version: string>"
+    docs = spark.createDataFrame([(i, (None, "v")) for i in range(3)], f"doc_id int, metadata {parsed}")
+    keyed = invoices.stamp_keys(docs, "r", F.lit("unknown"), F.lit("v"), F.coalesce("metadata.filename", F.concat_ws("/", F.lit("r"), F.col("doc_id"))))
+    assert keyed.select("INVOICE_UUID").distinct().count() == 3
