@@ -34,6 +34,13 @@ def postings(chunks: DataFrame, chunk_id: str, text: str, *attributes: str) -> D
     return unnest_fields(counted, [chunk_id, *attributes, "length"], F.col("terms"), "term")
 
 
+def text_sizes(chunks: DataFrame, text: str) -> tuple[int, float]:
+    """Number of chunks with words and mean chunk length, from the chunks themselves and without a shuffle of them."""
+    words = F.size(tokens(F.col(text)))
+    row = chunks.select(words.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
+    return row[0], (row[1] or 0) / max(row[0], 1)
+
+
 def corpus_size(index: DataFrame, chunk_id: str) -> tuple[int, float]:
     """Number of chunks with words and mean chunk length: two numbers."""
     total = F.sum("tf").alias("t")
@@ -56,19 +63,21 @@ def one_query(spark, text: str, query_id: int = 0) -> DataFrame:
 
 
 def bm25(
-    index: DataFrame, terms: DataFrame, size: int, mean_length: float, query_id: str, chunk_id: str, most_terms: int = 200_000
+    index: DataFrame, terms: DataFrame, size: int, mean_length: float, query_id: str, chunk_id: str, most_terms: int = 200_000,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Score of every chunk that shares a term with a query.
 
     Only postings of the queries' words are kept (a counted word list is broadcast). They are then spread by
     chunk, never by term: a chunk meets its queries and is summed in one task, and a frequent word is no hot spot.
+    ``frequencies`` (term, df) are those of the whole corpus where ``index`` is a part of it; else they are counted.
     """
     # One count over the queries bounds both the word list and the weights, which have a row per query and word.
     small = terms.limit(most_terms + 1).count() <= most_terms
     words = terms.select("term").distinct()
     wanted = index.join(F.broadcast(words) if small else words, "term", "left_semi")
     weight = F.log(1 + (F.lit(float(size)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(term_frequencies(wanted), "term").select("term", query_id, weight.alias("idf"))
+    weighted = terms.join(term_frequencies(wanted) if frequencies is None else frequencies, "term").select("term", query_id, weight.alias("idf"))
     spread = wanted.select("term", "tf", "length", chunk_id).repartition(chunk_id)
     hits = spread.join(F.broadcast(weighted), "term") if small else spread_join(spread, weighted, ["term"], spread_by=[chunk_id])
     length_norm = F.lit(1.0 - B) + F.lit(B) * F.col("length") / F.lit(float(mean_length))
@@ -78,9 +87,10 @@ def bm25(
 
 
 def search(
-    index: DataFrame, size: int, mean_length: float, queries: DataFrame, query_id: str, text: str, chunk_id: str
+    index: DataFrame, size: int, mean_length: float, queries: DataFrame, query_id: str, text: str, chunk_id: str,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
-    return bm25(index, query_terms(queries, query_id, text), size, mean_length, query_id, chunk_id)
+    return bm25(index, query_terms(queries, query_id, text), size, mean_length, query_id, chunk_id, frequencies=frequencies)
 
 
 def top_chunks(scores: DataFrame, query_id: str, chunk_id: str, limit: int) -> DataFrame:

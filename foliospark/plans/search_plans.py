@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -22,23 +25,40 @@ def chunk_table(spark, folder):
     )
 
 
-def stored_chunks(spark, folder):
-    """The chunk table as a written table, where both the index and the projected columns come from it."""
-    path = fresh_path(spark, "chunks")
-    chunk_table(spark, folder).write.parquet(path)
-    return spark.read.parquet(path)
+@dataclass(frozen=True)
+class SearchTables:
+    """Written tables of one corpus: chunks, postings and word frequencies, with the two sizes that scores need."""
+
+    chunks: DataFrame
+    index: DataFrame
+    frequencies: DataFrame
+    size: int
+    mean_length: float
+
+    def scored(self, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
+        """Scores of the chunks in ``index``, a part of this one or all of it."""
+        part = self.index if index is None else index
+        return search.search(part, self.size, self.mean_length, queries, "query_id", "text", "chunk_id", self.frequencies)
+
 
+_BUILT: dict[tuple[str, str], SearchTables] = {}
 
-def stored_index(spark, folder, chunk_rows=None):
-    """The search index as a written table: built once, read by every later step of the query."""
-    path = fresh_path(spark, "search-index")
-    rows = chunk_table(spark, folder) if chunk_rows is None else chunk_rows
-    search.postings(rows, "chunk_id", "content", "doc_id", "chunk_type").write.parquet(path)
-    return spark.read.parquet(path)
 
+def search_tables(spark, folder) -> SearchTables:
+    """Search tables of a folder, built by the first question of an application and used by all later ones.
 
-def scored(index, queries):
-    return search.search(index, *search.corpus_size(index, "chunk_id"), queries, "query_id", "text", "chunk_id")
+    The folder's files are taken not to change while the application runs.
+    """
+    built = (spark.sparkContext.applicationId, folder)
+    if built not in _BUILT:
+        path = fresh_path(spark, "search")
+        chunk_table(spark, folder).write.parquet(f"{path}/chunks")
+        rows = spark.read.parquet(f"{path}/chunks")
+        search.postings(rows, "chunk_id", "content", "doc_id", "chunk_type").write.parquet(f"{path}/postings")
+        index = spark.read.parquet(f"{path}/postings")
+        search.term_frequencies(index).write.parquet(f"{path}/frequencies")
+        _BUILT[built] = SearchTables(rows, index, spark.read.parquet(f"{path}/frequencies"), *search.text_sizes(rows, "content"))
+    return _BUILT[built]
 
 
 TOKENS = f"""{derive.LINES},
@@ -75,10 +95,10 @@ def index_terms(spark, folder):
     FROM scores JOIN lines USING (chunk_id) ORDER BY rank LIMIT 10""",
 )
 def text_search(spark, folder):
-    rows = stored_chunks(spark, folder)
-    scores = scored(stored_index(spark, folder, rows), search.one_query(spark, ONE_TEXT))
+    tables = search_tables(spark, folder)
+    scores = tables.scored(search.one_query(spark, ONE_TEXT))
     top = search.best_rows(scores, "chunk_id", 10).withColumn("rank", F.col("rank").cast("bigint"))
-    return search.with_attributes(top, rows, "chunk_id", "doc_id", "chunk_type", "content")
+    return search.with_attributes(top, tables.chunks, "chunk_id", "doc_id", "chunk_type", "content")
 
 
 @query(
@@ -89,7 +109,7 @@ def text_search(spark, folder):
 )
 def batch_search(spark, folder):
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scores = scored(stored_index(spark, folder), queries)
+    scores = search_tables(spark, folder).scored(queries)
     return search.top_chunks(scores, "query_id", "chunk_id", 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -106,8 +126,7 @@ def batch_search(spark, folder):
       CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM fused JOIN documents USING (doc_id) ORDER BY rank LIMIT 5""",
 )
 def hybrid_search(spark, folder):
-    index = stored_index(spark, folder)
-    scores = scored(index, search.one_query(spark, ONE_TEXT))
+    scores = search_tables(spark, folder).scored(search.one_query(spark, ONE_TEXT))
     owner = F.substring_index("chunk_id", "-", 1).cast("bigint")
     by_doc = scores.groupBy(owner.alias("doc_id")).agg(F.max("score").alias("score"))
     vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
@@ -133,10 +152,10 @@ def hybrid_search(spark, folder):
 )
 def structured_first(spark, folder):
     # The entity rows come first; only their chunks are ranked, tables and figures ahead of text.
-    index = stored_index(spark, folder)
+    tables = search_tables(spark, folder)
     chosen = table(spark, folder, "labels").where("quality = 0").select("doc_id").distinct()
-    scores = scored(index, search.one_query(spark, ONE_TEXT))
-    kinds = index.join(chosen, "doc_id", "left_semi").select("chunk_id", "chunk_type").distinct()
+    scores = tables.scored(search.one_query(spark, ONE_TEXT), tables.index.join(chosen, "doc_id", "left_semi"))
+    kinds = tables.chunks.select("chunk_id", "chunk_type")
     hits = search.boosted(scores.join(kinds, "chunk_id").select("chunk_id", "chunk_type", "score"), "chunk_type")
     order = [F.desc("boost"), F.desc("score"), F.col("chunk_id")]
     top = hits.orderBy(*order).limit(10)
@@ -169,9 +188,9 @@ def best_per_chunk(spark, folder):
       chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS answer FROM top JOIN lines USING (chunk_id)""",
 )
 def rendered_answer(spark, folder):
-    rows = stored_chunks(spark, folder)
-    scores = scored(stored_index(spark, folder, rows), search.one_query(spark, ONE_TEXT))
-    hits = search.with_attributes(search.best_rows(scores, "chunk_id", 5), rows, "chunk_id", "doc_id", "content")
+    tables = search_tables(spark, folder)
+    scores = tables.scored(search.one_query(spark, ONE_TEXT))
+    hits = search.with_attributes(search.best_rows(scores, "chunk_id", 5), tables.chunks, "chunk_id", "doc_id", "content")
     files = table(spark, folder, "documents").select("doc_id", derive.filename().alias("source"))
     return search.rendered(search.with_attributes(hits, files, "doc_id", "source"), ONE_TEXT)
 
