@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..functions import paths, text, values
 from ..operators import chunks, provenance
-from ..session import table
+from ..session import fresh_path, table
+from ..sources import responses, sinks
 from . import derive
 from .registry import query
 
@@ -57,12 +57,13 @@ def chunk_text(spark, folder):
     FROM lines GROUP BY doc_id, filename""",
 )
 def parse_response_scan(spark, folder):
-    raw = derive.parsed(spark, folder).select(F.to_json(F.struct("chunks", "markdown", "metadata", "grounding")).alias("j"))
-    r = raw.select(F.from_json("j", schemas.PARSE_RESPONSE).alias("r"))
+    # One response in each file, as the service leaves them.
+    rows = derive.parsed(spark, folder).select(F.col("doc_id").alias("document"), "chunks", "markdown", "metadata", "grounding")
+    r = responses.read_responses(spark, sinks.write_json(rows, fresh_path(spark, "responses"), by="document"))
     return r.select(
-        F.col("r.metadata.filename").alias("filename"), F.size("r.chunks").cast("bigint").alias("chunks"),
-        F.length("r.markdown").cast("bigint").alias("markdown_length"),
-        F.col("r.metadata.page_count").cast("bigint").alias("page_count"), F.col("r.metadata.version").alias("version"),
+        F.col("metadata.filename").alias("filename"), F.size("chunks").cast("bigint").alias("chunks"),
+        F.length("markdown").cast("bigint").alias("markdown_length"),
+        F.col("metadata.page_count").cast("bigint").alias("page_count"), F.col("metadata.version").alias("version"),
     )
 
 

@@ -13,37 +13,43 @@ from .record_plans import nested_orders, stored_pairs
 from .registry import query
 
 
+def stem():
+    """Name of a document's own result files."""
+    return F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("stem")
+
+
 @query(
     "k1_json_results",
-    f"""WITH {derive.LINES} SELECT source, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents, CAST(count(*) AS BIGINT) AS chunks FROM lines GROUP BY 1""",
+    f"""WITH {derive.LINES} SELECT 'doc_' || doc_id AS stem, any_value(filename) AS filename, CAST(count(*) AS BIGINT) AS chunks,
+      sha256(string_agg(line, chr(10) ORDER BY pos)) AS markdown FROM lines GROUP BY doc_id""",
 )
 def json_results(spark, folder):
-    rows = derive.parsed(spark, folder).withColumn("source", F.substring_index("metadata.filename", "/", 1))
-    path = sinks.write_json(rows.drop("doc_id"), fresh_path(spark, "json-results"), by="source")
-    back = spark.read.schema(f"{schemas.PARSE_RESPONSE}, source string").json(path)
-    return back.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("chunks")).alias("chunks"))
+    rows = derive.parsed(spark, folder).select(stem(), "chunks", "markdown", "metadata", "grounding")
+    path = sinks.write_json(rows, fresh_path(spark, "json-results"), by="stem")
+    back = spark.read.schema(f"{schemas.PARSE_RESPONSE}, stem string").json(path)
+    return back.select("stem", F.col("metadata.filename").alias("filename"), F.size("chunks").cast("bigint").alias("chunks"), F.sha2("markdown", 256).alias("markdown"))
 
 
 @query(
     "k2_markdown_files",
-    f"WITH {derive.LINES} SELECT source, line, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY 1, 2",
+    f"WITH {derive.LINES} SELECT 'doc_' || doc_id AS stem, line, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY 1, 2",
 )
 def markdown_files(spark, folder):
-    rows = table(spark, folder, "documents").select("source", "text")
-    path = sinks.write_text(rows, fresh_path(spark, "markdown"), "text", by="source")
-    back = spark.read.text(path)
-    return back.groupBy("source", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, folder, "documents").select(stem(), "text")
+    path = sinks.write_text(rows, fresh_path(spark, "markdown"), "text", by="stem")
+    back = spark.read.schema("value string, stem string").text(path)
+    return back.groupBy("stem", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "s6_markdown_scan",
-    "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS characters FROM documents GROUP BY source",
+    "SELECT 'doc_' || doc_id AS stem, sha256(text || chr(10)) AS content FROM documents",
 )
 def markdown_scan(spark, folder):
-    rows = table(spark, folder, "documents").select("source", "text")
-    path = sinks.write_text(rows, fresh_path(spark, "markdown"), "text", by="source", most_rows=10_000)
-    files = listings.read_markdown(spark, path, "*.txt")
-    return files.groupBy("source").agg(F.sum(F.length("content")).alias("characters"))
+    # One document in each file, read as a whole.
+    rows = table(spark, folder, "documents").select(stem(), "text")
+    path = sinks.write_text(rows, fresh_path(spark, "markdown"), "text", by="stem")
+    return listings.read_markdown(spark, path, "*.txt").select("stem", F.sha2("content", 256).alias("content"))
 
 
 def _csv(spark, path, schema):

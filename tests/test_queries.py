@@ -12,7 +12,7 @@ def test_query_matches_sql(spark, con, folder, name):
     df = QUERIES[name](spark, folder)
     assert name in SQL
     # The only query that may be empty on so little data lists absent companies of few, rich orders.
-    assert compare(df, con, SQL[name]) in (None, "no rows")
+    assert compare(df, con, SQL[name]) in ((None, "no rows") if name == "x1_absent_companies" else (None,))
 
 
 def test_contract(spark):
