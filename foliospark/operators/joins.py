@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAVY_KEYS = 1000
-
 
 def heavy_keys(df: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
-    """Keys above ``rows_per_task`` rows with the number of salts each needs; never more than HEAVY_KEYS rows.
+    """Keys above ``rows_per_task`` rows with the number of salts each needs.
 
-    Later keys need no salt: each holds less than one thousandth of the rows.
+    There are at most as many as the rows divided by ``rows_per_task``: half a million for 10^12 rows.
     """
     counts = df.where(F.col(keys[0]).isNotNull()).groupBy(*keys).count()
-    heavy = counts.where(F.col("count") > rows_per_task).orderBy(F.desc("count"), *keys).limit(HEAVY_KEYS)
+    heavy = counts.where(F.col("count") > rows_per_task)
     return heavy.select(*keys, F.ceil(F.col("count") / rows_per_task).cast("int").alias("__salts"))
 
 
@@ -32,7 +30,7 @@ def spread_join(
     ``spread_by`` (the left row's own identity), so a recomputed task gives the same rows.
     """
     found = heavy_keys(left, keys, rows_per_task)
-    rows = found.collect()  # at most HEAVY_KEYS
+    rows = found.collect()  # one row for every ``rows_per_task`` rows at most
     if not rows:
         return left.join(right, keys, how)
     heavy = F.broadcast(left.sparkSession.createDataFrame(rows, found.schema))

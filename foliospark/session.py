@@ -36,10 +36,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread_scan(df: DataFrame, key: str) -> DataFrame:
     """Spread a scan of fewer tasks than cores over all cores, by its unique key, before costly text work.
 
-    A small table in one row group is read by one task. A large table has more splits than cores and is left as is.
+    A small table in one row group is read by one task. Only a local session does this, where all rows stay in one
+    process; on a cluster a table is read in its splits (``spark.sql.files.maxPartitionBytes``) and not shuffled for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    context = df.sparkSession.sparkContext
+    cores = context.defaultParallelism
+    return df.repartition(cores, key) if context.master.startswith("local[") and df.rdd.getNumPartitions() < cores else df
 
 
 _OWN_FOLDERS: dict[str, str] = {}
