@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from .arrays import unnest
-from .joins import left_join_spreading_nulls, null_safe_join, spread_join
+from .joins import left_join_spreading_nulls, null_safe_join
 from .ordered import first_rows
 
 
@@ -160,8 +160,4 @@ def types_with_samples(filings: DataFrame, n: int = 3) -> DataFrame:
     """Filings per type with the first ``n`` as samples."""
     counts = filings.groupBy("form_type").agg(F.count(F.lit(1)).alias("filings"))
     sample = first_rows(filings, ["form_type"], [F.desc("filing_date"), F.col("accession_number")], n)
-    return sample.select("form_type", "rank", "filing_date", "accession_number").join(counts, "form_type")
-
-
-def filings_of(filings: DataFrame, companies: DataFrame) -> DataFrame:
-    return spread_join(filings, companies, ["cik"], spread_by=["accession_number"])
+    return sample.select("form_type", "rank", "filing_date", "accession_number").join(counts, "form_type")
\ No newline at end of file

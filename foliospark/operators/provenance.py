@@ -57,14 +57,6 @@ def with_colours(grounds: DataFrame, colours: DataFrame) -> DataFrame:
     )
 
 
-def field_references(df: DataFrame, key: str, metadata: str, fields: list[str]) -> DataFrame:
-    """One row per field with its reference array, from a record whose leaves are ``{value, references}``."""
-    entries = F.array(
-        *[F.struct(F.lit(f).alias("field"), F.col(f"{metadata}.{f}.references").alias("references")) for f in fields]
-    )
-    return unnest(df, [key], entries, "place", "e").select(key, "e.field", "e.references")
-
-
 def _placed_references(df: DataFrame, key: str, metadata: str, fields: list[str], grounding: str, first: bool) -> DataFrame:
     """References with their grounding, looked up inside the row before it is unfolded; the map is not copied along."""
 
@@ -101,10 +93,6 @@ def all_references(paired: DataFrame, key: str, metadata: str, fields: list[str]
     return rows.select(key, "field", "position", "ground_id", "g.page", "g.type", "g.box")
 
 
-def reference_lists(references: DataFrame, key: str) -> DataFrame:
-    return references.select(key, "field", F.concat_ws(", ", "references").alias("chunks"))
-
-
 def extract_fields(parsed: DataFrame, key: str, rules: dict[str, tuple[str, str]], keep: list[str] | None = None) -> DataFrame:
     """Typed record and provenance from declarative rules ``field -> (pattern with one group, Spark type)``.
 
