@@ -142,7 +142,7 @@ def entity_report(filings: DataFrame, entity: list[str], downloaded: str, latest
     )
     listed = recent.groupBy(*entity).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
     texts = listed.select(*entity, F.array_join(F.transform("l", lambda e: e["line"]), "; ").alias("recent_filings"))
-    return counts.join(texts, entity).withColumn(
+    return null_safe_join(counts, texts, entity).withColumn(
         "success_rate", values.percent(F.col("download_count"), F.col("filing_count"))
     )
 

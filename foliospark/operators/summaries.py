@@ -31,6 +31,12 @@ def recent(events: DataFrame, time: str, now: datetime, pattern: str | None = No
     return rows.where(F.col("message").contains(pattern)) if pattern else rows
 
 
+def matches(events: DataFrame, time: str, now: datetime, patterns: list[str], **span: int) -> DataFrame:
+    """Rows of the look-back window with ``pattern``, once for each pattern that their message has, in one pass."""
+    hits = F.array_compact(F.array(*[F.when(F.col("message").contains(p), F.lit(p)) for p in patterns]))
+    return recent(events, time, now, **span).withColumn("pattern", F.explode(hits))
+
+
 def classified(events: DataFrame, message: str = "message") -> DataFrame:
     """Status and file name per log line; lines without a marker drop."""
     text = F.col(message)

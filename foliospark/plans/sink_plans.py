@@ -157,13 +157,20 @@ def summary_csv(spark, folder):
 
 @query(
     "k9_filing_results",
-    f"""WITH {derive.FILINGS} SELECT cik || ': filings ' || count(*) || ', downloaded ' || count(*) FILTER (downloaded) || ' (' ||
-      format('{{:.1f}}', round(count(*) FILTER (downloaded)::DOUBLE / count(*)::DOUBLE * 100, 6)) || '%)' AS line FROM filings GROUP BY cik""",
+    f"""WITH {derive.FILINGS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession_number) AS rank FROM filings),
+    asked AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik FROM customer)
+    SELECT cik || ': filings ' || count(*) || ', downloaded ' || count(*) FILTER (downloaded) || ' (' ||
+      format('{{:.1f}}', round(count(*) FILTER (downloaded)::DOUBLE / count(*)::DOUBLE * 100, 6)) || '%)' AS line FROM filings GROUP BY cik
+    UNION ALL SELECT cik || ': recent ' || string_agg(form_type || ' - ' || filing_date || ' (Year: ' || year || ', Q' || quarter || ')', '; ' ORDER BY rank)
+      AS line FROM ranked WHERE rank <= 3 GROUP BY cik
+    UNION ALL SELECT 'error: no filings for ' || cik AS line FROM asked WHERE cik NOT IN (SELECT cik FROM filings)""",
 )
 def filing_results(spark, folder):
     report = filings.entity_report(derive.filings(spark, folder), ["cik"], "downloaded")
     data = fresh_path(spark, "filing-results")
     sinks.write_json(report, f"{data}/json")
     stored = spark.read.schema(report.schema).json(f"{data}/json")
-    sinks.report_lines(stored, "cik").write.text(f"{data}/report")
+    asked = table(spark, folder, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("cik"))
+    absent = filings.absent_from(asked, stored, ["cik"]).select(F.concat(F.lit("no filings for "), F.col("cik")).alias("error"))
+    sinks.report_lines(stored, "cik", absent).write.text(f"{data}/report")
     return spark.read.text(f"{data}/report").select(F.col("value").alias("line"))

@@ -28,10 +28,7 @@ def count_by_group(spark, folder):
 )
 def log_scan(spark, folder):
     lines = derive.log_lines(spark, folder)
-    both = [
-        summaries.recent(lines, "ts", NOW, p, hours=240).select("event_id", F.lit(p).alias("pattern")) for p in ("REPORT", "ERROR")
-    ]
-    return both[0].union(both[1])
+    return summaries.matches(lines, "ts", NOW, ["REPORT", "ERROR"], hours=240).select("event_id", "pattern")
 
 
 @query(

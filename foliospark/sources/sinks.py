@@ -89,11 +89,14 @@ def envelopes(docs: DataFrame, batch: list[str], order: str, order_value: Column
     )
 
 
-def report_lines(report: DataFrame, name: str) -> DataFrame:
-    """Text lines of a per-entity report."""
-    return report.select(
+def report_lines(report: DataFrame, name: str, errors: DataFrame | None = None) -> DataFrame:
+    """Text lines of a per-entity report: counts, the recent filings, and one line for each row of ``errors`` (``error``)."""
+    recent = report.select(F.concat(F.col(name), F.lit(": recent "), F.col("recent_filings")).alias("value"))
+    counts = report.select(
         F.concat(
             F.col(name), F.lit(": filings "), F.col("filing_count").cast("string"), F.lit(", downloaded "),
             F.col("download_count").cast("string"), F.lit(" ("), F.format_number("success_rate", 1), F.lit("%)"),
         ).alias("value")
     )
+    lines = counts.union(recent)
+    return lines if errors is None else lines.union(errors.select(F.concat(F.lit("error: "), F.col("error")).alias("value")))
