@@ -65,7 +65,7 @@ elements AS (
       CASE WHEN tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6') THEN 'title' WHEN tag = 'title' THEN 'logo'
            WHEN tag IN ('li', 'footer', 'nav', 'aside') THEN 'marginalia' WHEN tag IN ('td', 'th') THEN 'table'
            WHEN tag = 'figcaption' THEN 'figure' ELSE 'text' END AS type,
-      replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS content
+      replace(replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS content
     FROM read WHERE raw <> ''))
 """
 
