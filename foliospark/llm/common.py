@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import sys
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
@@ -44,20 +42,23 @@ def with_text_columns(
     return df.select(*kept, udf(F.col(f"`{text}`")).alias("__made")).select(*kept, *(F.col(f"__made.{n}").alias(n) for n in names))
 
 
-def empty_like(df: DataFrame, columns: dict[str, str]) -> T.StructType:
-    """Schema of ``df`` with further columns."""
-    return T.StructType(df.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in columns.items()])
-
-
 def fold_of(key: Column, folds: int) -> Column:
     """Fold of a row: crc32 of its key as text, modulo ``folds``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(folds)
 
 
-def fold_of_value(key, folds: int) -> int:
-    return zlib.crc32(str(key).encode()) % folds
-
-
 def process_cache() -> dict:
     """What a Python worker keeps from task to task: loaded vocabularies and bounded memos."""
     return vars(sys).setdefault("_foliospark_cache", {})
+
+
+def lowest_keys(df: DataFrame, key: str, most: int, rows: int, margin: int = 2) -> DataFrame:
+    """At most ``most`` keys of ``df``, those of the lowest hashes; ``rows`` is how many rows to expect before any filter.
+
+    Only keys below a hash bound that ``margin`` times as many rows can be expected to meet are sorted, so that the final
+    order reads a bounded number of them, not some of every task. Null keys are left out, repeated ones count once.
+    """
+    found = df.select(F.col(f"`{key}`").alias(key)).where(F.col(key).isNotNull())
+    if rows > 2 * margin * most:
+        found = found.where(F.xxhash64(key) < F.lit(int(-(2**63) + 2**64 * (margin * most / rows))))
+    return found.distinct().orderBy(F.xxhash64(key), key).limit(most)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from foliospark.session import durable
 
+from .common import lowest_keys
+
 #: What separates words, and the characters that count as symbols.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -179,7 +181,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     Rows with a null key or label teach nothing; without labelled rows of both kinds there is no rule.
     """
     known = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label is not null").dropDuplicates(["__id"])
-    chosen = F.broadcast(known.orderBy(F.xxhash64("__id"), "__id").limit(most))
+    keys = lowest_keys(known, "__id", most, known.count())
+    chosen = F.broadcast(known.join(F.broadcast(keys), "__id"))  # at most ``most`` rows
     texts = df.join(chosen, F.col(key) == F.col("__id")).select("__id", "label", F.col(text).alias("__text"))
     made = statistics(texts.select(F.struct("__id", "label").alias("k"), "__text"), "k", "__text")
     rows = durable(made).where(~base_failed()).select("k.__id", F.when(F.col("k.label") == 0, 1).otherwise(0).alias("bad"), *(c.alias(n) for n, c in ratios().items()))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import durable
 
-from .common import fold_of, with_text_columns
+from .common import fold_of, lowest_keys, with_text_columns
 
 _WORDS = re.compile(r"[^\W\d_]+")
 MEMO = 300_000
@@ -135,9 +135,8 @@ def fit(
     if not total["p"]:
         return Model({}, -60.0, 0.0)
     prior = total["p"] / total["n"]
-    draw = lambda df, n: df.orderBy(F.xxhash64(key), key).limit(n)
-    toxic = draw(known.where("y = 1").select(key).distinct(), most_positive).withColumn("__toxic", F.lit(True))
-    others = draw(docs.select(key).where(F.col(key).isNotNull() & train_fold), most_unlabelled).distinct().withColumn("__any", F.lit(True))
+    toxic = lowest_keys(known.where("y = 1"), key, most_positive, total["p"]).withColumn("__toxic", F.lit(True))
+    others = lowest_keys(docs.where(train_fold), key, most_unlabelled, docs.count()).withColumn("__any", F.lit(True))
     chosen = durable(toxic.join(others, key, "full"))  # at most most_positive + most_unlabelled keys
     rows = docs.select(F.col(key), F.col(text).alias("__text")).where(F.col("__text").isNotNull()).join(F.broadcast(chosen), key)
 
@@ -158,8 +157,9 @@ def fit(
     numbered = made.withColumn("__row", F.monotonically_increasing_id())
     pairs = numbered.select("__row", "__toxic", "__any", F.explode("__features").alias("f")).join(F.broadcast(ids), "f")
     lists = pairs.groupBy("__row", "__toxic", "__any").agg(F.collect_list("i").alias("at")).collect()  # bounded by the sample
-    positive = [np.array(r["at"], np.int32) for r in lists if r["__toxic"]]
-    unlabelled = [np.array(r["at"], np.int32) for r in lists if r["__any"]]
+    # Sorted, so that the order in which tasks end does not change the model.
+    positive = [np.array(x, np.int32) for x in sorted(tuple(sorted(r["at"])) for r in lists if r["__toxic"])]
+    unlabelled = [np.array(x, np.int32) for x in sorted(tuple(sorted(r["at"])) for r in lists if r["__any"])]
     none = np.zeros(0, np.int32)
     positive += [none] * (sizes["p"] - len(positive))
     unlabelled += [none] * (sizes["u"] - len(unlabelled))
