@@ -18,7 +18,7 @@ from foliospark.session import durable
 
 from .common import process_cache, with_text_columns
 
-MEMO = 800_000
+MEMO = 500_000
 #: White space as Unicode and the tokenizers define it; Python's own ``split`` has four control characters more.
 EXTRA_SPACE = "\x1c\x1d\x1e\x1f"
 
