@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.session import table
 
-from . import bpe, chat, language, neighbours, packing, pii, quality, simhash, toxicity, url_filter
+from . import bpe, chat, collocations, infill, language, neighbours, packing, pii, quality, sentencepieces, simhash, toxicity, url_filter
 from .common import fold_of
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,6 +167,80 @@ def op9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *quality.BASE, quality.base_failed().alias("base_failed"))
 
 
+@_query("op11_chunk_table_pieces")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return sentencepieces.digests(docs, vocabulary("piece_bpe_32k.model"))
+
+
+@_query(
+    "op12_skip_list_infill",
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+            sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x
+        FROM documents
+    ),
+    h AS (
+        SELECT doc_id, t, u, len(u) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2,
+            CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4
+        FROM d
+    ),
+    c AS (
+        SELECT doc_id, t, n, array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+            array_to_string(u[1 + least(h1 % (n + 1), h2 % (n + 1)):greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+            array_to_string(u[1 + greatest(h1 % (n + 1), h2 % (n + 1)):], '') AS s,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+        FROM h
+    )
+    SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM c
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    made = infill.transformed(documents(spark, folder).select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+@_query(
+    "op13_toivonen_phrases",
+    r"""
+    WITH s AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s
+        FROM documents
+    ),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(s, '[\x20\x09]+'), lambda x: x <> '') AS w FROM s),
+    n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+    g AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+    ),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+    inside AS (
+        SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+        FROM (SELECT lang, a, k, string_split(phrase, ' ') AS w FROM f WHERE k >= 3), (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i)
+        WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+    ),
+    open_ AS (SELECT f.* FROM f LEFT JOIN inside USING (lang, phrase) WHERE k >= 2 AND NOT coalesce(100 * most >= 80 * a, false)),
+    cuts AS (SELECT lang, phrase, a, k, c, string_split(phrase, ' ') AS w FROM open_, (SELECT unnest([1, 2, 3]) AS c) WHERE c < k),
+    told AS (
+        SELECT cuts.lang, cuts.phrase, cuts.a, c, x.a AS l, y.a AS r, CAST((CAST(2000000 AS HUGEINT) * cuts.a) // (x.a + y.a) AS BIGINT) AS score
+        FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:c], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[c + 1:], ' ')
+    ),
+    best AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM best JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline

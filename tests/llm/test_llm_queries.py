@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_simhash_components": ["doc_id", "fingerprint", "component_id"],
     "op9_decision_list": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"],
     "op10_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op11_chunk_table_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12_skip_list_infill": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13_toivonen_phrases": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
