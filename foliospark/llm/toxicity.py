@@ -68,6 +68,48 @@ class Model:
         return score
 
 
+Part = tuple[np.ndarray, np.ndarray, int]
+
+
+def _gathered(rows: list[np.ndarray]) -> Part:
+    """Feature lists as flat indices: row of each feature, features, number of rows."""
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(rows)), [len(p) for p in rows]), flat.astype(np.int64), len(rows)
+
+
+def _values(w: np.ndarray, part: Part) -> np.ndarray:
+    own, flat, n = part
+    return np.bincount(own, w[flat], n) + w[-1]
+
+
+def _push(part: Part, slope: np.ndarray, to: np.ndarray) -> None:
+    own, flat, _ = part
+    to[:-1] += np.bincount(flat, slope[own], len(to) - 1)
+    to[-1] += slope.sum()
+
+
+def clean_risk(w: np.ndarray, positive: Part, unlabelled: Part, prior: float) -> float:
+    """Estimated risk on clean text: that of unlabelled text as clean, less the toxic share's."""
+    return float(np.logaddexp(0, _values(w, unlabelled)).mean() - prior * np.logaddexp(0, _values(w, positive)).mean())
+
+
+def toxic_risk(w: np.ndarray, positive: Part, prior: float) -> float:
+    """Risk on confirmed toxic text, by its share."""
+    return float(prior * np.logaddexp(0, -_values(w, positive)).mean())
+
+
+def direction(w: np.ndarray, positive: Part, unlabelled: Part, prior: float, beta: float = 0.0) -> np.ndarray:
+    """Gradient of the sum of both risks; that of minus the clean risk alone where this one is below minus ``beta``."""
+    sp, su = (1 / (1 + np.exp(-np.clip(_values(w, part), -60, 60))) for part in (positive, unlabelled))
+    grad = np.zeros_like(w)
+    sign = 1.0 if clean_risk(w, positive, unlabelled, prior) >= -beta else -1.0
+    if sign > 0:
+        _push(positive, prior * (sp - 1) / positive[2], grad)  # toxic examples should score high
+    _push(unlabelled, sign * su / unlabelled[2], grad)  # unlabelled ones low
+    _push(positive, -sign * prior * sp / positive[2], grad)  # but for the share of them that is toxic
+    return grad
+
+
 def train(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, epochs: int = 40, batches: int = 8, rate: float = 0.05, decay: float = 1e-4, seed: int = 3
 ) -> tuple[np.ndarray, float]:
@@ -75,40 +117,12 @@ def train(
     rng = np.random.default_rng(seed)
     w = np.zeros(size + 1)  # the last one is the bias
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-    beta = 0.0
-
-    def gather(rows: list[np.ndarray], chosen: np.ndarray):
-        parts = [rows[i] for i in chosen]
-        own = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return own, flat.astype(np.int64), len(parts)
-
-    def values(part):
-        own, flat, n = part
-        return np.bincount(own, w[flat], n) + w[-1]
-
-    def push(part, slope, to):
-        own, flat, _ = part
-        to[:-1] += np.bincount(flat, slope[own], size)
-        to[-1] += slope.sum()
-
     for _ in range(epochs):
         p_deal, u_deal = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
         for p_rows, u_rows in zip(np.array_split(p_deal, batches), np.array_split(u_deal, batches), strict=True):
             if not len(p_rows) or not len(u_rows):
                 continue
-            p, u = gather(positive, p_rows), gather(unlabelled, u_rows)
-            gp, gu = values(p), values(u)
-            sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-            clean = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            grad = np.zeros_like(w)
-            if clean >= -beta:
-                push(p, prior * (sp - 1) / len(gp), grad)  # toxic examples should score high
-                push(u, su / len(gu), grad)  # unlabelled ones low
-                push(p, -prior * sp / len(gp), grad)  # but for the share of them that is toxic
-            else:
-                push(u, -su / len(gu), grad)
-                push(p, prior * sp / len(gp), grad)
+            grad = direction(w, _gathered([positive[i] for i in p_rows]), _gathered([unlabelled[i] for i in u_rows]), prior)
             grad[:-1] += decay * w[:-1]
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -153,16 +167,15 @@ def fit(
     deviation = F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
     marked = counts.where(F.col("p") >= least).withColumn("z", F.abs(F.try_divide(F.col("p") / n_p - F.col("u") / n_u, deviation)))
     names = [r["f"] for r in marked.where(F.col("z") >= significance).orderBy(F.desc("z"), "f").limit(vocabulary).collect()]
-    ids = made.sparkSession.createDataFrame(list(enumerate(names)), "i int, f string")
-    numbered = made.withColumn("__row", F.monotonically_increasing_id())
-    pairs = numbered.select("__row", "__toxic", "__any", F.explode("__features").alias("f")).join(F.broadcast(ids), "f")
-    lists = pairs.groupBy("__row", "__toxic", "__any").agg(F.collect_list("i").alias("at")).collect()  # bounded by the sample
+    ids = {name: i for i, name in enumerate(names)}  # at most ``vocabulary`` names
+
+    def numbers(texts: list[str]):
+        return [[sorted(ids[f] for f in t.split(" ") if f in ids) for t in texts]]
+
+    lists = with_text_columns(made.withColumn("__features", F.array_join("__features", " ")), "__features", {"at": "array<bigint>"}, lambda: numbers).select("__toxic", "__any", "at").collect()  # bounded by the sample
     # Sorted, so that the order in which tasks end does not change the model.
-    positive = [np.array(x, np.int32) for x in sorted(tuple(sorted(r["at"])) for r in lists if r["__toxic"])]
-    unlabelled = [np.array(x, np.int32) for x in sorted(tuple(sorted(r["at"])) for r in lists if r["__any"])]
-    none = np.zeros(0, np.int32)
-    positive += [none] * (sizes["p"] - len(positive))
-    unlabelled += [none] * (sizes["u"] - len(unlabelled))
+    positive = [np.array(x, np.int32) for x in sorted(r["at"] for r in lists if r["__toxic"])]
+    unlabelled = [np.array(x, np.int32) for x in sorted(r["at"] for r in lists if r["__any"])]
     w, bias = train(positive, unlabelled, len(names), prior, **training)
     return Model(dict(zip(names, w.tolist(), strict=True)), bias, prior)
 

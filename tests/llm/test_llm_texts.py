@@ -191,3 +191,37 @@ def test_personal_data(spark):
     assert all(not plain_rules(t or "") for t in clean.values())
     assert pii.fit(frame.where("doc_id = 102")) is None and pii.fit(frame.limit(0)) is None
     assert pii.personal_data(frame.limit(0), None).count() == 0
+
+
+def test_positive_unlabelled_risk_against_plain_sums():
+    rng = np.random.default_rng(1)
+    rows = lambda n: [np.unique(rng.integers(0, 6, rng.integers(0, 5))).astype(np.int32) for _ in range(n)]
+    positive, unlabelled, prior = rows(9), rows(14), 0.3
+    p, u = toxicity._gathered(positive), toxicity._gathered(unlabelled)
+
+    def value(w, row):
+        return w[-1] + sum(w[i] for i in row)
+
+    def plain(w):
+        loss = lambda x: np.log1p(np.exp(x))
+        toxic = prior * sum(loss(-value(w, r)) for r in positive) / 9
+        clean = sum(loss(value(w, r)) for r in unlabelled) / 14 - prior * sum(loss(value(w, r)) for r in positive) / 9
+        return toxic, clean
+
+    for scale in (0.1, 3.0):
+        w = rng.normal(size=7) * scale
+        toxic, clean = plain(w)
+        assert np.isclose(toxicity.toxic_risk(w, p, prior), toxic) and np.isclose(toxicity.clean_risk(w, p, u, prior), clean)
+        for aim, beta in ((lambda x: sum(plain(x)), 1e9), (lambda x: -plain(x)[1], -1e9)):
+            steps = [(aim(w + 1e-6 * e) - aim(w - 1e-6 * e)) / 2e-6 for e in np.eye(7)]
+            assert np.allclose(toxicity.direction(w, p, u, prior, beta), steps, atol=1e-5)
+
+
+def test_toxicity_scores_equal_plain_sums(spark):
+    model = toxicity.Model({"bad": 2.0, "badl+": 1.0, "bad+": 9.0, "ok": -1.5}, -0.5, 0.1)
+    texts = [None, "", "bad ok", "badly bad BAD!", "ok,ok ok", "bad " * 50_000, "émile 7 bad_ok"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, score string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for i, t in enumerate(texts):
+        total = model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.text_features(t or ""))
+        assert np.isclose(got[i], 1 / (1 + np.exp(-total))), t
