@@ -7,6 +7,8 @@ dealt by hash, so that no task sees more than a bounded number of pieces; the wi
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 
 import numpy as np
@@ -18,38 +20,64 @@ from foliospark.session import durable
 
 from .common import process_cache, with_text_columns
 
-MEMO = 500_000
+#: Bytes that a worker remembers of pieces, with about so many for each entry besides its strings.
+MEMO_BYTES, ENTRY_BYTES = 128 << 20, 200
 #: White space as Unicode and the tokenizers define it; Python's own ``split`` has four control characters more.
 EXTRA_SPACE = "\x1c\x1d\x1e\x1f"
+#: Marks that the vocabulary's pattern parts from the letters before them.
+MARKS = ".,;:"
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of white-space-separated pieces as little-endian 32-bit numbers.
 
-    The vocabulary drops white space and no token crosses it, so that a text's ids are those of its pieces in a row.
-    At most MEMO pieces are remembered.
+    The vocabulary drops white space and no token crosses it, so that a text's ids are those of its pieces in a row. New
+    pieces of some texts are encoded together, each once; letters before a mark stand for themselves, and those of ASCII
+    in lower case, as the vocabulary has them. What is remembered is bounded in bytes and begun anew when it is full.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, most_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece[-1] in ".,;:" and piece[:-1].lower().isalpha():  # letters, lower-cased as well, and a mark are two words
-            return self[piece[:-1]] + self[piece[-1]]
-        made = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < MEMO:
-            self[piece] = made
-        return made
-
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in EXTRA_SPACE):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        self.most_bytes = most_bytes
+        self.ids: dict[str, bytes] = {}
+        self.size = 0
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self.ids[piece] = ids
+        self.size += len(piece) + len(ids) + ENTRY_BYTES
+
+    def add(self, pieces: set[str]) -> None:
+        """Encodes the pieces that are not known yet."""
+        parts: dict[str, tuple[str, str]] = {}
+        for piece in pieces.difference(self.ids):
+            body, mark = (piece[:-1], piece[-1]) if piece[-1] in MARKS and piece[:-1].lower().isalpha() else (piece, "")
+            parts[piece] = (body.lower() if body.isascii() and body.isalpha() else body, mark)
+        new = sorted({x for part in parts.values() for x in part if x}.difference(self.ids))
+        for start in range(0, len(new), 4096):
+            some = new[start : start + 4096]
+            for piece, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = made.ids
+                self._keep(piece, struct.pack(f"<{len(ids)}I", *ids))
+        for piece, (body, mark) in parts.items():
+            if piece != body:
+                self._keep(piece, self.ids[body] + self.ids[mark] if mark else self.ids[body])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text."""
+        if self.size > self.most_bytes:
+            self.ids, self.size = {}, 0
+        cut = [None if any(c in t for c in EXTRA_SPACE) else t.split() for t in texts]
+        self.add(set().union(*(c for c in cut if c)))
+        found = self.ids.__getitem__
+        return [self._whole(t) if c is None else b"".join(map(found, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 def tokenized_pieces(df: DataFrame, vocabulary: str, text: str = "text", window: int = 4096, end_id: int = 2) -> DataFrame:
@@ -61,13 +89,14 @@ def tokenized_pieces(df: DataFrame, vocabulary: str, text: str = "text", window:
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         cache = process_cache()
         words = cache.get(("ids", vocabulary)) or cache.setdefault(("ids", vocabulary), WordIds(vocabulary))
 
         def work(texts: list[str]):
             counts, sums = [], []
-            for t in texts:
-                ids = words.encode(t) + end
+            for ids in words.encode(texts):
+                ids += end
                 counts.append(len(ids) // 4)
                 sums.append([zlib.crc32(ids[a : a + 4 * window]) for a in range(0, len(ids), 4 * window)])
             return [counts, sums]
@@ -136,8 +165,9 @@ def pack(pieces: DataFrame, keys: list[str], window: int = 4096, group_pieces: i
     """``pieces`` with ``sequence_id`` and ``offset``: every window is gapless from 0 and holds at most ``window`` ids.
 
     Pieces are dealt by a hash of ``keys`` to groups of about ``group_pieces``; a group packs on its own, and its number
-    is in the upper half of the sequence id. Pieces of no length are not packed (null id). No piece gives no row. Columns
-    of ``pieces`` with the names of new ones are replaced.
+    is in the upper half of the sequence id. Pieces with equal keys share a group, so ``keys`` should tell most of them
+    apart. Pieces of no or null length are not packed (null id and offset). No piece gives no row. Columns of ``pieces``
+    with the names of new ones are replaced.
     """
     pieces = pieces.drop(*(c for c in pieces.columns if c.lower() in ("sequence_id", "offset", "__group")))
     groups = max(1, -(-pieces.count() // group_pieces))
@@ -146,9 +176,13 @@ def pack(pieces: DataFrame, keys: list[str], window: int = 4096, group_pieces: i
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(keys, kind="stable", ignore_index=True)
-        own, offset = best_fit_decreasing(frame["length"].to_numpy().astype(np.int64), window)
-        frame["sequence_id"] = (int(frame["__group"].iloc[0]) << 32) + own
-        frame["offset"] = offset
+        lengths = frame["length"].fillna(0).to_numpy().astype(np.int64)
+        some = lengths > 0
+        own, offset = np.zeros((2, len(frame)), np.int64)
+        own[some], offset[some] = best_fit_decreasing(lengths[some], window)
+        frame["sequence_id"] = pd.array((int(frame["__group"].iloc[0]) << 32) + own, "Int64")
+        frame["offset"] = pd.array(offset, "Int64")
+        frame.loc[~some, ["sequence_id", "offset"]] = pd.NA
         return frame.drop(columns="__group")
 
     return dealt.groupBy("__group").applyInPandas(fill, f"{fields}, sequence_id bigint, offset bigint")
@@ -160,8 +194,10 @@ def packed_documents(df: DataFrame, vocabulary: str, key: str = "doc_id", text:
     Null and empty texts have one id. Rows that repeat a key are packed one by one; a null key is kept. Texts are
     tokenized once, and only the lengths of pieces are shuffled.
     """
-    pieces = durable(tokenized_pieces(df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")), vocabulary, "__text", window, end_id))
-    return pack(pieces, ["__key", "start"], window).withColumnRenamed("__key", key)
+    pieces = tokenized_pieces(df.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")), vocabulary, "__text", window, end_id)
+    # Written once with the pieces: a number that tells rows of equal or null keys apart, the same however often a task runs.
+    numbered = durable(pieces.withColumn("__row", F.monotonically_increasing_id()))
+    return pack(numbered, ["__key", "start", "__row"], window).drop("__row").withColumnRenamed("__key", key)
 
 
 def padding(packed: DataFrame, window: int = 4096) -> DataFrame:

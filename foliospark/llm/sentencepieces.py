@@ -59,7 +59,7 @@ class ChunkTable:
 
     def add(self, names: set[str]) -> None:
         """Segments the chunks that the table lacks, each once."""
-        new = sorted(names - self.ids.keys())
+        new = sorted(names.difference(self.ids))
         if not new:
             return
         ids = self.model.encode(new, num_threads=1)

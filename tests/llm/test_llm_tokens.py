@@ -134,3 +134,34 @@ def test_events_fold_and_digests(spark):
     assert all(len(whole[k]) == told[k]["formatted_chars"] for k in told)
     assert whole[1] == "<s>[INST] ho [/INST]</s><s>c<\\s></s>"
     assert chat.digests(chat.render(chat.fold_events(events.limit(0)))).count() == 0
+
+
+def test_many_rows_without_a_key_are_dealt_to_many_groups(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, f"a {i % 7}") for i in range(3000)] + [(5, "b")] * 1000, "doc_id bigint, text string")
+    pack = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda pieces, keys, window: pack(pieces, keys, window, group_pieces=250))
+    got = packing.packed_documents(docs, vocabulary("word_bpe_49k.json"), window=64).collect()
+    sizes = {}
+    for r in got:
+        sizes[r["sequence_id"] >> 32] = sizes.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(got) == 4000 and len(sizes) == 16 and max(sizes.values()) < 500
+
+
+def test_pieces_of_no_length_are_not_packed(spark):
+    pieces = spark.createDataFrame([(1, 0), (2, 5), (3, None), (4, 59)], "k int, length long")
+    got = {r["k"]: (r["sequence_id"], r["offset"]) for r in packing.pack(pieces, ["k"], 64).collect()}
+    assert got[1] == got[3] == (None, None) and got[2][0] == got[4][0] and {got[2][1], got[4][1]} == {0, 59}
+
+
+def test_word_ids_equal_the_library_and_stay_bounded():
+    path = vocabulary("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(4)
+    parts = ["a", "The", "ING", "s", "é", "É", "İ", "ſ", "K", "中", "'s", "'S", ".", ",", ";", "!", "0", " ", "  ", "\n", "\t", "\x1c", "\x85", "😀", "ǅ", "ß", "́", "ª", "<|endoftext|>"]
+    some = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(4000)]
+    for most in (1 << 30, 5000):
+        words = packing.WordIds(path, most)
+        for start in range(0, len(some), 50):
+            got = words.encode(some[start : start + 50])
+            assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some[start : start + 50]]
+            assert words.size < most + 50 * 12 * 300
