@@ -28,10 +28,11 @@ from foliospark.session import durable
 from .common import lowest_keys
 
 LONGEST = 4
-#: Bytes of text that a task counts at once; a longer text is counted by itself.
-SLICE_BYTES = 24 << 20
+#: Bytes of text that a task cuts into words at once, and words that it counts at once; a longer text is cut by itself.
+SLICE_BYTES, COUNTED_WORDS = 4 << 20, 2_000_000
 #: What parts pieces, what parts words; only A-Z are lower-cased.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + b".,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
+_BLANK, _END = 32, 10
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -41,39 +42,58 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_digests(words: list[bytes], group: str) -> np.ndarray:
-    """64-bit digests of words of one group (language)."""
+_LETTERS = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
+
+
+def word_digests(raw: bytes, group: str) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit digest of each word of translated bytes, and the number of pieces that ended before it.
+
+    A digest depends on the word and the group (language) alone: a polynomial of random values of its bytes.
+    """
     import xxhash
 
-    seed = xxhash.xxh32_intdigest(group)
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+    data = np.frombuffer(raw, np.uint8)
+    ends = data == _END
+    gap = ends | (data == _BLANK)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True]))))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    powers = np.multiply.accumulate(np.full(lengths.max(), _ODD))
+    sums = np.add.reduceat(_LETTERS[data[~gap]] * powers[place], first)
+    return _mixed(sums ^ np.uint64(xxhash.xxh64_intdigest(group))), np.cumsum(ends)[starts]
+
+
+def _level(digest: np.ndarray, k: int) -> np.ndarray:
+    """The digest that is counted: its lowest bits tell the phrase's length."""
+    return _mixed(digest) & ~np.uint64(3) | np.uint64(k - 1)
+
+
+def grown(own: np.ndarray, digest: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Digests of the phrases of ``k`` words at some positions, from those of one word less and of words."""
+    return _mixed(digest[at]) * _ODD + own[at + k - 1]
 
 
 class Grams:
-    """Word sequence of some texts of one group, with digests and exact numbers of its phrases by length."""
+    """Word sequence of some texts of one group: exact numbers of words, pieces, and digests."""
 
     def __init__(self, texts: list[bytes], group: str):
-        numbers: dict[bytes, int] = {b"\n": 0}
+        numbers = _Numbers({b"\n": 0})
         joined = b"\n".join(texts).translate(_TABLE).replace(b"\n", b" \n ")
-        told = np.fromiter((numbers.setdefault(w, len(numbers)) for w in joined.split(b" ") if w), np.int64)
-        piece = np.cumsum(told == 0)
+        told = np.fromiter(map(numbers.__getitem__, filter(None, joined.split(b" "))), np.int64)
         inside = told != 0
-        self.ids, self.piece = told[inside] - 1, piece[inside]
+        self.ids, self.piece = told[inside] - 1, np.cumsum(~inside)[inside]
         del numbers[b"\n"]
         self.words = list(numbers)
-        self.digests = word_digests(self.words, group)
+        self.own = word_digests(b" ".join(self.words), group)[0][self.ids]
+
 
-    def levels(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length: the length, whether a phrase of it begins at a position, and its digest."""
-        own = self.digests[self.ids]
-        digest = own.copy()
-        yield 1, np.ones(len(own), bool), _mixed(digest)
-        for k in range(2, LONGEST + 1):
-            if len(own) < k:
-                return
-            digest = _mixed(digest[:-1]) * _ODD + own[k - 1 :]
-            yield k, self.piece[: len(digest)] == self.piece[k - 1 :], _mixed(digest)
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 class Family:
@@ -89,20 +109,39 @@ class Family:
         return (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
-    """Texts by group, some at a time."""
-    held: dict[str, list[bytes]] = {}
-    size = 0
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Some texts of one group at a time."""
+    held: dict[str, tuple[list[bytes], list[int]]] = {}
     for batch in batches:
         for group, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if raw := text.as_buffer():
-                held.setdefault(group, []).append(raw.to_pybytes())
-                size += len(raw) + 1
-                if size > SLICE_BYTES:
-                    yield held
-                    held, size = {}, 0
-    if held:
-        yield held
+            raw = text.as_buffer()
+            if raw is None or not raw.size:
+                continue
+            texts, size = held.setdefault(group, ([], [0]))
+            if texts and size[0] + raw.size > SLICE_BYTES:
+                yield group, texts
+                texts, size = held[group] = ([], [0])
+            texts.append(raw.to_pybytes())
+            size[0] += raw.size
+    for group, (texts, _) in held.items():
+        yield group, texts
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word digests and piece numbers of many texts of one group at a time."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def told(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        shift = np.cumsum([0, *(int(p[-1]) + 1 if len(p) else 0 for _, p in parts)])
+        return np.concatenate([d for d, _ in parts]), np.concatenate([p + n for (_, p), n in zip(parts, shift, strict=False)])
+
+    for group, texts in _slices(batches):
+        parts = held.setdefault(group, [])
+        parts.append(word_digests(b"\n".join(texts).translate(_TABLE), group))
+        if sum(len(d) for d, _ in parts) > COUNTED_WORDS:
+            yield told(held.pop(group))
+    for parts in held.values():
+        yield told(parts)
 
 
 def _pairs(frame: DataFrame, group: str, text: str) -> DataFrame:
@@ -119,21 +158,25 @@ def _count_digests(texts: DataFrame, least: int, known: np.ndarray | None, befor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, then = (Family(t, bits) for t in shared.value)
-        for held in _slices(batches):
-            for group, part in held.items():
-                grams = Grams(part, group)
-                inner = inner_before = None  # whether the phrase of one word less at a position is in the families
-                for k, begins, digest in grams.levels():
-                    if k == 1:
-                        wanted = begins if then.table is None else np.zeros(len(begins), bool)
-                    else:
-                        n = len(digest)
-                        wanted = begins & (all_phrases | inner[:n] & inner[1 : n + 1]) & ~(inner_before[:n] & inner_before[1 : n + 1])
-                    found, times = np.unique(digest[wanted], return_counts=True)
-                    for start in range(0, len(found), 1 << 17):
-                        cut = slice(start, start + (1 << 17))
-                        yield pa.RecordBatch.from_arrays([pa.array(found[cut].view(np.int64)), pa.array(times[cut].astype(np.int64))], names=["h", "n"])
-                    inner, inner_before = now.holds(digest) & begins, then.holds(digest) & begins
+        for own, piece in _sequences(batches):
+            digest = own.copy()
+            at = np.arange(len(own))
+            inner = inner_before = np.ones(len(own), bool)  # whether the phrase of one word less at a position is in the families
+            for k in range(1, LONGEST + 1):
+                if k > 1:
+                    same = piece[: len(own) - k + 1] == piece[k - 1 :]
+                    begins = same if all_phrases else same & inner[: len(same)] & inner[1 : len(same) + 1]
+                    at = np.flatnonzero(begins)
+                    digest[at] = grown(own, digest, at, k)
+                told = _level(digest[at], k)
+                done = np.full(len(at), then.table is not None) if k == 1 else inner_before[at] & inner_before[at + 1]  # counted before
+                wanted = told[~done]
+                found, times = np.unique(wanted, return_counts=True)
+                for start in range(0, len(found), 1 << 17):
+                    cut = slice(start, start + (1 << 17))
+                    yield pa.RecordBatch.from_arrays([pa.array(found[cut].view(np.int64)), pa.array(times[cut].astype(np.int64))], names=["h", "n"])
+                inner, inner_before = np.zeros((2, len(own) + 1), bool)
+                inner[at], inner_before[at] = now.holds(told), done & then.holds(told)
 
     counted = texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     return counted.where(F.col("n") >= least).select("h")
@@ -150,14 +193,15 @@ def _table_of(digests: DataFrame, bits: int) -> np.ndarray:
 
 
 def _missing(digests: DataFrame, known: np.ndarray, bits: int) -> bool:
-    """Whether some digest is not in the family yet."""
+    """Whether some phrase that can grow is not in the family yet."""
     shared = digests.sparkSession.sparkContext.broadcast(known)
 
     def run(column: pa.Array) -> pa.Array:
         return pa.array(~Family(shared.value, bits).holds(column.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return not digests.where(F.arrow_udf(run, "boolean")(F.col("h"))).isEmpty()
+    short = digests.where(F.col("h").bitwiseAND(F.lit(3)) < LONGEST - 1)
+    return not short.where(F.arrow_udf(run, "boolean")(F.col("h"))).isEmpty()
 
 
 def _count_phrases(texts: DataFrame, survivors: np.ndarray, bits: int) -> DataFrame:
@@ -167,33 +211,31 @@ def _count_phrases(texts: DataFrame, survivors: np.ndarray, bits: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(shared.value, bits)
-        for held in _slices(batches):
-            for group, part in held.items():
-                grams = Grams(part, group)
-                if not len(grams.ids):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(grams.ids)], pa.int64())], names=names)
-                words = pa.array(grams.words, pa.binary()).cast(pa.string())
-                texts_before = words
-                numbers = np.full(len(grams.ids) + 1, -1, np.int64)  # of the phrase of one word less at each position
-                for k, begins, digest in grams.levels():
-                    if k == 1:
-                        at = np.flatnonzero(family.holds(digest))
-                        kinds, first, own, times = np.unique(grams.ids[at], return_index=True, return_inverse=True, return_counts=True)
-                        told = words.take(pa.array(kinds))
-                    else:
-                        n = len(digest)
-                        at = np.flatnonzero(begins & (numbers[:n] >= 0) & (numbers[1 : n + 1] >= 0) & family.holds(digest))
-                        last = grams.ids[at + k - 1]
-                        kinds, first, own, times = np.unique(numbers[at] * len(grams.words) + last, return_index=True, return_inverse=True, return_counts=True)
-                        told = pc.binary_join_element_wise(texts_before.take(pa.array(numbers[at[first]])), words.take(pa.array(last[first])), " ")
-                    numbers = np.full(len(grams.ids) + 1, -1, np.int64)
-                    numbers[at] = own
-                    texts_before = told
-                    for start in range(0, len(told), 1 << 16):
-                        rows = told.slice(start, 1 << 16)
-                        cut = slice(start, start + len(rows))
-                        yield pa.RecordBatch.from_arrays([pa.array([group] * len(rows)), pa.array(np.full(len(rows), k, np.int32)), rows, pa.array(times[cut].astype(np.int64))], names=names)
+        for group, part in _slices(batches):
+            grams = Grams(part, group)
+            size = len(grams.ids)
+            if not size:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([0], pa.int32()), pa.array([""]), pa.array([size], pa.int64())], names=names)
+            words = shorter = pa.array(grams.words, pa.binary()).cast(pa.string())
+            digest = grams.own.copy()
+            at, numbers = np.arange(size), np.zeros(size, np.int64)  # of the phrase of one word less at each position
+            for k in range(1, LONGEST + 1):
+                if k > 1:
+                    same = grams.piece[: size - k + 1] == grams.piece[k - 1 :]
+                    at = np.flatnonzero(same & (numbers[: len(same)] >= 0) & (numbers[1 : len(same) + 1] >= 0))
+                    digest[at] = grown(grams.own, digest, at, k)
+                at = at[family.holds(_level(digest[at], k))]
+                last = grams.ids[at + k - 1]
+                _, first, own, times = np.unique(numbers[at] * len(grams.words) + last, return_index=True, return_inverse=True, return_counts=True)
+                ends = words.take(pa.array(last[first]))
+                shorter = ends if k == 1 else pc.binary_join_element_wise(shorter.take(pa.array(numbers[at[first]])), ends, " ")
+                numbers = np.full(size + 1, -1, np.int64)
+                numbers[at] = own
+                for start in range(0, len(shorter), 1 << 16):
+                    rows = shorter.slice(start, 1 << 16)
+                    cut = slice(start, start + len(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array([group] * len(rows)), pa.array(np.full(len(rows), k, np.int32)), rows, pa.array(times[cut].astype(np.int64))], names=names)
 
     return texts.mapInArrow(run, "lang string, k int, phrase string, f bigint").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 

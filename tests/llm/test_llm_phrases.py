@@ -3,7 +3,6 @@
 import random
 from collections import Counter
 
-import numpy as np
 import pytest
 
 from foliospark.llm import collocations
@@ -85,7 +84,15 @@ def test_border_failures_take_further_passes(spark, monkeypatch):
     monkeypatch.setattr(collocations, "_count_digests", lambda texts, least, known, before, bits, **more: passes.append(before) or count(texts, least, known, before, bits, **more))
     monkeypatch.setattr(collocations, "lowest_keys", lambda df, key, most, rows: df.where("doc_id = 399").select(key))
     assert run(spark, docs) == brute(docs)
-    assert len(passes) == 1 + 5  # the sample, and a full pass for each length and one that finds the border closed
+    assert len(passes) == 1 + 4  # the sample, and a full pass for each length
+
+
+def test_many_slices(spark, monkeypatch):
+    docs = corpus(300, seed=3)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1)
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 700)
+    monkeypatch.setattr(collocations, "COUNTED_WORDS", 400)
+    assert sorted(map(tuple, collocations.collocations(df, least=8, sample=30).collect())) == brute(docs, least=8)
 
 
 def test_most_and_ties(spark):
@@ -110,13 +117,19 @@ def test_large_products_are_exact(spark):
     assert [r["score"] for r in got] == [2000000 * (big - 1) // (2 * big + 1)]
 
 
-def test_digests_do_not_depend_on_the_slice():
-    texts = [b"a b c. d e", b"b c"]
-    one = collocations.Grams(texts, "en")
-    two = collocations.Grams(texts[1:], "en")
-    whole = {k: set(d[b].tolist()) for k, b, d in one.levels()}
-    part = {k: set(d[b].tolist()) for k, b, d in two.levels()}
-    assert all(part[k] <= whole[k] for k in part)
-    other = collocations.Grams(texts[1:], "de")
-    assert not {d for _, b, x in other.levels() for d in x[b].tolist()} & {d for k in part for d in part[k]}
-    assert np.all(one.ids >= 0)
+def test_digests_depend_on_word_and_group_alone():
+    words = ["a", "b", "ab", "ba", "aa", "é", "\x00", "x" * 3000, "thing"]
+    rng = random.Random(1)
+    order = [rng.choice(words) for _ in range(500)]
+    told = {}
+    for group in ("en", "de"):
+        digests, pieces = collocations.word_digests(" ".join(order).encode() + b" \n ", group)
+        assert len(digests) == 500 and not pieces.any()
+        for w, d in zip(order, digests.tolist(), strict=True):
+            assert told.setdefault((group, w), d) == d
+    assert len(set(told.values())) == len(told)
+    digests, pieces = collocations.word_digests(b"\n a\n\nb c", "en")
+    assert pieces.tolist() == [1, 3, 3] and digests[0] == told["en", "a"]
+    assert len(collocations.word_digests(b" \n", "en")[0]) == 0 == len(collocations.word_digests(b"", "en")[0])
+    grams = collocations.Grams([b"A b.", b"b,ab"], "en")
+    assert grams.own.tolist() == [told["en", w] for w in ("a", "b", "b", "ab")] and len(set(grams.piece.tolist())) == 3
