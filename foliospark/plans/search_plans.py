@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import chunks, search
+from ..operators import chunks, search, topk
+from ..operators.arrays import unnest_fields
 from ..session import fresh_path, table
 from . import derive
 from .registry import query
@@ -27,37 +28,44 @@ def chunk_table(spark, folder):
 
 @dataclass(frozen=True)
 class SearchTables:
-    """Written tables of one corpus: chunks, postings and word frequencies, with the two sizes that scores need."""
+    """Written tables of one corpus: chunks, their counted words, and the words with their bounds."""
 
     chunks: DataFrame
-    index: DataFrame
-    frequencies: DataFrame
-    size: int
-    mean_length: float
+    corpus: topk.Corpus
+
+    @property
+    def index(self) -> DataFrame:
+        """Postings, by chunk."""
+        return unnest_fields(self.corpus.counted, ["chunk_id", "doc_id", "chunk_type", "length"], F.col("terms"), "term")
 
     def scored(self, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
-        """Scores of the chunks in ``index``, a part of this one or all of it."""
-        part = self.index if index is None else index
-        return search.search(part, self.size, self.mean_length, queries, "query_id", "text", "chunk_id", self.frequencies)
+        """Scores of all chunks in ``index``, a part of this one or all of it, that share a word with a question."""
+        part, corpus = self.index if index is None else index, self.corpus
+        return search.search(part, corpus.size, corpus.mean_length, queries, "query_id", "text", "chunk_id", corpus.bounds.select("term", "df"))
 
 
-_BUILT: dict[tuple[str, str], SearchTables] = {}
+_BUILT: dict[tuple, SearchTables] = {}
 
 
-def search_tables(spark, folder) -> SearchTables:
-    """Search tables of a folder, built by the first question of an application and used by all later ones.
+def _state(rows: DataFrame) -> tuple:
+    """What changes when a table's files do: their number and a digest of names, sizes and times."""
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*files.columns))).first())
 
-    The folder's files are taken not to change while the application runs.
-    """
-    built = (spark.sparkContext.applicationId, folder)
+
+def search_tables(spark, folder) -> SearchTables:
+    """Search tables of a folder, built by the first question of an application and used again until its files change."""
+    built = (spark.sparkContext.applicationId, folder, *_state(table(spark, folder, "documents")))
     if built not in _BUILT:
         path = fresh_path(spark, "search")
-        chunk_table(spark, folder).write.parquet(f"{path}/chunks")
-        rows = spark.read.parquet(f"{path}/chunks")
-        search.postings(rows, "chunk_id", "content", "doc_id", "chunk_type").write.parquet(f"{path}/postings")
-        index = spark.read.parquet(f"{path}/postings")
-        search.term_frequencies(index).write.parquet(f"{path}/frequencies")
-        _BUILT[built] = SearchTables(rows, index, spark.read.parquet(f"{path}/frequencies"), *search.text_sizes(rows, "content"))
+        rows = chunk_table(spark, folder)
+        counted = topk.counted_chunks(rows, "chunk_id", "content", "doc_id", "chunk_type", "content")
+        counted.write.parquet(f"{path}/chunks")
+        counted = spark.read.parquet(f"{path}/chunks")
+        size, mean_length = topk.corpus_of(counted)
+        topk.term_bounds(counted, mean_length).write.parquet(f"{path}/terms")
+        corpus = topk.Corpus(counted, spark.read.parquet(f"{path}/terms"), size, mean_length, "chunk_id")
+        _BUILT[built] = SearchTables(counted.select("doc_id", "chunk_id", "chunk_type", "content"), corpus)
     return _BUILT[built]
 
 
@@ -96,8 +104,8 @@ def index_terms(spark, folder):
 )
 def text_search(spark, folder):
     tables = search_tables(spark, folder)
-    scores = tables.scored(search.one_query(spark, ONE_TEXT))
-    top = search.best_rows(scores, "chunk_id", 10).withColumn("rank", F.col("rank").cast("bigint"))
+    best = tables.corpus.best_chunks(search.one_query(spark, ONE_TEXT), "query_id", "text", 10).best
+    top = best.select("chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
     return search.with_attributes(top, tables.chunks, "chunk_id", "doc_id", "chunk_type", "content")
 
 
@@ -109,8 +117,8 @@ def text_search(spark, folder):
 )
 def batch_search(spark, folder):
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scores = search_tables(spark, folder).scored(queries)
-    return search.top_chunks(scores, "query_id", "chunk_id", 5).withColumn("rank", F.col("rank").cast("bigint"))
+    best = search_tables(spark, folder).corpus.best_chunks(queries, "query_id", "text", 5).best
+    return best.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -189,8 +197,8 @@ def best_per_chunk(spark, folder):
 )
 def rendered_answer(spark, folder):
     tables = search_tables(spark, folder)
-    scores = tables.scored(search.one_query(spark, ONE_TEXT))
-    hits = search.with_attributes(search.best_rows(scores, "chunk_id", 5), tables.chunks, "chunk_id", "doc_id", "content")
+    best = tables.corpus.best_chunks(search.one_query(spark, ONE_TEXT), "query_id", "text", 5).best.drop("query_id")
+    hits = search.with_attributes(best, tables.chunks, "chunk_id", "doc_id", "content")
     files = table(spark, folder, "documents").select("doc_id", derive.filename().alias("source"))
     return search.rendered(search.with_attributes(hits, files, "doc_id", "source"), ONE_TEXT)
 
