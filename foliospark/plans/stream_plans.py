@@ -50,7 +50,7 @@ def idempotent_ingest(spark, folder):
     # Labelled documents were processed by an earlier run; German ones have no reader and fail.
     out = fresh_path(spark, "ingest")
     done = table(spark, folder, "labels").select("doc_id", F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
-    ingest.save_batch(done, out, ("before", -2))
+    ingest.record(done, out, ["doc_id"], ("before", -2))
 
     def process(rows):
         failed = F.col("lang") == "de"

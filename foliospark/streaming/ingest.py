@@ -1,7 +1,7 @@
 """Streams of new objects and idempotent, skip-existing processing.
 
 State lives in result tables, one folder per run and micro-batch. A run is what one checkpoint location follows; a
-repeated batch of a run overwrites its own folder and ignores it when it looks for earlier work, so a lost driver or
+repeated batch of a run overwrites its own folder and ignores it when it looks for earlier work (see ``keys``), so a lost driver or
 executor never leaves duplicates, and a run with another checkpoint adds to what earlier runs have left.
 """
 
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import not_yet_done, seen_before, with_status
 from ..session import fresh_path
+from .keys import Batch, KeyTable
 
 RUN, BATCH = "run_id", "batch_id"
-Batch = tuple[str, int]
 
 
 def new_files(spark: SparkSession, folder: str, pattern: str = "*", text: bool = False) -> DataFrame:
@@ -56,9 +56,15 @@ def open_table(spark: SparkSession, path: str, schema) -> None:
     save_batch(spark.createDataFrame([], schema), path, ("none", -1))
 
 
-def earlier(spark: SparkSession, path: str, batch: Batch) -> DataFrame:
-    """Rows that other batches and other runs have written."""
-    return spark.read.parquet(path).where((F.col(RUN) != batch[0]) | (F.col(BATCH) != batch[1]))
+def key_table(path: str, keys: list[str]) -> KeyTable:
+    """The keys that a result table has done, kept beside it by hash bucket."""
+    return KeyTable(f"{path.rstrip('/')}_keys", tuple(keys))
+
+
+def record(rows: DataFrame, path: str, keys: list[str], batch: Batch) -> None:
+    """Results of work that was done elsewhere, as a batch of their own; their keys count as done."""
+    save_batch(rows, path, batch)
+    key_table(path, keys).add(rows, batch)
 
 
 def save_batch(rows: DataFrame, path: str, batch: Batch) -> None:
@@ -83,16 +89,19 @@ def ingest(
     ``process`` gets the pending rows and returns them with ``ok`` (boolean) and ``error`` (text or null).
     """
 
+    table = key_table(out, keys)
+
     def each_batch(batch: DataFrame, at: Batch) -> None:
-        spark = batch.sparkSession
         # Used several times; a lost block is recomputed from the batch.
         items = batch.dropDuplicates(keys).persist()
-        done = seen_before(earlier(spark, out, at).where(F.col("status") == "success"), items, keys)
+        done = seen_before(table.done(items, at), items, keys)
         marked = with_status(items, done, keys, force, unique=True)
         worked = process(marked.where(F.col("status") == "pending"))
         tried = worked.select(*keys, F.when(F.col("ok"), "success").otherwise("failed").alias("status"), "error")
         skipped = marked.where(F.col("status") == "skipped").select(*keys, "status", F.lit("already_processed").alias("error"))
         save_batch(tried.unionByName(skipped), out, at)
+        own = items.sparkSession.read.parquet(f"{out}/{RUN}={at[0]}/{BATCH}={at[1]}")
+        table.add(own.where(F.col("status") == "success"), at)
         items.unpersist()
 
     run(stream, each_batch, checkpoint)
@@ -103,10 +112,13 @@ def keep_first(
 ) -> None:
     """Append each key once, in its first batch. ``reduce`` gives one row per key and merges repeats per task."""
 
+    table = key_table(out, keys)
+
     def each_batch(batch: DataFrame, at: Batch) -> None:
         items = reduce(batch).persist()
-        done = seen_before(earlier(batch.sparkSession, out, at), items, keys)
+        done = seen_before(table.done(items, at), items, keys)
         save_batch(not_yet_done(items, done, keys, unique=True), out, at)
+        table.add(items, at)
         items.unpersist()
 
     run(stream, each_batch, checkpoint)

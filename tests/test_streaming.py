@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.streaming import index, ingest, jobs, logs
+from foliospark.streaming import index, ingest, jobs, keys, logs
 
 
 @pytest.fixture
@@ -54,11 +54,42 @@ def test_force_never_skips(spark, tmp_path, inbox):
 def test_repeated_batch_leaves_no_duplicates(spark, tmp_path):
     out, at = str(tmp_path / "out"), ("r1", 0)
     ingest.open_table(spark, out, "key string")
-    rows = spark.createDataFrame([("a",), ("b",)], "key string")
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "key string")
+    done = ingest.key_table(out, ["key"])
     for _ in range(2):  # a batch that is run again after a failure
-        assert ingest.earlier(spark, out, at).count() == 0
-        ingest.save_batch(rows, out, at)
-    assert sorted(r["key"] for r in ingest.result_rows(spark, out).collect()) == ["a", "b"]
+        assert done.done(rows, at).count() == 0
+        ingest.record(rows, out, ["key"], at)
+    assert sorted(r["key"] or "" for r in ingest.result_rows(spark, out).collect()) == ["", "a", "b"]
+    assert sorted(r["key"] or "" for r in done.done(rows, ("r1", 1)).collect()) == ["", "a", "b"]
+
+
+def test_files_read_by_a_batch_do_not_grow_with_history(spark, tmp_path):
+    table = keys.KeyTable(str(tmp_path / "k"), ("key",), buckets=4, most_parts=3)
+    added, most = set(), 0
+    for batch in range(16):
+        rows = spark.createDataFrame([(f"{batch}-{i}",) for i in range(6)] + [("again",)], "key string").coalesce(1)
+        before = table.done(rows, ("r", batch))
+        most = max(most, len(before.inputFiles()))
+        touched = set(table.touched(rows))
+        want = {k for k, b in added if b in touched}
+        assert {r["key"] for r in before.collect()} == want
+        table.add(rows, ("r", batch))
+        added |= {(r[0], r[1]) for r in rows.select("key", table.bucket()).collect()}
+    assert most <= 4 * 3
+    one = spark.createDataFrame([("0-1",)], "key string")
+    assert len(table.parts(spark, table.touched(one))) == 1  # only its own bucket is listed
+
+
+def test_crowded_bucket_is_written_anew_without_loss(spark, tmp_path):
+    table = keys.KeyTable(str(tmp_path / "k"), ("key",), buckets=1, most_parts=2)
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "key string")
+    for i, name in enumerate("abcd"):
+        table.add(rows(name), ("r", i))
+    assert sorted(r[0] for r in table.done(rows("x"), ("r", 4)).collect()) == list("abcd")
+    assert table.parts(spark, [0]) == {0: ["of_r_4"]}
+    table.add(rows("x"), ("r", 4))
+    assert sorted(r[0] for r in table.done(rows("x"), ("r", 4)).collect()) == list("abcd")  # repeated after a failure
+    assert sorted(r[0] for r in table.done(rows("x"), ("s", 0)).collect()) == list("abcdx")
 
 
 def test_another_checkpoint_keeps_earlier_results(spark, tmp_path, inbox):
