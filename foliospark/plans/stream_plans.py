@@ -91,6 +91,18 @@ def job_state_stream(spark, folder):
     return jobs.outcomes(states, NOW, 12 * 3600).select("job_id", "last_status", "outcome")
 
 
+@query(
+    "st4_finished_jobs",
+    f"""WITH {JOB_SQL.rsplit("SELECT job_id, last_status", 1)[0]}
+    SELECT job_id, CASE WHEN ended < started + INTERVAL 12 HOUR THEN terminal ELSE 'timeout' END AS outcome,
+      strftime(CASE WHEN ended < started + INTERVAL 12 HOUR THEN ended ELSE started + INTERVAL 12 HOUR END, '%Y-%m-%d %H:%M:%S') AS ended_at
+    FROM states WHERE ended < started + INTERVAL 12 HOUR OR started + INTERVAL 12 HOUR < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+)
+def finished_jobs(spark, folder):
+    rows = jobs.watch(job_updates(stream_of(spark, folder, "events")), fresh_path(spark, "finished"), timeout_seconds=12 * 3600)
+    return rows.select("job_id", "outcome", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("ended_at"))
+
+
 @query("st4_job_states", f"WITH {JOB_SQL}")
 def job_states(spark, folder):
     states = jobs.job_state(job_updates(table(spark, folder, "events")))

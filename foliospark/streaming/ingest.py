@@ -37,8 +37,8 @@ def new_rows(
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(folder)
 
 
-def run(stream: DataFrame, each_batch: Callable[[DataFrame, Batch], None], checkpoint: str | None = None, mode: str = "append") -> None:
-    """Process everything that is there now, batch by batch, and return.
+def run(stream: DataFrame, each_batch: Callable[[DataFrame, Batch], None], checkpoint: str | None = None, mode: str = "append") -> list:
+    """Process everything that is there now, batch by batch, and return the progress of the last batches.
 
     ``each_batch`` gets the rows and the batch: the run's name, which the checkpoint location gives, and its number.
     """
@@ -49,6 +49,7 @@ def run(stream: DataFrame, each_batch: Callable[[DataFrame, Batch], None], check
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query.recentProgress
 
 
 def open_table(spark: SparkSession, path: str, schema) -> None:

@@ -1,11 +1,18 @@
-"""Job states: last status, first terminal status and timeouts, as one mergeable aggregate."""
+"""Job states: last status, first terminal status and timeouts.
+
+As a mergeable aggregate that any reader can judge at any time (``job_state``, ``track``), and as a stream that itself
+writes each job's end or timeout once, by timers in event time (``watch``).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.summaries import moment
 from . import ingest
@@ -46,3 +53,57 @@ def track(rows: DataFrame, out: str, checkpoint: str | None = None, **names: str
     ingest.open_table(rows.sparkSession, out, state.schema)
     ingest.run(state, lambda batch, at: ingest.save_batch(batch, out, at), checkpoint, mode="update")
     return merged_states(rows.sparkSession.read.parquet(out), names.get("job", "job_id"))
+
+
+def finished(rows: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS, delay: str = "10 minutes", job: str = "job_id", status: str = "status", time: str = "ts") -> DataFrame:
+    """Stream of ``job, outcome, at``: one row for each job, when it ends in time or when its deadline passes.
+
+    The deadline is ``timeout_seconds`` after the first status. A job that ends before it gives its first terminal status;
+    another gives ``timeout`` once the watermark, ``delay`` behind the latest row, is past the deadline. An ended job
+    stays in the state until then, so that later rows of it change nothing, and a timed-out one leaves with its row; what
+    is kept are the jobs of the last ``timeout_seconds`` and ``delay``. Rows without a job or time are left out.
+    """
+    limit = int(timeout_seconds * 1000)
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        def told(outcome: str, at: int) -> Iterator[pd.DataFrame]:
+            yield pd.DataFrame({job: [key[0]], "outcome": [outcome], "at": [pd.Timestamp(at, unit="ms")]})
+
+        started, ended = state.get if state.exists else (None, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not ended:
+                yield from told("timeout", started + limit)
+            return
+        seen = pd.concat(list(parts)).sort_values(["ms", status])
+        first = int(seen["ms"].iloc[0])
+        started = first if started is None else min(first, started)
+        deadline = started + limit
+        if not ended:
+            ends = seen[seen[status].isin(TERMINAL) & (seen["ms"] < deadline)]
+            if len(ends):
+                ended = True
+                yield from told(ends[status].iloc[0], int(ends["ms"].iloc[0]))
+        if deadline <= state.getCurrentWatermarkMs():  # already past: nothing to wait for
+            if not ended:
+                yield from told("timeout", deadline)
+            if state.exists:
+                state.remove()
+            return
+        state.update((started, ended))
+        state.setTimeoutTimestamp(deadline)
+
+    kind = rows.schema[job].dataType.simpleString()
+    timed = rows.select(job, status, F.col(time).cast("timestamp").alias(time)).where(F.col(job).isNotNull() & F.col(time).isNotNull())
+    timed = timed.withWatermark(time, delay).withColumn("ms", F.unix_millis(time))
+    return timed.groupBy(job).applyInPandasWithState(
+        follow, f"{job} {kind}, outcome string, at timestamp", "started bigint, ended boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def watch(rows: DataFrame, out: str, checkpoint: str | None = None, **names) -> DataFrame:
+    """Writes ``finished`` jobs to a table, each once, and returns it; ``names`` go to ``finished``."""
+    stream = finished(rows, **names)
+    ingest.open_table(rows.sparkSession, out, stream.schema)
+    ingest.run(stream, lambda batch, at: ingest.save_batch(batch, out, at), checkpoint)
+    return ingest.result_rows(rows.sparkSession, out)

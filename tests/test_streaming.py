@@ -133,6 +133,27 @@ def test_job_states_over_batches(spark, tmp_path, inbox):
     assert {r["job_id"]: r["outcome"] for r in batch.collect()} == got
 
 
+def test_finished_jobs_leave_the_stream_once(spark, tmp_path, inbox):
+    row = lambda job, minute, status: {"job_id": job, "ts": f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z", "status": status}
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    batches = [
+        [row("a", 0, "processing"), row("b", 0, "processing"), row("b", 20, "failed"), row("c", 5, "completed"), row(None, 1, "failed")],
+        [row("a", 30, "processing"), row("b", 40, "completed"), row("d", 50, "processing")],
+        [row("e", 200, "processing")],  # the watermark passes the deadlines of a to d
+        [row("e", 210, "completed"), row("f", 400, "processing")],
+    ]
+    sizes = []
+    for i, rows in enumerate(batches):
+        put(inbox, f"{i}.json", rows)
+        updates = jobs.finished(stream(spark, inbox, "job_id string, ts timestamp, status string"), 3600)
+        progress = ingest.run(updates, lambda b, at: ingest.save_batch(b, out, at), check)
+        sizes.append(progress[-1]["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r["job_id"], r["outcome"], r["at"].strftime("%H:%M")) for r in ingest.result_rows(spark, out).collect())
+    # b's first end counts, a and d time out an hour after their first row, f still has time.
+    assert got == [("a", "timeout", "01:00"), ("b", "failed", "00:20"), ("c", "completed", "00:05"), ("d", "timeout", "01:50"), ("e", "completed", "03:30")]
+    assert sizes == [3, 4, 1, 1]  # ended and timed-out jobs leave the state
+
+
 def test_index_follows_new_chunks(spark, tmp_path, inbox):
     put(inbox, "1.json", [{"id": "1", "body": "red fox"}])
     put(inbox, "2.json", [{"id": "1", "body": "red fox"}, {"id": "2", "body": "red hen"}])
