@@ -75,46 +75,72 @@ def page_parsed(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "url", chunks.page_chunks(F.col("html"), F.col("page_id").cast("string")).alias("chunks"))
 
 
+#: Order of an invoice's items; rows that agree in all of it are equal.
+ITEM_ORDER = (
+    "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
 def invoice_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON invoice per document: header from the order of the same number, items from the document's lines."""
-    docs = spread_scan(table(spark, folder, "documents"), "doc_id")
-    orders = table(spark, folder, "orders")
-    customer = table(spark, folder, "customer")
-    joined = docs.join(orders, F.col("doc_id") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    """One JSON invoice and its text per order: header from the order and its customer, items from its line items.
+
+    ``doc_id`` is the order's number. The items of one order are one array: an invoice is one record. An order without
+    items has an empty array, no supplier and a text of one line.
+    """
+    rows = table(spark, folder, "lineitem").select("l_orderkey", F.struct(*ITEM_ORDER).alias("i"))
+    items = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    orders = table(spark, folder, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    joined = sized_join(
+        orders.withColumn("key", F.col("o_custkey")), table(spark, folder, "customer").withColumn("key", F.col("c_custkey")), ["key"], spread_by=["o_orderkey"]
+    )
+
+    def text_of(i):
+        return F.concat(F.lit("Part "), i["l_partkey"].cast("string"), F.lit(" from supplier "), i["l_suppkey"].cast("string"), F.lit(", "), i["l_returnflag"])
 
-    def item(line, i):
-        words = text.word_count(line).cast("double")
+    def item(i):
         return F.struct(
-            (i + 1).cast("string").alias("line_number"), F.concat(F.lit("SKU-"), i.cast("string")).alias("sku"),
-            line.alias("description"), words.alias("quantity"), F.lit(1.25).alias("unit_price"),
-            (words * 1.25).alias("amount"), (words * 1.5).alias("total"),
+            i["l_linenumber"].cast("string").alias("line_number"), F.concat(F.lit("SKU-"), i["l_partkey"].cast("string")).alias("sku"),
+            text_of(i).alias("description"), i["l_quantity"].alias("quantity"), F.try_divide(i["l_extendedprice"], i["l_quantity"]).alias("unit_price"),
+            i["l_extendedprice"].alias("amount"), (i["l_extendedprice"] * (1 - i["l_discount"]) * (1 + i["l_tax"])).alias("total"),
         )
 
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    number = F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string"))
+    supplier = F.array_min(F.transform("items", lambda i: i["l_suppkey"])).cast("string")
     record = F.struct(
         F.struct(
-            F.date_format("o_orderdate", "dd/MM/yyyy").alias("invoice_date_raw"), day.alias("invoice_date"),
-            F.concat(F.lit("INV-"), F.col("o_orderkey").cast("string")).alias("invoice_number"),
+            F.date_format("o_orderdate", "dd/MM/yyyy").alias("invoice_date_raw"), day.alias("invoice_date"), number.alias("invoice_number"),
             day.alias("order_date"), F.col("o_orderstatus").alias("status"),
         ).alias("invoice_info"),
         F.struct(F.col("c_name").alias("sold_to_name"), F.col("c_mktsegment").alias("sold_to_address")).alias("customer_info"),
-        F.struct(F.col("source").alias("supplier_name"), F.col("lang").alias("representative")).alias("company_info"),
+        F.struct(
+            F.concat(F.lit("Supplier "), supplier).alias("supplier_name"), F.concat(F.lit("desk "), F.col("c_nationkey").cast("string")).alias("representative")
+        ).alias("company_info"),
         F.struct(F.col("o_orderpriority").alias("payment_terms")).alias("order_details"),
         F.struct(
             F.when(F.col("o_orderstatus") == "F", "EUR").alias("currency"),
             F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("total_due_raw"),
             F.col("o_totalprice").alias("total_due"), F.col("c_acctbal").alias("subtotal"),
         ).alias("totals_summary"),
-        F.transform(F.split("text", "\n"), item).alias("line_items"),
+        F.coalesce(F.transform("items", item), F.array()).alias("line_items"),
+    )
+    lines = F.concat(F.array(F.concat(F.lit("Invoice "), number)), F.coalesce(F.transform("items", text_of), F.array().cast("array<string>")))
+    return joined.select(
+        F.col("o_orderkey").alias("doc_id"), F.array_join(lines, "\n").alias("text"),
+        F.concat(F.lit("orders/inv_"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("filename"), F.to_json(record).alias("extraction_json"),
     )
-    return joined.select("doc_id", "text", filename().alias("filename"), F.to_json(record).alias("extraction_json"))
 
 
-INVOICES = """
+INVOICES = f"""
+items AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(ITEM_ORDER)}) - 1 AS pos,
+    'Part ' || l_partkey || ' from supplier ' || l_suppkey || ', ' || l_returnflag AS description FROM lineitem),
+of_order AS (SELECT l_orderkey, count(*) AS n_items, min(l_suppkey) AS first_supplier, string_agg(description, chr(10) ORDER BY pos) AS described FROM items GROUP BY 1),
 invoices AS (
-  SELECT d.doc_id, d.source, d.lang, d.text, d.source || '/doc_' || d.doc_id || '.pdf' AS filename, o.*, c.*,
-         strftime(o.o_orderdate, '%Y-%m-%d') AS day
-  FROM documents d JOIN orders o ON d.doc_id = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey)
+  SELECT o.*, c.*, coalesce(n_items, 0) AS n_items, 'Supplier ' || first_supplier AS supplier, 'desk ' || c_nationkey AS representative,
+    'orders/inv_' || o_orderkey || '.pdf' AS filename, strftime(o_orderdate, '%Y-%m-%d') AS day,
+    'Invoice INV-' || o_orderkey || coalesce(chr(10) || described, '') AS text
+  FROM orders o JOIN customer c ON o_custkey = c_custkey LEFT JOIN of_order ON o_orderkey = l_orderkey)
 """
 
 

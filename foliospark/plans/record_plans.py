@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import flatten, invoices, provenance
+from ..operators import chunks, flatten, invoices, provenance
 from ..session import fresh_path, table
 from ..sources import responses
 from . import derive
@@ -19,11 +19,40 @@ def typed_invoices(spark, folder):
 
 
 def stored_pairs(spark, folder):
-    """Parse and extract results of each document as a written table: the parent that several tables share."""
+    """Parse and extract results of each invoice as a written table: the parent that several tables share."""
     path = fresh_path(spark, "paired")
-    extracted = typed_invoices(spark, folder).select("doc_id", "extraction")
-    invoices.pair_results(derive.parsed(spark, folder), extracted, "doc_id").write.parquet(path)
-    return spark.read.parquet(path)
+    derive.invoice_documents(spark, folder).write.parquet(f"{path}/documents")
+    docs = spark.read.parquet(f"{path}/documents")
+    parsed = chunks.parse_documents(docs, "doc_id", "text", F.col("filename"), derive.VERSION)
+    extracted = flatten.read_as(docs, "extraction_json", schemas.INVOICE).select("doc_id", "extraction")
+    invoices.pair_results(parsed, extracted, "doc_id").write.parquet(f"{path}/pairs")
+    return spark.read.parquet(f"{path}/pairs")
+
+
+#: What the four tables hold, as rows of table, document, position and content.
+FOUR_TABLES_SQL = f"""WITH {derive.INVOICES},
+    lines AS (SELECT o_orderkey, filename, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM invoices)
+    SELECT 'markdown' AS part, filename AS document, CAST(0 AS BIGINT) AS position, text AS content FROM invoices
+    UNION ALL SELECT 'parsed_chunks', filename, pos, '<a id=' || chr(39) || o_orderkey || '-' || pos || chr(39) || '></a>' || chr(10) || chr(10) || line FROM lines
+    UNION ALL SELECT 'invoices_main', filename, 0, concat_ws('|', 'INV-' || o_orderkey, day, o_orderstatus, c_name, supplier, o_orderpriority, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR)) FROM invoices
+    UNION ALL SELECT 'invoice_line_items', filename, pos, concat_ws('|', l_linenumber, 'SKU-' || l_partkey, description, CAST(CAST(l_quantity AS DECIMAL(18, 2)) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS VARCHAR))
+      FROM items JOIN invoices ON l_orderkey = o_orderkey"""
+
+
+def four_table_rows(tables):
+    """Rows of table, document, position and content of the four invoice tables."""
+    exact = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    content = {
+        "markdown": (F.lit(0), F.col("MARKDOWN")),
+        "parsed_chunks": (F.substring_index("chunk_id", "-", -1), F.col("text")),
+        "invoices_main": (F.lit(0), F.concat_ws("|", "INVOICE_NUMBER", F.col("INVOICE_DATE").cast("string"), "STATUS", "SOLD_TO_NAME", "SUPPLIER_NAME", "PAYMENT_TERMS", exact("TOTAL_DUE"))),
+        "invoice_line_items": (F.col("LINE_INDEX"), F.concat_ws("|", "LINE_NUMBER", "SKU", "DESCRIPTION", exact("QUANTITY"), exact("AMOUNT"))),
+    }
+    parts = [
+        tables[name].select(F.lit(name).alias("part"), F.col("DOCUMENT_NAME").alias("document"), at.cast("bigint").alias("position"), told.alias("content"))
+        for name, (at, told) in content.items()
+    ]
+    return reduce(lambda a, b: a.union(b), parts)
 
 
 def keyed_invoices(spark, folder):
@@ -34,7 +63,7 @@ KEY_SQL = f"'run-1' AS \"RUN_ID\", sha256(filename) AS \"INVOICE_UUID\", filenam
 MAIN_SQL = f"""SELECT {KEY_SQL},
       strftime(o_orderdate, '%d/%m/%Y') AS "INVOICE_DATE_RAW", day AS "INVOICE_DATE", 'INV-' || o_orderkey AS "INVOICE_NUMBER",
       day AS "ORDER_DATE", CAST(NULL AS VARCHAR) AS "PO_NUMBER", o_orderstatus AS "STATUS", c_name AS "SOLD_TO_NAME", c_mktsegment AS "SOLD_TO_ADDRESS",
-      CAST(NULL AS VARCHAR) AS "CUSTOMER_EMAIL", source AS "SUPPLIER_NAME", CAST(NULL AS VARCHAR) AS "SUPPLIER_ADDRESS", lang AS "REPRESENTATIVE", CAST(NULL AS VARCHAR) AS "EMAIL",
+      CAST(NULL AS VARCHAR) AS "CUSTOMER_EMAIL", supplier AS "SUPPLIER_NAME", CAST(NULL AS VARCHAR) AS "SUPPLIER_ADDRESS", representative AS "REPRESENTATIVE", CAST(NULL AS VARCHAR) AS "EMAIL",
       CAST(NULL AS VARCHAR) AS "PHONE", CAST(NULL AS VARCHAR) AS "GSTIN", CAST(NULL AS VARCHAR) AS "PAN", o_orderpriority AS "PAYMENT_TERMS", CAST(NULL AS VARCHAR) AS "SHIP_VIA", CAST(NULL AS VARCHAR) AS "SHIP_DATE",
       CAST(NULL AS VARCHAR) AS "TRACKING_NUMBER", CASE WHEN o_orderstatus = 'F' THEN 'EUR' END AS "CURRENCY",
       '$' || format('{{:,.2f}}', o_totalprice) AS "TOTAL_DUE_RAW", o_totalprice AS "TOTAL_DUE", c_acctbal AS "SUBTOTAL",
@@ -48,39 +77,26 @@ def invoice_main(spark, folder):
 
 @query(
     "w6_invoice_line_items",
-    f"""WITH {derive.INVOICES}, {derive.LINES}
-    SELECT {KEY_SQL.replace('filename', 'l.filename')}, pos AS "LINE_INDEX", CAST(pos + 1 AS VARCHAR) AS "LINE_NUMBER", 'SKU-' || pos AS "SKU",
-      line AS "DESCRIPTION", CAST(words AS DOUBLE) AS "QUANTITY", CAST(1.25 AS DOUBLE) AS "UNIT_PRICE", CAST(NULL AS DOUBLE) AS "PRICE",
-      words * 1.25::DOUBLE AS "AMOUNT", words * 1.5::DOUBLE AS "TOTAL"
-    FROM lines l JOIN invoices i ON l.doc_id = i.doc_id""",
+    f"""WITH {derive.INVOICES}
+    SELECT {KEY_SQL}, pos AS "LINE_INDEX", CAST(l_linenumber AS VARCHAR) AS "LINE_NUMBER", 'SKU-' || l_partkey AS "SKU",
+      description AS "DESCRIPTION", l_quantity AS "QUANTITY", l_extendedprice / l_quantity AS "UNIT_PRICE", CAST(NULL AS DOUBLE) AS "PRICE",
+      l_extendedprice AS "AMOUNT", l_extendedprice * (1 - l_discount) * (1 + l_tax) AS "TOTAL"
+    FROM items JOIN invoices ON l_orderkey = o_orderkey""",
 )
 def invoice_line_items(spark, folder):
     return invoices.item_rows(keyed_invoices(spark, folder)).withColumn("LINE_INDEX", F.col("LINE_INDEX").cast("bigint"))
 
 
-@query(
-    "u8_four_tables",
-    f"""WITH {derive.INVOICES}, {derive.LINES}, own AS (SELECT l.* FROM lines l JOIN invoices i ON l.doc_id = i.doc_id)
-    SELECT 'markdown' AS part, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS size FROM invoices
-    UNION ALL SELECT 'parsed_chunks', count(*), CAST(sum(length(line) + length(chunk_id) + 15) AS BIGINT) FROM own
-    UNION ALL SELECT 'invoices_main', count(*), CAST(sum(length('INV-' || o_orderkey)) AS BIGINT) FROM invoices
-    UNION ALL SELECT 'invoice_line_items', count(*), CAST(sum(length(line)) AS BIGINT) FROM own""",
-)
+@query("u8_four_tables", FOUR_TABLES_SQL)
 def four_tables(spark, folder):
-    tables = invoices.invoice_tables(stored_pairs(spark, folder), "run-1", "doc_id")
-    text = {"markdown": "MARKDOWN", "parsed_chunks": "text", "invoices_main": "INVOICE_NUMBER", "invoice_line_items": "DESCRIPTION"}
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text[name])).alias("size")).select(F.lit(name).alias("part"), "n", "size")
-        for name, df in tables.items()
-    ]
-    return reduce(lambda a, b: a.union(b), parts)
+    return four_table_rows(invoices.invoice_tables(stored_pairs(spark, folder), "run-1", "doc_id"))
 
 
 @query(
     "j6_j7_paired_tables",
-    f"""WITH {derive.INVOICES}, {derive.LINES}
-    SELECT i.filename AS document, i.o_totalprice AS total_due, CAST(count(*) AS BIGINT) AS items, CAST(sum(words) AS DOUBLE) AS quantity
-    FROM invoices i JOIN lines l ON i.doc_id = l.doc_id GROUP BY 1, 2""",
+    f"""WITH {derive.INVOICES}
+    SELECT filename AS document, o_totalprice AS total_due, CAST(count(*) AS BIGINT) AS items, sum(l_quantity) AS quantity
+    FROM invoices JOIN items ON l_orderkey = o_orderkey GROUP BY 1, 2""",
 )
 def paired_tables(spark, folder):
     tables = invoices.invoice_tables(stored_pairs(spark, folder), "run-1", "doc_id")
@@ -95,10 +111,10 @@ def paired_tables(spark, folder):
 @query(
     "a4_p21_invoice_summary",
     f"""WITH {derive.INVOICES}
-    SELECT 'doc_' || doc_id || '.pdf' AS "File", 'INV-' || o_orderkey AS "Invoice #", day AS "Date", c_name AS "Customer", source AS "Supplier",
+    SELECT 'inv_' || o_orderkey || '.pdf' AS "File", 'INV-' || o_orderkey AS "Invoice #", day AS "Date", c_name AS "Customer", coalesce(supplier, '-') AS "Supplier",
       CASE WHEN c_acctbal = 0 THEN '-' ELSE '$' || format('{{:,.2f}}', c_acctbal) END AS "Subtotal", '-' AS "Tax",
       '$' || format('{{:,.2f}}', o_totalprice) AS "Total", CASE WHEN o_orderstatus = 'F' THEN 'EUR' ELSE 'USD' END AS "Currency",
-      CAST(len(string_split(text, chr(10))) AS BIGINT) AS "Line Items", o_orderstatus AS "Status" FROM invoices""",
+      CAST(n_items AS BIGINT) AS "Line Items", o_orderstatus AS "Status" FROM invoices""",
 )
 def invoice_summary(spark, folder):
     docs = derive.invoice_documents(spark, folder).withColumn("doc", F.parse_json("extraction_json"))

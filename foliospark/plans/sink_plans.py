@@ -9,7 +9,7 @@ from ..operators import chunks, filings, flatten, invoices
 from ..session import fresh_path, table
 from ..sources import listings, responses, sinks
 from . import derive
-from .record_plans import nested_orders, stored_pairs
+from .record_plans import FOUR_TABLES_SQL, four_table_rows, nested_orders, stored_pairs
 from .registry import query
 
 
@@ -81,17 +81,11 @@ def chunk_csv_separate(spark, folder):
     return _csv(spark, path, "document string, chunk_id string, content string, length bigint").drop("source")
 
 
-@query(
-    "k4_four_table_export",
-    f"""WITH {derive.INVOICES}, {derive.LINES}, own AS (SELECT count(*) AS n FROM lines l JOIN invoices i ON l.doc_id = i.doc_id)
-    SELECT 'markdown' AS name, CAST(count(*) AS BIGINT) AS n FROM invoices UNION ALL SELECT 'parsed_chunks', n FROM own
-    UNION ALL SELECT 'invoices_main', count(*) FROM invoices UNION ALL SELECT 'invoice_line_items', n FROM own""",
-)
+@query("k4_four_table_export", FOUR_TABLES_SQL)
 def four_table_export(spark, folder):
-    # The four writes read one written parent instead of parsing four times.
+    # The four writes read one written parent instead of parsing four times; the rows are read back from the files.
     written = sinks.write_tables(invoices.invoice_tables(stored_pairs(spark, folder), "run-1", "doc_id"), fresh_path(spark, "tables"))
-    counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, p in written.items()]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    return four_table_rows({name: spark.read.parquet(path) for name, path in written.items()})
 
 
 @query(
