@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The control strings of the template.
@@ -106,6 +106,46 @@ def fold_events(events: DataFrame, conversation: str = "conv_id", message: str =
     return dealt.mapInArrow(fold, f"`{conversation}` {types[conversation]}, `{message}` {types[message]}, copy int, role string, text string")
 
 
+def log_of_turns(turns: DataFrame, conversation: str = "conv_id", message: str = "turn", pieces: int = 16, least: int = 24) -> DataFrame:
+    """An event log that ``fold_events`` folds back into the given turns (conversation, message, ``role``, ``text``).
+
+    As a log of real use would, it tells a turn in one of four ways, chosen by a hash of its place: as a whole message; as
+    an empty message and streamed deltas of ``least`` code points or more, at most ``pieces``; as a draft that an edit
+    replaces; or as a streamed draft that is regenerated and streamed again. Turns of one number are told one after the
+    other, by role and text. Null roles stay null, null texts are empty; the log has no order but its sequence numbers.
+    """
+    role, text = F.col("role"), F.coalesce(F.col("text"), F.lit(""))
+    place = Window.partitionBy(conversation, message).orderBy(F.coalesce(role, F.lit("")), text)
+    told = turns.select(conversation, message, "role", text.alias("text"), F.row_number().over(place).cast("bigint").alias("__copy"))
+    size = F.greatest(F.lit(least), F.ceil(F.length("text") / pieces)).cast("int")
+    none = F.lit(None).cast("string")
+
+    def event(kind: str, said, who=none):
+        return F.struct(F.lit(kind).alias("kind"), who.alias("role"), said.alias("text"))
+
+    def streamed(said):
+        starts = F.sequence(F.lit(0), F.ceil(F.length(said) / size).cast("int") - 1)
+        cut = F.transform(starts, lambda i: event("delta", F.substring(said, i * size + 1, size)))
+        return F.when(F.length(said) > 0, cut).otherwise(F.array().cast("array<struct<kind:string,role:string,text:string>>"))
+
+    whole = F.col("text")
+    begun = F.array(event("message", F.lit(""), F.col("role")))
+    draft = F.concat(F.lit("Draft: "), F.left(whole, F.lit(least)))
+    ways = [
+        F.array(event("message", whole, F.col("role"))),
+        F.concat(begun, streamed(whole)),
+        F.array(event("message", draft, F.col("role")), event("edit", whole)),
+        F.concat(begun, F.array(event("delta", draft)), F.array(event("regenerate", none)), streamed(whole)),
+    ]
+    way = F.pmod(F.xxhash64(conversation, message, "__copy"), F.lit(len(ways))).cast("int")
+    chosen = told.withColumn("__way", way)
+    events = ways[-1]
+    for i in range(len(ways) - 1):
+        events = F.when(F.col("__way") == i, ways[i]).otherwise(events)
+    rows = chosen.select(conversation, message, "__copy", F.posexplode(events).alias("__step", "e"))
+    return rows.select(conversation, message, (F.col("__copy") * F.lit(1 << 32) + F.col("__step")).alias("seq"), "e.kind", "e.role", "e.text")
+
+
 def render(messages: DataFrame) -> DataFrame:
     """``messages`` (``role``, ``text``) with ``segment``, ``loss_start`` and ``loss_end``; null roles and texts are empty."""
 

@@ -104,8 +104,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     fixed = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
-    events = rows.withColumn("kind", F.lit("message")).withColumn("seq", F.col("turn"))
-    return chat.digests(chat.render(chat.fold_events(events)))
+    return chat.digests(chat.render(chat.fold_events(chat.log_of_turns(rows))))
 
 
 @_query("op6_personal_data")

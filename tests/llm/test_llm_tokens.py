@@ -165,3 +165,24 @@ def test_word_ids_equal_the_library_and_stay_bounded():
             got = words.encode(some[start : start + 50])
             assert got == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some[start : start + 50]]
             assert words.size < most + 50 * 12 * 300
+
+
+def test_log_of_turns_folds_back_and_needs_every_kind(spark):
+    rng = random.Random(8)
+    rows = [(i % 30, i // 30, rng.choice(["user", "assistant", "", None]), "é😀 word " * rng.randrange(0, 60)) for i in range(300)]
+    rows += [(5, 1, "user", "twice"), (5, 1, "user", "twice"), (None, 0, "user", None), (7, None, None, "x"), (8, 3, "assistant", "long " * 20_000)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    log = chat.log_of_turns(turns)
+    events = log.collect()
+    assert {r["kind"] for r in events} == set(chat.KINDS)
+
+    def folded(some):
+        random.Random(1).shuffle(some)  # a log in any order
+        made = chat.fold_events(spark.createDataFrame(some, log.schema).repartition(3))
+        return sorted(((r["conv_id"], r["turn"], r["role"], r["text"]) for r in made.collect()), key=str)
+
+    want = sorted(((c, t, r, x or "") for c, t, r, x in rows), key=str)
+    assert folded(list(events)) == want
+    for kind in chat.KINDS:
+        assert folded([e for e in events if e["kind"] != kind]) != want
+    assert chat.log_of_turns(turns.limit(0)).count() == 0
