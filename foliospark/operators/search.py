@@ -34,13 +34,6 @@ def postings(chunks: DataFrame, chunk_id: str, text: str, *attributes: str) -> D
     return unnest_fields(counted, [chunk_id, *attributes, "length"], F.col("terms"), "term")
 
 
-def text_sizes(chunks: DataFrame, text: str) -> tuple[int, float]:
-    """Number of chunks with words and mean chunk length, from the chunks themselves and without a shuffle of them."""
-    words = F.size(tokens(F.col(text)))
-    row = chunks.select(words.alias("n")).where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
-    return row[0], (row[1] or 0) / max(row[0], 1)
-
-
 def corpus_size(index: DataFrame, chunk_id: str) -> tuple[int, float]:
     """Number of chunks with words and mean chunk length: two numbers."""
     total = F.sum("tf").alias("t")
