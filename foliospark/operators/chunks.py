@@ -67,17 +67,21 @@ def text_chunks(body: Column, key: Column) -> Column:
     return F.transform(F.split(body, "\n"), chunk)
 
 
+#: What stands in a tag up to its end: a ``>`` between quotes does not end it.
+ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+
+
 def decoded_entities(body: Column) -> Column:
     """Text with character references replaced, numeric ones first and the ampersand last."""
 
     def number(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, "^&#([0-9]{1,7});", 1)
-        code = F.when(digits != "", digits.cast("int"))
+        digits, sixteens = F.regexp_extract(piece, "^&#([0-9]{1,7});", 1), F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,6});", 1)
+        code = F.when(digits != "", digits.cast("int")).when(sixteens != "", F.conv(sixteens, 16, 10).cast("int"))
         letter = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(valid, F.concat(letter, F.regexp_replace(piece, "^&#[0-9]+;", ""))).otherwise(piece)
+        return F.when(valid, F.concat(letter, F.regexp_replace(piece, "^&#[0-9a-fA-FxX]+;", ""))).otherwise(piece)
 
-    numeric = F.array_join(F.transform(F.split(body, "(?=&#[0-9]{1,7};)"), number), "")
+    numeric = F.array_join(F.transform(F.split(body, "(?=&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), number), "")
     out = F.when(F.contains(body, F.lit("&#")), numeric).otherwise(body)
     for name, character in ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(character))
@@ -94,7 +98,7 @@ def page_chunks(html: Column, key: Column) -> Column:
     seen = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
     for name in UNSEEN:
         seen = F.regexp_replace(seen, rf"(?is)<{name}\b[^>]*>.*?(?:</{name}\s*>|$)", "")
-    pieces = F.split(seen, rf"(?i)(?=</?(?:{BLOCKS})(?:[\s/][^>]*)?>)")
+    pieces = F.split(seen, rf"(?i)(?=</?(?:{BLOCKS})(?:[\s/]{ATTRIBUTES})?>)")
     kinds = F.create_map(*[F.lit(v) for pair in TAG_TYPES.items() for v in pair])
 
     def read(piece: Column) -> Column:
@@ -102,7 +106,7 @@ def page_chunks(html: Column, key: Column) -> Column:
         broken = F.regexp_replace(piece, r"(?i)<br\s*/?>", "\n")
         return F.struct(
             F.coalesce(kinds[tag], F.lit("text")).alias("type"),
-            text.strip(decoded_entities(F.regexp_replace(broken, r"(?s)<[a-zA-Z/!?][^>]*>", ""))).alias("markdown"),
+            text.strip(decoded_entities(F.regexp_replace(broken, rf"(?s)<[a-zA-Z/!?](?:{ATTRIBUTES}>|[^>]*>)", ""))).alias("markdown"),
         )
 
     filled = F.filter(F.transform(pieces, read), lambda c: c["markdown"] != "")
