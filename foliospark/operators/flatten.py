@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -116,68 +117,97 @@ _JSON_TYPES = {
 }
 
 
-def violations(doc: Column, schema: dict, path: str = "$") -> Column:
+_LISTS = "array<variant>"
+
+
+def _step(name: str) -> str:
+    """A field's step in a path; names that are no plain identifiers, such as those with dots, are quoted."""
+    if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        return f".{name}"
+    return f"['{name}']" if '"' in name else f'["{name}"]'
+
+
+def _of_type(wanted, value: Column, kind: Column) -> Column:
+    """Whether a value has one of the wanted JSON types: null only where it is named, whole decimals are integers."""
+    wanted = wanted if isinstance(wanted, list) else [wanted]
+    hits = [kind.startswith(n) for w in wanted for n in _JSON_TYPES.get(w, ())]
+    if "null" in wanted:
+        hits.append(kind == "VOID")
+    if "integer" in wanted and "number" not in wanted:
+        decimal = kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+        hits.append(decimal & (F.try_variant_get(value, "$", "double") % 1 == 0))
+    return reduce(lambda a, b: a | b, hits, F.lit(False))
+
+
+def _compact(found: list[Column]) -> Column:
+    # Unlike array_compact this stays in generated code, where the repeated variant reads are shared.
+    return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
+
+
+def violations(doc: Column, schema: dict) -> Column:
     """Array of texts, one per broken rule of a JSON Schema, for a VARIANT document; the row itself is kept.
 
-    The rules inside an object hold where it is one: an absent optional object breaks none. Items of arrays are checked
-    one by one, and each broken rule of an array (``name[]``) is told once.
+    The rules inside an object hold where it is one: an absent optional object breaks none. Items of arrays, and of arrays in
+    them, are checked one by one, and each broken rule of an array (``name[]``, ``name[][]``) is told once. A null breaks the
+    type of its field unless that names ``null``; in a required field it counts as missing instead.
     """
+    none = F.array().cast("array<string>")
 
-    def compact(found: list[Column]) -> Column:
-        # Unlike array_compact this stays in generated code, where the repeated variant reads are shared.
-        return F.array_except(F.array(*found), F.array(F.lit(None).cast("string")))
-
-    def of_type(wanted, kind: Column) -> Column:
-        names = [n for w in (wanted if isinstance(wanted, list) else [wanted]) for n in _JSON_TYPES.get(w, ())]
-        return reduce(lambda a, b: a | b, [kind.startswith(n) for n in names], kind == "VOID")
+    def of_items(value: Column, node: dict, label: str) -> Column:
+        """Broken rules of the items of an array; none for another value."""
+        each = F.transform(F.try_variant_get(value, "$", _LISTS), lambda item: of_value(item, node, label))
+        return F.coalesce(F.array_distinct(F.flatten(each)), none)
 
-    def of_item(item: Column, node: dict, label: str) -> Column:
+    def of_value(item: Column, node: dict, label: str) -> Column:
+        """Broken rules of one item; an item that is null in JSON reaches this as SQL null or a null variant."""
+        kind = F.coalesce(F.schema_of_variant(item), F.lit("VOID"))
         found: list[Column] = []
-        kind = F.schema_of_variant(item)
         if node.get("type"):
-            found.append(F.when(item.isNotNull() & ~of_type(node["type"], kind), f"{label}: type"))
-        if node.get("properties") or node.get("additionalProperties") is False:
+            found.append(F.when(~F.coalesce(_of_type(node["type"], item, kind), F.lit(False)), f"{label}: type"))
+        if "enum" in node:
+            plain = F.try_variant_get(item, "$", "string")
+            found.append(F.when(plain.isNotNull() & ~plain.isin(*node["enum"]), f"{label}: enum"))
+        broken = [_compact(found)] if found else []
+        if node.get("properties") or node.get("required") or node.get("additionalProperties") is False:
             inner = F.transform(violations(item, node), lambda text: F.concat(F.lit(f"{label}."), text))
-            return F.concat(compact(found), F.when(kind.startswith("OBJECT") | kind.startswith("STRUCT"), inner).otherwise(F.array().cast("array<string>")))
-        return compact(found)
+            broken.append(F.when(kind.startswith("OBJECT") | kind.startswith("STRUCT"), inner).otherwise(none))
+        if node.get("items"):
+            broken.append(of_items(item, node["items"], f"{label}[]"))
+        return F.concat(*broken) if broken else none
 
-    def of_items(items: Column, node: dict, label: str) -> Column:
-        broken = F.flatten(F.transform(items, lambda item: of_item(item, node, label)))
-        return F.coalesce(F.array_distinct(broken), F.array().cast("array<string>"))
-
-    def rules(node: dict, at: str, whole: Column) -> list[Column]:
+    def rules(node: dict, at: str, prefix: str, whole: Column) -> list[Column]:
         out: list[Column] = []
         fields = node.get("properties", {})
         required = set(node.get("required", []))
-        for name, sub in fields.items():
-            where = f"{at}.{name}"
-            label = where.removeprefix("$.")
+        for name in [*fields, *sorted(required - set(fields))]:
+            sub = fields.get(name, {})
+            where, label = at + _step(name), prefix + name
             value = F.try_variant_get(doc, where, "variant")
             kind = F.schema_of_variant(value)
-            if name in required:
-                out.append(F.when(value.isNull() | F.is_variant_null(value), f"{label}: required"))
             wanted = sub.get("type")
+            null = F.is_variant_null(value)
+            absent = value.isNull() if wanted and "null" in wanted else value.isNull() | null
+            if name in required:
+                out.append(F.when(absent, f"{label}: required"))
             if wanted:
-                out.append(F.when(value.isNotNull() & ~of_type(wanted, kind), f"{label}: type"))
+                judged = ~absent if name in required else value.isNotNull()
+                out.append(F.when(judged & ~_of_type(wanted, value, kind), f"{label}: type"))
             if "enum" in sub:
                 plain = F.try_variant_get(doc, where, "string")
                 out.append(F.when(plain.isNotNull() & ~plain.isin(*sub["enum"]), f"{label}: enum"))
-            if wanted == "object":
+            if sub.get("properties") or sub.get("required") or sub.get("additionalProperties") is False:
                 there = kind.startswith("OBJECT") | kind.startswith("STRUCT")
-                out.extend(F.when(there, rule) for rule in rules(sub, where, value))
-            if wanted == "array" and sub.get("items"):
-                items = F.try_variant_get(doc, where, "array<variant>")
-                lists.append(of_items(items, sub["items"], f"{label}[]"))
+                out.extend(F.when(there, rule) for rule in rules(sub, where, f"{label}.", value))
+            if sub.get("items"):
+                lists.append(of_items(value, sub["items"], f"{label}[]"))
         if node.get("additionalProperties") is False:
             keys = F.json_object_keys(F.to_json(whole))
-            extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(n) for n in fields])))
-            label = at.removeprefix("$").removeprefix(".")
-            prefix = f"{label}." if label else ""
+            extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(n) for n in fields]).cast("array<string>")))
             out.append(F.when(F.size(extra) > 0, F.concat(F.lit(prefix), F.array_join(extra, ","), F.lit(": not allowed"))))
         return out
 
     lists: list[Column] = []
-    own = compact(rules(schema, path, doc))
+    own = _compact(rules(schema, "$", "", doc))
     return F.concat(own, *lists) if lists else own
 
 

@@ -30,9 +30,9 @@ def split_summary(runs: DataFrame, bundle: list[str], page: str, kind: str = "do
     )
 
 
-def split_markdown(runs: DataFrame, bundle: list[str], page: str, text: str, rows_per_part: int = 1000) -> DataFrame:
-    """Pages of each split document joined with blank lines, in parts of bounded size."""
-    return ordered.joined_text(runs, [*bundle, "run", "doc_name"], page, text, "markdown", rows_per_part)
+def split_markdown(runs: DataFrame, bundle: list[str], page: str, text: str, rows_per_part: int = 1000, **sizes) -> DataFrame:
+    """Pages of each split document joined with blank lines, in parts of bounded size (see ``ordered.joined_text``)."""
+    return ordered.joined_text(runs, [*bundle, "run", "doc_name"], page, text, "markdown", rows_per_part, **sizes)
 
 
 def class_scores(text: Column, rules: dict[str, dict[str, int]]) -> dict[str, Column]:

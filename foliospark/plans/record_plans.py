@@ -286,6 +286,9 @@ DEVICE_SCHEMA = {
         "kind": {"type": "string", "enum": ["click", "view", "purchase"]},
         "amount": {"type": "number"},
         "detail": {"type": "object", "properties": {"k": {"type": "integer"}}, "required": ["k"], "additionalProperties": False},
+        "unit.name": {"type": "string"},
+        "count": {"type": "integer"},
+        "grid": {"type": "array", "items": {"type": "array", "items": {"type": "string"}}},
     },
     "required": ["applicant", "kind", "amount"],
     "additionalProperties": False,
@@ -297,7 +300,8 @@ DEVICE_SCHEMA = {
     """SELECT event_id, concat_ws('; ', CASE WHEN event_type IN ('error', 'signup') THEN 'applicant: required' END,
       CASE WHEN event_type IN ('error', 'signup') THEN 'kind: enum' END, CASE WHEN event_type = 'view' THEN 'amount: type' END,
       CASE WHEN event_type = 'purchase' THEN 'detail.k: required' END, CASE WHEN event_type = 'purchase' THEN 'detail.x: not allowed' END,
-      CASE WHEN event_type = 'signup' THEN 'note,source: not allowed' END) AS violations FROM events""",
+      CASE WHEN event_type = 'view' THEN 'unit.name: type' END, CASE WHEN event_type = 'error' THEN 'count: type' END,
+      CASE WHEN event_type = 'signup' THEN 'note,source: not allowed' END, CASE WHEN event_type = 'click' THEN 'grid[][]: type' END) AS violations FROM events""",
 )
 def schema_conformance(spark, folder):
     kind = F.col("event_type")
@@ -307,7 +311,9 @@ def schema_conformance(spark, folder):
         F.lit("{"),
         F.when(kind == "error", '"applicant":null,').when(kind == "signup", "").otherwise('"applicant":"a",'),
         F.lit('"kind":"'), kind, F.lit('","amount":'), F.when(kind == "view", F.concat(F.lit('"'), amount, F.lit('"'))).otherwise(amount),
-        F.lit(',"detail":'), detail, F.when(kind == "signup", ',"source":1,"note":null').otherwise(""), F.lit("}"),
+        F.lit(',"detail":'), detail, F.when(kind == "signup", ',"source":1,"note":null').otherwise(""),
+        F.when(kind == "view", ',"unit.name":null').otherwise(',"unit.name":"kg"'), F.when(kind == "error", ',"count":1.5').otherwise(',"count":1.0'),
+        F.when(kind == "click", ',"grid":[["a"],[1]]').otherwise(',"grid":[["a"],[]]'), F.lit("}"),
     )
     events = derive.spread_scan(table(spark, folder, "events"), "event_id")
     rows = events.select("event_id", F.parse_json(doc).alias("v"))

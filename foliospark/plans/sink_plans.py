@@ -88,20 +88,37 @@ def four_table_export(spark, folder):
     return four_table_rows({name: spark.read.parquet(path) for name, path in written.items()})
 
 
+# Small, so that the larger batches are cut.
+ENVELOPE_BYTES = 1 << 18
+
+
 @query(
     "k5_s7_a18_envelopes",
-    """WITH placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
-    SELECT 'batch_extracted_' || source AS processed_at, CAST(n AS BIGINT) AS parsed_count, CAST(floor(i / 1000) AS BIGINT) AS part,
-      CAST(i % 1000 AS BIGINT) AS position, doc_id, text FROM placed""",
+    f"""WITH docs AS (SELECT '20240131_000000' AS processed_at, CASE WHEN lang = 'fr' THEN 's3_event' ELSE 'batch' END AS trigger_type,
+      'landing' AS bucket, CASE WHEN lang = 'fr' THEN NULL ELSE source || '/' END AS prefix,
+      CASE WHEN lang = 'fr' THEN source || '/P' || doc_id || '.pdf' END AS specific_file, doc_id, text FROM documents),
+    placed AS (SELECT *, count(*) OVER w AS n, coalesce(sum(greatest(strlen(text), {-(-ENVELOPE_BYTES // 1000)})) OVER (PARTITION BY trigger_type, prefix,
+      specific_file ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before
+      FROM docs WINDOW w AS (PARTITION BY trigger_type, prefix, specific_file)),
+    parts AS (SELECT *, CAST(floor(bytes_before / {ENVELOPE_BYTES}) AS BIGINT) AS part FROM placed)
+    SELECT processed_at, trigger_type, bucket, prefix, specific_file, CAST(n AS BIGINT) AS parsed_count, part,
+      CAST(row_number() OVER (PARTITION BY trigger_type, prefix, specific_file, part ORDER BY doc_id) - 1 AS BIGINT) AS position, doc_id, text FROM parts""",
 )
 def envelopes(spark, folder):
-    key = sinks.result_key(F.lit(None).cast("string"), F.lit(True), F.col("source"))
-    docs = table(spark, folder, "documents").select(key.alias("processed_at"), "doc_id", "text")
+    # French documents arrive one by one, each by an event of its own; the others by a batch for each folder.
+    single = F.col("lang") == "fr"
+    docs = table(spark, folder, "documents").select(
+        F.lit("20240131_000000").alias("processed_at"), F.when(single, "s3_event").otherwise("batch").alias("trigger_type"),
+        F.lit("landing").alias("bucket"), F.when(~single, F.concat("source", F.lit("/"))).alias("prefix"),
+        F.when(single, F.concat("source", F.lit("/P"), F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("specific_file"), "doc_id", "text",
+    )
+    head = ["processed_at", "trigger_type", "bucket", "prefix", "specific_file"]
     path = fresh_path(spark, "envelopes")
-    sinks.write_json(sinks.envelopes(docs, ["processed_at"], "doc_id", F.col("doc_id")), path)
+    parts = sinks.envelopes(docs, head, "doc_id", F.col("doc_id"), bytes_per_part=ENVELOPE_BYTES, size=F.octet_length("text"))
+    sinks.write_json(parts, path)
     rows = responses.read_envelopes(spark, path, "struct<doc_id bigint, text string>")
     return rows.select(
-        "processed_at", "parsed_count", "part", F.col("position").cast("bigint").alias("position"), "document.doc_id", "document.text"
+        *head, "parsed_count", "part", F.col("position").cast("bigint").alias("position"), "document.doc_id", "document.text"
     )
 
 

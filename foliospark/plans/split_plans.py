@@ -9,7 +9,8 @@ from ..session import table
 from . import derive
 from .registry import query
 
-PART_ROWS = 1000
+# Small, so that runs of a few pages are cut.
+PART_BYTES = 24
 
 
 def page_classifications(spark, folder):
@@ -46,12 +47,14 @@ def split_documents(spark, folder):
 
 @query(
     "a13_split_markdown",
-    f"""WITH {RUNS} SELECT bundle, run, doc_type || '_' || run AS doc_name, CAST(floor(page / {PART_ROWS}) AS BIGINT) AS part,
-      string_agg(props, chr(10) || chr(10) ORDER BY page) AS markdown FROM runs GROUP BY 1, 2, 3, 4""",
+    f"""WITH {RUNS}, sized AS (SELECT *, coalesce(sum(strlen(props) + 2) OVER (PARTITION BY bundle, run ORDER BY page
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before FROM runs)
+    SELECT bundle, run, doc_type || '_' || run AS doc_name, CAST(floor(bytes_before / {PART_BYTES}) AS BIGINT) AS part,
+      string_agg(props, chr(10) || chr(10) ORDER BY page) AS markdown FROM sized GROUP BY 1, 2, 3, 4""",
 )
 def split_markdown(spark, folder):
     runs = split_pages(spark, folder).withColumn("text", F.col("split.markdown"))
-    return splitting.split_markdown(runs, ["bundle"], "page", "text", PART_ROWS)
+    return splitting.split_markdown(runs, ["bundle"], "page", "text", bytes_per_part=PART_BYTES)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators.joins import null_safe_join
-from ..operators.ordered import row_index
+from ..operators.ordered import part_numbers
 
 
 def write_json(df: DataFrame, path: str, by: str | None = None) -> str:
@@ -72,17 +72,21 @@ def result_key(specific_file: Column, extracting: Column, stamp: Column) -> Colu
     return F.concat_ws("_", name, mode, stamp)
 
 
-def envelopes(docs: DataFrame, batch: list[str], order: str, order_value: Column, rows_per_part: int = 1000) -> DataFrame:
+def envelopes(
+    docs: DataFrame, batch: list[str], order: str, order_value: Column, rows_per_part: int = 1000, bytes_per_part: int = 16 << 20,
+    size: Column | None = None,
+) -> DataFrame:
     """Batch envelopes with the document count of the batch.
 
-    A batch longer than ``rows_per_part`` gives several envelopes with a ``part`` number, so that no task collects a
-    whole batch; the parts together hold every document once, in order. A null batch column is a value like any other.
+    A batch of more than ``rows_per_part`` documents or ``bytes_per_part`` bytes (``size`` of a document: its JSON text, if not
+    given) gives several envelopes with a ``part`` number, so that no task collects a whole batch; the parts together hold
+    every document once, in order. A null batch column is a value like any other.
     """
     content = [c for c in docs.columns if c not in batch]
-    placed = row_index(docs, batch, [order], order_value, "__i")
-    parts = placed.groupBy(*batch, F.floor(F.col("__i") / rows_per_part).cast("bigint").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__i"), F.struct(*content).alias("d")))).alias("__d")
-    )
+    size = F.octet_length(F.to_json(F.struct(*content))) if size is None else size
+    placed = part_numbers(docs, batch, [order], order_value, size, bytes_per_part, rows_per_part)
+    entry = F.struct(F.col(order).isNotNull().alias("n"), F.col(order).alias("o"), F.struct(*content).alias("d"))
+    parts = placed.groupBy(*batch, "part").agg(F.array_sort(F.collect_list(entry)).alias("__d"))
     counts = docs.groupBy(*batch).agg(F.count(F.lit(1)).alias("parsed_count"))
     return null_safe_join(parts, counts, batch).select(
         *batch, "part", "parsed_count", F.transform("__d", lambda e: e["d"]).alias("documents")
@@ -90,8 +94,8 @@ def envelopes(docs: DataFrame, batch: list[str], order: str, order_value: Column
 
 
 def report_lines(report: DataFrame, name: str, errors: DataFrame | None = None) -> DataFrame:
-    """Text lines of a per-entity report: counts, the recent filings, and one line for each row of ``errors`` (``error``)."""
-    recent = report.select(F.concat(F.col(name), F.lit(": recent "), F.col("recent_filings")).alias("value"))
+    """Text lines of a per-entity report: counts, the recent filings if any, and one line for each row of ``errors`` (``error``)."""
+    recent = report.where(F.col("recent_filings").isNotNull()).select(F.concat(F.col(name), F.lit(": recent "), F.col("recent_filings")).alias("value"))
     counts = report.select(
         F.concat(
             F.col(name), F.lit(": filings "), F.col("filing_count").cast("string"), F.lit(", downloaded "),

@@ -39,6 +39,26 @@ def test_short_document_is_one_part(spark):
     assert "\n\n".join(r["markdown"] for r in parts) == got["d"][1] and [r["part"] for r in parts] == [0, 1, 2]
 
 
+def test_parts_are_cut_by_bytes(spark):
+    texts = [("d", i, "x" * (1000 * (i % 7))) for i in range(200)] + [("d", None, "first"), ("e", 1, "y" * 50_000), ("e", 2, None), ("e", 3, "z")]
+    pages = spark.createDataFrame(texts, "doc string, page int, text string")
+    for rows_per_task in (10**6, 9):
+        got = ordered.joined_text(pages, ["doc"], "page", "text", bytes_per_part=10_000, rows_per_task=rows_per_task).orderBy("part").collect()
+        d, e = [r for r in got if r["doc"] == "d"], [r for r in got if r["doc"] == "e"]
+        assert "\n\n".join(r["markdown"] for r in d) == "\n\n".join(t for k, _, t in sorted(texts[:201], key=lambda r: (r[1] is not None, r[1] or 0)))
+        assert max(len(r["markdown"]) for r in d) < 10_000 + 6002 and len(d) > 50
+        assert [(r["part"], r["markdown"][:1]) for r in e] == [(0, "y"), (5, "z")]
+
+
+def test_ties_of_the_order_value_fill_several_ranges(spark):
+    rows = spark.range(4000).select(F.lit("g").alias("g"), F.lit(1).alias("o"), "id")
+    cut = ordered.in_ranges(rows, ["g"], ["o", "id"], F.col("o"))
+    sizes = [r["count"] for r in cut.groupBy("__range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000
+    placed = ordered.row_index(rows, ["g"], ["o", "id"], F.col("o"), "i", rows_per_task=10)
+    assert placed.where("i <> id").count() == 0
+
+
 def test_zero_vectors_have_no_cosine(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "id int, v array<double>")
     scores = search.cosine_scores(vectors, "id", "v", [1.0, 0.0])
@@ -61,6 +81,11 @@ SCHEMA = {
         "d": {"type": "object", "properties": {"k": {"type": "string"}}, "required": ["k"]},
         "lines": {"type": "array", "items": {"type": "object", "properties": {"q": {"type": "number"}}, "required": ["q"], "additionalProperties": False}},
         "tags": {"type": "array", "items": {"type": "string"}},
+        "grid": {"type": "array", "items": {"type": "array", "items": {"type": "string"}}},
+        "x.y": {"type": "integer"},
+        "maybe": {"type": ["string", "null"]},
+        "e": {"type": "array", "items": {"type": "string", "enum": ["p"]}},
+        "deep": {"type": "array", "items": {"type": "array", "items": {"type": "object", "properties": {"q": {"type": "number"}}, "required": ["q"]}}},
     },
     "required": ["a"],
 }
@@ -76,6 +101,11 @@ SCHEMA = {
         ('{"a":"x","lines":[3]}', ["lines[]: type"]),
         ('{"a":"x","lines":[],"tags":["t",1]}', ["tags[]: type"]),
         ('{"tags":3}', ["a: required", "tags: type"]),
+        ('{"a":"x","grid":[["s"],[1],"t",null]}', ["grid[]: type", "grid[][]: type"]),
+        ('{"a":"x","grid":[["s"],[]],"x.y":1.0,"e":["p","q"]}', ["e[]: enum"]),
+        ('{"a":"x","x.y":1.5,"maybe":null}', ["x.y: type"]),
+        ('{"a":"x","x.y":null,"maybe":3}', ["maybe: type", "x.y: type"]),
+        ('{"a":"x","deep":[[{"q":"t"}],[{}]]}', ["deep[][].q: required", "deep[][].q: type"]),
     ],
 )
 def test_schema_rules(spark, document, broken):
