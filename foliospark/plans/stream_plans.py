@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -69,6 +69,23 @@ def log_monitor(spark, folder):
     return rows.select("status", "file", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
 
 
+# Times of the polls: the log is read as far as it was written then.
+POLLS = [datetime(2024, 1, 1) + timedelta(days=10 * n) for n in (1, 2, 3)]
+
+
+@query(
+    "st3_log_totals",
+    f"""WITH {derive.LOG}, polls(poll, until) AS (VALUES {", ".join(f"({n}, TIMESTAMP '{t}')" for n, t in enumerate(POLLS))})
+    SELECT CAST(poll AS INTEGER) AS poll, status, CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT file) AS BIGINT) AS files
+    FROM polls JOIN log ON ts >= TIMESTAMP '2024-01-01' AND ts <= until WHERE status IS NOT NULL GROUP BY 1, 2""",
+)
+def log_totals(spark, folder):
+    out = fresh_path(spark, "log-polls")
+    for until in POLLS:
+        logs.poll(derive.log_lines(spark, folder), out, datetime(2024, 1, 1), until)
+    return ingest.result_rows(spark, f"{out}/totals")
+
+
 JOB_SQL = """
 updates AS (SELECT 'job_' || user_id || '_' || json_extract_string(props, '$.k') AS job_id, ts,
     CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END AS status FROM events),

@@ -169,3 +169,57 @@ def test_new_files(spark, tmp_path, inbox):
     assert [r["content"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["one\ntwo"]
     ingest.run(ingest.new_files(spark, str(inbox)), lambda b, i: ingest.save_batch(b, str(tmp_path / "l"), i))
     assert spark.read.parquet(str(tmp_path / "l")).count() == 2
+
+
+def log_rows(spark, rows):
+    made = [(datetime(2024, 1, 1, 0, m), f"Skipping {f} - already processed" if k == "s" else f"Error processing {f}: no") for m, f, k in rows]
+    return spark.createDataFrame(made, "ts timestamp_ntz, message string")
+
+
+def totals_of(spark, out):
+    return {(r["poll"], r["status"]): (r["lines"], r["files"]) for r in ingest.result_rows(spark, f"{out}/totals").collect()}
+
+
+def test_polls_move_the_cursor_and_keep_running_totals(spark, tmp_path):
+    out, since = str(tmp_path / "log"), datetime(2024, 1, 1)
+    rows = [(1, "a", "s"), (2, "a", "s"), (3, "b", "e")]
+    assert logs.poll(log_rows(spark, rows), out, since) == 0
+    assert logs.poll(log_rows(spark, rows), out, since) is None
+    assert logs.last_poll(spark, out) == (0, datetime(2024, 1, 1, 0, 3))
+    rows += [(4, "a", "s"), (5, "c", "s"), (6, "b", "s")]
+    assert logs.poll(log_rows(spark, rows), out, since) == 1
+    assert totals_of(spark, out) == {(0, "skipped"): (2, 1), (0, "error"): (1, 1), (1, "skipped"): (5, 3), (1, "error"): (1, 1)}
+    seen = sorted((r["status"], r["file"], r["first_seen"].minute) for r in ingest.result_rows(spark, f"{out}/sightings").collect())
+    assert seen == [("error", "b", 3), ("skipped", "a", 1), ("skipped", "b", 6), ("skipped", "c", 5)]
+
+
+def test_a_stopped_poll_is_done_again(spark, tmp_path, monkeypatch):
+    out, since = str(tmp_path / "log"), datetime(2024, 1, 1)
+    rows = [(1, "a", "s"), (2, "b", "s")]
+    logs.poll(log_rows(spark, rows), out, since)
+    rows += [(3, "a", "s"), (4, "c", "s")]
+    save = ingest.save_batch
+
+    def stops(saved, path, batch):
+        if path.endswith("/cursor") and batch[1] >= 0:
+            raise RuntimeError("lost driver")
+        save(saved, path, batch)
+
+    monkeypatch.setattr(ingest, "save_batch", stops)
+    with pytest.raises(RuntimeError):
+        logs.poll(log_rows(spark, rows), out, since)
+    monkeypatch.setattr(ingest, "save_batch", save)
+    logs.follow(lambda: log_rows(spark, rows + [(5, "d", "s")]), out, since)
+    assert totals_of(spark, out) == {(0, "skipped"): (2, 2), (1, "skipped"): (5, 4)}
+    assert ingest.result_rows(spark, f"{out}/sightings").count() == 4
+
+
+def test_a_poll_reads_behind_the_cursor_only(spark, tmp_path):
+    path, out = str(tmp_path / "lines"), str(tmp_path / "log")
+    log_rows(spark, [(m, f"f{m}", "s") for m in range(40)]).write.parquet(path)
+    logs.poll(spark.read.parquet(path), out, datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 9))
+    assert totals_of(spark, out) == {(0, "skipped"): (10, 10)}
+    asked = spark.read.parquet(path).where(F.col("ts") > F.lit("2024-01-01 00:09:00").cast("timestamp_ntz"))
+    assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts,2024-01-01T00:09)]" in asked._jdf.queryExecution().executedPlan().toString()
+    assert logs.poll(spark.read.parquet(path), out, datetime(2024, 1, 1)) == 1
+    assert totals_of(spark, out)[(1, "skipped")] == (40, 40)
