@@ -1,6 +1,8 @@
 """Personal data: rule-based spans, and a character-level bidirectional LSTM with CRF transitions that adds to them.
 
-The network is trained in numpy from labelled spans (those that the rules find). Texts are cut into overlapping windows;
+The network is trained in numpy from labelled spans: those that the rules find, in the texts as they are and once more
+written in ways that the rules miss (``disguised``), so that it learns what surrounds and makes up a span and not the rules
+again. What it adds is checked by the digits it has (``_plausible``). Texts are cut into overlapping windows;
 each window is tagged by Viterbi decoding, and the spans of all windows of a text are reconciled: parts that a window edge
 cut are joined, and of spans that overlap the heaviest set without overlap stays. Every kind of span has a digit or an
 ``@``, so that a window without either is outside by definition and is not run through the network.
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,6 +72,52 @@ def told(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+_AT_SIGNS = (" @ ", "@ ", " @", " [@] ", "(@)", "@@")
+_DOTS = {0: (".", ".", " . ", " dot ", "[.]"), 1: ("[.]", " . ", ". ", ",", "-", " dot ", "(.)")}
+_GAPS = {2: (".", "/", "_", "  ", " - "), 3: ("/", "  ", " / ", "_")}
+
+
+def disguised(text: str, spans: list[Span], salt: int = 0) -> tuple[str, list[Span]]:
+    """The text with its rule-based spans written in ways that the rules miss, and where they are then.
+
+    Addresses get spaces and brackets about their ``@``, dots are spelled out or bracketed, digits are grouped by other marks, a
+    plus is parted from its number or becomes ``00``, and numbers stand twice in a row, which the rules take for one number.
+    Choices are hashes of place and span, so that a repeated task gives the same. A span within another one is left out.
+    """
+    out, made, at, length = [], [], 0, 0
+    for a, k, b in spans:
+        if a < at:
+            continue
+        choice = zlib.crc32(f"{salt}:{a}:{text[a:b]}".encode("utf-8", "surrogatepass"))
+        pick = lambda options, shift=0: options[(choice >> shift) % len(options)]  # noqa: B023, E731
+        old, twice = text[a:b], False
+        if k == 0:
+            local, domain = old.split("@", 1)
+            new = local + pick(_AT_SIGNS) + domain.replace(".", pick(_DOTS[0], 8))
+        elif k == 1:
+            new = old.replace(".", pick(_DOTS[1]))
+        elif k == 2 and choice % 2:
+            new, twice = old, True
+        elif k == 2:
+            digits = re.sub("[^0-9]", "", old)
+            new = pick(_GAPS[2], 8).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        else:
+            gap = pick(_GAPS[3], 8)
+            new = pick(("+ ", "00", "+", "(+)")) + re.sub(r"[\x20().-]+", gap, old[1:]).strip(gap)
+        out.append(text[at:a])
+        length += a - at
+        for copy in (new, new) if twice else (new,):
+            if made and twice and made[-1][2] == length:
+                out.append(" ")
+                length += 1
+            out.append(copy)
+            made.append((length, k, length + len(copy)))
+            length += len(copy)
+        at = b
+    out.append(text[at:])
+    return "".join(out), made
+
+
 # --- the network -------------------------------------------------------------------------------------------------------
 #: Characters: 95 printable ones, line ends and tabs, other letters, anything else; 0 is padding.
 SYMBOLS, TAGS = 99, 1 + 2 * len(KINDS)  # tag 0 is outside; 1 + 2k begins and 2 + 2k continues kind k
@@ -288,17 +337,24 @@ def reconcile(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 
 
 def _plausible(text: str, kind: int) -> bool:
-    """What any span of a kind must have: the least number of digits, or an ``@`` between other characters."""
+    """What a span must have to be added: the digits of its kind, checked as the rules check theirs, or the parts of an address."""
+    digits = "".join(c for c in text if "0" <= c <= "9")
+    if len(text) > WINDOW:
+        return False
     if kind == 0:
-        return "@" in text[1:-1]
-    digits = sum(c.isdigit() for c in text)
-    return digits >= (0, 4, 14, 10)[kind] and len(text) <= WINDOW
+        return "@" in text[1:-1] and ("." in text or " dot " in text)
+    if kind == 1:
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if any(c.isalpha() for c in text):
+        return False
+    return 14 <= len(digits) <= 19 and _luhn(digits) if kind == 2 else 10 <= len(digits) <= 15
 
 
 class Finder:
     """Rule-based spans, and those that a trained tagger adds."""
 
-    def __init__(self, tagger: Tagger | None, margin: float = 4.0):
+    def __init__(self, tagger: Tagger | None, margin: float = 0.2):
         self.tagger, self.margin = tagger, margin
 
     def find(self, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
@@ -323,10 +379,23 @@ class Finder:
         return out
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3000, **training) -> Tagger | None:
+def training_windows(text: str, most: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and tags of at most ``most`` windows of a text as it is and as many of the disguised one, windows with spans first."""
+    out = []
+    own = base_spans(text)
+    for t, spans in ((text, own), disguised(text, own)) if own else ((text, own),):
+        every = windows_of(t)
+        near = [w for w in every if any(a < w + WINDOW and w < b for a, _, b in spans)]
+        out += [(_cut(t, w), tags_of(t, w, spans)) for w in (near or every)[:most]]
+    return out
+
+
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3000, windows: int = 4, **training) -> Tagger | None:
     """Tagger trained on windows of texts with a digit or an ``@``, taken by a hash of the key from all texts.
 
-    At most ``most`` such texts are used, out of the 40 times as many of the lowest hashes; rows with a null key teach nothing. Labels are the rule-based spans. Without any labelled span there is no tagger, and only rules are used.
+    At most ``most`` such texts are used, out of the 40 times as many of the lowest hashes; rows with a null key teach nothing.
+    Each gives at most ``windows`` windows, and as many with its spans disguised. Without any labelled span there is no tagger, and only
+    rules are used.
     """
     rows = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where(F.col("t").rlike("[0-9@]"))
     chosen_keys = F.broadcast(lowest_keys(rows, "k", most, df.count(), margin=40))  # at most ``most`` keys
@@ -334,9 +403,8 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3000
     def cut(texts: list[str]):
         out = []
         for t in texts:
-            spans = base_spans(t)
-            near = [w for w in windows_of(t) if any(a < w + WINDOW and w < b for a, _, b in spans)]
-            out.append("\n".join(" ".join(map(str, [*_cut(t, w), *tags_of(t, w, spans)])) for w in (near or windows_of(t))[:4]))
+            made = training_windows(t, windows)
+            out.append("\n".join(" ".join(map(str, [*symbols, *tags])) for symbols, tags in made))
         return [out]
 
     chosen = with_text_columns(rows.join(chosen_keys, "k"), "t", {"windows": "string"}, lambda: cut).select("windows").collect()
@@ -350,7 +418,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3000
     return tagger
 
 
-def personal_data(df: DataFrame, tagger: Tagger | None, text: str = "text", margin: float = 4.0) -> DataFrame:
+def personal_data(df: DataFrame, tagger: Tagger | None, text: str = "text", margin: float = 0.2) -> DataFrame:
     """``df`` with ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (rule-based spans), ``base_sha256`` and ``spans``.
 
     ``spans`` has rule-based and added spans as ``kind:start:end`` in code points, by start and then kind; ``base_sha256``
@@ -370,7 +438,7 @@ def personal_data(df: DataFrame, tagger: Tagger | None, text: str = "text", marg
     return with_text_columns(df, text, {f"n_{k}": "bigint" for k in KINDS} | {"base_sha256": "string", "spans": "string"}, make)
 
 
-def redacted(df: DataFrame, tagger: Tagger | None, text: str = "text", margin: float = 4.0) -> DataFrame:
+def redacted(df: DataFrame, tagger: Tagger | None, text: str = "text", margin: float = 0.2) -> DataFrame:
     """``df`` with every span in its text replaced by its kind in brackets; spans that overlap are replaced as one.
 
     A null text stays null.
