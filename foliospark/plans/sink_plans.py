@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import text
 from ..operators import chunks, filings, flatten, invoices
 from ..session import fresh_path, table
-from ..sources import listings, responses, sinks
+from ..sources import listings, named_files, responses, sinks
 from . import derive
 from .record_plans import FOUR_TABLES_SQL, four_table_rows, nested_orders, stored_pairs
 from .registry import query
@@ -18,16 +19,23 @@ def stem():
     return F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("stem")
 
 
+def file_name():
+    return F.col("_metadata.file_name")
+
+
 @query(
     "k1_json_results",
-    f"""WITH {derive.LINES} SELECT 'doc_' || doc_id AS stem, any_value(filename) AS filename, CAST(count(*) AS BIGINT) AS chunks,
-      sha256(string_agg(line, chr(10) ORDER BY pos)) AS markdown FROM lines GROUP BY doc_id""",
+    f"""WITH {derive.LINES} SELECT 'doc_' || doc_id AS stem, 'parse_doc_' || doc_id || '.json' AS file, any_value(filename) AS filename,
+      CAST(count(*) AS BIGINT) AS chunks, sha256(string_agg(line, chr(10) ORDER BY pos)) AS markdown FROM lines GROUP BY doc_id""",
 )
 def json_results(spark, folder):
-    rows = derive.parsed(spark, folder).select(stem(), "chunks", "markdown", "metadata", "grounding")
-    path = sinks.write_json(rows, fresh_path(spark, "json-results"), by="stem")
-    back = spark.read.schema(f"{schemas.PARSE_RESPONSE}, stem string").json(path)
-    return back.select("stem", F.col("metadata.filename").alias("filename"), F.size("chunks").cast("bigint").alias("chunks"), F.sha2("markdown", 256).alias("markdown"))
+    rows = derive.parsed(spark, folder).select(stem(), F.to_json(F.struct("chunks", "markdown", "metadata", "grounding")).alias("json"))
+    path = named_files.write_named(rows, fresh_path(spark, "json-results"), F.concat(F.lit("parse_"), "stem", F.lit(".json")), F.col("json"))
+    back = spark.read.schema(schemas.PARSE_RESPONSE).json(path)
+    return back.select(
+        F.regexp_extract(file_name(), "^parse_(.*)[.]json$", 1).alias("stem"), file_name().alias("file"), F.col("metadata.filename").alias("filename"),
+        F.size("chunks").cast("bigint").alias("chunks"), F.sha2("markdown", 256).alias("markdown"),
+    )
 
 
 @query(
@@ -36,9 +44,10 @@ def json_results(spark, folder):
 )
 def markdown_files(spark, folder):
     rows = table(spark, folder, "documents").select(stem(), "text")
-    path = sinks.write_text(rows, fresh_path(spark, "markdown"), "text", by="stem")
-    back = spark.read.schema("value string, stem string").text(path)
-    return back.groupBy("stem", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    path = named_files.write_named(rows, fresh_path(spark, "markdown"), F.concat("stem", F.lit(".md")), F.col("text"))
+    # Files without a last line break, so an empty last line is not read as one.
+    back = listings.read_markdown(spark, path).select(F.regexp_replace("filename", "[.]md$", "").alias("stem"), F.explode(F.split("content", "\n")).alias("line"))
+    return back.groupBy("stem", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -47,9 +56,10 @@ def markdown_files(spark, folder):
 )
 def markdown_scan(spark, folder):
     # One document in each file, read as a whole.
-    rows = table(spark, folder, "documents").select(stem(), "text")
-    path = sinks.write_text(rows, fresh_path(spark, "markdown"), "text", by="stem")
-    return listings.read_markdown(spark, path, "*.txt").select("stem", F.sha2("content", 256).alias("content"))
+    rows = table(spark, folder, "documents").select(stem(), F.concat("text", F.lit("\n")).alias("text"))
+    path = named_files.write_named(rows, fresh_path(spark, "markdown"), F.concat("stem", F.lit(".md")), F.col("text"))
+    files = listings.read_markdown(spark, path)
+    return files.select(F.regexp_replace("filename", "[.]md$", "").alias("stem"), F.sha2("content", 256).alias("content"))
 
 
 def _csv(spark, path, schema):
@@ -73,12 +83,38 @@ def chunk_csv_combined(spark, folder):
     return _csv(spark, path, "document string, chunk_id string, content string, length bigint")
 
 
-@query("k3_chunk_csv_separate", CHUNK_CSV)
+@query(
+    "k3_chunk_csv_separate",
+    f"""WITH {derive.LINES} SELECT 'doc_' || doc_id || '_chunks.csv' AS file, filename AS document, chunk_id, clean AS content,
+      CAST(length(clean) AS BIGINT) AS length FROM lines""",
+)
 def chunk_csv_separate(spark, folder):
-    # One folder per source here; ``by`` takes the document name for one folder per document.
-    rows = _chunk_csv_rows(spark, folder).withColumn("source", F.substring_index("document", "/", 1))
-    path = sinks.write_csv(rows, fresh_path(spark, "chunk-csv"), by="source")
-    return _csv(spark, path, "document string, chunk_id string, content string, length bigint").drop("source")
+    # One table for each document, built inside its row.
+    body = sinks.csv_text(F.col("chunks"), lambda c: {
+        "document": F.col("metadata.filename"), "chunk_id": c["id"], "content": text.clean_chunk(c["markdown"]),
+        "length": F.length(text.clean_chunk(c["markdown"])),
+    })
+    rows = derive.parsed(spark, folder).select(stem(), body.alias("csv"))
+    path = named_files.write_named(rows, fresh_path(spark, "chunk-csv"), F.concat("stem", F.lit("_chunks.csv")), F.col("csv"))
+    back = _csv(spark, path, "document string, chunk_id string, content string, length bigint")
+    return back.select(file_name().alias("file"), "document", "chunk_id", F.coalesce("content", F.lit("")).alias("content"), "length")
+
+
+@query(
+    "s10_latest_csv",
+    "SELECT o_orderkey AS order_key, o_custkey AS customer, o_orderstatus AS status, o_totalprice AS total FROM orders WHERE o_orderkey % 2 = 1",
+)
+def latest_csv(spark, folder):
+    # Two batches are written one after the other; the rows of the later one come back, from all its files.
+    root = fresh_path(spark, "batches")
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")
+    )
+    for batch in (0, 1):
+        sinks.write_csv(orders.where(F.col("order_key") % 2 == batch), f"{root}/batch_{batch}")
+    files = listings.list_files(spark, root, "*.csv")
+    kinds = dict(orders.dtypes)
+    return listings.read_latest_csv(spark, files, "", ", ".join(f"{c} {kinds[c]}" for c in orders.columns), whole_folder=True)
 
 
 @query("k4_four_table_export", FOUR_TABLES_SQL)

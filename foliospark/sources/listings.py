@@ -61,10 +61,18 @@ def latest_file(listing: DataFrame, prefix: str, ending: str) -> DataFrame:
     return rows.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
-def read_latest_csv(spark: SparkSession, listing: DataFrame, prefix: str, schema: str | None = None) -> DataFrame:
-    path = latest_file(listing, prefix, ".csv").first()[0]
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+def read_latest_csv(spark: SparkSession, listing: DataFrame, prefix: str, schema: str, whole_folder: bool = False) -> DataFrame:
+    """Rows of the most recent CSV file below a prefix, under a declared schema, so that no row is read to guess types.
+
+    ``whole_folder`` reads all CSV files of that file's folder, as one written table has several. No file gives no row.
+    """
+    path = latest_file(listing, prefix, ".csv").first()[0]  # an aggregate of one row
+    if path is None:
+        return spark.createDataFrame([], schema)
+    if whole_folder:
+        path = path.rsplit("/", 1)[0]
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    return reader.option("pathGlobFilter", "*.csv").csv(path)
 
 
 def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:

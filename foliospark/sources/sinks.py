@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,21 @@ def write_csv(df: DataFrame, path: str, by: str | None = None) -> str:
     return path
 
 
+def csv_text(items: Column, line: Callable[[Column], dict[str, Column]]) -> Column:
+    """CSV text with a header, one line for each item of an array, in order; a null or empty array gives the header alone.
+
+    Values are quoted where they hold commas, quotes or line ends, quotes are doubled, and a null value is an empty one.
+    """
+    names = list(line(F.lit(None)))
+
+    def quoted(value: Column) -> Column:
+        whole = F.coalesce(value.cast("string"), F.lit(""))
+        return F.when(whole.rlike(r'[",\r\n]|^\s|\s$'), F.concat(F.lit('"'), F.replace(whole, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(whole)
+
+    lines = F.transform(items, lambda i: F.concat_ws(",", *[quoted(v) for v in line(i).values()]))
+    return F.concat(F.array_join(F.array_prepend(F.coalesce(lines, F.array().cast("array<string>")), ",".join(names)), "\n"), F.lit("\n"))
+
+
 def fixed_columns(df: DataFrame, order) -> DataFrame:
     """Exact column order; a missing column or value is written as an empty text."""
     have = set(df.columns)

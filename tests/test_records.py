@@ -61,8 +61,12 @@ def test_latest_csv(spark, tmp_path):
     for i, name in enumerate(("b.csv", "a.csv")):
         (tmp_path / name).write_text(f"x,y\n{i},z\n")
         os.utime(tmp_path / name, (1_700_000_000 + i, 1_700_000_000 + i))
-    rows = listings.read_latest_csv(spark, listings.list_files(spark, str(tmp_path)), f"file:{tmp_path}")
+    files = listings.list_files(spark, str(tmp_path))
+    rows = listings.read_latest_csv(spark, files, f"file:{tmp_path}", "x bigint, y string")
     assert [tuple(r) for r in rows.collect()] == [(1, "z")]
+    both = listings.read_latest_csv(spark, files, f"file:{tmp_path}", "x bigint, y string", whole_folder=True)
+    assert sorted(tuple(r) for r in both.collect()) == [(0, "z"), (1, "z")]
+    assert listings.read_latest_csv(spark, files, "file:/nowhere", "x bigint, y string").count() == 0
 
 
 def test_json_schema_types():
