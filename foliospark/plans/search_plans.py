@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import chunks, search, topk
 from ..operators.arrays import unnest_fields
+from ..operators.vectors import VectorTable
 from ..session import fresh_path, table
 from . import derive
 from .registry import query
@@ -212,3 +213,18 @@ def vector_neighbours(spark, folder):
     vectors = table(spark, folder, "embeddings")
     seed = vectors.orderBy("vec_id").select("embedding").first()[0]
     return search.cosine_scores(vectors, "vec_id", "embedding", seed)
+
+
+@query(
+    "r3_inverted_neighbours",
+    """WITH vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    scores AS (SELECT q.vec_id AS question, e.vec_id AS id, round(list_cosine_similarity(e.v, q.v), 6) AS score
+      FROM vectors q CROSS JOIN vectors e WHERE q.vec_id % 20 = 0),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, id) AS BIGINT) AS rank FROM scores)
+    SELECT question, rank, id, score FROM ranked WHERE rank <= 10""",
+)
+def inverted_neighbours(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    stored = VectorTable.write(vectors, "vec_id", "embedding", fresh_path(spark, "vectors"), size=64)
+    best = stored.nearest(vectors.where(F.col("vec_id") % 20 == 0), "vec_id", "embedding", 10).best
+    return best.select("question", F.col("rank").cast("bigint").alias("rank"), "id", "score")

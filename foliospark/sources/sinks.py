@@ -19,16 +19,6 @@ def write_json(df: DataFrame, path: str, by: str | None = None) -> str:
     return path
 
 
-def write_text(df: DataFrame, path: str, text: str, by: str, most_rows: int = 0) -> str:
-    """Markdown texts, one folder per value of ``by`` (files of at most ``most_rows`` records, 0 for no bound).
-
-    Each record ends with a line break.
-    """
-    writer = df.select(by, text).write.mode("overwrite").option("maxRecordsPerFile", most_rows)
-    writer.partitionBy(by).text(path)
-    return path
-
-
 def write_csv(df: DataFrame, path: str, by: str | None = None) -> str:
     """CSV with a header, as one table or one folder per document."""
     writer = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
