@@ -41,6 +41,19 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_components_of_hubs(spark):
+    """Nodes with most of the links are dealt to many tasks and close as the others do."""
+    pairs = [(900, i) for i in range(1000, 1400)] + [(901, i) for i in range(1300, 1500)] + [(5, 1499), (20, 21), (21, 22)]
+    nodes = {n for p in pairs for n in p}
+    want = {n: 20 if n < 30 and n != 5 else 5 for n in nodes}
+    edges = spark.createDataFrame(pairs, "u bigint, v bigint")
+    for hub in (1, 10, 256):
+        got = {r["node"]: r["component"] for r in components.components(edges, least_hub=hub).collect()}
+        assert got == want
+    once = components._beside_least(edges, components._least(edges), 10).collect()
+    assert sorted((r["u"], r["v"]) for r in once) == sorted(pairs)
+
+
 @pytest.mark.parametrize("small, large", [(64, 65536), (2, 65536), (2, 8)])
 def test_bucket_links_of_every_size(monkeypatch, small, large):
     monkeypatch.setattr(simhash, "SMALL", small)
