@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text, values
 from ..operators import chunks, provenance
 from ..session import fresh_path, table
-from ..sources import responses, sinks
+from ..sources import named_files, responses
 from . import derive
 from .registry import query
 
@@ -58,8 +58,11 @@ def chunk_text(spark, folder):
 )
 def parse_response_scan(spark, folder):
     # One response in each file, as the service leaves them.
-    rows = derive.parsed(spark, folder).select(F.col("doc_id").alias("document"), "chunks", "markdown", "metadata", "grounding")
-    r = responses.read_responses(spark, sinks.write_json(rows, fresh_path(spark, "responses"), by="document"))
+    rows = derive.parsed(spark, folder).select("doc_id", F.to_json(F.struct("chunks", "markdown", "metadata", "grounding")).alias("json"))
+    name = F.concat(F.lit("parse_doc_"), F.col("doc_id").cast("string"), F.lit(".json"))
+    folders = named_files.folders_for(table(spark, folder, "documents").count())
+    path = named_files.write_named(rows, fresh_path(spark, "responses"), name, F.col("json"), folders)
+    r = responses.parsed_responses(named_files.read_named(spark, path))
     return r.select(
         F.col("metadata.filename").alias("filename"), F.size("chunks").cast("bigint").alias("chunks"),
         F.length("markdown").cast("bigint").alias("markdown_length"),

@@ -17,6 +17,12 @@ def read_responses(spark: SparkSession, folder: str, schema: str = schemas.PARSE
     return reader.json(folder).withColumn("file_name", F.col("_metadata.file_name"))
 
 
+def parsed_responses(files: DataFrame, content: str = "content", schema: str = schemas.PARSE_RESPONSE) -> DataFrame:
+    """Whole files (see ``named_files.read_named``), each with one JSON object, under a declared schema."""
+    rest = [c for c in files.columns if c != content]
+    return files.select(*rest, F.from_json(content, schema).alias("__r")).select(*rest, "__r.*")
+
+
 def read_envelopes(spark: SparkSession, folder: str, document: str) -> DataFrame:
     """Rows of all documents of all batch envelopes, with the batch columns."""
     rows = spark.read.schema(f"{schemas.ENVELOPE_HEAD}, part bigint, documents array<{document}>").json(folder)

@@ -66,3 +66,23 @@ def test_csv_text(spark):
     back = list(csv.reader(io.StringIO(made[1], newline="")))
     assert back == [["value", "size"]] + [[v or "", "" if v is None else str(len(v))] for v in values]
     assert made[2] == made[3] == "value,size\n"
+
+
+def test_files_in_sub_folders_are_read_by_their_own_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".md")).alias("n"), F.when(F.col("id") > 0, F.repeat(F.lit("é\n"), 3)).alias("t"))
+    path = named_files.write_named(rows, str(tmp_path / "out"), F.col("n"), F.col("t"), folders=7)
+    (tmp_path / "out" / "other.txt").write_text("own")
+    (tmp_path / "out" / "_hidden.md").write_text("no")
+    read = named_files.read_named(spark, path, "*.md")
+    assert {r["name"]: r["content"] for r in read.collect()} == {f"f{i}.md": "é\n" * 3 if i else "" for i in range(300)}
+    # One task for the folder and each sub-folder, however many files there are.
+    assert read.rdd.getNumPartitions() == 8
+    assert [r["content"] for r in named_files.read_named(spark, path, "*.txt").collect()] == ["own"]
+    assert named_files.folders_for(2_000) == 0 and named_files.folders_for(3_000_000) == 1_500
+
+
+def test_responses_are_not_one_folder_each(spark, folder, tmp_path, monkeypatch):
+    from foliospark.plans import chunk_plans
+
+    monkeypatch.setattr(chunk_plans, "fresh_path", lambda spark, label: str(tmp_path / label))
+    assert chunk_plans.parse_response_scan(spark, folder).count() == len(listed(tmp_path / "responses")) > 100
