@@ -19,8 +19,10 @@ def stem():
     return F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("stem")
 
 
-def file_name():
-    return F.col("_metadata.file_name")
+def _named(spark, folder, rows, label, name, content):
+    """The rows' files, one for each document, written and read back as ``name, content``."""
+    folders = named_files.folders_for(table(spark, folder, "documents").count())
+    return named_files.read_named(spark, named_files.write_named(rows, fresh_path(spark, label), name, content, folders))
 
 
 @query(
@@ -30,10 +32,9 @@ def file_name():
 )
 def json_results(spark, folder):
     rows = derive.parsed(spark, folder).select(stem(), F.to_json(F.struct("chunks", "markdown", "metadata", "grounding")).alias("json"))
-    path = named_files.write_named(rows, fresh_path(spark, "json-results"), F.concat(F.lit("parse_"), "stem", F.lit(".json")), F.col("json"))
-    back = spark.read.schema(schemas.PARSE_RESPONSE).json(path)
-    return back.select(
-        F.regexp_extract(file_name(), "^parse_(.*)[.]json$", 1).alias("stem"), file_name().alias("file"), F.col("metadata.filename").alias("filename"),
+    files = _named(spark, folder, rows, "json-results", F.concat(F.lit("parse_"), "stem", F.lit(".json")), F.col("json"))
+    return responses.parsed_responses(files).select(
+        F.regexp_extract("name", "^parse_(.*)[.]json$", 1).alias("stem"), F.col("name").alias("file"), F.col("metadata.filename").alias("filename"),
         F.size("chunks").cast("bigint").alias("chunks"), F.sha2("markdown", 256).alias("markdown"),
     )
 
@@ -44,9 +45,9 @@ def json_results(spark, folder):
 )
 def markdown_files(spark, folder):
     rows = table(spark, folder, "documents").select(stem(), "text")
-    path = named_files.write_named(rows, fresh_path(spark, "markdown"), F.concat("stem", F.lit(".md")), F.col("text"))
+    files = _named(spark, folder, rows, "markdown", F.concat("stem", F.lit(".md")), F.col("text"))
     # Files without a last line break, so an empty last line is not read as one.
-    back = listings.read_markdown(spark, path).select(F.regexp_replace("filename", "[.]md$", "").alias("stem"), F.explode(F.split("content", "\n")).alias("line"))
+    back = files.select(F.regexp_replace("name", "[.]md$", "").alias("stem"), F.explode(F.split("content", "\n")).alias("line"))
     return back.groupBy("stem", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -57,9 +58,8 @@ def markdown_files(spark, folder):
 def markdown_scan(spark, folder):
     # One document in each file, read as a whole.
     rows = table(spark, folder, "documents").select(stem(), F.concat("text", F.lit("\n")).alias("text"))
-    path = named_files.write_named(rows, fresh_path(spark, "markdown"), F.concat("stem", F.lit(".md")), F.col("text"))
-    files = listings.read_markdown(spark, path)
-    return files.select(F.regexp_replace("filename", "[.]md$", "").alias("stem"), F.sha2("content", 256).alias("content"))
+    files = _named(spark, folder, rows, "markdown", F.concat("stem", F.lit(".md")), F.col("text"))
+    return files.select(F.regexp_replace("name", "[.]md$", "").alias("stem"), F.sha2("content", 256).alias("content"))
 
 
 def _csv(spark, path, schema):
@@ -95,9 +95,9 @@ def chunk_csv_separate(spark, folder):
         "length": F.length(text.clean_chunk(c["markdown"])),
     })
     rows = derive.parsed(spark, folder).select(stem(), body.alias("csv"))
-    path = named_files.write_named(rows, fresh_path(spark, "chunk-csv"), F.concat("stem", F.lit("_chunks.csv")), F.col("csv"))
-    back = _csv(spark, path, "document string, chunk_id string, content string, length bigint")
-    return back.select(file_name().alias("file"), "document", "chunk_id", F.coalesce("content", F.lit("")).alias("content"), "length")
+    files = _named(spark, folder, rows, "chunk-csv", F.concat("stem", F.lit("_chunks.csv")), F.col("csv"))
+    back = files.select(F.col("name").alias("file"), F.explode(sinks.csv_records(F.col("content"), "document string, chunk_id string, content string, length bigint")).alias("r"))
+    return back.select("file", "r.document", "r.chunk_id", F.coalesce("r.content", F.lit("")).alias("content"), "r.length")
 
 
 @query(

@@ -51,6 +51,14 @@ def csv_text(items: Column, line: Callable[[Column], dict[str, Column]]) -> Colu
     return F.concat(F.array_join(F.array_prepend(F.coalesce(lines, F.array().cast("array<string>")), ",".join(names)), "\n"), F.lit("\n"))
 
 
+def csv_records(content: Column, schema: str) -> Column:
+    """Rows of a CSV text as ``csv_text`` writes it, without its header, as an array of structs of the declared schema."""
+    # A record ends at a line break outside quotes.
+    records = F.regexp_extract_all(content, F.lit(r'(?:[^"\n]++|"[^"]*+")++'), F.lit(0))
+    rest = F.slice(records, 2, F.greatest(F.size(records) - 1, F.lit(0)))
+    return F.transform(rest, lambda r: F.from_csv(r, schema, {"quote": '"', "escape": '"'}))
+
+
 def fixed_columns(df: DataFrame, order) -> DataFrame:
     """Exact column order; a missing column or value is written as an empty text."""
     have = set(df.columns)

@@ -86,3 +86,26 @@ def test_responses_are_not_one_folder_each(spark, folder, tmp_path, monkeypatch)
 
     monkeypatch.setattr(chunk_plans, "fresh_path", lambda spark, label: str(tmp_path / label))
     assert chunk_plans.parse_response_scan(spark, folder).count() == len(listed(tmp_path / "responses")) > 100
+
+
+def test_csv_texts_are_read_record_by_record(spark):
+    values = ["plain", 'say "x", y', "two\nlines", " edge ", "", None, "a,b", '"', "back\\slash", "end\r", "x" * 50_000]
+    rows = spark.createDataFrame([(1, values), (2, []), (3, None)], "id int, v array<string>")
+    texts = rows.select("id", sinks.csv_text(F.col("v"), lambda v: {"value": v, "size": F.length(v)}).alias("t"))
+    back = {r["id"]: r["r"] for r in texts.select("id", sinks.csv_records(F.col("t"), "value string, size int").alias("r")).collect()}
+    assert [(r["value"], r["size"]) for r in back[1]] == [(v or None, None if v is None else len(v)) for v in values]
+    assert back[2] == back[3] == []
+
+
+@pytest.mark.parametrize("name, label", [
+    ("json_results", "json-results"), ("markdown_files", "markdown"), ("markdown_scan", "markdown"), ("chunk_csv_separate", "chunk-csv"),
+])
+def test_named_results_are_read_by_folder(spark, folder, tmp_path, monkeypatch, name, label):
+    from foliospark.plans import sink_plans
+
+    monkeypatch.setattr(sink_plans, "fresh_path", lambda spark, label: str(tmp_path / label))
+    monkeypatch.setattr(named_files, "FILES_PER_FOLDER", 50)
+    rows = getattr(sink_plans, name)(spark, folder)
+    assert "BatchScan named_files" in rows._jdf.queryExecution().executedPlan().toString()
+    parts = [f for f in os.listdir(tmp_path / label) if f.startswith("part-")]
+    assert len(parts) == named_files.folders_for(spark.read.parquet(f"{folder}/documents.parquet").count()) > 1 and rows.count() > 100
