@@ -1,7 +1,7 @@
 """Job states: last status, first terminal status and timeouts.
 
 As a mergeable aggregate that any reader can judge at any time (``job_state``, ``track``), and as a stream that itself
-writes each job's end or timeout once, by timers in event time (``watch``).
+writes each job's end or timeout once, by event time (``finished`` with timers, ``watch`` with a table of open jobs).
 """
 
 from __future__ import annotations
@@ -62,6 +62,7 @@ def finished(rows: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS, delay: str
     another gives ``timeout`` once the watermark, ``delay`` behind the latest row, is past the deadline. An ended job
     stays in the state until then, so that later rows of it change nothing, and a timed-out one leaves with its row; what
     is kept are the jobs of the last ``timeout_seconds`` and ``delay``. Rows without a job or time are left out.
+    Python is called for each job of a batch; ``watch`` gives the same for very many jobs.
     """
     limit = int(timeout_seconds * 1000)
 
@@ -101,9 +102,48 @@ def finished(rows: DataFrame, timeout_seconds: int = TIMEOUT_SECONDS, delay: str
     )
 
 
-def watch(rows: DataFrame, out: str, checkpoint: str | None = None, **names) -> DataFrame:
-    """Writes ``finished`` jobs to a table, each once, and returns it; ``names`` go to ``finished``."""
-    stream = finished(rows, **names)
-    ingest.open_table(rows.sparkSession, out, stream.schema)
-    ingest.run(stream, lambda batch, at: ingest.save_batch(batch, out, at), checkpoint)
-    return ingest.result_rows(rows.sparkSession, out)
+def watch(
+    rows: DataFrame, out: str, checkpoint: str | None = None, timeout_seconds: int = TIMEOUT_SECONDS, delay: str = "10 minutes", job: str = "job_id",
+    status: str = "status", time: str = "ts",
+) -> DataFrame:
+    """Writes jobs to a table as ``finished`` tells them, each once, and returns it.
+
+    The open jobs are a table beside the result instead of a state that Python is called on key by key: a batch reduces its
+    rows to one for each job, joins them with the jobs that its forerunner left open, and writes all that it knows once. Two
+    such tables take turns, so a batch that is run again finds the one before it, and both hold the jobs of the last
+    ``timeout_seconds`` and ``delay`` only.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema[job].dataType.simpleString()
+    ingest.open_table(spark, out, f"{job} {kind}, outcome string, at timestamp")
+    limit = F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS")
+    empty = spark.createDataFrame([], f"{job} {kind}, started timestamp, ended boolean")
+    timed = rows.select(job, status, F.col(time).cast("timestamp").alias(time)).where(F.col(job).isNotNull() & F.col(time).isNotNull())
+
+    def each_batch(batch: DataFrame, at: ingest.Batch) -> None:
+        run, number = at
+        own, before = (f"{out.rstrip('/')}_open/{run}/{n % 2}" for n in (number, number - 1))
+        mark, known = None, empty
+        if number:
+            mark = spark.read.parquet(f"{before}/mark").where(F.col("batch") == number - 1).first()["mark"]
+            known = spark.read.parquet(f"{before}/jobs").where("open").select(job, "started", "ended")
+        fresh = batch if mark is None else batch.where(F.col(time) > F.lit(mark).cast("timestamp"))
+        # One number: the watermark, ``delay`` behind the latest row.
+        latest = fresh.agg((F.max(time) - F.expr(f"INTERVAL {delay}")).cast("string")).first()[0]
+        moved = max((m for m in (latest, mark) if m is not None), key=datetime.fromisoformat, default=None)
+        first_end = F.min(F.when(F.col(status).isin(*TERMINAL), F.struct(F.col(time).alias("at"), F.col(status).alias("status"))))
+        told = fresh.groupBy(job).agg(F.min(time).alias("first"), first_end.alias("end"))
+        joined = told.join(known, job, "full").withColumn("started", F.least("started", "first")).withColumn("deadline", F.col("started") + limit)
+        due = F.col("deadline") < F.lit(moved).cast("timestamp")
+        waits = ~F.coalesce("ended", F.lit(False))
+        ends = waits & F.coalesce(F.col("end.at") < F.col("deadline"), F.lit(False))
+        late = waits & ~ends & due
+        joined.select(
+            job, "started", (~waits | ends).alias("ended"), (~due).alias("open"),
+            F.when(ends, F.col("end.status")).when(late, "timeout").alias("outcome"), F.when(ends, F.col("end.at")).when(late, F.col("deadline")).alias("at"),
+        ).write.mode("overwrite").parquet(f"{own}/jobs")
+        ingest.save_batch(spark.read.parquet(f"{own}/jobs").where(F.col("outcome").isNotNull()).select(job, "outcome", "at"), out, at)
+        spark.createDataFrame([(number, moved)], "batch bigint, mark string").write.mode("overwrite").parquet(f"{own}/mark")
+
+    ingest.run(timed, each_batch, checkpoint)
+    return ingest.result_rows(spark, out)

@@ -154,6 +154,42 @@ def test_finished_jobs_leave_the_stream_once(spark, tmp_path, inbox):
     assert sizes == [3, 4, 1, 1]  # ended and timed-out jobs leave the state
 
 
+def test_watched_jobs_need_no_call_for_each_job(spark, tmp_path, inbox, monkeypatch):
+    row = lambda job, minute, status: {"job_id": job, "ts": f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z", "status": status}
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    batches = [
+        [row("a", 0, "processing"), row("b", 0, "processing"), row("b", 20, "failed"), row("c", 5, "completed"), row(None, 1, "failed")],
+        [row("a", 30, "processing"), row("b", 40, "completed"), row("d", 50, "processing")],
+        [row("e", 200, "processing"), row("g", 45, "processing")],  # the watermark passes the deadlines of a, d and g
+        [row("e", 210, "completed"), row("f", 400, "processing"), row("a", 31, "completed")],  # a's row comes behind the watermark
+    ]
+    monkeypatch.setattr(jobs, "finished", None)
+    go = lambda: jobs.watch(stream(spark, inbox, "job_id string, ts timestamp, status string"), out, check, timeout_seconds=3600)
+    left = []
+    for i, rows in enumerate(batches):
+        put(inbox, f"{i}.json", rows)
+        if i == 2:  # the driver is lost behind the result of a batch, which is then done again
+            save = ingest.save_batch
+
+            def stops(saved, path, batch):
+                save(saved, path, batch)
+                if batch[1] == 2:
+                    raise RuntimeError("lost driver")
+
+            monkeypatch.setattr(ingest, "save_batch", stops)
+            with pytest.raises(Exception, match="lost driver"):
+                go()
+            monkeypatch.setattr(ingest, "save_batch", save)
+        found = go()
+        state = list((tmp_path / "out_open").glob(f"*/{i % 2}/jobs"))
+        left.append(sorted(r["job_id"] for r in spark.read.parquet(str(state[0])).where("open").collect()))
+    got = sorted((r["job_id"], r["outcome"], r["at"].strftime("%H:%M")) for r in found.collect())
+    assert got == [
+        ("a", "timeout", "01:00"), ("b", "failed", "00:20"), ("c", "completed", "00:05"), ("d", "timeout", "01:50"), ("e", "completed", "03:30"), ("g", "timeout", "01:45"),
+    ]
+    assert left == [["a", "b", "c"], ["a", "b", "c", "d"], ["e"], ["f"]]
+
+
 def test_index_follows_new_chunks(spark, tmp_path, inbox):
     put(inbox, "1.json", [{"id": "1", "body": "red fox"}])
     put(inbox, "2.json", [{"id": "1", "body": "red fox"}, {"id": "2", "body": "red hen"}])
