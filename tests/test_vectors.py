@@ -75,3 +75,20 @@ def test_recall_of_the_nearest_cells(spark, folder, tmp_path):
     exact = {(r["question"], r["id"]) for r in stored.nearest(asked, "vec_id", "embedding", 10).best.collect()}
     found = {(r["question"], r["id"]) for r in stored.nearest(asked, "vec_id", "embedding", 10, probes=15, exact=False).best.collect()}
     assert len(exact) == 250 and len(found & exact) >= 225
+
+
+def test_blocks_meet_as_matrices(spark, folder, tmp_path, monkeypatch):
+    """Small blocks cut crowded cells and questions; a question's vector is sent once a block and not once a row or cell."""
+    from foliospark.operators import vectors
+
+    rows = table(spark, folder, "embeddings").union(table(spark, folder, "embeddings").selectExpr("vec_id + 100000", "embedding", "label"))
+    stored = VectorTable.write(rows, "vec_id", "embedding", str(tmp_path / "t"), size=64, cells=5)
+    asked = rows.where("vec_id % 20 = 0")
+    whole = stored.nearest(asked, "vec_id", "embedding", 10).best
+    want = {tuple(r) for r in whole.select("question", "rank", "id", "score").collect()}
+    for name, value in (("BLOCK_ROWS", 60), ("BLOCK_QUESTIONS", 7), ("SCORES_AT_ONCE", 100)):
+        monkeypatch.setattr(vectors, name, value)
+    assert max(b + n for _, b, n in stored._blocks()) > 10
+    best = stored.nearest(asked, "vec_id", "embedding", 10).best
+    assert {tuple(r) for r in best.select("question", "rank", "id", "score").collect()} == want
+    assert "FlatMapCoGroupsInArrow" in plan_of(best) and len(want) == asked.count() * 10
