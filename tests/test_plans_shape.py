@@ -33,3 +33,19 @@ def test_no_python_and_no_cross_join_in_any_plan(spark, folder):
         plan = plan_of(q(spark, folder))
         for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):
             assert word not in plan, (name, word)
+
+
+def test_invoices_are_not_moved_with_their_items(spark, folder, monkeypatch):
+    """Customers are joined to thin orders, and both results of an invoice are paired in its row."""
+    from foliospark.operators import invoices
+    from foliospark.plans import derive, record_plans
+
+    monkeypatch.setattr(invoices, "pair_results", None)
+    pairs = record_plans.stored_pairs(spark, folder)
+    assert pairs.columns == ["doc_id", "chunks", "markdown", "metadata", "extraction"]
+    assert pairs.count() == table(spark, folder, "orders").count()
+    counted = []
+    monkeypatch.setattr(derive, "sized_join", lambda left, *rest, **more: counted.append(left.columns) or derive.table(spark, folder, "orders").join(
+        derive.table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")))
+    derive.invoice_documents(spark, folder)
+    assert "items" not in counted[0]
