@@ -110,17 +110,28 @@ def totals(rows: DataFrame, amount: str, customer: str, supplier: str, per: list
 
 
 def product_summary(docs: DataFrame, name: str, doc: str, meta: str) -> DataFrame:
-    """Fixed 32-column product table from VARIANT records; a record without one of the fields is an error."""
+    """Fixed 32-column product table from VARIANT records; a record without one of the fields is an error.
+
+    Each record is read once, into one struct that all columns are taken from; a getter for every column would search the
+    record anew and make a method too long for the JVM to compile.
+    """
     kinds = {**{n: "string" for n in schemas.PRODUCT_TEXT}, **schemas.PRODUCT_NUMBERS,
              **{n: "boolean" for n in schemas.PRODUCT_FLAGS}}
     order = ["product_name", "brand", "net_weight_oz", "net_weight_g", "servings_per_container", "serving_size",
              "product_type", "flavor", *schemas.PRODUCT_FLAGS]
-    columns = [F.col(name).alias("document_name")]
+    keys = F.coalesce(F.map_keys(F.try_variant_get(F.col(doc), "$", "map<string, variant>")), F.array().cast("array<string>"))
+    kind = "struct<" + ", ".join(f"{n}: {kinds[n]}" for n in order) + ">"
+    sources = "struct<" + ", ".join(f"{n}: struct<references: array<string>>" for n in schemas.PRODUCT_PROVENANCE) + ">"
+    read = docs.select(
+        F.col(name).alias("document_name"), F.try_variant_get(F.col(doc), "$", kind).alias("__record"),
+        F.get(F.array_except(F.array(*[F.lit(n) for n in order]), keys), F.lit(0)).alias("__missing"),
+        F.try_variant_get(F.col(meta), "$", sources).alias("__sources"),
+    )
+    missing = F.raise_error(F.concat(F.lit("record has no field "), F.col("__missing"))).cast(kind)
+    whole = read.withColumn("__record", F.when(F.col("__missing").isNull(), F.col("__record")).otherwise(missing))
+    columns = [F.col("document_name")]
     for field in order:
-        present = F.try_variant_get(F.col(doc), f"$.{field}", "variant").isNotNull()
-        missing = F.raise_error(F.lit(f"record has no field {field}")).cast(kinds[field])
-        columns.append(F.when(present, F.try_variant_get(F.col(doc), f"$.{field}", kinds[field])).otherwise(missing).alias(field))
+        columns.append(F.col(f"__record.{field}"))
         if field in schemas.PRODUCT_PROVENANCE:
-            refs = values.list_text(F.try_variant_get(F.col(meta), f"$.{field}.references", "array<string>"))
-            columns.append(F.coalesce(refs, F.lit("[]")).alias(f"{field}_chunks"))
-    return docs.select(*columns)
+            columns.append(F.coalesce(values.list_text(F.col(f"__sources.{field}.references")), F.lit("[]")).alias(f"{field}_chunks"))
+    return whole.select(*columns)

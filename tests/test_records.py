@@ -4,11 +4,13 @@ import json
 from datetime import date
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark import schemas
 from foliospark.operators import chunks, filings, flatten, invoices, provenance, splitting, summaries
+from foliospark.plans import record_plans
 from foliospark.sources import listings, responses, sinks
 
 
@@ -142,6 +144,24 @@ def test_product_summary_is_strict(spark):
         invoices.product_summary(make(record), "n", "d", "m").collect()
 
 
+def test_product_records_are_read_once(spark, folder):
+    """Not once for every column, and wrong kinds are null as they are for a getter of one field."""
+    plan = plan_of(record_plans.product_summary(spark, folder))
+    assert plan.count("variant_get(") == 3
+    record = {f: 7 for f in schemas.PRODUCT_TEXT} | {f: "1.5" for f in schemas.PRODUCT_NUMBERS} | {f: {"a": 1} for f in schemas.PRODUCT_FLAGS}
+    df = spark.createDataFrame([(json.dumps(record), '{"brand": {"references": [1, null, "it\'s"]}, "product_name": 3}')], "d string, m string")
+    docs = df.select(F.lit("p").alias("n"), F.parse_json("d").alias("d"), F.parse_json("m").alias("m"))
+    row = invoices.product_summary(docs, "n", "d", "m").first().asDict()
+    one = lambda field, kind: docs.select(F.try_variant_get("d", f"$.{field}", kind)).first()[0]
+    assert [row[f] for f in ("flavor", "net_weight_oz", "servings_per_container", "is_kosher")] == [
+        one("flavor", "string"), one("net_weight_oz", "double"), one("servings_per_container", "bigint"), one("is_kosher", "boolean")
+    ]
+    assert row["brand_chunks"] == """['1', None, "it's"]""" and row["product_name_chunks"] == "[]"
+    odd = docs.select("n", F.parse_json(F.lit("[1]")).alias("d"), "m")
+    with pytest.raises(Exception, match="record has no field product_name"):
+        invoices.product_summary(odd, "n", "d", "m").collect()
+
+
 def test_totals_skip_nulls_and_empty_names(spark):
     df = spark.createDataFrame([(1.1, "a", ""), (None, "a", "s"), (2.2, "b", None)], "t double, c string, s string")
     row = invoices.totals(df, "t", "c", "s").first()
