@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, values
+from .arrays import unnest_fields
 
 # Marker text in a log line and the file name it carries, per status.
 LOG_MARKERS = {
@@ -38,14 +39,18 @@ def matches(events: DataFrame, time: str, now: datetime, patterns: list[str], **
 
 
 def classified(events: DataFrame, message: str = "message") -> DataFrame:
-    """Status and file name per log line; lines without a marker drop."""
+    """Status and file name per log line; lines without a marker drop.
+
+    Both come out of one generated row, so that a line is put together and matched once: a filter on a plain column would
+    be copied below it, with the whole text in every marker's test.
+    """
     text = F.col(message)
-    status = file = None
+    found = None
     for name, pattern in LOG_MARKERS.items():
-        hit = text.rlike(pattern)
-        status = F.when(hit, name) if status is None else status.when(hit, name)
-        file = F.when(hit, F.regexp_extract(text, pattern, 1)) if file is None else file.when(hit, F.regexp_extract(text, pattern, 1))
-    return events.withColumn("status", status).withColumn("file", file).where(F.col("status").isNotNull())
+        told = F.struct(F.lit(name).alias("status"), F.regexp_extract(text, pattern, 1).alias("file"))
+        found = F.when(text.rlike(pattern), told) if found is None else found.when(text.rlike(pattern), told)
+    kept = [F.col(f"`{c}`") for c in events.columns if c.lower() not in ("status", "file")]
+    return unnest_fields(events, kept, F.array(found), "status")
 
 
 def first_seen(lines: DataFrame, time: str) -> DataFrame:

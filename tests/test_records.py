@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from foliospark import schemas
 from foliospark.operators import chunks, filings, flatten, invoices, provenance, splitting, summaries
-from foliospark.plans import record_plans
+from foliospark.plans import derive, record_plans
 from foliospark.sources import listings, responses, sinks
 
 
@@ -221,6 +221,14 @@ def test_log_markers(spark):
     ]
 
 
+def test_log_lines_are_put_together_once(spark, folder):
+    """The text of a line is not copied into every marker's test, nor below the filter on its status."""
+    plan = plan_of(summaries.first_seen(summaries.classified(derive.log_lines(spark, folder)), "ts"))
+    assert plan.count("REPORT RequestId") == 1
+    odd = spark.createDataFrame([(1, None, "x"), (2, "Completed pipeline for  → z", "y")], "id int, message string, status string")
+    assert [tuple(r) for r in summaries.classified(odd).collect()] == [(2, "Completed pipeline for  → z", "processed", "")]
+
+
 def test_envelope_shapes_and_extractions(spark):
     bodies = ['{"documents":[{"extraction":{"k":1}},{"extraction":null},3,null]}', '[{"extraction_output":{"k":2}}]', '{"invoice_info":{"n":1}}', "junk"]
     df = spark.createDataFrame([(b,) for b in bodies], "body string")
