@@ -7,7 +7,9 @@ dealt by hash, so that no task sees more than a bounded number of pieces; the wi
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 
@@ -26,14 +28,21 @@ MEMO_BYTES, ENTRY_BYTES = 128 << 20, 200
 EXTRA_SPACE = "\x1c\x1d\x1e\x1f"
 #: Marks that the vocabulary's pattern parts from the letters before them.
 MARKS = ".,;:"
+#: The pattern by which the vocabulary parts normalized text, and the same for lower-cased Latin-1 text, where it is exact:
+#: such text is in normal form C, and its letters, numbers and white space are these.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\t-\\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
+_SUFFIX = "</w>"
 
 
 class WordIds:
-    """Ids of white-space-separated pieces as little-endian 32-bit numbers.
+    """Ids of the pieces of texts as little-endian 32-bit numbers.
 
-    The vocabulary drops white space and no token crosses it, so that a text's ids are those of its pieces in a row. New
-    pieces of some texts are encoded together, each once; letters before a mark stand for themselves, and those of ASCII
-    in lower case, as the vocabulary has them. What is remembered is bounded in bytes and begun anew when it is full.
+    The vocabulary drops white space and no token crosses it, so that a text's ids are those of its pieces in a row. Where
+    the vocabulary has the known pattern, pieces of Latin-1 texts are its words, lower-cased, so that a word has one entry in
+    whatever case and before whatever mark; other texts are cut at white space, and letters before a mark stand for themselves.
+    New pieces of some texts are encoded together, each once. What is remembered is bounded in bytes and begun anew when it is full.
     """
 
     def __init__(self, vocabulary: str, most_bytes: int = MEMO_BYTES):
@@ -45,6 +54,16 @@ class WordIds:
         self.most_bytes = most_bytes
         self.ids: dict[str, bytes] = {}
         self.size = 0
+        told = json.loads(self.tokenizer.to_str())
+        steps = [n.get("type") for n in (told["normalizer"] or {}).get("normalizers", [])]
+        cuts = [c.get("pattern", {}).get("Regex") for c in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        known = steps == ["NFC", "Replace", "Lowercase"] and cuts == [PATTERN, None] and told["model"].get("end_of_word_suffix") == _SUFFIX
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether a token ends a word, by its id; none where the vocabulary has another pattern.
+        self.ends = np.zeros(max(names.values()) + 1, bool) if known else None
+        if known:
+            self.ends[[i for name, i in names.items() if name.endswith(_SUFFIX)]] = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -54,8 +73,21 @@ class WordIds:
         self.ids[piece] = ids
         self.size += len(piece) + len(ids) + ENTRY_BYTES
 
-    def add(self, pieces: set[str]) -> None:
-        """Encodes the pieces that are not known yet."""
+    def _add_words(self, words: set[str]) -> None:
+        """Encodes the words that are not known yet, many in one text; their last tokens tell where each ends."""
+        new = sorted(words.difference(self.ids))
+        for start in range(0, len(new), 4096):
+            some = new[start : start + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            edges = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(edges) != len(some) or edges[-1] != ids.nbytes:
+                raise ValueError("the words of the vocabulary's pattern are not those of its tokens")
+            raw = ids.tobytes()
+            self.ids.update(zip(some, map(raw.__getitem__, map(slice, [0, *edges[:-1]], edges)), strict=True))
+            self.size += sum(map(len, some)) + len(raw) + ENTRY_BYTES * len(some)
+
+    def _add_pieces(self, pieces: set[str]) -> None:
+        """Encodes the pieces between white space that are not known yet."""
         parts: dict[str, tuple[str, str]] = {}
         for piece in pieces.difference(self.ids):
             body, mark = (piece[:-1], piece[-1]) if piece[-1] in MARKS and piece[:-1].lower().isalpha() else (piece, "")
@@ -70,13 +102,28 @@ class WordIds:
             if piece != body:
                 self._keep(piece, self.ids[body] + self.ids[mark] if mark else self.ids[body])
 
+    def _words(self, text: str) -> list[str] | None:
+        """The words of a Latin-1 text; none where it must be cut otherwise."""
+        if self.ends is None:
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        text = text.lower()
+        return None if any(a in text for a in self.added) else _WORDS.findall(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text."""
         if self.size > self.most_bytes:
             self.ids, self.size = {}, 0
-        cut = [None if any(c in t for c in EXTRA_SPACE) else t.split() for t in texts]
-        self.add(set().union(*(c for c in cut if c)))
+        odd = [any(c in t for c in EXTRA_SPACE) for t in texts]
+        words = [None if o else self._words(t) for o, t in zip(odd, texts, strict=True)]
+        pieces = [t.split() if w is None and not o else None for o, w, t in zip(odd, words, texts, strict=True)]
+        self._add_words(set().union(*(w for w in words if w)))
+        self._add_pieces(set().union(*(p for p in pieces if p)))
         found = self.ids.__getitem__
+        cut = [p if w is None else w for w, p in zip(words, pieces, strict=True)]
         return [self._whole(t) if c is None else b"".join(map(found, c)) for t, c in zip(texts, cut, strict=True)]
 
 

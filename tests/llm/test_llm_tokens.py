@@ -167,6 +167,19 @@ def test_word_ids_equal_the_library_and_stay_bounded():
             assert words.size < most + 50 * 12 * 300
 
 
+def test_a_word_has_one_entry_in_latin_texts():
+    path = vocabulary("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    words = packing.WordIds(path)
+    some = ["Über über. ÜBER, (über); über's", "über!über"]
+    assert words.encode(some) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    assert len([w for w in words.ids if "ber" in w.lower()]) == 1
+    rng = random.Random(6)
+    parts = [*map(chr, range(256)), "'s", "'RE", "<|endoftext|>", "<|StartOfText|>", "<|", "</w>", "ing", "The", "…"]
+    odd = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)]
+    assert words.encode(odd) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+
+
 def test_log_of_turns_folds_back_and_needs_every_kind(spark):
     rng = random.Random(8)
     rows = [(i % 30, i // 30, rng.choice(["user", "assistant", "", None]), "é😀 word " * rng.randrange(0, 60)) for i in range(300)]
