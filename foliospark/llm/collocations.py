@@ -30,6 +30,8 @@ from .common import lowest_keys
 LONGEST = 4
 #: Bytes of text that a task cuts into words at once, and words that it counts at once; a longer text is cut by itself.
 SLICE_BYTES, COUNTED_WORDS = 4 << 20, 2_000_000
+#: Counted phrases that a task holds to add up what its slices repeat.
+HELD_PHRASES = 1 << 20
 #: What parts pieces, what parts words; only A-Z are lower-cased.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + b".,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 _BLANK, _END = 32, 10
@@ -204,19 +206,51 @@ def _missing(digests: DataFrame, known: np.ndarray, bits: int) -> bool:
     return not short.where(F.arrow_udf(run, "boolean")(F.col("h"))).isEmpty()
 
 
+class Held:
+    """Counts of phrases by group, added up over the slices of a task; at most about ``most`` rows are held."""
+
+    def __init__(self, most: int):
+        self.most, self.rows = most, 0
+        self.parts: dict[str, list[pa.Table]] = {}
+
+    def add(self, group: str, k: int, phrases: pa.Array, times: np.ndarray) -> None:
+        told = [pa.array(np.full(len(phrases), k, np.int32)), phrases, pa.array(times.astype(np.int64))]
+        self.parts.setdefault(group, []).append(pa.table(told, names=["k", "phrase", "f"]))
+        self.rows += len(phrases)
+
+    def merge(self) -> None:
+        for group, parts in self.parts.items():
+            if len(parts) > 1:
+                whole = pa.concat_tables(parts).group_by(["k", "phrase"], use_threads=False).aggregate([("f", "sum")])
+                self.parts[group] = [whole.select(["k", "phrase", "f_sum"]).rename_columns(["k", "phrase", "f"])]
+        self.rows = sum(t.num_rows for parts in self.parts.values() for t in parts)
+
+    def told(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """What must be given away: all at the end, before that only where added-up counts still fill half of the room."""
+        if not last and self.rows <= self.most:
+            return
+        self.merge()
+        if not last and 2 * self.rows <= self.most:
+            return
+        for group, (whole,) in self.parts.items():
+            for rows in whole.to_batches(max_chunksize=1 << 16):
+                lang = pa.array([group]).take(pa.array(np.zeros(len(rows), np.int32)))
+                yield pa.RecordBatch.from_arrays([lang, *rows.columns], names=["lang", "k", "phrase", "f"])
+        self.parts, self.rows = {}, 0
+
+
 def _count_phrases(texts: DataFrame, survivors: np.ndarray, bits: int) -> DataFrame:
     """Exact counts (``lang``, ``k``, ``phrase``, ``f``) of all phrases whose digests are in the table; row ``k = 0`` counts all words."""
     shared = texts.sparkSession.sparkContext.broadcast(survivors)
-    names = ["lang", "k", "phrase", "f"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = Family(shared.value, bits)
+        family, held = Family(shared.value, bits), Held(HELD_PHRASES)
         for group, part in _slices(batches):
             grams = Grams(part, group)
             size = len(grams.ids)
             if not size:
                 continue
-            yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([0], pa.int32()), pa.array([""]), pa.array([size], pa.int64())], names=names)
+            held.add(group, 0, pa.array([""]), np.array([size]))
             words = shorter = pa.array(grams.words, pa.binary()).cast(pa.string())
             digest = grams.own.copy()
             at, numbers = np.arange(size), np.zeros(size, np.int64)  # of the phrase of one word less at each position
@@ -232,10 +266,9 @@ def _count_phrases(texts: DataFrame, survivors: np.ndarray, bits: int) -> DataFr
                 shorter = ends if k == 1 else pc.binary_join_element_wise(shorter.take(pa.array(numbers[at[first]])), ends, " ")
                 numbers = np.full(size + 1, -1, np.int64)
                 numbers[at] = own
-                for start in range(0, len(shorter), 1 << 16):
-                    rows = shorter.slice(start, 1 << 16)
-                    cut = slice(start, start + len(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array([group] * len(rows)), pa.array(np.full(len(rows), k, np.int32)), rows, pa.array(times[cut].astype(np.int64))], names=names)
+                held.add(group, k, shorter, times)
+            yield from held.told()
+        yield from held.told(last=True)
 
     return texts.mapInArrow(run, "lang string, k int, phrase string, f bigint").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 

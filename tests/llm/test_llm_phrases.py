@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliospark.llm import collocations
@@ -133,3 +135,21 @@ def test_digests_depend_on_word_and_group_alone():
     assert len(collocations.word_digests(b" \n", "en")[0]) == 0 == len(collocations.word_digests(b"", "en")[0])
     grams = collocations.Grams([b"A b.", b"b,ab"], "en")
     assert grams.own.tolist() == [told["en", w] for w in ("a", "b", "b", "ab")] and len(set(grams.piece.tolist())) == 3
+
+
+def test_slices_of_a_task_are_added_up():
+    """What a task gives away does not grow with its slices, and adding up loses nothing where the room is small."""
+    for most, times in ((1 << 20, 1), (4, None)):
+        held, given = collocations.Held(most), []
+        for n in range(10):
+            held.add("en", 2, pa.array(["a b", f"x {n % 3}"]), np.array([2, 1]))
+            held.add("de", 1, pa.array(["a"]), np.array([1]))
+            given += [r for b in held.told() for r in b.to_pylist()]
+        given += [r for b in held.told(last=True) for r in b.to_pylist()]
+        sums = {}
+        for r in given:
+            at = (r["lang"], r["k"], r["phrase"])
+            sums[at] = sums.get(at, 0) + r["f"]
+        assert sums == {("en", 2, "a b"): 20, ("en", 2, "x 0"): 4, ("en", 2, "x 1"): 3, ("en", 2, "x 2"): 3, ("de", 1, "a"): 10}
+        assert times is None or len(given) == len(sums)
+    assert list(collocations.Held(4).told(last=True)) == []
