@@ -35,10 +35,9 @@ LINE_ITEM = (
     "struct<line_number string, sku string, description string, quantity double, unit_price double, "
     "price double, amount double, total double>"
 )
-INVOICE = (
-    ", ".join(f"{name} struct<{fields}>" for name, fields in INVOICE_SECTIONS.items())
-    + f", line_items array<{LINE_ITEM}>"
-)
+INVOICE_HEADER = ", ".join(f"{name} struct<{fields}>" for name, fields in INVOICE_SECTIONS.items())
+INVOICE_ITEMS = f"line_items array<{LINE_ITEM}>"
+INVOICE = f"{INVOICE_HEADER}, {INVOICE_ITEMS}"
 
 PURCHASE_ORDER = (
     "po_number string, po_date date, vendor_name string, ship_to_address string, total_amount double, "

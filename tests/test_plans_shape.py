@@ -49,3 +49,10 @@ def test_invoices_are_not_moved_with_their_items(spark, folder, monkeypatch):
         derive.table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")))
     derive.invoice_documents(spark, folder)
     assert "items" not in counted[0]
+
+
+def test_an_invoice_table_reads_only_its_part_of_the_record(spark, folder):
+    read = lambda q: plan_of(QUERIES[q](spark, folder)).split("from_json(")[1].split("invoke(")[0]
+    items, main = read("w6_invoice_line_items"), read("p4_invoice_main")
+    assert "line_items" in items and "totals_summary" not in items
+    assert "totals_summary" in main and "line_items" not in main
