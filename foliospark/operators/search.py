@@ -18,18 +18,28 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def sorted_tokens(text: Column) -> Column:
+    """Words in order, by the built-in order of strings: a comparator would be called for each comparison."""
+    return F.sort_array(tokens(text))
+
+
 def term_counts(words: Column) -> Column:
-    """Array of ``{term, tf}`` from sorted words, by run lengths: no shuffle is needed."""
-    starts = F.array_compact(F.transform(words, lambda w, i: F.when((i == 0) | (w != F.get(words, i - 1)), i)))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(words)))
-    return F.when(F.size(words) == 0, F.array().cast("array<struct<term string, tf int>>")).otherwise(
-        F.zip_with(starts, ends, lambda s, e: F.struct(F.get(words, s).alias("term"), (e - s).alias("tf")))
-    )
+    """Array of ``{term, tf}`` from sorted words, by run lengths: no shuffle is needed.
+
+    The starts of the runs are bound to a variable of an outer array of one element, so that they are found once a row.
+    """
+    none = F.array().cast("array<struct<term string, tf int>>")
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+    def runs(found: Column) -> Column:
+        return F.transform(found, lambda s, n: F.struct(F.get(words, s).alias("term"), (F.coalesce(F.get(found, n + 1), F.size(words)) - s).alias("tf")))
+
+    return F.when(F.size(words) == 0, none).otherwise(F.get(F.transform(F.array(starts), runs), F.lit(0)))
 
 
 def postings(chunks: DataFrame, chunk_id: str, text: str, *attributes: str) -> DataFrame:
     """Index rows ``(chunk, attributes, length, term, tf)``, kept in chunk order: a frequent term gathers nowhere."""
-    words = chunks.select(chunk_id, *attributes, F.array_sort(tokens(F.col(text))).alias("w"))
+    words = chunks.select(chunk_id, *attributes, sorted_tokens(F.col(text)).alias("w"))
     counted = words.select(chunk_id, *attributes, F.size("w").alias("length"), term_counts(F.col("w")).alias("terms"))
     return unnest_fields(counted, [chunk_id, *attributes, "length"], F.col("terms"), "term")
 

@@ -56,3 +56,14 @@ def test_an_invoice_table_reads_only_its_part_of_the_record(spark, folder):
     items, main = read("w6_invoice_line_items"), read("p4_invoice_main")
     assert "line_items" in items and "totals_summary" not in items
     assert "totals_summary" in main and "line_items" not in main
+
+
+def test_words_are_sorted_and_counted_without_comparators(spark):
+    """Words are put in the built-in order, and the starts of their runs are found once a row."""
+    from foliospark.operators import search
+
+    rows = spark.createDataFrame([(0, "b a b Z z"), (1, ""), (2, None)], "i int, t string")
+    index = search.postings(rows, "i", "t")
+    plan = plan_of(index)
+    assert "array_sort(" not in plan and plan.count("sequence(0") == 1
+    assert sorted(map(tuple, index.collect())) == [(0, 5, "a", 1), (0, 5, "b", 2), (0, 5, "z", 2)]
