@@ -8,14 +8,19 @@ its border, so the first pass counts them all.
 
 A family is no list of phrases but a bit table of fixed size over 64-bit digests, which is all that is broadcast. A digest
 that is found there by accident costs a needless count and changes no result. The passes count digests, the rows of which
-are short, and keep those that reach the least frequency: no phrase is frequent unless its digest is. One more pass counts
-the words of the phrases so found, by their texts, which makes all numbers exact. Tasks count their share before anything
-is shuffled, so that no phrase, however frequent, fills one task.
+are short, and keep those that reach the least frequency: no phrase is frequent unless its digest is. A counted digest and
+the digest of the phrase's last word tell the phrase before that word, so each count carries the least and the greatest last
+word met. Where they agree and no word shares its digest, the count is that of one phrase, which is put together from texts
+of words: only words are counted by text, and no text of a phrase leaves the tasks of a pass. Where two phrases share a
+digest, one more pass counts all phrases by their texts. Not seen is a phrase that shares all 64 bits with another, is
+counted in a different pass and is not frequent. Tasks count their share before anything is shuffled, so that no phrase,
+however frequent, fills one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.joins import sized_join
 from foliospark.session import durable
 
 from .common import lowest_keys
@@ -50,7 +56,8 @@ _LETTERS = _mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
 def word_digests(raw: bytes, group: str) -> tuple[np.ndarray, np.ndarray]:
     """64-bit digest of each word of translated bytes, and the number of pieces that ended before it.
 
-    A digest depends on the word and the group (language) alone: a polynomial of random values of its bytes.
+    A digest depends on the word and the group (language) alone: a polynomial of random values of its bytes. Its lowest two
+    bits are 0.
     """
     import xxhash
 
@@ -65,7 +72,7 @@ def word_digests(raw: bytes, group: str) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
     powers = np.multiply.accumulate(np.full(lengths.max(), _ODD))
     sums = np.add.reduceat(_LETTERS[data[~gap]] * powers[place], first)
-    return _mixed(sums ^ np.uint64(xxhash.xxh64_intdigest(group))), np.cumsum(ends)[starts]
+    return _mixed(sums ^ np.uint64(xxhash.xxh64_intdigest(group))) & ~np.uint64(3), np.cumsum(ends)[starts]
 
 
 def _level(digest: np.ndarray, k: int) -> np.ndarray:
@@ -73,6 +80,11 @@ def _level(digest: np.ndarray, k: int) -> np.ndarray:
     return _mixed(digest) & ~np.uint64(3) | np.uint64(k - 1)
 
 
+def _ending(digest: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The digest of the last word, and the bits that ``_level`` gives up; with the counted digest it tells the phrase before that word."""
+    return last | _mixed(digest) & np.uint64(3)
+
+
 def grown(own: np.ndarray, digest: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Digests of the phrases of ``k`` words at some positions, from those of one word less and of words."""
     return _mixed(digest[at]) * _ODD + own[at + k - 1]
@@ -151,8 +163,9 @@ def _pairs(frame: DataFrame, group: str, text: str) -> DataFrame:
 
 
 def _count_digests(texts: DataFrame, least: int, known: np.ndarray | None, before: np.ndarray | None, bits: int, all_phrases: bool = False) -> DataFrame:
-    """Digests (``h``) with ``least`` occurrences or more among the phrases of the family ``known`` and its border.
+    """Digests (``h``) with their ``n`` occurrences, ``least`` or more, among the phrases of the family ``known`` and its border.
 
+    ``e`` and ``other`` are the least and greatest ending of the phrases counted: the same, unless two phrases share a digest.
     Phrases that were in or on the border of ``before`` are left out; with ``all_phrases`` every phrase counts.
     """
     context = texts.sparkSession.sparkContext
@@ -173,15 +186,19 @@ def _count_digests(texts: DataFrame, least: int, known: np.ndarray | None, befor
                 told = _level(digest[at], k)
                 done = np.full(len(at), then.table is not None) if k == 1 else inner_before[at] & inner_before[at + 1]  # counted before
                 wanted = told[~done]
-                found, times = np.unique(wanted, return_counts=True)
-                for start in range(0, len(found), 1 << 17):
-                    cut = slice(start, start + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(found[cut].view(np.int64)), pa.array(times[cut].astype(np.int64))], names=["h", "n"])
+                order = np.argsort(wanted)
+                found, ends = wanted[order], _ending(digest[at], own[at + k - 1])[~done][order]
+                first = np.flatnonzero(np.concatenate(([True], (found[1:] != found[:-1]) | (ends[1:] != ends[:-1])))[: len(found)])
+                times = np.diff(np.append(first, len(found)))
+                for start in range(0, len(first), 1 << 17):
+                    cut = first[start : start + (1 << 17)]
+                    columns = [found[cut].view(np.int64), ends[cut].view(np.int64), times[start : start + (1 << 17)].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h", "e", "n"])
                 inner, inner_before = np.zeros((2, len(own) + 1), bool)
                 inner[at], inner_before[at] = now.holds(told), done & then.holds(told)
 
-    counted = texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= least).select("h")
+    counted = texts.mapInArrow(run, "h bigint, e bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"), F.min("e").alias("e"), F.max("e").alias("other"))
+    return counted.where(F.col("n") >= least)
 
 
 def _table_of(digests: DataFrame, bits: int) -> np.ndarray:
@@ -239,8 +256,8 @@ class Held:
         self.parts, self.rows = {}, 0
 
 
-def _count_phrases(texts: DataFrame, survivors: np.ndarray, bits: int) -> DataFrame:
-    """Exact counts (``lang``, ``k``, ``phrase``, ``f``) of all phrases whose digests are in the table; row ``k = 0`` counts all words."""
+def _count_phrases(texts: DataFrame, survivors: np.ndarray, bits: int, longest: int = LONGEST) -> DataFrame:
+    """Exact counts (``lang``, ``k``, ``phrase``, ``f``) of the phrases to ``longest`` words whose digests are in the table; row ``k = 0`` counts all words."""
     shared = texts.sparkSession.sparkContext.broadcast(survivors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +271,7 @@ def _count_phrases(texts: DataFrame, survivors: np.ndarray, bits: int) -> DataFr
             words = shorter = pa.array(grams.words, pa.binary()).cast(pa.string())
             digest = grams.own.copy()
             at, numbers = np.arange(size), np.zeros(size, np.int64)  # of the phrase of one word less at each position
-            for k in range(1, LONGEST + 1):
+            for k in range(1, longest + 1):
                 if k > 1:
                     same = grams.piece[: size - k + 1] == grams.piece[k - 1 :]
                     at = np.flatnonzero(same & (numbers[: len(same)] >= 0) & (numbers[1 : len(same) + 1] >= 0))
@@ -273,6 +290,61 @@ def _count_phrases(texts: DataFrame, survivors: np.ndarray, bits: int) -> DataFr
     return texts.mapInArrow(run, "lang string, k int, phrase string, f bigint").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 
 
+def _numbered(words: DataFrame) -> DataFrame:
+    """Words (``lang``, ``phrase``) with their digest ``w``."""
+
+    def run(lang: pa.Array, phrase: pa.Array) -> pa.Array:
+        groups, told = np.array(lang.to_pylist(), object), np.zeros(len(lang), np.int64)
+        for group in set(groups):
+            at = np.flatnonzero(groups == group)
+            told[at] = word_digests(b" ".join(p.as_buffer().to_pybytes() for p in phrase.take(pa.array(at))), group)[0].view(np.int64)
+        return pa.array(told)
+
+    run.__annotations__ = {"lang": pa.Array, "phrase": pa.Array, "return": pa.Array}
+    return words.select("lang", "phrase", "f", F.arrow_udf(run, "bigint")("lang", "phrase").alias("w"))
+
+
+def _unmixed(x: np.ndarray) -> np.ndarray:
+    """What ``_mixed`` was given."""
+    back = np.uint64(pow(int(_MIX), -1, 2**64))
+    x = (x ^ (x >> np.uint64(32))) * back
+    x = (x ^ (x >> np.uint64(29)) ^ (x >> np.uint64(58))) * back
+    return x ^ (x >> np.uint64(32))
+
+
+def before_last(h: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """What stands before the last word of counted phrases of 2 words or more: a word's digest, or the counted digest of a phrase."""
+    whole = _unmixed(h & ~np.uint64(3) | e & np.uint64(3))
+    shorter = _unmixed((whole - (e & ~np.uint64(3))) * np.uint64(pow(int(_ODD), -1, 2**64)))
+    k = h & np.uint64(3)  # words before the last
+    return np.where(k == 1, shorter, _mixed(shorter) & ~np.uint64(3) | k - np.uint64(1))
+
+
+def _told_by_words(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``lang``, ``k``, ``phrase``, ``f`` of counted digests of 2 words or more: the words before the last, told first, and the last."""
+
+    def run(h: pa.Array, e: pa.Array) -> pa.Array:
+        return pa.array(before_last(*(c.to_numpy(zero_copy_only=False).view(np.uint64) for c in (h, e))).view(np.int64))
+
+    run.__annotations__ = {"h": pa.Array, "e": pa.Array, "return": pa.Array}
+    several = found.where(F.col("h").bitwiseAND(F.lit(3)) > 0)
+    several = durable(several.select("h", "n", F.col("e").bitwiseAND(F.lit(~3)).alias("w"), F.arrow_udf(run, "bigint")("h", "e").alias("b")))
+    ended = sized_join(several, words.select("w", F.col("phrase").alias("last")), ["w"], spread_by=["h"])
+    told, shorter = [], words.select(F.col("w").alias("b"), "lang", "phrase")
+    for k in range(2, LONGEST + 1):
+        rows = ended.where(F.col("h").bitwiseAND(F.lit(3)) == k - 1).join(shorter, "b")
+        rows = durable(rows.select("lang", F.lit(k).alias("k"), F.concat_ws(" ", "phrase", "last").alias("phrase"), F.col("n").alias("f"), "h"))
+        told.append(rows.drop("h"))
+        shorter = rows.select(F.col("h").alias("b"), "lang", "phrase")
+    return reduce(DataFrame.union, told)
+
+
+def _ambiguous(found: DataFrame, words: DataFrame) -> bool:
+    """Whether two phrases or words share a digest."""
+    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max((F.col("e") != F.col("other")).cast("int")).alias("d")).where("c > 1 or d > 0")
+    return not (twice.isEmpty() and words.groupBy("w").count().where("count > 1").isEmpty())
+
+
 def frequent_phrases(
     docs: DataFrame, text: str = "text", group: str = "lang", key: str = "doc_id", least: int = 30, sample: int = 2500, lowered: float = 0.8, bits: int = 26
 ) -> DataFrame:
@@ -296,7 +368,12 @@ def frequent_phrases(
         if not _missing(frequent, known, bits):
             break
         known, before = known | _table_of(frequent, bits), known
-    counted = _count_phrases(texts, _table_of(found, bits), bits)
+    single = durable(_count_phrases(texts, _table_of(found.where(F.col("h").bitwiseAND(F.lit(3)) == 0), bits), bits, longest=1))
+    words = durable(_numbered(single.where("k = 1")))
+    if _ambiguous(found, words):
+        counted = _count_phrases(texts, _table_of(found, bits), bits)
+    else:
+        counted = single.union(_told_by_words(found, words))
     return counted.where((F.col("k") == 0) | (F.col("f") >= least))
 
 
