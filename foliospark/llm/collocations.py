@@ -8,9 +8,14 @@ its border, so the first pass counts them all.
 
 A family is no list of phrases but a bit table of fixed size over 64-bit digests, which is all that is broadcast. A digest
 that is found there by accident costs a needless count and changes no result. The passes count digests, the rows of which
-are short, and keep those that reach the least frequency: no phrase is frequent unless its digest is. One more pass counts
-the words of the phrases so found, by their texts, which makes all numbers exact. Tasks count their share before anything
-is shuffled, so that no phrase, however frequent, fills one task.
+are short, and keep those that reach the least frequency: no phrase is frequent unless its digest is. Tasks count their share
+before anything is shuffled, so that no phrase, however frequent, fills one task.
+
+Phrases are counted apart by 62 bits of their digest and 32 of the digest of their last word. Each count carries the first
+task that met its phrase, and one more pass has that task alone give the phrase's text, so that a phrase has one row and not
+one from every task that holds it. Where a phrase stays without a text (tasks that hold other rows than in an earlier pass) or
+has two, all phrases found are counted once more by their texts. What that cannot see are two phrases that agree in all 94 bits
+of which the task that names them holds one.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +38,8 @@ LONGEST = 4
 SLICE_BYTES, COUNTED_WORDS = 4 << 20, 2_000_000
 #: Counted phrases that a task holds to add up what its slices repeat.
 HELD_PHRASES = 1 << 20
+#: Bits of the number of cells, at most, that tell the tasks which name phrases; marks of tasks are 1 to TASKS.
+CELL_BITS, TASKS, SEVERAL = 25, 65534, 65535
 #: What parts pieces, what parts words; only A-Z are lower-cased.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + b".,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\n" * 9)
 _BLANK, _END = 32, 10
@@ -52,6 +60,11 @@ def word_digests(raw: bytes, group: str) -> tuple[np.ndarray, np.ndarray]:
 
     A digest depends on the word and the group (language) alone: a polynomial of random values of its bytes.
     """
+    return _words(raw, group)[:2]
+
+
+def _words(raw: bytes, group: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``word_digests``, and the first and last byte (exclusive) of each word."""
     import xxhash
 
     data = np.frombuffer(raw, np.uint8)
@@ -60,12 +73,12 @@ def word_digests(raw: bytes, group: str) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True]))))
     starts, lengths = edges[::2], edges[1::2] - edges[::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), starts, starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
     powers = np.multiply.accumulate(np.full(lengths.max(), _ODD))
     sums = np.add.reduceat(_LETTERS[data[~gap]] * powers[place], first)
-    return _mixed(sums ^ np.uint64(xxhash.xxh64_intdigest(group))), np.cumsum(ends)[starts]
+    return _mixed(sums ^ np.uint64(xxhash.xxh64_intdigest(group))), np.cumsum(ends)[starts], starts, starts + lengths
 
 
 def _level(digest: np.ndarray, k: int) -> np.ndarray:
@@ -73,6 +86,11 @@ def _level(digest: np.ndarray, k: int) -> np.ndarray:
     return _mixed(digest) & ~np.uint64(3) | np.uint64(k - 1)
 
 
+def _ending(own: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """What tells phrases of one counted digest apart: 32 bits of the digest of their last word."""
+    return (own[at + k - 1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def grown(own: np.ndarray, digest: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """Digests of the phrases of ``k`` words at some positions, from those of one word less and of words."""
     return _mixed(digest[at]) * _ODD + own[at + k - 1]
@@ -151,15 +169,16 @@ def _pairs(frame: DataFrame, group: str, text: str) -> DataFrame:
 
 
 def _count_digests(texts: DataFrame, least: int, known: np.ndarray | None, before: np.ndarray | None, bits: int, all_phrases: bool = False) -> DataFrame:
-    """Digests (``h``) with ``least`` occurrences or more among the phrases of the family ``known`` and its border.
+    """Digests (``h``, ``g`` by the last word) with ``least`` occurrences (``n``) or more among the phrases of the family ``known`` and its border.
 
-    Phrases that were in or on the border of ``before`` are left out; with ``all_phrases`` every phrase counts.
+    ``p`` is the first task that met the phrase. Phrases that were in or on the border of ``before`` are left out; with ``all_phrases`` every phrase counts.
     """
     context = texts.sparkSession.sparkContext
     shared = context.broadcast((known, before))  # two tables of 2^bits bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, then = (Family(t, bits) for t in shared.value)
+        task = TaskContext.get().partitionId()
         for own, piece in _sequences(batches):
             digest = own.copy()
             at = np.arange(len(own))
@@ -173,15 +192,20 @@ def _count_digests(texts: DataFrame, least: int, known: np.ndarray | None, befor
                 told = _level(digest[at], k)
                 done = np.full(len(at), then.table is not None) if k == 1 else inner_before[at] & inner_before[at + 1]  # counted before
                 wanted = told[~done]
-                found, times = np.unique(wanted, return_counts=True)
+                order = np.argsort(wanted)
+                wanted, ending = wanted[order], _ending(own, at[~done], k)[order]
+                first = np.flatnonzero(np.append(True, (wanted[1:] != wanted[:-1]) | (ending[1:] != ending[:-1]))[: len(wanted)])
+                found, ending, times = wanted[first], ending[first], np.diff(np.append(first, len(wanted)))
+                del order, wanted, first
                 for start in range(0, len(found), 1 << 17):
                     cut = slice(start, start + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(found[cut].view(np.int64)), pa.array(times[cut].astype(np.int64))], names=["h", "n"])
+                    columns = [found[cut].view(np.int64), ending[cut], times[cut].astype(np.int64), np.full(len(times[cut]), task, np.int32)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h", "g", "n", "p"])
                 inner, inner_before = np.zeros((2, len(own) + 1), bool)
                 inner[at], inner_before[at] = now.holds(told), done & then.holds(told)
 
-    counted = texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= least).select("h")
+    counted = texts.mapInArrow(run, "h bigint, g int, n bigint, p int").groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
+    return counted.where(F.col("n") >= least)
 
 
 def _table_of(digests: DataFrame, bits: int) -> np.ndarray:
@@ -273,6 +297,96 @@ def _count_phrases(texts: DataFrame, survivors: np.ndarray, bits: int) -> DataFr
     return texts.mapInArrow(run, "lang string, k int, phrase string, f bigint").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 
 
+class Owners:
+    """The mark of the task that names a phrase, by cells over its digest; later tables tell what shares a cell of those before."""
+
+    def __init__(self, tables: list[np.ndarray]):
+        self.tables = tables
+
+    @staticmethod
+    def cell(digests: np.ndarray, depth: int, cells: int) -> np.ndarray:
+        return (_mixed(digests + np.uint64(depth)) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+    def of(self, digests: np.ndarray) -> np.ndarray:
+        """Marks: 0 for no task, ``SEVERAL`` where cells are shared to the last."""
+        told = np.full(len(digests), SEVERAL, np.uint16)
+        for depth, table in enumerate(self.tables):
+            at = np.flatnonzero(told == SEVERAL)
+            told[at] = table[self.cell(digests[at], depth, len(table))]
+        return told
+
+
+def _owner_table(found: DataFrame, tables: list[np.ndarray], cells: int) -> np.ndarray:
+    """The next table for ``Owners``, of the digests that ``tables`` leave open."""
+    shared = found.sparkSession.sparkContext.broadcast(tables)
+
+    def run(column: pa.Array) -> pa.Array:
+        digests = column.to_numpy(zero_copy_only=False).view(np.uint64)
+        open_ = Owners(shared.value).of(digests) == SEVERAL
+        return pa.array(np.where(open_, Owners.cell(digests, len(shared.value), cells), -1))
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    placed = found.select(F.arrow_udf(run, "bigint")(F.col("h")).alias("c"), (F.col("p") % TASKS + 1).cast("bigint").alias("v")).where("c >= 0")
+    mark = F.when(F.min("v") == F.max("v"), F.min("v")).otherwise(F.lit(SEVERAL).cast("bigint"))
+    shift = (F.lit(16) * F.col("c").bitwiseAND(F.lit(3))).cast("int")
+    marks = placed.groupBy("c").agg(mark.alias("v")).select(F.shiftright("c", 2).alias("w"), F.call_function("shiftleft", F.col("v"), shift).alias("v"))
+    told = marks.groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    table = np.zeros(cells // 4, np.int64)
+    table[told.column("w").to_numpy()] = told.column("v").to_numpy()
+    return table.view(np.uint16)
+
+
+def _owners(found: DataFrame) -> list[np.ndarray]:
+    """Tables for ``Owners``, of 16 bits a cell and 2^``CELL_BITS`` cells at most; what the driver gets is no more than twice that."""
+    rows, tables = found.count(), []
+    for depth in range(2):
+        tables.append(_owner_table(found, list(tables), 1 << min(max((8 * rows >> 2 * depth).bit_length(), 8), CELL_BITS)))
+    return tables
+
+
+def _name_phrases(texts: DataFrame, survivors: np.ndarray, owners: list[np.ndarray], bits: int) -> DataFrame:
+    """Texts (``h``, ``g``, ``lang``, ``k``, ``phrase``) of phrases from the tasks that name them; rows ``k = 0`` count a task's words in ``f``."""
+    shared = texts.sparkSession.sparkContext.broadcast((survivors, owners))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, tasks, mark = Family(shared.value[0], bits), Owners(shared.value[1]), TaskContext.get().partitionId() % TASKS + 1
+        given, totals = np.zeros(0, np.uint64), {}
+        for group, part in _slices(batches):
+            raw = b"\n".join(part).translate(_TABLE)
+            own, piece, starts, ends = _words(raw, group)
+            totals[group] = totals.get(group, 0) + len(own)
+            digest, at, inner = own.copy(), np.arange(len(own)), np.ones(len(own), bool)
+            for k in range(1, LONGEST + 1):
+                if k > 1:
+                    same = piece[: len(own) - k + 1] == piece[k - 1 :]
+                    at = np.flatnonzero(same & inner[: len(same)] & inner[1 : len(same) + 1])
+                    digest[at] = grown(own, digest, at, k)
+                told = _level(digest[at], k)
+                held = family.holds(told)
+                inner = np.zeros(len(own) + 1, bool)
+                inner[at] = held
+                marks = tasks.of(told[held])
+                mine = np.flatnonzero((marks == mark) | (marks == SEVERAL))
+                here, told = at[held][mine], told[held][mine]
+                ending = _ending(own, here, k)
+                new, first = np.unique(told ^ _mixed(ending.view(np.uint32).astype(np.uint64)), return_index=True)
+                unseen = ~np.isin(new, given, assume_unique=True)
+                given, first = np.concatenate((given, new[unseen])), first[unseen]
+                for start in range(0, len(first), 1 << 16):
+                    cut = first[start : start + (1 << 16)]
+                    names = [b" ".join(raw[starts[j] : ends[j]] for j in range(i, i + k)) for i in here[cut].tolist()]
+                    zeros = np.zeros(len(cut), np.int32)
+                    columns = [told[cut].view(np.int64), ending[cut], pa.array([group]).take(pa.array(zeros)), zeros + np.int32(k)]
+                    columns += [pa.array(names, pa.binary()).cast(pa.string()), zeros.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h", "g", "lang", "k", "phrase", "f"])
+        if totals:
+            count = len(totals)
+            columns = [np.zeros(count, np.int64), np.zeros(count, np.int32), list(totals), np.zeros(count, np.int32), [""] * count, np.array(list(totals.values()), np.int64)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h", "g", "lang", "k", "phrase", "f"])
+
+    return texts.mapInArrow(run, "h bigint, g int, lang string, k int, phrase string, f bigint")
+
+
 def frequent_phrases(
     docs: DataFrame, text: str = "text", group: str = "lang", key: str = "doc_id", least: int = 30, sample: int = 2500, lowered: float = 0.8, bits: int = 26
 ) -> DataFrame:
@@ -281,7 +395,7 @@ def frequent_phrases(
     ``sample`` documents, those of the lowest hashes of their keys, propose phrases that reach ``lowered`` of their share of
     ``least``, twice at least; whatever they propose, the result is exact. A null group is ``und``, a null text empty; null keys
     are counted but not sampled. The broadcast tables have 2^``bits`` bits: a table too small for its phrases only makes the
-    passes count more. No document gives no row.
+    passes count more. No document gives no row, a group without words none either. The rows are kept by a checkpoint.
     """
     texts = _pairs(docs, group, text)
     rows = docs.count()
@@ -296,8 +410,16 @@ def frequent_phrases(
         if not _missing(frequent, known, bits):
             break
         known, before = known | _table_of(frequent, bits), known
-    counted = _count_phrases(texts, _table_of(found, bits), bits)
-    return counted.where((F.col("k") == 0) | (F.col("f") >= least))
+    survivors = _table_of(found, bits)
+    rows = durable(_name_phrases(texts, survivors, _owners(found), bits))
+    name = F.struct("lang", "k", "phrase")
+    names = rows.where("k > 0").groupBy("h", "g").agg(F.min(name).alias("name"), F.max(name).alias("other"))
+    told = durable(found.join(names, ["h", "g"], "left").select("name.*", F.col("n").alias("f"), F.coalesce(F.col("name") != F.col("other"), F.lit(True)).alias("open")))
+    if not told.where("open").isEmpty():
+        counted = _count_phrases(texts, survivors, bits)
+        return durable(counted.where((F.col("k") == 0) | (F.col("f") >= least)))
+    totals = rows.where("k = 0 and f > 0").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return told.drop("open").unionByName(totals)
 
 
 def _inner(phrase: str, length: int) -> Column:
@@ -337,7 +459,7 @@ def collocations(docs: DataFrame, text: str = "text", group: str = "lang", key:
 
     ``mining`` goes to ``frequent_phrases``. Only columns ``text``, ``group`` and ``key`` are read, others may have any name.
     """
-    ranked = scored(durable(frequent_phrases(docs, text, group, key, **mining)))
+    ranked = scored(frequent_phrases(docs, text, group, key, **mining))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     top = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     return top.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

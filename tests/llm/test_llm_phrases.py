@@ -153,3 +153,44 @@ def test_slices_of_a_task_are_added_up():
         assert sums == {("en", 2, "a b"): 20, ("en", 2, "x 0"): 4, ("en", 2, "x 1"): 3, ("en", 2, "x 2"): 3, ("de", 1, "a"): 10}
         assert times is None or len(given) == len(sums)
     assert list(collocations.Held(4).told(last=True)) == []
+
+
+def test_one_task_names_a_phrase(spark):
+    """Rows that tasks give away for texts are as many as phrases, however many tasks hold each phrase."""
+    docs = corpus(60, seed=2)
+    texts = spark.createDataFrame([(g or "und", t) for _, t, g in docs * 8], "g string, t string").repartition(8).cache()
+    known = np.full(1 << 10, ~np.uint64(0))
+    found = collocations._count_digests(texts, 30, known, None, 16).cache()
+    rows = collocations._name_phrases(texts, collocations._table_of(found, 16), collocations._owners(found), 16).where("k > 0").cache()
+    frequent = {(g, " ".join(p)): f for (g, p), f in phrases(docs * 8)[0].items() if f >= 30}
+    counts = {(r.lang, r.phrase): r.n for r in rows.join(found, ["h", "g"]).collect()}
+    assert len(frequent) > 100 and counts == frequent
+    assert rows.join(found, ["h", "g"]).count() < 1.1 * len(frequent)  # eight times as many when every task gave its own
+    for frame in (texts, found, rows):
+        frame.unpersist()
+
+
+def test_shared_cells_are_named_by_all(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "CELL_BITS", 8)
+    docs = corpus(200, seed=4)
+    assert run(spark, docs, least=5, sample=20) == brute(docs, least=5)
+
+
+@pytest.mark.parametrize("fault", ["no task names a phrase", "texts share a digest"])
+def test_unnamed_or_shared_digests_are_counted_by_text(spark, monkeypatch, fault):
+    docs, counted = corpus(200, seed=6), []
+    if fault == "no task names a phrase":
+        monkeypatch.setattr(collocations, "_owners", lambda found: [np.zeros(256, np.uint16)])
+    else:
+        monkeypatch.setattr(collocations, "_level", lambda digest, k: collocations._mixed(digest) >> np.uint64(58) << np.uint64(58) | np.uint64(k - 1))
+    by_text = collocations._count_phrases
+    monkeypatch.setattr(collocations, "_count_phrases", lambda *given: counted.append(1) or by_text(*given))
+    assert run(spark, docs, least=6, sample=20) == brute(docs, least=6)
+    assert counted == [1]
+
+
+def test_last_word_tells_digests_apart(spark, monkeypatch):
+    """Phrases of one counted digest but other last words have a count each."""
+    monkeypatch.setattr(collocations, "_level", lambda digest, k: np.full(len(digest), k - 1, np.uint64))
+    docs = [(i, "a b. a c", "en") for i in range(40)] + [(99, "a d", "en")]
+    assert run(spark, docs) == brute(docs)
