@@ -11,11 +11,11 @@ that is found there by accident costs a needless count and changes no result. Th
 are short, and keep those that reach the least frequency: no phrase is frequent unless its digest is. Tasks count their share
 before anything is shuffled, so that no phrase, however frequent, fills one task.
 
-Phrases are counted apart by 62 bits of their digest and 32 of the digest of their last word. Each count carries the first
-task that met its phrase, and one more pass has that task alone give the phrase's text, so that a phrase has one row and not
-one from every task that holds it. Where a phrase stays without a text (tasks that hold other rows than in an earlier pass) or
-has two, all phrases found are counted once more by their texts. What that cannot see are two phrases that agree in all 94 bits
-of which the task that names them holds one.
+Phrases are counted apart by 62 bits of their digest and 32 of the digest of their last word. Each count carries one task that
+met its phrase, and one more pass has that task alone give the phrase's text, so that a phrase has one row and not one from
+every task that holds it. Where a phrase stays without a text (tasks that hold other rows than in an earlier pass) or has two,
+all phrases found are counted once more by their texts. What that cannot see are two phrases that agree in all 94 bits of which
+the task that names them holds one.
 """
 
 from __future__ import annotations
@@ -123,10 +123,11 @@ class Family:
         self.table, self.shift = table, np.uint64(64 - bits)
 
     def holds(self, digests: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            return np.zeros(len(digests), bool)
-        at = digests >> self.shift
-        return (self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        told = np.zeros(len(digests), bool)
+        for start in range(0, 0 if self.table is None else len(digests), 1 << 17):  # some at a time, for the room that it takes
+            at = digests[start : start + (1 << 17)] >> self.shift
+            told[start : start + (1 << 17)] = self.table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)
+        return told
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -159,9 +160,10 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         parts = held.setdefault(group, [])
         parts.append(word_digests(b"\n".join(texts).translate(_TABLE), group))
         if sum(len(d) for d, _ in parts) > COUNTED_WORDS:
+            del parts
             yield told(held.pop(group))
-    for parts in held.values():
-        yield told(parts)
+    while held:
+        yield told(held.popitem()[1])
 
 
 def _pairs(frame: DataFrame, group: str, text: str) -> DataFrame:
@@ -171,7 +173,8 @@ def _pairs(frame: DataFrame, group: str, text: str) -> DataFrame:
 def _count_digests(texts: DataFrame, least: int, known: np.ndarray | None, before: np.ndarray | None, bits: int, all_phrases: bool = False) -> DataFrame:
     """Digests (``h``, ``g`` by the last word) with ``least`` occurrences (``n``) or more among the phrases of the family ``known`` and its border.
 
-    ``p`` is the first task that met the phrase. Phrases that were in or on the border of ``before`` are left out; with ``all_phrases`` every phrase counts.
+    ``p`` is one task that met the phrase, the first in an order by its digest. Phrases that were in or on the border of
+    ``before`` are left out; with ``all_phrases`` every phrase counts.
     """
     context = texts.sparkSession.sparkContext
     shared = context.broadcast((known, before))  # two tables of 2^bits bits
@@ -191,7 +194,10 @@ def _count_digests(texts: DataFrame, least: int, known: np.ndarray | None, befor
                     digest[at] = grown(own, digest, at, k)
                 told = _level(digest[at], k)
                 done = np.full(len(at), then.table is not None) if k == 1 else inner_before[at] & inner_before[at + 1]  # counted before
+                inner, inner_before = np.zeros((2, len(own) + 1), bool)
+                inner[at], inner_before[at] = now.holds(told), done & then.holds(told)
                 wanted = told[~done]
+                del told
                 order = np.argsort(wanted)
                 wanted, ending = wanted[order], _ending(own, at[~done], k)[order]
                 first = np.flatnonzero(np.append(True, (wanted[1:] != wanted[:-1]) | (ending[1:] != ending[:-1]))[: len(wanted)])
@@ -199,13 +205,14 @@ def _count_digests(texts: DataFrame, least: int, known: np.ndarray | None, befor
                 del order, wanted, first
                 for start in range(0, len(found), 1 << 17):
                     cut = slice(start, start + (1 << 17))
-                    columns = [found[cut].view(np.int64), ending[cut], times[cut].astype(np.int64), np.full(len(times[cut]), task, np.int32)]
+                    place = (found[cut] >> np.uint64(56)).astype(np.int32) ^ np.int32(task)  # another order of the tasks for other digests
+                    columns = [found[cut].view(np.int64), ending[cut], times[cut].astype(np.int64), place]
                     yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["h", "g", "n", "p"])
-                inner, inner_before = np.zeros((2, len(own) + 1), bool)
-                inner[at], inner_before[at] = now.holds(told), done & then.holds(told)
+                del found, ending, times
 
     counted = texts.mapInArrow(run, "h bigint, g int, n bigint, p int").groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
-    return counted.where(F.col("n") >= least)
+    task = F.col("p").bitwiseXOR(F.shiftrightunsigned("h", 56).cast("int"))
+    return counted.where(F.col("n") >= least).select("h", "g", "n", task.alias("p"))
 
 
 def _table_of(digests: DataFrame, bits: int) -> np.ndarray:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.llm import collocations
 
@@ -166,6 +167,7 @@ def test_one_task_names_a_phrase(spark):
     counts = {(r.lang, r.phrase): r.n for r in rows.join(found, ["h", "g"]).collect()}
     assert len(frequent) > 100 and counts == frequent
     assert rows.join(found, ["h", "g"]).count() < 1.1 * len(frequent)  # eight times as many when every task gave its own
+    assert rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 0.5 * rows.count()
     for frame in (texts, found, rows):
         frame.unpersist()
 
