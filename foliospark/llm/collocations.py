@@ -14,8 +14,8 @@ before anything is shuffled, so that no phrase, however frequent, fills one task
 Phrases are counted apart by 62 bits of their digest and 32 of the digest of their last word. Each count carries one task that
 met its phrase, and one more pass has that task alone give the phrase's text, so that a phrase has one row and not one from
 every task that holds it. Where a phrase stays without a text (tasks that hold other rows than in an earlier pass) or has two,
-all phrases found are counted once more by their texts. What that cannot see are two phrases that agree in all 94 bits of which
-the task that names them holds one.
+all phrases found are counted once more by their texts. What that cannot see are two phrases that agree in all these bits (of
+one last word: in the 62 alone) of which the task that names them holds one.
 """
 
 from __future__ import annotations
