@@ -62,10 +62,6 @@ def markdown_scan(spark, folder):
     return files.select(F.regexp_replace("name", "[.]md$", "").alias("stem"), F.sha2("content", 256).alias("content"))
 
 
-def _csv(spark, path, schema):
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-
-
 CHUNK_CSV = f"""WITH {derive.LINES} SELECT filename AS document, chunk_id, clean AS content, CAST(length(clean) AS BIGINT) AS length FROM lines"""
 
 
@@ -80,7 +76,7 @@ def _chunk_csv_rows(spark, folder):
 @query("k3_chunk_csv_combined", CHUNK_CSV)
 def chunk_csv_combined(spark, folder):
     path = sinks.write_csv(_chunk_csv_rows(spark, folder), fresh_path(spark, "chunk-csv"))
-    return _csv(spark, path, "document string, chunk_id string, content string, length bigint")
+    return sinks.csv_reader(spark, "document string, chunk_id string, content string, length bigint").csv(path)
 
 
 @query(
@@ -179,7 +175,7 @@ def fixed_csv_file(spark, folder):
     )
     path = sinks.write_fixed_csv(rows, fresh_path(spark, "fixed-csv"), schemas.FLAT_INVOICE_COLUMNS)
     schema = ", ".join(f"{c} string" for c in schemas.FLAT_INVOICE_COLUMNS)
-    back = _csv(spark, path, schema)
+    back = sinks.csv_reader(spark, schema).csv(path)
     return back.select("source_file", "status", F.col("total").cast("double").alias("total"))
 
 
@@ -199,7 +195,7 @@ def summary_csv(spark, folder):
     rows = flatten.summary_rows(nested_orders(spark, folder), "name", "extraction")
     path = sinks.write_csv(rows, fresh_path(spark, "summary-csv"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return _csv(spark, path, schema).select("document_name", "order_info_total", "tags")
+    return sinks.csv_reader(spark, schema).csv(path).select("document_name", "order_info_total", "tags")
 
 
 @query(

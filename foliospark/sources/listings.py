@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import sinks
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -71,8 +72,7 @@ def read_latest_csv(spark: SparkSession, listing: DataFrame, prefix: str, schema
         return spark.createDataFrame([], schema)
     if whole_folder:
         path = path.rsplit("/", 1)[0]
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    return reader.option("pathGlobFilter", "*.csv").csv(path)
+    return sinks.csv_reader(spark, schema).option("pathGlobFilter", "*.csv").csv(path)
 
 
 def read_markdown(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators.joins import null_safe_join
 from ..operators.ordered import part_numbers
 
+#: Form of the CSV files. Spark's writer would cut white space and control characters off both ends of a value.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def write_json(df: DataFrame, path: str, by: str | None = None) -> str:
     """JSON results; ``by`` makes one folder per value, e.g. per document stem."""
@@ -31,11 +35,20 @@ def write_text(df: DataFrame, path: str, text: str, by: str, most_rows: int = 0)
 
 def write_csv(df: DataFrame, path: str, by: str | None = None) -> str:
     """CSV with a header, as one table or one folder per document."""
-    writer = df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    writer = df.write.mode("overwrite").options(**CSV)
     (writer.partitionBy(by) if by else writer).csv(path)
     return path
 
 
+def csv_reader(spark: SparkSession, schema: str) -> DataFrameReader:
+    """Reader of CSV files under a declared schema, whose values may hold line ends.
+
+    An empty field is null and ``""`` an empty text, as they are written. By default Spark reads both as null, since the empty
+    text stands for null; here a text does that no file holds.
+    """
+    return spark.read.schema(schema).options(**CSV).option("multiLine", True).option("nullValue", uuid.uuid4().hex)
+
+
 def csv_text(items: Column, line: Callable[[Column], dict[str, Column]]) -> Column:
     """CSV text with a header, one line for each item of an array, in order; a null or empty array gives the header alone.
 
@@ -68,10 +81,7 @@ def fixed_columns(df: DataFrame, order) -> DataFrame:
 
 
 def write_fixed_csv(df: DataFrame, path: str, order) -> str:
-    (
-        fixed_columns(df, order).write.mode("overwrite").option("header", True).option("emptyValue", "")
-        .option("quote", '"').option("escape", '"').csv(path)
-    )
+    fixed_columns(df, order).write.mode("overwrite").options(**CSV).option("emptyValue", "").csv(path)
     return path
 
 
