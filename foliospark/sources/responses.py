@@ -94,18 +94,22 @@ def route(event: Column) -> dict[str, Column]:
     }
 
 
-def resolved_results(jobs: DataFrame, linked: DataFrame) -> DataFrame:
-    """Markdown of finished jobs: inline when present, else from the linked result; empty is a failure.
+def resolved_results(jobs: DataFrame, linked: DataFrame, empty_fails: bool = True) -> DataFrame:
+    """Markdown of finished jobs: inline when present, else from the linked result; a link to nothing is a failure.
 
-    ``linked`` has ``output_url, linked_markdown`` and one row per url.
+    ``linked`` has ``output_url, linked_markdown`` and one row per url. An empty markdown is a failure as well, unless
+    ``empty_fails`` is false, as for documents that may be empty.
     """
-    rows = left_join_spreading_nulls(jobs, linked, "output_url")
+    rows = left_join_spreading_nulls(jobs, linked.withColumn("__linked", F.lit(True)), "output_url")
     inline = F.col("data").isNotNull()
     markdown = F.when(inline, F.col("data.markdown")).otherwise(F.col("linked_markdown"))
+    failed = ~inline & F.col("__linked").isNull()
+    if empty_fails:
+        failed = failed | (F.coalesce(markdown, F.lit("")) == "")
     result = (
         F.when(F.col("status") != "completed", "not_completed")
         .when(~inline & F.col("output_url").isNull(), "no_output")
-        .when(F.coalesce(markdown, F.lit("")) == "", "failed")
+        .when(failed, "failed")
         .otherwise("success")
     )
-    return rows.withColumn("result", result).withColumn("markdown", F.when(F.col("result") == "success", markdown))
+    return rows.withColumn("result", result).withColumn("markdown", F.when(F.col("result") == "success", markdown)).drop("__linked")
