@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text
 from ..operators import chunks, filings, flatten, invoices
-from ..session import fresh_path, table
+from ..session import drop_path, fresh_path, table
 from ..sources import listings, named_files, responses, sinks
 from . import derive
 from .record_plans import FOUR_TABLES_SQL, four_table_rows, nested_orders, stored_pairs
@@ -115,8 +115,10 @@ def latest_csv(spark, folder):
 
 @query("k4_four_table_export", FOUR_TABLES_SQL)
 def four_table_export(spark, folder):
-    # The four writes read one written parent instead of parsing four times; the rows are read back from the files.
-    written = sinks.write_tables(invoices.invoice_tables(stored_pairs(spark, folder), "run-1", "doc_id"), fresh_path(spark, "tables"))
+    # The four writes read one written parent instead of parsing four times; the rows are read back from the files. The parent goes before.
+    parent = fresh_path(spark, "paired")
+    written = sinks.write_tables(invoices.invoice_tables(stored_pairs(spark, folder, parent), "run-1", "doc_id"), fresh_path(spark, "tables"))
+    drop_path(spark, parent)
     return four_table_rows({name: spark.read.parquet(path) for name, path in written.items()})
 
 

@@ -86,11 +86,12 @@ def write_fixed_csv(df: DataFrame, path: str, order) -> str:
 
 
 def write_tables(tables: dict[str, DataFrame], root: str, form: str = "parquet") -> dict[str, str]:
-    """Several tables of one job below one folder."""
+    """Several tables of one job below one folder; columnar ones as zstd, since each table repeats the keys, which are digests."""
     out = {}
+    packed = {"compression": "zstd"} if form in ("parquet", "orc") else {}
     for name, df in tables.items():
         out[name] = f"{root}/{name}"
-        df.write.mode("overwrite").format(form).option("header", True).save(out[name])
+        df.write.mode("overwrite").format(form).options(header=True, **packed).save(out[name])
     return out
 
 

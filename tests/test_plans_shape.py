@@ -51,6 +51,36 @@ def test_invoices_are_not_moved_with_their_items(spark, folder, monkeypatch):
     assert "items" not in counted[0]
 
 
+def test_line_items_are_moved_before_they_are_collected(spark, folder):
+    """A task that meets each order once has nothing to collect before the shuffle, and only what invoices show is moved."""
+    from foliospark.plans import derive
+
+    plan = plan_of(derive.invoice_documents(spark, folder))
+    assert "l_shipdate" not in plan and "l_linestatus" not in plan
+    assert plan.count("hashpartitioning(l_orderkey") == 1
+    moved = plan.split("hashpartitioning(l_orderkey")
+    assert "collect_list" in moved[0] and "collect_list" not in moved[1]
+
+
+def test_four_table_export_keeps_little_beside_its_tables(spark, folder, tmp_path, monkeypatch):
+    """The parent holds no chunks and goes when the tables are there, the tables are packed, and the session keeps its setting."""
+    import pyarrow.parquet as pq
+
+    from foliospark.plans import record_plans, sink_plans
+
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(sink_plans, "fresh_path", lambda _, label: str(tmp_path / label))
+    parent = record_plans.stored_pairs(spark, folder, str(tmp_path / "kept"))
+    assert spark.read.parquet(str(tmp_path / "kept")).columns == ["doc_id", "markdown", "metadata", "extraction"]
+    assert parent.where("size(chunks) = 1 + size(extraction.line_items)").count() == parent.count() > 0
+    rows = sink_plans.four_table_export(spark, folder).count()
+    assert spark.conf.get(freed) == "false"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["kept", "tables"]
+    files = list(tmp_path.glob("tables/*/*.parquet"))
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"}
+    assert rows == sum(pq.ParquetFile(f).metadata.num_rows for f in files)
+
+
 def test_an_invoice_table_reads_only_its_part_of_the_record(spark, folder):
     read = lambda q: plan_of(QUERIES[q](spark, folder)).split("from_json(")[1].split("invoke(")[0]
     items, main = read("w6_invoice_line_items"), read("p4_invoice_main")
